@@ -7,9 +7,11 @@ two symbols join depends on them alone, so equal stretches of words get equal sy
 edges: after two rounds a symbol has at most four words, and is determined by those and by three words to its left
 and five from its start to its right. Runs of one symbol are named once.
 
-Every window of 20 words therefore holds a symbol that depends on the window alone; the least by hash stands for it.
-Only symbols that occur more than once in all documents can belong to a repeated window: they are found by one
-pre-aggregated count, and only the windows they stand for are compared in full.
+Every window of 20 words therefore holds a symbol that depends on the window alone. A symbol is taken together with the
+eight words that determine it, which makes it rare in unlike text; the least by hash stands for the window. Only symbols that occur more than once in all documents can belong to a repeated window; they are found by one
+pre-aggregated count. The stretch of windows that a symbol stands for is itself named, as a symbol of a higher level:
+equal names verify a repeat of the whole stretch, and only where a symbol stands in unlike stretches, at the edges of
+repeats, are their windows compared one by one.
 """
 
 from __future__ import annotations
@@ -55,9 +57,10 @@ def anchors(h: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarray, n
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
-    at, name = symbols(h, docs)
+    at, _ = symbols(h, docs)
+    at = at[(at >= LEFT) & (at + RIGHT <= n)]
     value = np.full(n, _MAX)
-    value[at] = np.minimum(W.mix(name ^ np.uint64(0x2545F4914F6CDD1D)), _MAX - np.uint64(1))
+    value[at] = np.minimum(W.grams(h, LEFT + RIGHT)[at - LEFT], _MAX - np.uint64(1))
     reach = window - LEFT - RIGHT + 1  # starts of usable symbols in a window
     low, size = value[LEFT:], 1
     while 2 * size <= reach:
@@ -84,21 +87,24 @@ def anchors(h: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def _anchor_rows(window: int):
+    """Stretches of windows with their symbol, their place, all their words as one fingerprint, and whether they repeat in themselves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for lo, _, data, offs in W.chunks(batch.column(1)):
                 w = W.Words(data, offs, W.SPACED)
-                s, _, name, again = anchors(w.hashes(), w.docs, window)
-                s, name = np.append(s, s[again]), np.append(name, name[again])  # counts twice
+                h = w.hashes()
+                s, e, name, again = anchors(h, w.docs, window)
                 d = np.searchsorted(w.docs, s, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids[lo + d]), pa.array((s - w.docs[d]).astype(np.int32))], ["symbol", "doc_id", "start"])
+                content = W.runs(h, s, e + window - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[lo + d]), pa.array((s - w.docs[d]).astype(np.int32)), pa.array(again.astype(np.int8))], ["symbol", "content", "doc_id", "start", "again"])
 
     return run
 
 
 def _window_rows(window: int):
-    """Of documents with the starts of their shared anchors: every window they stand for."""
+    """Of documents with the starts of some stretches: every window of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +140,8 @@ def _removed(window: int, texts: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, firsts, copy = batch.column(2), batch.column(3), np.asarray(batch.column(4).fill_null(False).cast(pa.int8())).astype(bool)
+            shared, first, mixed, firsts = (batch.column(i) for i in (2, 3, 4, 5))
+            copy = np.asarray(batch.column(6).fill_null(False).cast(pa.int8())).astype(bool)
             n_words, n_removed, digest, kept = [], [], [], []
             for lo, hi, data, offs in W.chunks(batch.column(1)):
                 w = W.Words(data, offs, W.SPACED)
@@ -143,9 +150,11 @@ def _removed(window: int, texts: bool):
                 busy = np.asarray(shared.slice(lo, hi - lo).value_lengths().fill_null(0)) > 0
                 if busy.any():
                     s, e, _, _ = anchors(w.hashes(), w.docs, window)
-                    pick = _picked(s, w.docs, shared, lo)
+                    gone_too = np.zeros(len(s), bool)
+                    for column, value in ((shared, True), (first, False), (mixed, True)):
+                        gone_too[_picked(s, w.docs, column, lo)] = value
                     mark = np.zeros(len(w) + 1, bool)
-                    for a, b in zip(s[pick].tolist(), e[pick].tolist(), strict=True):
+                    for a, b in zip(s[gone_too].tolist(), e[gone_too].tolist(), strict=True):
                         mark[a:b] = True
                     f = firsts.slice(lo, hi - lo)
                     k = np.asarray(f.value_lengths().fill_null(0)).astype(np.int64)
@@ -191,19 +200,25 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     copies = scratch.save(key.join(first, "key").where("doc_id > first").select("doc_id").distinct(), "copies")
     origin = d.where("doc_id is not null").join(copies, "doc_id", "left_anti")
 
-    rows = origin.mapInArrow(_anchor_rows(window), "symbol bigint, doc_id bigint, start int")
-    rows = scratch.save(rows, "anchors", BATCH)
-    twice = rows.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol")
-    shared = rows.join(twice, "symbol").groupBy("doc_id").agg(F.collect_set("start").alias("shared"))
-    shared = scratch.save(shared, "shared")
+    rows = origin.mapInArrow(_anchor_rows(window), "symbol bigint, content bigint, doc_id bigint, start int, again tinyint")
+    rows = scratch.save(rows, "stretches", BATCH)
+    twice = rows.groupBy("symbol").agg(F.sum(F.lit(1) + F.col("again")).alias("n")).where("n > 1").select("symbol")
+    shared = scratch.save(rows.join(twice, "symbol"), "shared")
     scratch.drop(rows)
-
-    windows = origin.join(shared, "doc_id").select("doc_id", "text", "shared").mapInArrow(_window_rows(window), "window bigint, check int, doc_id bigint, start int")
+    # of equal stretches all but the first go whole; first ones are compared by windows where a symbol stands in unlike ones
+    unlike = shared.groupBy("symbol").agg(((F.min("content") < F.max("content")) | (F.max("again") > 0)).alias("mixed"))
+    first = shared.groupBy("symbol", "content").agg(F.min(F.struct("doc_id", "start")).alias("x")).join(unlike, "symbol")
+    first = first.groupBy("x.doc_id").agg(F.collect_list("x.start").alias("first"), F.collect_list(F.when(F.col("mixed"), F.col("x.start"))).alias("mixed"))
+    stretches = shared.groupBy("doc_id").agg(F.collect_list("start").alias("shared"))
+    stretches = scratch.save(stretches.join(first, "doc_id", "left"), "by-document")
+    scratch.drop(shared)
+
+    some = stretches.where(F.size("mixed") > 0).select("doc_id", "mixed")
+    windows = origin.join(some, "doc_id").select("doc_id", "text", "mixed").mapInArrow(_window_rows(window), "window bigint, check int, doc_id bigint, start int")
     firsts = windows.groupBy("window", "check").agg(F.min(F.struct("doc_id", "start")).alias("x"))
-    firsts = firsts.groupBy("x.doc_id").agg(F.collect_list("x.start").alias("firsts"))
-    firsts = scratch.save(firsts, "firsts", BATCH)
-    marks = shared.join(firsts, "doc_id", "left").withColumn("copy", F.lit(False))
-    none = F.lit(None).cast("array<int>")
-    marks = marks.unionByName(copies.select("doc_id", none.alias("shared"), none.alias("firsts"), F.lit(True).alias("copy")))
-    out = d.join(marks, "doc_id", "left").select("doc_id", "text", "shared", "firsts", "copy")
+    firsts = scratch.save(firsts.groupBy("x.doc_id").agg(F.collect_list("x.start").alias("firsts")), "firsts", BATCH)
+    none = [F.lit(None).cast("array<int>").alias(c) for c in ("shared", "first", "mixed", "firsts")]
+    marks = stretches.join(firsts, "doc_id", "left").withColumn("copy", F.lit(False))
+    marks = marks.unionByName(copies.select("doc_id", *none, F.lit(True).alias("copy")))
+    out = d.join(marks, "doc_id", "left").select("doc_id", "text", "shared", "first", "mixed", "firsts", "copy")
     return out.mapInArrow(_removed(window, texts), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
