@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Bytes of a written table up to which it is broadcast; a larger one is joined by a shuffle.
+SMALL_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +67,12 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def small(self, df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+        """The written table, marked for a broadcast if its files are within the limit."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        size = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        return F.broadcast(df) if size <= limit else df
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for df in frames:

@@ -137,7 +137,7 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, least_edit: int, scratch:
     chosen = distinct.where(F.col("n") >= least_edit).join(names, "name", "left_semi")
     chosen = scratch.save(chosen.groupBy("doc_id").agg(F.collect_list("line").alias("want")), "chosen")
     scratch.drop(keys)
-    texts = docs.join(chosen, "doc_id").select("doc_id", "text", "want").mapInArrow(_picker, "doc_id bigint, line int, text string")
+    texts = docs.join(scratch.small(chosen), "doc_id").select("doc_id", "text", "want").mapInArrow(_picker, "doc_id bigint, line int, text string")
     texts = scratch.save(texts, "texts", BATCH)
     rows = scratch.save(texts.mapInArrow(_variants, "key bigint, kind tinyint, doc_id bigint, line int"), "variants", BATCH)
     me = F.struct("doc_id", "line")
@@ -196,8 +196,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     first = distinct.where("copies > 1").select("name", "check", F.struct("doc_id", "line").alias("first"))
     again = rows.join(first, ["name", "check"]).where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
     gone = again.unionByName(_near_lines(d, distinct, min_edit_words, scratch))
-    gone = scratch.save(gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone")), "gone").withColumnRenamed("doc_id", "_gone_id")
+    gone = scratch.save(gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone")), "gone")
     scratch.drop(rows, distinct)
-    out = docs.withColumn(text, F.col(text).cast("string")).join(gone, docs[doc_id].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    out = docs.withColumn(text, F.col(text).cast("string")).join(scratch.small(gone), docs[doc_id].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "_gone")
     return out.mapInArrow(_cutter(out.columns.index(text), out.columns.index("_gone")), f"{kinds}, n_lines bigint, n_removed bigint, kept_sha256 string")
