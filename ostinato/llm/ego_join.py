@@ -175,8 +175,8 @@ def interval_pairs(blocks: DataFrame, levels: int, reach: float, fan: int = FAN)
             pairs = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
         else:
             parts = F.sequence(F.lit(0), F.lit(fan - 1)).cast("array<long>")
-            pairs = pairs.select((F.col("a") * fan + F.explode(parts)).alias("a"), "b").join(side("a"), "a")
-            pairs = pairs.select("a", "lo_a", "hi_a", (F.col("b") * fan + F.explode(parts)).alias("b")).where("a <= b").join(side("b"), "b")
+            pairs = pairs.select(F.explode(F.transform(parts, lambda i: F.col("a") * fan + i)).alias("a"), "b").join(side("a"), "a")
+            pairs = pairs.select("a", "lo_a", "hi_a", F.explode(F.transform(parts, lambda i: F.col("b") * fan + i)).alias("b")).where("a <= b").join(side("b"), "b")
             pairs = pairs.where(_near(reach)).select("a", "b")
     return pairs
 
