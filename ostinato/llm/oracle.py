@@ -1,7 +1,92 @@
-"""SQL of the operators that SQL can express."""
+"""DuckDB SQL of the operators that SQL can express, over the same tables."""
 
 from __future__ import annotations
 
+from . import chosen_path, decontaminate, ego_join, recompress, url_filter
+from .queries import RULES
+
+_UP, _LOW = url_filter.UPPER, url_filter.LOWER
+_SPACED = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def _lower(x: str) -> str:
+    return f"translate(coalesce({x}, ''), '{_UP}', '{_LOW}')"
+
+
+def _components(links: str) -> str:
+    """Common table comp (id, component_id) of the links (u, v) in both directions."""
+    return f"reach(u, v) AS (SELECT u, v FROM {links} UNION SELECT r.u, l.v FROM reach r JOIN {links} l ON r.v = l.u), comp AS (SELECT u AS id, least(u, min(v)) AS component_id FROM reach GROUP BY u)"
+
+
+def op2() -> str:
+    n = recompress.WINDOW
+    return f"""WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + {n}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(greatest(0, len(w) - {n - 1}))) AS p FROM dw)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM win),
+rm AS (SELECT doc_id, list(DISTINCT p + j) AS gone FROM (SELECT doc_id, p, unnest(range({n})) AS j FROM f WHERE r > 1) GROUP BY 1)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), ' ')) AS kept_sha256 FROM dw LEFT JOIN rm ON dw.doc_id = rm.doc_id"""
+
+
+def op4() -> str:
+    digit = lambda k: " || ".join(f"substr('{_BASE32}', CAST((v{k} >> {s}) & 31 AS INTEGER) + 1, 1)" for s in (15, 10, 5, 0))
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, h, {', '.join(f"CAST('0x' || substr(sha1(h), {5 * k + 1}, 5) AS BIGINT) AS v{k}" for k in range(8))} FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {' || '.join(digit(k) for k in range(8))} AS payload_digest,
+CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id > min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to FROM x WINDOW w AS (PARTITION BY h)"""
+
+
+def op5() -> str:
+    order = sorted(RULES, key=lambda r: (-len(r), r))
+    fit = lambda r: "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '/{1}')".format(*r.split("/", 1))
+    rule = "CASE " + " ".join(f"WHEN {fit(r)} THEN '{r}'" for r in order) + " END"
+    listed = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES.items()) + " END"
+    two = "array_to_string(string_split(host, '.')[-2:], '.')"
+    long = ", ".join(f"'{s}'" for s in url_filter.SUFFIXES)
+    u = url_filter
+
+    def level(name: str, key: str, up: str, source: str) -> str:
+        """Counts, parent's mean, prior strength and posterior mean of a level."""
+        return f"""{name}0 AS ({source}),
+{name}s AS (SELECT coalesce(greatest({u.WEAKEST}, least({u.STRONGEST}, CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE {u.STRONGEST} END)), {u.STRONGEST}) AS s FROM (SELECT sum(pow(y - n * m, 2) - n * m * (1 - m)) / CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN sum(n * (n - 1) * m * (1 - m)) END AS rho FROM {name}0)),
+{name} AS (SELECT {key}, n, y, s * m + y AS a, s * (1 - m) + n - y AS b FROM {name}0, {name}s)"""
+
+    return f"""WITH h AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UP}', '{_LOW}') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, {rule} AS rule FROM h), l AS (SELECT *, {listed} AS listed FROM r),
+c AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (listed = 'block') AS DOUBLE) AS y, CASE WHEN {two} IN ({long}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE {two} END AS domain, CASE WHEN {two} IN ({long}) THEN {two} ELSE string_split(host, '.')[-1] END AS suffix FROM l GROUP BY host),
+t AS (SELECT (sum(y) + 0.5) / (sum(n) + 1) AS m FROM c),
+{level('su', 'suffix', 't', 'SELECT suffix, sum(n) AS n, sum(y) AS y, any_value(m) AS m FROM c, t GROUP BY suffix')},
+{level('dm', 'domain', 'su', 'SELECT c.domain, sum(c.n) AS n, sum(c.y) AS y, any_value(su.a / (su.a + su.b)) AS m FROM c JOIN su USING (suffix) GROUP BY c.domain')},
+{level('ho', 'host', 'dm', 'SELECT c.host, c.n, c.y, dm.a / (dm.a + dm.b) AS m FROM c JOIN dm USING (domain)')}
+SELECT page_id, l.host, path, rule, coalesce(listed, CASE WHEN a / (a + b) - {u.DEVIATIONS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {u.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM l JOIN ho ON l.host = ho.host"""
+
+
+def op6() -> str:
+    return f"""WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), ok AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+lk AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95), {_components('lk')}, n AS (SELECT u, count(*) AS n_links FROM lk GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM e LEFT JOIN comp ON id = vec_id LEFT JOIN n ON n.u = vec_id"""
+
+
+def op9() -> str:
+    n = decontaminate.WINDOW
+    return f"""WITH dw AS (SELECT doc_id, regexp_extract_all({_lower('text')}, '{_ALNUM}') AS w FROM documents), iw AS (SELECT item_id, regexp_extract_all({_lower('text')}, '{_ALNUM}') AS w FROM benchmark),
+wx AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1 : i + n], ' ') AS win FROM (SELECT item_id, w, least(len(w), {n}) AS n, unnest(range(len(w) - least(len(w), {n}) + 1)) AS i FROM iw WHERE len(w) > 0)),
+dx AS (SELECT doc_id, p, n, array_to_string(w[p + 1 : p + n], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(greatest(0, len(w) - n + 1))) AS p FROM dw, (SELECT DISTINCT n FROM wx))),
+hit AS (SELECT doc_id, p, dx.n, item_id FROM dx JOIN wx ON dx.win = wx.win AND dx.n = wx.n),
+a AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, p + unnest(range(n)) AS q FROM hit) GROUP BY 1),
+b AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM hit GROUP BY 1)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN a ON a.doc_id = dw.doc_id LEFT JOIN b ON b.doc_id = dw.doc_id"""
+
+
+def op10() -> str:
+    k, j = chosen_path.SHINGLE, chosen_path.SIMILARITY
+    return f"""WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_lower('text')}, '{_SPACED}') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {k}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - {k - 1}))) AS i FROM dw WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS x FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+lk AS (SELECT u, v FROM c JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE 100 * x >= {j} * (p.n + q.n - x)), {_components('lk')}
+SELECT dw.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, dw.doc_id) AS component_id, coalesce(component_id, dw.doc_id) = dw.doc_id AS kept FROM dw LEFT JOIN n ON n.doc_id = dw.doc_id LEFT JOIN comp ON id = dw.doc_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": op2(), "op4_warc": op4(), "op5_url_filter": op5(), "op6_embedding_dedup": op6(), "op9_decontamination": op9(), "op10_minhash_dedup": op10()}
