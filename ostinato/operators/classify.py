@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,8 +138,7 @@ def two_stage(df: DataFrame, config: Config | None = None, partitions: int | Non
     ended = first.where((F.col("stage1_class") != "has_12h") | F.col("error").isNotNull())
     ended = ended.select(*keep, *[v.alias(k) for k, v in none.items()], F.when(F.col("error").isNotNull(), "error").otherwise(F.col("stage1_class")).alias("classification"), "error")
     rest = first.where((F.col("stage1_class") == "has_12h") & F.col("error").isNull())
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.repartition(n, F.xxhash64("series_id", F.lit("spread")))
+    rest = per_series.spread(rest, partitions)
     m = evidence.models(rest, c.base, c.k)
     m = per_series.apply(m, _stage2_modes(c.base), f"vh {evidence.VMD_HILBERT}, bic_value double")
     m = m.withColumn("amp_ratio", evidence.amplitude_ratio()).withColumn("rel_dev", evidence.period_deviation(c.base)).withColumn("r2_m0", evidence.harmonic_r2())
@@ -218,7 +218,7 @@ def analytic(df: DataFrame, base: float = 24.0, version: int = 2, n_bootstrap: i
         out["vmd"] = K.vmd_summary(t, y, base)
         return out
 
-    m = evidence.models(df, base)
+    m = evidence.models(per_series.spread(df), base)
     m = per_series.apply(m, tests, "p_24 double, p_12 double, p_12_raw double, vmd struct<period_base:double,period_half:double,energy_ratio:double,deviation:double,lock:double>")
     m = m.withColumn("log_bf", evidence.log_bayes_factor())
     if use_savage_dickey:
@@ -235,7 +235,7 @@ def analytic(df: DataFrame, base: float = 24.0, version: int = 2, n_bootstrap: i
 
 def batch(df: DataFrame, base: float = 24.0, **kw) -> DataFrame:
     """The result table of the one-stage analysis, with adjusted p-values over all series."""
-    a = analytic(df, base, **kw)
+    a = analytic(df, base, **kw).persist(StorageLevel.MEMORY_AND_DISK)  # the adjustment reads it again and again
     a = detect.bh_fdr(a.withColumnRenamed("p_12", "f_test_12h_pvalue"), "f_test_12h_pvalue", "f_test_12h_fdr")
     return a.select("series_id", "log_bf", "bayes_factor", "interpretation", "classification", "t_12_fitted", "t_12_deviation", *[F.col(f"amp_{p}").alias(f"A_{p}") for p in (24, 12, 8)], *[f"phi_{p}" for p in (24, 12, 8)], "f_test_12h_pvalue", (F.col("f_test_12h_pvalue") < 0.05).alias("f_test_12h_significant"), "f_test_12h_fdr", "p_24", "p_lrt", "error")
 

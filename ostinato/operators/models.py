@@ -66,11 +66,15 @@ class Discriminant:
 
     def posterior(self, cols: list[Column]) -> Column:
         """An array of the classes' probabilities, as an expression: quadratic forms and a stable softmax."""
-        scores = []
-        for m, a, d, p in zip(self.mean, self.inverse, self.logdet, self.logprior, strict=True):
+        add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+        dot = lambda u, v: add(F.zip_with(u, v, lambda x, y: x * y))
+
+        def score(m: np.ndarray, a: np.ndarray, d: float, p: float) -> Column:
             x = F.array(*[c - float(v) for c, v in zip(cols, m, strict=True)])
-            quad = F.aggregate(F.zip_with(x, F.transform(F.lit([[float(v) for v in row] for row in a]), lambda row, x=x: F.aggregate(F.zip_with(row, x, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-            scores.append(float(p) - 0.5 * float(d) - 0.5 * quad)
+            rows = F.transform(F.lit([[float(v) for v in row] for row in a]), lambda row: dot(row, x))
+            return float(p) - 0.5 * float(d) - 0.5 * dot(x, rows)
+
+        scores = [score(*parts) for parts in zip(self.mean, self.inverse, self.logdet, self.logprior, strict=True)]
         s = F.array(*scores)
         e = F.transform(s, lambda v: F.exp(v - F.array_max(s)))
         return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, x: a + x))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -17,6 +18,13 @@ def seed_of(series_id: str) -> int:
     return zlib.crc32(str(series_id).encode()) & 0x7FFFFFFF
 
 
+def spread(arrays: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Series dealt evenly over tasks by a hash of their id: before kernels whose cost outweighs a shuffle."""
+    spark = arrays.sparkSession
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return arrays.repartition(n, F.xxhash64("series_id", F.lit("spread")))
+
+
 def apply(arrays: DataFrame, fn: Callable[[np.ndarray, np.ndarray, int], dict], schema: str, least: int = 6) -> DataFrame:
     """The rows of an array-form table with the fields that fn(t, y, seed) returns, and ``error``.
 

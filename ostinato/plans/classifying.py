@@ -21,7 +21,7 @@ def query(f):
 
 @query
 def two_stage_classifier(spark, d):
-    return classify.two_stage(I.vectors(spark, d))
+    return classify.two_stage(I.spread(spark, d))
 
 
 @query
@@ -73,12 +73,12 @@ def calibrated_logistic(spark, d):
 
 @query
 def damped_decomposition(spark, d):
-    return decompose.decompose(I.vectors(spark, d)).drop("t", "y")
+    return decompose.decompose(I.spread(spark, d)).drop("t", "y")
 
 
 @query
 def damping_of_oscillators(spark, d):
-    o = decompose.long_oscillators(decompose.decompose(I.vectors(spark, d)))
+    o = decompose.long_oscillators(decompose.decompose(I.spread(spark, d)))
     return population.damping_summary(o, ["oscillator"])
 
 
@@ -142,4 +142,4 @@ def sensitivity_sweep(spark, d):
 
 @query
 def run_both(spark, d):
-    return api.run(I.vectors(spark, d), "both").select("series_id", "classification", "confidence", "agreement", "review_flag")
+    return api.run(I.spread(spark, d), "both").select("series_id", "classification", "confidence", "agreement", "review_flag")

@@ -253,22 +253,22 @@ def windowed_cosinor(spark, d):
 
 @query()
 def jtk_tau(spark, d):
-    return detect.jtk(I.vectors(spark, d)).select("series_id", "p_jtk", "tau", "jtk_period", "jtk_phase", "error")
+    return detect.jtk(I.spread(spark, d)).select("series_id", "p_jtk", "tau", "jtk_period", "jtk_phase", "error")
 
 
 @query()
 def rain_umbrella(spark, d):
-    return detect.rain(I.vectors(spark, d)).select("series_id", "p_rain", "peak_fraction", "rain_shape", "error")
+    return detect.rain(I.spread(spark, d)).select("series_id", "p_rain", "peak_fraction", "rain_shape", "error")
 
 
 @query()
 def nonparametric_combination(spark, d):
-    return detect.nonparametric(I.vectors(spark, d)).select("series_id", "p_combined", "detection_method")
+    return detect.nonparametric(I.spread(spark, d)).select("series_id", "p_combined", "detection_method")
 
 
 @query()
 def permutation_f_test(spark, d):
-    return detect.permutation_f(I.vectors(spark, d), [24.0, 12.0, 8.0]).select("series_id", "p_permutation")
+    return detect.permutation_f(I.spread(spark, d), [24.0, 12.0, 8.0]).select("series_id", "p_permutation")
 
 
 @query()
@@ -278,22 +278,22 @@ def gate_b(spark, d):
 
 @query()
 def stage1_detection(spark, d):
-    return detect.stage1(I.vectors(spark, d)).drop("t", "y")
+    return detect.stage1(I.spread(spark, d)).drop("t", "y")
 
 
 @query()
 def lomb_scargle(spark, d):
-    return detect.lomb_scargle(I.vectors(spark, d), [24.0, 12.0, 8.0]).drop("t", "y")
+    return detect.lomb_scargle(I.spread(spark, d), [24.0, 12.0, 8.0]).drop("t", "y")
 
 
 @query()
 def jtk_cycle(spark, d):
-    return detect.jtk_cycle(I.vectors(spark, d)).drop("t", "y")
+    return detect.jtk_cycle(I.spread(spark, d)).drop("t", "y")
 
 
 @query()
 def rain_detector(spark, d):
-    return detect.rain_detector(I.vectors(spark, d)).drop("t", "y")
+    return detect.rain_detector(I.spread(spark, d)).drop("t", "y")
 
 
 @query()
@@ -303,18 +303,18 @@ def matrix_pencil(spark, d):
 
 @query()
 def all_classical_methods(spark, d):
-    return detect.all_methods(I.vectors(spark, d), I.GRID)
+    return detect.all_methods(I.spread(spark, d), I.GRID)
 
 
 @query()
 def free_periods(spark, d):
-    m = evidence.models(I.vectors(spark, d))
+    m = evidence.models(I.spread(spark, d))
     return m.select("series_id", "t_free", "rss_free", evidence.fitted_half_period().alias("t_12_fitted"), evidence.period_deviation().alias("deviation"), evidence.log_bayes_factor().alias("log_bf"), evidence.residual_improvement().alias("residual_improvement"), evidence.phase_coupling().alias("phase_coupling"), evidence.waveform_asymmetry().alias("waveform_asymmetry"), evidence.harmonic_coherence().alias("harmonic_coherence"), "r2_tied4")
 
 
 @query()
 def vmd_evidence(spark, d):
-    return evidence.vmd(I.vectors(spark, d)).select("series_id", "vmd", "vmd_score")
+    return evidence.vmd(I.spread(spark, d)).select("series_id", "vmd", "vmd_score")
 
 
 @query()
@@ -324,7 +324,7 @@ def hilbert_frequency(spark, d):
 
 @query()
 def vmd_hilbert_coupling(spark, d):
-    return evidence.vmd_hilbert(I.vectors(spark, d)).select("series_id", "vh", "vh_score")
+    return evidence.vmd_hilbert(I.spread(spark, d)).select("series_id", "vh", "vh_score")
 
 
 @query()
@@ -334,7 +334,7 @@ def bispectral_coupling(spark, d):
 
 @query()
 def bootstrap_lrt(spark, d):
-    return evidence.bootstrap_lrt(I.vectors(spark, d), n=199).select("series_id", "lrt", "p_lrt", "lrt_label")
+    return evidence.bootstrap_lrt(I.spread(spark, d), n=199).select("series_id", "lrt", "p_lrt", "lrt_label")
 
 
 @query()
@@ -344,7 +344,7 @@ def divergence_test(spark, d):
 
 @query()
 def savage_dickey(spark, d):
-    return evidence.savage_dickey(I.vectors(spark, d)).select("series_id", "sd_log_bf", "sd_mean", "sd_sd", "sd_score")
+    return evidence.savage_dickey(I.spread(spark, d)).select("series_id", "sd_log_bf", "sd_mean", "sd_sd", "sd_score")
 
 
 @query()
@@ -354,9 +354,9 @@ def amplitude_ratio_test(spark, d):
 
 @query()
 def waic_comparison(spark, d):
-    return evidence.model_comparison(I.vectors(spark, d)).select("series_id", "delta_waic", "waic_se", "waic_label")
+    return evidence.model_comparison(I.spread(spark, d)).select("series_id", "delta_waic", "waic_se", "waic_label")
 
 
 @query()
 def goodwin_loops(spark, d):
-    return evidence.goodwin(I.vectors(spark, d)).select("series_id", "gw_coupling", "gw_r2", "gw_score")
+    return evidence.goodwin(I.spread(spark, d)).select("series_id", "gw_coupling", "gw_r2", "gw_score")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import series
+from ..operators import per_series, series
 
 POINTS = 48
 GRID = np.arange(POINTS, dtype=float)
@@ -22,6 +22,11 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return series.from_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", POINTS)
 
 
+def spread(spark: SparkSession, d: str) -> DataFrame:
+    """The same, dealt over tasks for costly kernels."""
+    return per_series.spread(vectors(spark, d))
+
+
 def vectors_with_label(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("series_id"), "label")
     return vectors(spark, d).join(e, "series_id")
