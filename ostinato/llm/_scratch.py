@@ -52,6 +52,17 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = itertools.count()
+        self.parts: int | None = None
+
+    def size(self, df: DataFrame) -> int:
+        """Bytes of a written table's files."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+    def scale(self, df: DataFrame, part: int = 8 << 20) -> None:
+        """From now on tables are written in as many parts as this table has of ``part`` bytes (at least one for each core):
+        steps on far smaller tables don't pay for a full shuffle's number of tasks. No fewer parts than that, no more than a shuffle's."""
+        self.parts = max(self.spark.sparkContext.defaultParallelism, -(-self.size(df) // part))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{next(self.n):03d}-{name}"
@@ -61,17 +72,16 @@ class Scratch:
         conf = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
         if rows_per_batch:
             conf["spark__sql__execution__arrow__maxRecordsPerBatch"] = str(rows_per_batch)
+        few = self.parts is not None and self.parts < int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         with settings(self.spark, **conf):
-            df.write.parquet(path)
+            (df.coalesce(self.parts) if few else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
     def small(self, df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
         """The written table, marked for a broadcast if its files are within the limit."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        size = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-        return F.broadcast(df) if size <= limit else df
+        return F.broadcast(df) if self.size(df) <= limit else df
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads."""
