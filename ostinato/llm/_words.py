@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 _U = np.uint64
 _ODD_BYTE, _ODD_WORD = _U(0x9E3779B97F4A7C15 | 1), _U(0xD6E8FEB86659FD93 | 1)
 

@@ -33,7 +33,7 @@ BINS, DEVIATIONS = 512, 4.5
 #: Members outside a large node's main component up to which they are compared with that component instead of branching, and
 #: sketches compared for a component at most.
 OUTSIDE, WORK = 1024, 1 << 30
-BATCH = 2000
+BATCH = 500
 
 _MUL = W.seeds(TOKENS, 1)
 _TREES = W.mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(0xABCDEF))
@@ -248,7 +248,7 @@ class _Join:
             stars = members.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
             if tested is not None:
                 stars = stars.join(tested, ["a", "b"], "left_anti")
-            stars = sc.save(self.similar(stars, reps), "stars", 8 * BATCH)
+            stars = sc.save(self.similar(stars, reps), "stars", 2 * BATCH)
             found = self.confirm(stars)
             links = found if links is None else links.unionByName(found)
             tested = stars if tested is None else tested.unionByName(stars)

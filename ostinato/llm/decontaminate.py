@@ -254,21 +254,13 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     return m.select(doc_id, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(as_text, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def _cut(text_at: int, spans_at: int, keep: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column(text_at), batch.column(spans_at)
-            out = texts.to_pylist()
-            for d in np.flatnonzero(np.asarray(spans.value_lengths().fill_null(0))).tolist():
-                raw, parts, at = out[d].encode(), [], 0
-                for s in spans[d].as_py():
-                    parts.append(raw[at : s["byte_start"]])
-                    at = s["byte_end"]
-                out[d] = b"".join([*parts, raw[at:]]).decode()
-            cols = [pa.array(out, texts.type) if i == text_at else batch.column(i) for i in keep]
-            yield pa.RecordBatch.from_arrays(cols, [batch.schema.names[i] for i in keep])
-
-    return run
+def _cut(text: str):
+    """The text without its spans, as an expression over its UTF-8 bytes."""
+    raw = F.encode(F.col(text), "UTF-8")
+    start = F.struct(F.lit(0).alias("at"), F.lit(bytearray()).alias("kept"))
+    step = lambda a, s: F.struct(s["byte_end"].alias("at"), F.concat(a["kept"], F.substring(raw, a["at"] + 1, s["byte_start"] - a["at"])).alias("kept"))
+    rest = lambda a: F.decode(F.concat(a["kept"], F.substring(raw, a["at"] + 1, F.length(raw) - a["at"])), "UTF-8")
+    return F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col(text))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", max_words: int = 0, max_coverage: float = 0.5, **kw) -> DataFrame:
@@ -281,6 +273,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", max_wor
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["word_end"] - s["word_start"])
     m = m.where((F.col("n_words") == 0) | (n_hit <= F.lit(max_coverage) * F.col("n_words")))
     m = m.withColumn("spans", F.filter("spans", lambda s: s["word_end"] - s["word_start"] > max_words))
-    keep = [m.columns.index(c) for c in docs.columns if c in m.columns]
-    schema = ", ".join(f"`{m.schema[i].name}` {m.schema[i].dataType.simpleString()}" for i in keep)
-    return m.mapInArrow(_cut(m.columns.index(text), m.columns.index("spans"), keep), schema)
+    return m.withColumn(text, _cut(text)).select(*[c for c in docs.columns if c in m.columns])

@@ -25,7 +25,7 @@ from ._scratch import Scratch
 
 #: Words of the shortest line that can be a duplicate, and of the shortest to which the edit bound of one word applies.
 MIN_WORDS, MIN_EDIT_WORDS = 2, 8
-BATCH = 2000
+BATCH = 500
 
 
 def split(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

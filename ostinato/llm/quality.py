@@ -174,12 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     return train(bags, np.asarray(rows["label"].combine_chunks())[order].astype(float))
 
 
-def _scorer(model):
+def _scorer(model, at: int, keep: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            out = [m.score(*passages(data, offs)) for _, _, data, offs in W.chunks(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names[1:], "score"])
+            for lo, hi, data, offs in W.chunks(batch.column(at)):
+                rest = [batch.column(i).slice(lo, hi - lo) for i in keep]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(m.score(*passages(data, offs)))], [*(batch.schema.names[i] for i in keep), "score"])
 
     return run
 
@@ -191,8 +192,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
     get equal scores, and an empty table gives an empty one; a column named score is replaced.
     """
     docs = docs.select(*[c for c in docs.columns if c != "score"])
-    rest = [c for c in docs.columns if keep_text or c != text]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    d = docs.select(F.col(text).cast("string").alias("_scored"), *[F.col(c) for c in rest])
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in rest) + "score double"
-    return d.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    docs = docs.withColumn(text, F.col(text).cast("string"))
+    keep = [i for i, c in enumerate(docs.columns) if keep_text or c != text]
+    schema = "".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}, " for i in keep) + "score double"
+    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text), keep), schema)

@@ -29,7 +29,7 @@ from ._scratch import Scratch
 WINDOW, ROUNDS = 20, 2
 #: Words, left of a symbol's start and right from it, that determine it after two rounds.
 LEFT, RIGHT = 3, 5
-BATCH = 2000
+BATCH = 500
 _MAX = np.uint64(2**64 - 1)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from . import _words as W
 
 SPACE = "▁".encode()
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 class CharacterMap:

@@ -163,6 +163,12 @@ def test_decontamination(spark, docs, texts):
     assert any(r.contaminated for r in got.values())
     clean = decontaminate.decontaminate(docs, table, max_coverage=1.0)
     assert clean.columns == docs.columns
+    spans = {r.doc_id: r.spans for r in decontaminate.match(docs, table).collect()}
+    for r in clean.collect():
+        raw = (dict(texts)[r.doc_id] or "").encode()
+        for x in reversed(spans[r.doc_id]):
+            raw = raw[: x.byte_start] + raw[x.byte_end :]
+        assert (r.text or "") == raw.decode()
     assert decontaminate.report(docs, table.limit(0)).where("contaminated").count() == 0
 
 
