@@ -9,18 +9,21 @@ from ostinato.llm import chosen_path, decontaminate, lines, quality, spm
 from ostinato.llm._scratch import Scratch
 from ostinato.llm.queries import ACCEPT, PIECES, table, tokenizer_path
 
+#: Rows of an Arrow batch: texts pass through Python in most stages, so a batch is some megabytes.
+ROWS_PER_BATCH = 250
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _columns(docs: DataFrame) -> DataFrame:
     """The columns of documents, with the number of characters of the text as it is now."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled documents of the input, accepts."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _columns(quality.score(docs, model, keep_text=True).where(F.col("score") >= ACCEPT).withColumnRenamed("_scored", "text"))
+    return _columns(quality.score(docs, model, keep_text=True).where(F.col("score") >= ACCEPT))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +44,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the text, and the digest of their decoding."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     out = spm.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(PIECES))
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
