@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,15 +14,21 @@ from ..functions import stats as S
 from . import fits, per_series
 
 
+def component_fs(df: DataFrame, t: np.ndarray, periods: list[float], names: dict[int, str]) -> DataFrame:
+    """Adds the p-values of the partial F tests of some periods, by their places, with one fit of all periods."""
+    df = fits.with_fit(df, t, periods, "_full")
+    for i, name in names.items():
+        if not 0 <= i < len(periods):
+            raise ValueError(f"no period {i} among {len(periods)}")
+        rest = [p for j, p in enumerate(periods) if j != i]
+        df = fits.with_fit(df, t, rest, "_rest") if rest else df.withColumn("_rest", F.struct(_tss("y").alias("rss")))
+        df = df.withColumn(name, S.f_sf_2(F.col("_rest.rss"), F.col("_full.rss"), F.lit(float(len(t) - 2 * len(periods) - 1)))).drop("_rest")
+    return df.drop("_full")
+
+
 def component_f(df: DataFrame, t: np.ndarray, periods: list[float], index: int, name: str) -> DataFrame:
     """Adds the p-value of the partial F test of one period among several, on a shared grid."""
-    if not 0 <= index < len(periods):
-        raise ValueError(f"no period {index} among {len(periods)}")
-    df = fits.with_fit(df, t, periods, "_full")
-    rest = [p for i, p in enumerate(periods) if i != index]
-    df = fits.with_fit(df, t, rest, "_rest") if rest else df.withColumn("_rest", F.struct(_tss("y").alias("rss")))
-    p = S.f_sf_2(F.col("_rest.rss"), F.col("_full.rss"), F.lit(float(len(t) - 2 * len(periods) - 1)))
-    return df.withColumn(name, p).drop("_full", "_rest")
+    return component_fs(df, t, periods, {index: name})
 
 
 def _tss(y: str) -> Column:
@@ -204,8 +211,7 @@ def cosinor(df: DataFrame, t: np.ndarray, period: float = 12.0, name: str = "cos
 def harmonic_regression(df: DataFrame, t: np.ndarray, periods: list[float]) -> DataFrame:
     """Adds hr_p (overall F test), hr_best (period of the largest amplitude), hr_components: period, amplitude, phase, p of each."""
     n, k = len(t), len(periods)
-    for i, p in enumerate(periods):
-        df = component_f(df, t, periods, i, f"_p{i}")
+    df = component_fs(df, t, periods, {i: f"_p{i}" for i in range(k)})
     df = fits.with_fit(df, t, periods, "_f").withColumn("_tss", _tss("y"))
     comps = F.array(*[F.struct(F.lit(float(p)).alias("period"), F.col("_f.components")[i]["amplitude"].alias("amplitude"), F.col("_f.components")[i]["phase"].alias("phase"), F.col(f"_p{i}").alias("p")) for i, p in enumerate(periods)])
     df2 = F.lit(float(n - 2 * k - 1))
@@ -277,13 +283,12 @@ def detect(df: DataFrame, t: np.ndarray, periods: list[float], alpha: float = 0.
     names = [f"{p:.0f}" for p in periods]
     if len(set(names)) < len(names):
         raise ValueError(f"periods {periods} have the names {names}")
-    for i, n in enumerate(names):
-        df = component_f(df, t, periods, i, f"p_{n}")
+    df = component_fs(df, t, periods, {i: f"p_{n}" for i, n in enumerate(names)})
     df = fits.with_fit(df, t, periods, "_f").withColumn("mesor", F.col("_f.mesor"))
     for i, n in enumerate(names):
         c = F.col("_f.components")[i]
         df = df.withColumn(f"A_{n}", c["amplitude"]).withColumn(f"phi_{n}", c["phase"])
-    base = out = df.drop("_f", "t", "y")
+    base = out = df.drop("_f", "t", "y").persist(StorageLevel.MEMORY_AND_DISK)  # a few numbers a series, read for each period
     for n in names:  # all from one base, so that the plan grows by a term for each period
         adjusted = _adjusted(base.select(f"p_{n}"), f"p_{n}", f"fdr_{n}", []).withColumnRenamed("_p", f"p_{n}")
         out = out.join(adjusted, f"p_{n}", "left").withColumn(f"sig_{n}", F.col(f"fdr_{n}") < alpha)
