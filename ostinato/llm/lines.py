@@ -8,6 +8,11 @@ are verified by their edit distance.
 
 Before that, a filter keeps the lines that can have a partner: one edit leaves the first or the last half of a line
 as it was, so a line whose halves (two keys, or four) occur in no other line emits no variants.
+
+With ``edit_every`` = E the bound grows: lines may differ in one edit, and in one for each E units of the longer. k edits
+leave a stretch of (n - k) / (k + 1) units or more as it was, so from 2 E units on two near lines share a stretch of
+(2 E - 2) / 3 units, and winnowing picks the same gram of it in both, at places at most k apart. The first line of each
+gram is tried as a partner before the others are. Units are words, or characters in lines of few words.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -25,7 +30,12 @@ from ._scratch import Scratch
 
 #: Words of the shortest line that can be a duplicate, and of the shortest to which the edit bound of one word applies.
 MIN_WORDS, MIN_EDIT_WORDS = 2, 8
+#: Units of a line for each edit that the registered queries allow; characters of their shortest line of few words.
+EDIT_EVERY, MIN_CHARS = 20, 20
+#: Lines of a gram beyond which they are compared in tiles, and lines of a tile.
+MANY, TILE = 64, 512
 BATCH = 500
+_SALT = (np.uint64(0), np.uint64(0x27D4EB2F165667C5))
 
 
 def split(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +53,71 @@ def _lines(data: np.ndarray, offs: np.ndarray):
     return at, first, w, np.searchsorted(w.starts, at)
 
 
-def _line_rows(least: int, least_edit: int, keys: bool):
-    """Lines: name, check, doc_id, line; or for the half filter: key, name."""
+def _chars(w: W.Words, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the characters of lines, given by their words and the first word of each with the end of the last,
+    joined by one space; and the first character of each line with the end of the last."""
+    lens = w.ends[words] - w.starts[words]
+    place = np.concatenate([[0], np.cumsum(lens + 1)])
+    src = np.repeat(w.starts[words] - place[:-1], lens + 1) + np.arange(place[-1])
+    data = w.data[np.minimum(src, len(w.data) - 1)] if len(src) else np.zeros(0, np.uint8)
+    data[place[1:] - 1] = 32
+    keep = np.ones(len(data), bool)
+    keep[place[first[1:]] - 1] = False  # no space after the last word
+    data, at = data[keep], np.concatenate([[0], np.cumsum(keep)])[place[first]]
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
+    nth = np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))
+    code = np.add.reduceat(data.astype(np.uint64) << (8 * nth).astype(np.uint64), start)
+    return W.mix(code + np.uint64(0x1B873593)), np.searchsorted(start, at)
+
+
+def _units(w: W.Words, h: np.ndarray, lw: np.ndarray, least_edit: int, min_chars: int | None):
+    """(lines, units, first unit of each line, end of its units, whether they are characters) of lines with an edit bound."""
+    n = np.diff(lw)
+    k = np.flatnonzero(n >= least_edit)
+    yield k, h, lw[k], lw[k + 1], 0
+    if min_chars is not None:
+        k = np.flatnonzero((n > 0) & (n < least_edit))
+        words = np.repeat(lw[k] - np.concatenate([[0], np.cumsum(n[k])[:-1]]), n[k]) + np.arange(n[k].sum()) if len(k) else np.zeros(0, np.int64)
+        c, at = _chars(w, words, np.concatenate([[0], np.cumsum(n[k])]))
+        ok = np.diff(at) >= min_chars
+        yield k[ok], c, at[:-1][ok], at[1:][ok], 1
+
+
+def _winnow(h: np.ndarray, a: np.ndarray, b: np.ndarray, every: int, unit: int, places: bool) -> tuple[np.ndarray, ...]:
+    """(line, key) of grams, one at least of those in any stretch of (2 every - 2) / 3 units of a line h[a:b].
+
+    With places: (line, key, place, own); the stretches that start where own holds are so many and disjoint that one of
+    them is as it was in each line within the bound.
+    """
+    stretch = -(-(2 * every - 2) // 3)
+    gram = max(1, stretch - 3) if unit else (stretch + 1) // 2
+    wide = stretch - gram + 1
+    count = np.maximum(b - a - stretch + 1, 0)
+    if not count.sum():
+        none = np.zeros(0, np.int64)
+        return (none, none.view(np.uint64), none, none.astype(bool)) if places else (none, none.view(np.uint64))
+    line = np.repeat(np.arange(len(a)), count)
+    i = np.repeat(a - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    g = W.mix(W.grams(h, gram) ^ _SALT[unit] ^ np.uint64(0x7A3D70B1))
+    if places:
+        at, rel, n = i + np.lib.stride_tricks.sliding_window_view(g, wide).argmin(axis=1)[i], i - a[line], (b - a)[line]
+        most = n // (every - 1)
+        own = (rel % stretch == 0) & (rel // stretch <= most) | (n // stretch <= most)
+        return line, g[at], at - a[line], own
+    least, w = g, 1
+    while w < wide:
+        step = min(w, wide - w)
+        least, w = np.minimum(least[:-step], least[step:]), w + step
+    key = least[i]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    return line[new], key[new]
+
+
+def _line_rows(least: int, least_edit: int, keys: bool, every: int | None = None, min_chars: int | None = None):
+    """Lines: name, check, doc_id, line; or for the filter of halves and grams: key, name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,17 +126,26 @@ def _line_rows(least: int, least_edit: int, keys: bool):
                 _, first, w, lw = _lines(data, offs)
                 n = np.diff(lw)
                 h = w.hashes()
-                k = np.flatnonzero(n >= (least_edit if keys else least))
-                name = W.runs(h, lw[k], lw[k + 1])
                 if keys:
                     out_key, out_name = [], []
-                    a, b, m = lw[k], lw[k + 1], n[k]
-                    for q, some in (((m) // 2, m > 0), ((m + 1) // 2, m % 2 == 1)):
-                        for s, e, salt in ((a, a + q, 0x51ED270B), (b - q, b, 0x2C1B3C6D)):
-                            out_key.append(W.mix(W.runs(h, s, e) ^ np.uint64(salt))[some])
-                            out_name.append(name[some])
+                    for k, u, a, b, unit in _units(w, h, lw, least_edit, min_chars):
+                        name = W.runs(h, lw[k], lw[k + 1])
+                        m = b - a
+                        if every:
+                            long = m >= 2 * every - 2
+                            of, key = _winnow(u, a[long], b[long], every, unit, False)
+                            out_key.append(key)
+                            out_name.append(name[long][of])
+                            short = m < 2 * every
+                            a, b, m, name = a[short], b[short], m[short], name[short]
+                        for q, some in (((m) // 2, m > 0), ((m + 1) // 2, m % 2 == 1)):
+                            for s, e, salt in ((a, a + q, 0x51ED270B), (b - q, b, 0x2C1B3C6D)):
+                                out_key.append(W.mix(W.runs(u, s, e) ^ np.uint64(salt) ^ _SALT[unit])[some])
+                                out_name.append(name[some])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_key, out_name)], ["key", "name"])
                 else:
+                    k = np.flatnonzero(n >= least)
+                    name = W.runs(h, lw[k], lw[k + 1])
                     check = (W.runs(W.mix(h ^ np.uint64(0x5DEECE66D)), lw[k], lw[k + 1]) >> np.uint64(33)).astype(np.int32)
                     d = np.searchsorted(first, k, "right") - 1
                     yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check), pa.array(ids[lo + d]), pa.array((k - first[d]).astype(np.int32)), pa.array(n[k].astype(np.int32))], ["name", "check", "doc_id", "line", "n"])
@@ -87,32 +169,69 @@ def _picker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_line, pa.int32()), pa.array(out_text, pa.binary()).cast(pa.string())], ["doc_id", "line", "text"])
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of a line: its own as a whole (kind 0), and with each word left out, for deletions (1) and changes (2)."""
-    for batch in batches:
-        ids, nos = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        for lo, _, data, offs in W.chunks(batch.column(2)):
-            w = W.Words(data, offs, W.SPACED)
-            h = w.hashes()
-            n = np.diff(w.docs)
-            up, down = W._WORDS(len(h) + 2)
-            with np.errstate(over="ignore"):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)])
-                of = w.doc_of_word()
-                i = np.arange(len(h))
-                a, b = w.docs[of], w.docs[of + 1]
-                # the words before i stay, those after it move up by one place
-                rest = (total[i] - total[a]) * down[a] + (total[b] - total[i + 1]) * down[a] * down[1]
-                gone = W.mix(rest + (n[of] - 1).astype(np.uint64))
-                whole = W.runs(h, w.docs[:-1], w.docs[1:])
-                changed = W.mix(gone ^ W.mix((i - a + 1).astype(np.uint64)))
-            # equal neighbours give equal variants: once is enough for deletions
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-            key = np.concatenate([whole, gone[new], changed]).view(np.int64)
-            who = lo + np.concatenate([np.arange(len(n)), of[new], of])
-            kind = np.repeat(np.array([0, 1, 2], np.int8), [len(n), int(new.sum()), len(h)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(ids[who]), pa.array(nos[who])], ["key", "kind", "doc_id", "line"])
+def _spans(col: pa.Array, least_edit: int, min_chars: int | None):
+    """(lo, units) of texts that are one line each: the first row of a chunk, and its lines' units."""
+    for lo, _, data, offs in W.chunks(col):
+        w = W.Words(data, offs, W.SPACED)
+        yield lo, _units(w, w.hashes(), w.docs, least_edit, min_chars)
+
+
+def _variants(least_edit: int, every: int | None, min_chars: int | None):
+    """Keys of a line: its own as a whole (kind 0), and with each unit left out, for deletions (1) and changes (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, nos = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for lo, some in _spans(batch.column(2), least_edit, min_chars):
+                for k, u, a, b, unit in some:
+                    short = (b - a < 2 * every) if every else np.ones(len(k), bool)
+                    k, first, end = k[short], a[short], b[short]
+                    n = end - first
+                    of = np.repeat(np.arange(len(k)), n)
+                    docs = np.concatenate([[0], np.cumsum(n)])
+                    h = u[np.repeat(first - docs[:-1], n) + np.arange(docs[-1])]
+                    up, down = W._WORDS(len(h) + 2)
+                    with np.errstate(over="ignore"):
+                        total = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+                        i = np.arange(len(h))
+                        a, b = docs[of], docs[of + 1]
+                        # the units before i stay, those after it move up by one place
+                        rest = (total[i] - total[a]) * down[a] + (total[b] - total[i + 1]) * down[a] * down[1]
+                        gone = W.mix(rest + (n[of] - 1).astype(np.uint64))
+                        whole = W.runs(h, docs[:-1], docs[1:])
+                        changed = W.mix(gone ^ W.mix((i - a + 1).astype(np.uint64)))
+                    # equal neighbours give equal variants: once is enough for deletions
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+                    key = (np.concatenate([whole, gone[new], changed]) ^ _SALT[unit]).view(np.int64)
+                    who = lo + k[np.concatenate([np.arange(len(n)), of[new], of])]
+                    kind = np.repeat(np.array([0, 1, 2], np.int8), [len(n), int(new.sum()), len(h)])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(ids[who]), pa.array(nos[who])], ["key", "kind", "doc_id", "line"])
+
+    return run
+
+
+def _grams(least_edit: int, every: int, min_chars: int | None):
+    """Winnowed grams of the lines of 2 every - 2 units or more: key, its first and last place, the line's units, own, doc_id, line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, nos = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for lo, some in _spans(batch.column(2), least_edit, min_chars):
+                for k, u, a, b, unit in some:
+                    long = b - a >= 2 * every - 2
+                    k, a, b = k[long], a[long], b[long]
+                    of, key, place, own = _winnow(u, a, b, every, unit, True)
+                    by = np.lexsort((place, key, of))
+                    of, key, place, own = of[by], key[by], place[by], own[by]
+                    new = np.ones(len(of), bool)
+                    new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
+                    s = np.flatnonzero(new)
+                    e = np.append(s[1:], len(of))[: len(s)] - 1
+                    who = lo + k[of[s]]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(place[s].astype(np.int32)), pa.array(place[e].astype(np.int32)), pa.array((b - a)[of[s]].astype(np.int32)), pa.array(np.logical_or.reduceat(own, s) if len(s) else own), pa.array(ids[who]), pa.array(nos[who])], ["key", "lo", "hi", "n", "own", "doc_id", "line"])
+
+    return run
 
 
 def near(a: list[str], b: list[str]) -> bool:
@@ -123,23 +242,146 @@ def near(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = pa.array([near(a.split(" "), b.split(" ")) for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("doc_id", "line")], ["doc_id", "line"])
+def within(a, b, k: int) -> bool:
+    """Whether the edit distance of two sequences is at most k: the furthest place on each diagonal after each edit."""
+    n, m = len(a), len(b)
+    if abs(n - m) > k:
+        return False
+    reach: dict[int, int] = {}
+    for e in range(k + 1):
+        now = {}
+        for d in range(max(-e, n - m - (k - e), -m), min(e, n - m + (k - e), n) + 1):  # a's place less b's
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -2)) if e else 0
+            i = min(i, n, m + d)
+            if i < max(0, d):
+                continue
+            while i < n and i - d < m and a[i] == b[i - d]:
+                i += 1
+            now[d] = i
+        if now.get(n - m, -1) >= n:
+            return True
+        reach = now
+    return False
+
+
+def bound(n: int, every: int | None) -> int:
+    """Edits that two lines may differ in, the longer of n units."""
+    return max(1, n // every) if every else 1
+
+
+def _parts(text: str, least_edit: int) -> list[str] | str:
+    """Units of a line: words, or characters where there are few words."""
+    w = text.split(" ")
+    return w if len(w) >= least_edit else text
+
+
+def _verifier(least_edit: int, every: int | None):
+    def alike(a: str, b: str) -> bool:
+        if every is None:
+            return near(a.split(" "), b.split(" "))
+        x, y = _parts(a, least_edit), _parts(b, least_edit)
+        return type(x) is type(y) and within(x, y, bound(max(len(x), len(y)), every))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = pa.array([alike(a, b) for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("doc_id", "line")], ["doc_id", "line"])
+
+    return run
+
+
+def _tile(least_edit: int, every: int):
+    """(doc_id, line) of the lines asked for in a tile that have an earlier one in it within the bound.
+
+    Units that one line has and the other lacks need an edit each: that count over whole tiles is one product of matrices,
+    and only pairs that pass it are verified.
+    """
 
-def _near_lines(docs: DataFrame, distinct: DataFrame, least_edit: int, scratch: Scratch) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        where = list(zip(t["doc_id"].to_pylist(), t["line"].to_pylist(), strict=True))
+        x = [_parts(v, least_edit) for v in t["text"].to_pylist()]
+        n = np.array([len(v) for v in x])
+        asked, other = np.flatnonzero(np.asarray(t["asked"])), np.flatnonzero(np.asarray(t["other"]))
+        sets, codes = [], {}
+        for v in x:
+            seen: dict = {}
+            row = []
+            for u in v:
+                seen[u] = seen.get(u, 0) + 1
+                row.append(codes.setdefault((u, seen[u]), len(codes)))
+            sets.append(np.array(row, np.int64))
+        common = np.zeros((len(asked), len(other)), np.float32)
+        for lo in range(0, len(codes), 2048):
+            m = np.zeros((len(x), min(2048, len(codes) - lo)), np.float32)
+            for i, row in enumerate(sets):
+                m[i, row[(row >= lo) & (row < lo + 2048)] - lo] = 1
+            common += m[asked] @ m[other].T
+        out = []
+        for i, p in enumerate(asked):
+            longer = np.maximum(n[p], n[other])
+            for q in other[longer - common[i] <= np.maximum(1, longer // every)]:
+                if where[q] < where[p] and type(x[q]) is type(x[p]) and within(x[p], x[q], bound(max(n[p], n[q]), every)):
+                    out.append(where[p])
+                    break
+        return pa.table([pa.array([d for d, _ in out], pa.int64()), pa.array([i for _, i in out], pa.int32())], names=["doc_id", "line"])
+
+    return run
+
+
+def _verified(met: DataFrame, texts: DataFrame, least_edit: int, every: int | None, scratch: Scratch) -> DataFrame:
+    """(doc_id, line) of the pairs (doc_id, line, pd, pl) within the edit bound."""
+    pairs = met.join(texts.select("doc_id", "line", F.col("text").alias("ta")), ["doc_id", "line"])
+    pairs = pairs.join(texts.select(F.col("doc_id").alias("pd"), F.col("line").alias("pl"), F.col("text").alias("tb")), ["pd", "pl"])
+    return scratch.save(pairs.select("doc_id", "line", "ta", "tb").mapInArrow(_verifier(least_edit, every), "doc_id bigint, line int"), "near", BATCH)
+
+
+def _near_long(texts: DataFrame, least_edit: int, every: int, min_chars: int | None, scratch: Scratch) -> list[DataFrame]:
+    """(doc_id, line) of lines of which an earlier one is within the edit bound, the longer of 2 every units or more."""
+    kinds = "key bigint, lo int, hi int, n int, own boolean, doc_id bigint, line int"
+    rows = scratch.save(texts.mapInArrow(_grams(least_edit, every, min_chars), kinds), "grams", BATCH)
+    me, at = F.struct("doc_id", "line"), ["doc_id", "line"]
+    best = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "line", "n")).alias("p")).where("copies > 1").drop("copies")
+    edits = lambda a, b: F.floor(F.greatest(a, b) / every)
+    first = rows.join(best, "key").where(F.struct("p.doc_id", "p.line") < me)
+    first = scratch.save(first.select(*at, "n", F.col("p.doc_id").alias("pd"), F.col("p.line").alias("pl"), F.col("p.n").alias("pn")).distinct(), "firsts")
+    sure = _verified(first.where(F.abs(F.col("n") - F.col("pn")) <= edits("n", "pn")).select(*at, "pd", "pl"), texts, least_edit, every, scratch)
+    # the lines left meet all earlier ones of their own grams; those of many lines in tiles
+    left = scratch.save(first.select(*at).distinct().join(sure, at, "left_anti"), "left")
+    mine = scratch.save(rows.where("own").join(left, at, "left_semi"), "own")
+    many = rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > MANY).join(mine.select("key").distinct(), "key", "left_semi")
+    many = scratch.save(many, "many")
+    other = rows.select("key", *[F.col(c).alias(f"p{c[0]}" if c in at else f"p_{c}") for c in ("lo", "hi", "n", "doc_id", "line")])
+    both = mine.join(scratch.small(many), "key", "left_anti").join(other, "key").where(F.struct("pd", "pl") < me).where(F.abs(F.col("n") - F.col("p_n")) <= edits("n", "p_n"))
+    both = both.where((F.col("lo") <= F.col("p_hi") + edits("n", "p_n")) & (F.col("p_lo") <= F.col("hi") + edits("n", "p_n")))
+    both = both.select(*at, "pd", "pl").distinct().join(first.select(*at, "pd", "pl"), [*at, "pd", "pl"], "left_anti")
+    more = _verified(scratch.save(both, "pairs"), texts, least_edit, every, scratch)
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    part = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id", "line"), tiles).cast("int")
+    across = F.explode(F.sequence(F.lit(0), tiles - 1))
+    asks = mine.join(scratch.small(many), "key").withColumn("i", part(1)).select("key", *at, "i", across.alias("j"), F.lit(True).alias("asked"), F.lit(False).alias("other"))
+    others = rows.join(scratch.small(many), "key").withColumn("j", part(2)).select("key", *at, across.alias("i"), "j", F.lit(False).alias("asked"), F.lit(True).alias("other"))
+    dealt = asks.unionByName(others).groupBy("key", "i", "j", *at).agg(F.max("asked").alias("asked"), F.max("other").alias("other")).join(texts, at)
+    met = dealt.groupBy("key", "i", "j").applyInArrow(_tile(least_edit, every), "doc_id bigint, line int")
+    tiled = scratch.save(met.distinct(), "tiled")
+    scratch.drop(rows, first, left, mine, many)
+    return [sure, more, tiled]
+
+
+def _near_lines(docs: DataFrame, distinct: DataFrame, least_edit: int, every: int | None, min_chars: int | None, scratch: Scratch) -> DataFrame:
     """(doc_id, line) of first lines that have an earlier one within the edit bound, verified."""
-    keys = scratch.save(docs.mapInArrow(_line_rows(0, least_edit, True), "key bigint, name bigint"), "halves", BATCH)
-    shared = keys.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("key")
-    names = keys.join(shared, "key").select("name").distinct()
-    chosen = distinct.where(F.col("n") >= least_edit).join(names, "name", "left_semi")
+    keys = scratch.save(docs.mapInArrow(_line_rows(0, least_edit, True, every, min_chars), "key bigint, name bigint"), "halves", BATCH)
+    if every:  # many keys: one shuffle of them, and no join
+        of = Window.partitionBy("key")
+        names = keys.select("name", F.min("name").over(of).alias("lo"), F.max("name").over(of).alias("hi")).where("lo < hi").select("name").distinct()
+    else:
+        shared = keys.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("key")
+        names = keys.join(shared, "key").select("name").distinct()
+    chosen = distinct.where(F.col("n") >= (least_edit if min_chars is None else 1)).join(names, "name", "left_semi")
     chosen = scratch.save(chosen.groupBy("doc_id").agg(F.collect_list("line").alias("want")), "chosen")
     scratch.drop(keys)
     texts = docs.join(scratch.small(chosen), "doc_id").select("doc_id", "text", "want").mapInArrow(_picker, "doc_id bigint, line int, text string")
     texts = scratch.save(texts, "texts", BATCH)
-    rows = scratch.save(texts.mapInArrow(_variants, "key bigint, kind tinyint, doc_id bigint, line int"), "variants", BATCH)
+    rows = scratch.save(texts.mapInArrow(_variants(least_edit, every, min_chars), "key bigint, kind tinyint, doc_id bigint, line int"), "variants", BATCH)
     me = F.struct("doc_id", "line")
     least = lambda k: F.min(F.when(F.col("kind") == k, me))
     best = rows.groupBy("key").agg(F.count("*").alias("n"), least(0).alias("whole"), least(1).alias("gone"), least(2).alias("changed")).where("n > 1").drop("n")
@@ -148,9 +390,9 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, least_edit: int, scratch:
     met = met.where(F.col("partner") < me).groupBy("doc_id", "line").agg(F.min("partner").alias("p"))
     met = scratch.save(met.select("doc_id", "line", F.col("p.doc_id").alias("pd"), F.col("p.line").alias("pl")), "partners")
     scratch.drop(rows)
-    pairs = met.join(texts.select("doc_id", "line", F.col("text").alias("ta")), ["doc_id", "line"])
-    pairs = pairs.join(texts.select(F.col("doc_id").alias("pd"), F.col("line").alias("pl"), F.col("text").alias("tb")), ["pd", "pl"])
-    out = scratch.save(pairs.select("doc_id", "line", "ta", "tb").mapInArrow(_verifier, "doc_id bigint, line int"), "near", BATCH)
+    out = _verified(met, texts, least_edit, every, scratch)
+    for more in _near_long(texts, least_edit, every, min_chars, scratch) if every else []:
+        out = out.unionByName(more)
     scratch.drop(texts, met, chosen)
     return out
 
@@ -177,11 +419,14 @@ def _cutter(text_at: int, gone_at: int):
     return run
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_edit_words: int = MIN_EDIT_WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_edit_words: int = MIN_EDIT_WORDS, edit_every: int | None = None, min_chars: int | None = None) -> DataFrame:
     """The rows of docs with their text cut, and n_lines, n_removed, kept_sha256 (of the text that is left, in UTF-8).
 
     Lines end at line feeds. A line goes if an earlier one (of a smaller doc_id, or above it in the document) has the same
     words or, where both have ``min_edit_words`` words or more, words within one edit: one put in, left out or changed.
+    With ``edit_every`` they may differ in one edit for each so many words of the longer, and in one at least. With ``min_chars``
+    two lines of fewer words than ``min_edit_words``, both of so many characters or more, are held to the same bound over their
+    characters (words joined by one space).
     Lines are judged on the input, so partners needn't be kept themselves.
     Lines of fewer than ``min_words`` words, empty ones among them, stay. White space between words doesn't count.
     Null texts stay null and have no lines. Rows with a null id, and rows that repeat an id with another text, keep
@@ -195,7 +440,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     distinct = scratch.save(distinct.select("name", "check", F.col("x.doc_id").alias("doc_id"), F.col("x.line").alias("line"), "n", "copies"), "distinct")
     first = distinct.where("copies > 1").select("name", "check", F.struct("doc_id", "line").alias("first"))
     again = rows.join(first, ["name", "check"]).where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
-    gone = again.unionByName(_near_lines(d, distinct, min_edit_words, scratch))
+    gone = again.unionByName(_near_lines(d, distinct, min_edit_words, edit_every, min_chars, scratch))
     gone = scratch.save(gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone")), "gone")
     scratch.drop(rows, distinct)
     out = docs.withColumn(text, F.col(text).cast("string")).join(scratch.small(gone), docs[doc_id].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")

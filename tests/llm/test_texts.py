@@ -218,3 +218,73 @@ def test_gradients():
         down = loss()
         w[i] = old
         assert g[k][i] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7), k
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=10), st.text("ab", max_size=10), st.integers(0, 5))
+def test_within(a, b, k):
+    assert lines.within(a, b, k) == (distance(a, b) <= k)
+
+
+def edited(r, base, n, vocab):
+    out = list(base)
+    for _ in range(n):
+        i, how = r.randrange(len(out)), r.randrange(3)
+        out[i : i + (how != 0)] = [] if how == 1 else [r.choice(vocab)]
+    return out
+
+
+def lines_by_brute_force(texts, min_words, chars):
+    earlier, gone = [], {}
+    for k, t in texts:
+        for i, x in enumerate(t.split("\n")):
+            w = SPACED.findall(x)
+            u = w if len(w) >= 8 else " ".join(w) if chars and len(" ".join(w)) >= 20 else None
+            near = lambda v, u=u: u is not None and type(v) is type(u) and abs(len(u) - len(v)) <= max(1, max(len(u), len(v)) // 20) and distance(u, v) <= max(1, max(len(u), len(v)) // 20)
+            if len(w) >= min_words and w and any(w == e or near(v) for e, v in earlier):
+                gone.setdefault(k, set()).add(i)
+            earlier.append((w, u))
+    return {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(k, ())) for k, t in texts}
+
+
+def test_lines_bound_grows_with_the_line(spark):
+    r = random.Random(3)
+    vocab = [f"w{i}" for i in range(200)]
+    rows = []
+    for n in (8, 12, 19, 37, 38, 39, 40, 41, 48, 59, 60, 61, 80, 119, 160, 300):
+        base = [r.choice(vocab) for _ in range(n)]
+        rows += [" ".join(base), *(" ".join(edited(r, base, e, vocab)) for e in (1, 1, 2, 2, 3, 4, n // 20, n // 20, n // 20 + 1))]
+    rows += [" ".join(["x"] * 60), " ".join(["x"] * 62), " ".join(["x", "y"] * 30)]
+    # the least stretch that is left: 13 words, at each place
+    for lo in (0, 13, 27):
+        base = [r.choice(vocab) for _ in range(40)]
+        rows += [" ".join(base), " ".join("new" if i in {13, 26} else x for i, x in enumerate(base)), " ".join("odd" if i in {lo, 39 - lo} else x for i, x in enumerate(base))]
+    r.shuffle(rows)
+    texts = [(i, "\n".join(rows[3 * i : 3 * i + 3])) for i in range(-(-len(rows) // 3))]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.text for x in lines.deduplicate(df, edit_every=20).collect()}
+    assert got == lines_by_brute_force(texts, 2, False)
+    assert got != {x.doc_id: x.text for x in lines.deduplicate(df).collect()}
+
+
+def test_lines_in_tiles(spark, monkeypatch):
+    """A gram of many lines, most of them beyond the bound of the first one."""
+    monkeypatch.setattr(lines, "MANY", 3)
+    monkeypatch.setattr(lines, "TILE", 20)
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(400)]
+    base = [r.choice(vocab) for _ in range(100)]
+    texts = [(i, " ".join(edited(r, base, r.randint(0, 7), vocab))) for i in range(70)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.text for x in lines.deduplicate(df, edit_every=20).collect()}
+    assert got == lines_by_brute_force(texts, 2, False)
+    assert 3 < sum(t == "" for t in got.values()) < 67
