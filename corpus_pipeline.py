@@ -28,7 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one repeats; a document goes if that was all it had."""
-    out = lines.deduplicate(docs, edit_every=lines.EDIT_EVERY)
+    out = lines.deduplicate(docs, min_words=1, edit_every=lines.EDIT_EVERY, min_chars=lines.MIN_CHARS)
     return _columns(out.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)))
 
 

@@ -33,7 +33,7 @@ MIN_WORDS, MIN_EDIT_WORDS = 2, 8
 #: Units of a line for each edit that the registered queries allow; characters of their shortest line of few words.
 EDIT_EVERY, MIN_CHARS = 20, 20
 #: Lines of a gram beyond which they are compared in tiles, and lines of a tile.
-MANY, TILE = 64, 512
+MANY, TILE = 64, 2048
 BATCH = 500
 _SALT = (np.uint64(0), np.uint64(0x27D4EB2F165667C5))
 
@@ -293,8 +293,8 @@ def _verifier(least_edit: int, every: int | None):
 def _tile(least_edit: int, every: int):
     """(doc_id, line) of the lines asked for in a tile that have an earlier one in it within the bound.
 
-    Units that one line has and the other lacks need an edit each: that count over whole tiles is one product of matrices,
-    and only pairs that pass it are verified.
+    Units that one line has and the other lacks need an edit each: only pairs of lines that lack no more
+    than the bound are verified.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -302,25 +302,25 @@ def _tile(least_edit: int, every: int):
         x = [_parts(v, least_edit) for v in t["text"].to_pylist()]
         n = np.array([len(v) for v in x])
         asked, other = np.flatnonzero(np.asarray(t["asked"])), np.flatnonzero(np.asarray(t["other"]))
-        sets, codes = [], {}
+        flat, codes = [], {}
         for v in x:
             seen: dict = {}
-            row = []
             for u in v:
                 seen[u] = seen.get(u, 0) + 1
-                row.append(codes.setdefault((u, seen[u]), len(codes)))
-            sets.append(np.array(row, np.int64))
-        common = np.zeros((len(asked), len(other)), np.float32)
-        for lo in range(0, len(codes), 2048):
-            m = np.zeros((len(x), min(2048, len(codes) - lo)), np.float32)
-            for i, row in enumerate(sets):
-                m[i, row[(row >= lo) & (row < lo + 2048)] - lo] = 1
-            common += m[asked] @ m[other].T
-        out = []
-        for i, p in enumerate(asked):
-            longer = np.maximum(n[p], n[other])
-            for q in other[longer - common[i] <= np.maximum(1, longer // every)]:
-                if where[q] < where[p] and type(x[q]) is type(x[p]) and within(x[p], x[q], bound(max(n[p], n[q]), every)):
+                flat.append(codes.setdefault((u, seen[u]), len(codes)))
+        flat, first = np.array(flat), np.concatenate([[0], np.cumsum(n)[:-1]])
+        has, out = np.zeros(len(codes), np.int32), []
+        for p in asked:
+            longer = np.maximum(n[p], n)
+            most = np.maximum(1, longer // every)
+            if not (np.abs(n[other] - n[p]) <= most[other]).any():
+                continue
+            mine = flat[first[p] : first[p] + n[p]]
+            has[mine] = 1
+            lack = longer - np.add.reduceat(has[flat], first)
+            has[mine] = 0
+            for q in other[lack[other] <= most[other]]:
+                if where[q] < where[p] and type(x[q]) is type(x[p]) and within(x[p], x[q], int(most[q])):
                     out.append(where[p])
                     break
         return pa.table([pa.array([d for d, _ in out], pa.int64()), pa.array([i for _, i in out], pa.int32())], names=["doc_id", "line"])

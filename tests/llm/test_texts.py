@@ -276,6 +276,24 @@ def test_lines_bound_grows_with_the_line(spark):
     assert got != {x.doc_id: x.text for x in lines.deduplicate(df).collect()}
 
 
+def test_lines_of_few_words(spark):
+    r = random.Random(4)
+    han = [chr(0x4E00 + i) for i in range(300)] + list("aé😀")
+    rows = ["once", "once", " once\t", "two words", "two  words", "短い行", "短い行", "", ""]
+    for n in (19, 20, 21, 38, 39, 40, 41, 60, 80, 150):
+        base = [r.choice(han) for _ in range(n)]
+        rows += ["".join(base), "".join(base), *("".join(edited(r, base, e, han)) for e in (1, 1, 2, 3, n // 20))]
+    base = list("https://example.org/a/rather/long/path?with=some&more=values of it")
+    rows += ["".join(edited(r, base, e, "xyz ")) for e in (0, 1, 2, 3, 4)]
+    rows += ["a few words in a line here", "a few words in a line there", "a few words in a line there now"]
+    r.shuffle(rows)
+    texts = [(i, "\n".join(rows[3 * i : 3 * i + 3])) for i in range(-(-len(rows) // 3))]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.text for x in lines.deduplicate(df, min_words=1, edit_every=20, min_chars=20).collect()}
+    assert got == lines_by_brute_force(texts, 1, True)
+    assert sum(len(t) for t in got.values()) < sum(len(x.text) for x in lines.deduplicate(df).collect())
+
+
 def test_lines_in_tiles(spark, monkeypatch):
     """A gram of many lines, most of them beyond the bound of the first one."""
     monkeypatch.setattr(lines, "MANY", 3)
