@@ -114,62 +114,60 @@ def delong(df: DataFrame, a: str, b: str, truth: Column, key: str = "series_id")
     return g.select("auc_a", "auc_b", z.alias("z"), S.normal_sf_two_sided(z).alias("p_value"))
 
 
-def bootstrap_metric(df: DataFrame, metric: Callable[[np.ndarray, np.ndarray], float], truth: str = "y_true", pred: str = "y_pred", key: str = "series_id", n: int = 10_000, seed: int = 42, blocks: int = 32, most_rows: int = 1_000_000) -> DataFrame:
-    """One row: value, lo, hi of a metric(true, predicted) with its 95% percentile interval over resampled rows.
+def bootstrap_metric(df: DataFrame, metric: Callable[[np.ndarray, np.ndarray, np.ndarray], float], truth: str = "y_true", pred: str = "y_pred", n: int = 10_000, seed: int = 42, blocks: int = 32) -> DataFrame:
+    """One row: value, lo, hi of a metric(true, predicted, rows) with its 95% percentile interval over resampled rows.
 
-    The labels of at most ``most_rows`` rows are shared with the tasks, which draw blocks of resamples with seeds of their own.
+    The metric sees each pair of labels once, with its number of rows: resampled rows are a multinomial draw of those numbers.
     """
-    t, p, shared = _shared_labels(df, [truth, pred], key, most_rows)
+    (t, p), c = _cells(df, [truth, pred])
+
+    def draw(rng: np.random.RandomState) -> float:
+        return float(metric(t, p, rng.multinomial(c.sum(), c / c.sum())))
+
+    sims = _simulated(df, draw, n, seed, blocks)
+    return sims.agg(F.percentile("v", [0.025, 0.975]).alias("q")).select(F.lit(float(metric(t, p, c))).alias("value"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+
+
+def _cells(df: DataFrame, cols: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct labels of the columns, and the number of rows of each combination: a row for each, whatever the table's size."""
+    rows = df.groupBy(*cols).agg(F.count("*").alias("_rows")).orderBy(*cols).toArrow()
+    arrays = [np.asarray(rows[c].combine_chunks() if rows.num_rows else []) for c in (*cols, "_rows")]
+    return arrays[:-1], arrays[-1].astype(np.int64)
+
+
+def _simulated(df: DataFrame, draw: Callable[[np.random.RandomState], float], n: int, seed: int, blocks: int) -> DataFrame:
+    """v of n draws, in blocks with seeds of their own."""
     per = -(-n // blocks)
 
     def run(batches):
         import pyarrow as pa
 
-        a, b = shared.value
         for batch in batches:
             out = []
             for k in batch.column(0).to_pylist():
                 rng = np.random.RandomState(seed + k)
-                for _ in range(min(per, n - k * per)):
-                    i = rng.randint(0, len(a), len(a))
-                    out.append(float(metric(a[i], b[i])))
+                out += [draw(rng) for _ in range(min(per, n - k * per))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["v"])
 
-    sims = df.sparkSession.range(-(-n // per), numPartitions=blocks).mapInArrow(run, "v double")
-    return sims.agg(F.percentile("v", [0.025, 0.975]).alias("q")).select(F.lit(float(metric(t, p))).alias("value"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    return df.sparkSession.range(-(-n // per), numPartitions=blocks).mapInArrow(run, "v double")
 
 
-def _shared_labels(df: DataFrame, cols: list[str], key: str, most: int):
-    rows = df.select(key, *cols).orderBy(key).limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        raise ValueError(f"more than {most} rows")
-    arrays = [np.asarray(rows[c].combine_chunks() if rows.num_rows else []) for c in cols]
-    return (*arrays, df.sparkSession.sparkContext.broadcast(tuple(arrays)))
+def permutation_metric(df: DataFrame, metric: Callable[[np.ndarray, np.ndarray, np.ndarray], float], a: str, b: str, truth: str = "y_true", n: int = 10_000, seed: int = 42, blocks: int = 32) -> DataFrame:
+    """One row: difference, p_value of a metric(true, predicted, rows) of two methods whose answers are exchanged at random, row by row.
 
+    Of the rows with the same three labels a binomial number is exchanged.
+    """
+    (t, x, y), c = _cells(df, [truth, a, b])
+    seen = float(metric(t, x, c)) - float(metric(t, y, c))
+    both, xy, yx = np.concatenate([t, t]), np.concatenate([x, y]), np.concatenate([y, x])
 
-def permutation_metric(df: DataFrame, metric: Callable[[np.ndarray, np.ndarray], float], a: str, b: str, truth: str = "y_true", key: str = "series_id", n: int = 10_000, seed: int = 42, blocks: int = 32, most_rows: int = 1_000_000) -> DataFrame:
-    """One row: difference, p_value of a metric of two methods whose answers are exchanged at random, row by row."""
-    t, x, y, shared = _shared_labels(df, [truth, a, b], key, most_rows)
-    seen = float(metric(t, x)) - float(metric(t, y))
-    per = -(-n // blocks)
-
-    def run(batches):
-        import pyarrow as pa
+    def draw(rng: np.random.RandomState) -> float:
+        swap = rng.binomial(c, 0.5)
+        rows = np.concatenate([c - swap, swap])
+        return float(abs(metric(both, xy, rows) - metric(both, yx, rows)) >= abs(seen) - 1e-12)
 
-        t, x, y = shared.value
-        for batch in batches:
-            out = []
-            for k in batch.column(0).to_pylist():
-                rng = np.random.RandomState(seed + k)
-                hits = 0
-                for _ in range(min(per, n - k * per)):
-                    swap = rng.rand(len(t)) < 0.5
-                    hits += abs(metric(t, np.where(swap, y, x)) - metric(t, np.where(swap, x, y))) >= abs(seen) - 1e-12
-                out.append(int(hits))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["h"])
-
-    sims = df.sparkSession.range(-(-n // per), numPartitions=blocks).mapInArrow(run, "h bigint")
-    return sims.agg(F.sum("h").alias("h")).select(F.lit(seen).alias("difference"), ((F.col("h") + 1) / (n + 1)).alias("p_value"))
+    sims = _simulated(df, draw, n, seed, blocks)
+    return sims.agg(F.sum("v").alias("h")).select(F.lit(seen).alias("difference"), ((F.col("h") + 1) / (n + 1)).alias("p_value"))
 
 
 def compare_methods(df: DataFrame, reference: str) -> DataFrame:

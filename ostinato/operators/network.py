@@ -137,7 +137,8 @@ def modules(feature_table: DataFrame, k: int | None = None, method: str = "ward"
         from pyspark.ml.clustering import BisectingKMeans
         from pyspark.ml.feature import VectorAssembler
 
-        v = VectorAssembler(inputCols=cols, outputCol="_v").transform(z)
+        # a cluster is split at its centre times 1 -/+ 1e-4: standardised rows, whose centre is 0, would stay whole
+        v = VectorAssembler(inputCols=cols, outputCol="_v").transform(z.select("series_id", *[(F.col(c) + 1).alias(c) for c in cols]))
         return BisectingKMeans(k=k or 20, seed=42, featuresCol="_v", predictionCol="module_id").fit(v).transform(v).select("series_id", "module_id")
     if z.limit(most_rows + 1).count() > most_rows:
         raise ValueError(f"more than {most_rows} series: use method='bisecting'")
@@ -242,11 +243,11 @@ def reclassify(df: DataFrame, least: int = 5, prior: float = 0.3) -> DataFrame:
     return df.join(F.broadcast(g), "module_id", "left").withColumn("hierarchical_classification", label).drop("_n", "_known", "_ind", "_har")
 
 
-def hierarchical(results: DataFrame, k: int | None = None, least: int = 5, strength: float = 1.0, prior: float = 0.3) -> DataFrame:
-    """The whole refinement of a result table; fewer than three series come back with module_id null and their labels."""
+def hierarchical(results: DataFrame, k: int | None = None, least: int = 5, strength: float = 1.0, prior: float = 0.3, method: str = "ward") -> DataFrame:
+    """The whole refinement of a result table, with modules by ``method`` (bisecting for any number of series); fewer than three series come back with module_id null and their labels."""
     if results.limit(3).count() < 3:
         return results.withColumn("module_id", F.lit(None).cast("int")).withColumn("hierarchical_classification", F.col("classification"))
-    df = results.join(modules(features(results), k, least=least), "series_id")
+    df = results.join(modules(features(results), k, method, least), "series_id")
     return reclassify(shrink(df, hyperparameters(df, least), strength), least, prior)
 
 

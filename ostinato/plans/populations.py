@@ -214,7 +214,7 @@ def bisecting_modules(spark, d):
 @query()
 def hierarchical_refinement(spark, d):
     m = _moduled(spark, d).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
-    return network.hierarchical(m)
+    return network.hierarchical(m, method="bisecting")
 
 
 # --- metrics -----------------------------------------------------------------------------------------------------
@@ -309,21 +309,21 @@ def recovery_rates(spark, d):
     return r.select("c_mktsegment", "n", "n_detected", I.r6(F.col("rate"), "rate"))
 
 
-def _agreement(a, b):
+def _agreement(a, b, rows):
     import numpy as np
 
-    return float(np.mean(a == b))
+    return float(np.average(a == b, weights=rows))
 
 
 @query()
 def bootstrap_accuracy(spark, d):
-    return metrics.bootstrap_metric(_labelled(spark, d), _agreement, key="doc_id", n=2000)
+    return metrics.bootstrap_metric(_labelled(spark, d), _agreement, n=2000)
 
 
 @query()
 def permutation_accuracy(spark, d):
     x = _labelled(spark, d).withColumn("y_b", F.when(F.col("other") > 48, "1").otherwise("0"))
-    return metrics.permutation_metric(x, _agreement, "y_pred", "y_b", key="doc_id", n=2000)
+    return metrics.permutation_metric(x, _agreement, "y_pred", "y_b", n=2000)
 
 
 @query()

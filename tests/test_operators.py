@@ -134,3 +134,24 @@ def test_streaming_equals_batch(spark, sf, tmp_path):
     q.stop()
     want = rhythm.windowed_cosinor(e, F.col("event_type"), "ts", F.col("value"), 24.0, "7 days", "1 day")
     assert spark.table("w").count() == want.count() > 0
+
+
+def test_refinement_of_many_series(spark):
+    """More series than Ward's method takes."""
+    from ostinato.operators import network
+
+    rows = spark.range(5200).select(F.col("id").cast("string").alias("series_id"), (F.col("id") % 7 + 1.0).alias("A_12"), (F.col("id") % 5 + 1.0).alias("A_24"), (F.col("id") % 6 * 1.0).alias("phi_12"), (F.col("id") % 4 * 1.0).alias("phi_24"), (F.col("id") % 9 - 4.0).alias("log_bf"), (F.col("id") % 8 - 3.0).alias("T_12_deviation"), (F.col("id") % 2 == 0).alias("f_test_12h_significant"), F.when(F.col("id") % 3 == 0, "ambiguous").otherwise("harmonic").alias("classification"))
+    got = network.hierarchical(rows, 8, method="bisecting")
+    assert got.select("module_id").distinct().count() == 8
+    assert got.count() == 5200 and got.where("module_id is null or hierarchical_classification is null").count() == 0
+
+
+def test_intervals_of_any_number_of_rows(spark):
+    """More than a million rows: the interval is that of a share of so many rows."""
+    rows = spark.range(1_200_000).select(F.lit("1").alias("y_true"), F.when(F.col("id") % 4 == 0, "0").otherwise("1").alias("y_pred"), F.when(F.col("id") % 4 == 1, "0").otherwise("1").alias("y_b"))
+    share = lambda a, b, n: float(np.average(a == b, weights=n))
+    r = metrics.bootstrap_metric(rows, share, n=2000).first()
+    sd = (0.75 * 0.25 / 1.2e6) ** 0.5
+    assert r.value == 0.75 and abs(r.lo - 0.75 + 1.96 * sd) < 0.2 * sd and abs(r.hi - 0.75 - 1.96 * sd) < 0.2 * sd
+    p = metrics.permutation_metric(rows, share, "y_pred", "y_b", n=500).first()
+    assert p.difference == 0 and p.p_value == 1
