@@ -36,7 +36,7 @@ def soft_gated_classifier(spark, d):
 
 @query
 def ensemble_classifier(spark, d):
-    e = classify.ensemble(I.vectors(spark, d), n_bootstrap=199)
+    e = classify.ensemble(I.vectors(spark, d))
     return e.select("series_id", "analytic_label", "lrt_label", "classification", "confidence", "error")
 
 

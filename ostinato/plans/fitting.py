@@ -334,7 +334,7 @@ def bispectral_coupling(spark, d):
 
 @query()
 def bootstrap_lrt(spark, d):
-    return evidence.bootstrap_lrt(I.spread(spark, d), n=199).select("series_id", "lrt", "p_lrt", "lrt_label")
+    return evidence.bootstrap_lrt(I.spread(spark, d)).select("series_id", "lrt", "p_lrt", "lrt_label")
 
 
 @query()

@@ -317,13 +317,13 @@ def _agreement(a, b, rows):
 
 @query()
 def bootstrap_accuracy(spark, d):
-    return metrics.bootstrap_metric(_labelled(spark, d), _agreement, n=2000)
+    return metrics.bootstrap_metric(_labelled(spark, d), _agreement)
 
 
 @query()
 def permutation_accuracy(spark, d):
     x = _labelled(spark, d).withColumn("y_b", F.when(F.col("other") > 48, "1").otherwise("0"))
-    return metrics.permutation_metric(x, _agreement, "y_pred", "y_b", n=2000)
+    return metrics.permutation_metric(x, _agreement, "y_pred", "y_b")
 
 
 @query()

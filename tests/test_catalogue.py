@@ -48,3 +48,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_resamples_are_the_operators_own():
+    import inspect
+
+    q = catalogue.queries()
+    for name in ("bootstrap_lrt", "ensemble_classifier", "bootstrap_accuracy", "permutation_accuracy"):
+        assert not any(x in inspect.getsource(q[name]) for x in ("n=", "n_bootstrap=")), name
