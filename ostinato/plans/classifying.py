@@ -21,28 +21,28 @@ def query(f):
 
 @query
 def two_stage_classifier(spark, d):
-    return classify.two_stage(I.spread(spark, d))
+    return classify.two_stage(I.spread(spark, d, I.WHOLE))
 
 
 @query
 def hard_gated_classifier(spark, d):
-    return classify.batch(I.vectors(spark, d), version=1)
+    return classify.batch(I.vectors(spark, d, I.WHOLE), version=1)
 
 
 @query
 def soft_gated_classifier(spark, d):
-    return classify.batch(I.vectors(spark, d), version=2)
+    return classify.batch(I.vectors(spark, d, I.WHOLE), version=2)
 
 
 @query
 def ensemble_classifier(spark, d):
-    e = classify.ensemble(I.vectors(spark, d))
+    e = classify.ensemble(I.vectors(spark, d, I.WHOLE))
     return e.select("series_id", "analytic_label", "lrt_label", "classification", "confidence", "error")
 
 
 @query
 def fusion_classifier(spark, d):
-    f = classify.fusion(I.vectors(spark, d))
+    f = classify.fusion(I.vectors(spark, d, I.WHOLE))
     return f.select("series_id", "v2_classification", "p_bispectral", "classification", "confidence", "reason", "channels_agree", "has_significant_12h", "error")
 
 
@@ -73,12 +73,12 @@ def calibrated_logistic(spark, d):
 
 @query
 def damped_decomposition(spark, d):
-    return decompose.decompose(I.spread(spark, d)).drop("t", "y")
+    return decompose.decompose(I.spread(spark, d, I.WHOLE)).drop("t", "y")
 
 
 @query
 def damping_of_oscillators(spark, d):
-    o = decompose.long_oscillators(decompose.decompose(I.spread(spark, d)))
+    o = decompose.long_oscillators(decompose.decompose(I.spread(spark, d, I.WHOLE)))
     return population.damping_summary(o, ["oscillator"])
 
 
@@ -142,4 +142,4 @@ def sensitivity_sweep(spark, d):
 
 @query
 def run_both(spark, d):
-    return api.run(I.spread(spark, d), "both").select("series_id", "classification", "confidence", "agreement", "review_flag")
+    return api.run(I.spread(spark, d, I.WHOLE), "both").select("series_id", "classification", "confidence", "agreement", "review_flag")

@@ -253,110 +253,110 @@ def windowed_cosinor(spark, d):
 
 @query()
 def jtk_tau(spark, d):
-    return detect.jtk(I.spread(spark, d)).select("series_id", "p_jtk", "tau", "jtk_period", "jtk_phase", "error")
+    return detect.jtk(I.spread(spark, d, I.WHOLE)).select("series_id", "p_jtk", "tau", "jtk_period", "jtk_phase", "error")
 
 
 @query()
 def rain_umbrella(spark, d):
-    return detect.rain(I.spread(spark, d)).select("series_id", "p_rain", "peak_fraction", "rain_shape", "error")
+    return detect.rain(I.spread(spark, d, I.WHOLE)).select("series_id", "p_rain", "peak_fraction", "rain_shape", "error")
 
 
 @query()
 def nonparametric_combination(spark, d):
-    return detect.nonparametric(I.spread(spark, d)).select("series_id", "p_combined", "detection_method")
+    return detect.nonparametric(I.spread(spark, d, I.WHOLE)).select("series_id", "p_combined", "detection_method")
 
 
 @query()
 def permutation_f_test(spark, d):
-    return detect.permutation_f(I.spread(spark, d), [24.0, 12.0, 8.0]).select("series_id", "p_permutation")
+    return detect.permutation_f(I.spread(spark, d, I.WHOLE), [24.0, 12.0, 8.0]).select("series_id", "p_permutation")
 
 
 @query()
 def gate_b(spark, d):
-    return detect.gate_b(I.vectors(spark, d)).select("series_id", "p_phase_freedom")
+    return detect.gate_b(I.vectors(spark, d, I.WHOLE)).select("series_id", "p_phase_freedom")
 
 
 @query()
 def stage1_detection(spark, d):
-    return detect.stage1(I.spread(spark, d)).drop("t", "y")
+    return detect.stage1(I.spread(spark, d, I.WHOLE)).drop("t", "y")
 
 
 @query()
 def lomb_scargle(spark, d):
-    return detect.lomb_scargle(I.spread(spark, d), [24.0, 12.0, 8.0]).drop("t", "y")
+    return detect.lomb_scargle(I.spread(spark, d, I.WHOLE), [24.0, 12.0, 8.0]).drop("t", "y")
 
 
 @query()
 def jtk_cycle(spark, d):
-    return detect.jtk_cycle(I.spread(spark, d)).drop("t", "y")
+    return detect.jtk_cycle(I.spread(spark, d, I.WHOLE)).drop("t", "y")
 
 
 @query()
 def rain_detector(spark, d):
-    return detect.rain_detector(I.spread(spark, d)).drop("t", "y")
+    return detect.rain_detector(I.spread(spark, d, I.WHOLE)).drop("t", "y")
 
 
 @query()
 def matrix_pencil(spark, d):
-    return detect.matrix_pencil(I.vectors(spark, d)).drop("t", "y")
+    return detect.matrix_pencil(I.vectors(spark, d, I.WHOLE)).drop("t", "y")
 
 
 @query()
 def all_classical_methods(spark, d):
-    return detect.all_methods(I.spread(spark, d), I.GRID)
+    return detect.all_methods(I.spread(spark, d, I.WHOLE), I.WHOLE_GRID)
 
 
 @query()
 def free_periods(spark, d):
-    m = evidence.models(I.spread(spark, d))
+    m = evidence.models(I.spread(spark, d, I.WHOLE))
     return m.select("series_id", "t_free", "rss_free", evidence.fitted_half_period().alias("t_12_fitted"), evidence.period_deviation().alias("deviation"), evidence.log_bayes_factor().alias("log_bf"), evidence.residual_improvement().alias("residual_improvement"), evidence.phase_coupling().alias("phase_coupling"), evidence.waveform_asymmetry().alias("waveform_asymmetry"), evidence.harmonic_coherence().alias("harmonic_coherence"), "r2_tied4")
 
 
 @query()
 def vmd_evidence(spark, d):
-    return evidence.vmd(I.spread(spark, d)).select("series_id", "vmd", "vmd_score")
+    return evidence.vmd(I.spread(spark, d, I.WHOLE)).select("series_id", "vmd", "vmd_score")
 
 
 @query()
 def hilbert_frequency(spark, d):
-    return evidence.instantaneous_frequency(I.vectors(spark, d)).select("series_id", "inst_freq")
+    return evidence.instantaneous_frequency(I.vectors(spark, d, I.WHOLE)).select("series_id", "inst_freq")
 
 
 @query()
 def vmd_hilbert_coupling(spark, d):
-    return evidence.vmd_hilbert(I.spread(spark, d)).select("series_id", "vh", "vh_score")
+    return evidence.vmd_hilbert(I.spread(spark, d, I.WHOLE)).select("series_id", "vh", "vh_score")
 
 
 @query()
 def bispectral_coupling(spark, d):
-    return evidence.bispectrum(I.vectors(spark, d)).select("series_id", "bicoherence", "p_bispectral", "bispectral_score", "bispectral_label")
+    return evidence.bispectrum(I.vectors(spark, d, I.WHOLE)).select("series_id", "bicoherence", "p_bispectral", "bispectral_score", "bispectral_label")
 
 
 @query()
 def bootstrap_lrt(spark, d):
-    return evidence.bootstrap_lrt(I.spread(spark, d)).select("series_id", "lrt", "p_lrt", "lrt_label")
+    return evidence.bootstrap_lrt(I.spread(spark, d, I.WHOLE)).select("series_id", "lrt", "p_lrt", "lrt_label")
 
 
 @query()
 def divergence_test(spark, d):
-    return evidence.divergence_test(I.vectors(spark, d)).select("series_id", "sid", "p_sid")
+    return evidence.divergence_test(I.vectors(spark, d, I.WHOLE)).select("series_id", "sid", "p_sid")
 
 
 @query()
 def savage_dickey(spark, d):
-    return evidence.savage_dickey(I.spread(spark, d)).select("series_id", "sd_log_bf", "sd_mean", "sd_sd", "sd_score")
+    return evidence.savage_dickey(I.spread(spark, d, I.WHOLE)).select("series_id", "sd_log_bf", "sd_mean", "sd_sd", "sd_score")
 
 
 @query()
 def amplitude_ratio_test(spark, d):
-    return evidence.amplitude_ratio_test(I.vectors(spark, d)).select("series_id", "ar_ratio", "p_ar", "ar_label")
+    return evidence.amplitude_ratio_test(I.vectors(spark, d, I.WHOLE)).select("series_id", "ar_ratio", "p_ar", "ar_label")
 
 
 @query()
 def waic_comparison(spark, d):
-    return evidence.model_comparison(I.spread(spark, d)).select("series_id", "delta_waic", "waic_se", "waic_label")
+    return evidence.model_comparison(I.spread(spark, d, I.WHOLE)).select("series_id", "delta_waic", "waic_se", "waic_label")
 
 
 @query()
 def goodwin_loops(spark, d):
-    return evidence.goodwin(I.spread(spark, d)).select("series_id", "gw_coupling", "gw_r2", "gw_score")
+    return evidence.goodwin(I.spread(spark, d, I.WHOLE)).select("series_id", "gw_coupling", "gw_r2", "gw_score")

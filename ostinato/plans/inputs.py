@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import per_series, series
 
-POINTS = 48
-GRID = np.arange(POINTS, dtype=float)
+#: Components of a vector that the queries with closed SQL take as a series (whole cycles of their periods), and all of them.
+POINTS, WHOLE = 48, 64
+GRID, WHOLE_GRID = np.arange(POINTS, dtype=float), np.arange(WHOLE, dtype=float)
 ORIGIN = "2024-01-01"
 
 
@@ -17,19 +18,19 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The first 48 components of each embedding as an hourly series."""
-    return series.from_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", POINTS)
+def vectors(spark: SparkSession, d: str, points: int = POINTS) -> DataFrame:
+    """The first components of each embedding as an hourly series."""
+    return series.from_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", points)
 
 
-def spread(spark: SparkSession, d: str) -> DataFrame:
+def spread(spark: SparkSession, d: str, points: int = POINTS) -> DataFrame:
     """The same, dealt over tasks for costly kernels."""
-    return per_series.spread(vectors(spark, d))
+    return per_series.spread(vectors(spark, d, points))
 
 
-def vectors_with_label(spark: SparkSession, d: str) -> DataFrame:
+def vectors_with_label(spark: SparkSession, d: str, points: int = POINTS) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("series_id"), "label")
-    return vectors(spark, d).join(e, "series_id")
+    return vectors(spark, d, points).join(e, "series_id")
 
 
 def events_long(spark: SparkSession, d: str, key: str) -> DataFrame:

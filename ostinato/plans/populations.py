@@ -134,10 +134,10 @@ def oscillator_fate(spark, d):
 _MOD = I.fit_sql() + ", md AS (SELECT CAST(label AS INTEGER) AS module_id, series_id, amp12 AS A_12, amp24 AS A_24, phi12 AS phi_12, phi24 AS phi_24, CASE WHEN amp12 > 1.2 * amp24 THEN 'independent_ultradian' WHEN amp12 > amp24 THEN 'ambiguous' ELSE 'harmonic' END AS classification, amp12 > 0.1 AS f_test_12h_significant, amp8 - amp6 AS T_12_deviation FROM f)"
 
 
-def _moduled(spark, d):
+def _moduled(spark, d, points=I.POINTS, grid=I.GRID):
     from ..operators import fits
 
-    v = fits.phases(I.vectors_with_label(spark, d), I.GRID, [24.0, 12.0, 8.0, 6.0])
+    v = fits.phases(I.vectors_with_label(spark, d, points), grid, [24.0, 12.0, 8.0, 6.0])
     a12, a24 = F.col("amp_12"), F.col("amp_24")
     label = F.when(a12 > 1.2 * a24, "independent_ultradian").when(a12 > a24, "ambiguous").otherwise("harmonic")
     signed = lambda c: F.when(F.col(c) > math.pi, F.col(c) - 2 * math.pi).otherwise(F.col(c))
@@ -183,7 +183,7 @@ def hierarchical_reclassification(spark, d):
 
 @query()
 def refine_ambiguous(spark, d):
-    m = _moduled(spark, d)
+    m = _moduled(spark, d, I.WHOLE, I.WHOLE_GRID)
     return network.refine(m, network.enrichment(m)).select("series_id", "module_id", "refined")
 
 
@@ -195,25 +195,25 @@ def impute_median(spark, d):
 
 @query()
 def ward_modules(spark, d):
-    m = _moduled(spark, d).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
+    m = _moduled(spark, d, I.WHOLE, I.WHOLE_GRID).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
     return network.modules(network.features(m))
 
 
 @query()
 def spectral_modules(spark, d):
-    m = _moduled(spark, d).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
+    m = _moduled(spark, d, I.WHOLE, I.WHOLE_GRID).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
     return network.modules(network.features(m), 8, "spectral")
 
 
 @query()
 def bisecting_modules(spark, d):
-    m = _moduled(spark, d).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
+    m = _moduled(spark, d, I.WHOLE, I.WHOLE_GRID).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
     return network.modules(network.features(m), 8, "bisecting")
 
 
 @query()
 def hierarchical_refinement(spark, d):
-    m = _moduled(spark, d).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
+    m = _moduled(spark, d, I.WHOLE, I.WHOLE_GRID).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
     return network.hierarchical(m, method="bisecting")
 
 
