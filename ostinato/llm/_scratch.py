@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -18,10 +18,15 @@ SMALL_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where none is named and the master is local.
+
+    A cluster without a named folder is an error: executors would write to disks of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="ostinato-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -90,6 +95,19 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def row_key(df: DataFrame, doc_id: str, text: str) -> tuple[Column, str]:
+    """A key of rows, in the order of their ids, and its type: the id as a long, or with a digest of the text where ids repeat.
+
+    Rows equal in id and text share their key, and are in the same place; of rows that repeat an id with another text the one
+    with the smaller digest comes first. Null ids have a null key.
+    """
+    own = F.col(doc_id).cast("long")
+    if df.where(own.isNotNull()).groupBy(own.alias("k")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return own, "bigint"
+    tag = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return F.when(own.isNotNull(), F.struct(own.alias("id"), tag.alias("tag"))), "struct<id:bigint,tag:binary>"
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) long pairs to (id, component_id): the smallest id of each component, for every id in a pair.
 
