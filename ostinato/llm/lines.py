@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._scratch import Scratch
+from ._scratch import Scratch, row_key
 
 #: Words of the shortest line that can be a duplicate, and of the shortest to which the edit bound of one word applies.
 MIN_WORDS, MIN_EDIT_WORDS = 2, 8
@@ -121,7 +121,7 @@ def _line_rows(least: int, least_edit: int, keys: bool, every: int | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
+            ids = batch.column(0)
             for lo, _, data, offs in W.chunks(batch.column(1)):
                 _, first, w, lw = _lines(data, offs)
                 n = np.diff(lw)
@@ -148,7 +148,7 @@ def _line_rows(least: int, least_edit: int, keys: bool, every: int | None = None
                     name = W.runs(h, lw[k], lw[k + 1])
                     check = (W.runs(W.mix(h ^ np.uint64(0x5DEECE66D)), lw[k], lw[k + 1]) >> np.uint64(33)).astype(np.int32)
                     d = np.searchsorted(first, k, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check), pa.array(ids[lo + d]), pa.array((k - first[d]).astype(np.int32)), pa.array(n[k].astype(np.int32))], ["name", "check", "doc_id", "line", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check), ids.take(pa.array(lo + d)), pa.array((k - first[d]).astype(np.int32)), pa.array(n[k].astype(np.int32))], ["name", "check", "doc_id", "line", "n"])
 
     return run
 
@@ -156,17 +156,17 @@ def _line_rows(least: int, least_edit: int, keys: bool, every: int | None = None
 def _picker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of listed lines, joined by one space."""
     for batch in batches:
-        ids, out_id, out_line, out_text = batch.column(0).to_pylist(), [], [], []
+        ids, out_id, out_line, out_text = batch.column(0), [], [], []
         want = batch.column(2)
         for lo, _, data, offs in W.chunks(batch.column(1)):
             _, first, w, lw = _lines(data, offs)
             for d in range(len(offs) - 1):
                 for i in want[lo + d].as_py():
                     j = first[d] + i
-                    out_id.append(ids[lo + d])
+                    out_id.append(lo + d)
                     out_line.append(i)
                     out_text.append(W.joined(data, w.starts[lw[j] : lw[j + 1]], w.ends[lw[j] : lw[j + 1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_line, pa.int32()), pa.array(out_text, pa.binary()).cast(pa.string())], ["doc_id", "line", "text"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(out_id, pa.int64())), pa.array(out_line, pa.int32()), pa.array(out_text, pa.binary()).cast(pa.string())], ["doc_id", "line", "text"])
 
 
 def _spans(col: pa.Array, least_edit: int, min_chars: int | None):
@@ -181,7 +181,7 @@ def _variants(least_edit: int, every: int | None, min_chars: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nos = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            ids, nos = batch.column(0), batch.column(1)
             for lo, some in _spans(batch.column(2), least_edit, min_chars):
                 for k, u, a, b, unit in some:
                     short = (b - a < 2 * every) if every else np.ones(len(k), bool)
@@ -206,7 +206,7 @@ def _variants(least_edit: int, every: int | None, min_chars: int | None):
                     key = (np.concatenate([whole, gone[new], changed]) ^ _SALT[unit]).view(np.int64)
                     who = lo + k[np.concatenate([np.arange(len(n)), of[new], of])]
                     kind = np.repeat(np.array([0, 1, 2], np.int8), [len(n), int(new.sum()), len(h)])
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(ids[who]), pa.array(nos[who])], ["key", "kind", "doc_id", "line"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), ids.take(pa.array(who)), nos.take(pa.array(who))], ["key", "kind", "doc_id", "line"])
 
     return run
 
@@ -216,7 +216,7 @@ def _grams(least_edit: int, every: int, min_chars: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nos = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            ids, nos = batch.column(0), batch.column(1)
             for lo, some in _spans(batch.column(2), least_edit, min_chars):
                 for k, u, a, b, unit in some:
                     long = b - a >= 2 * every - 2
@@ -229,7 +229,7 @@ def _grams(least_edit: int, every: int, min_chars: int | None):
                     s = np.flatnonzero(new)
                     e = np.append(s[1:], len(of))[: len(s)] - 1
                     who = lo + k[of[s]]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(place[s].astype(np.int32)), pa.array(place[e].astype(np.int32)), pa.array((b - a)[of[s]].astype(np.int32)), pa.array(np.logical_or.reduceat(own, s) if len(s) else own), pa.array(ids[who]), pa.array(nos[who])], ["key", "lo", "hi", "n", "own", "doc_id", "line"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(place[s].astype(np.int32)), pa.array(place[e].astype(np.int32)), pa.array((b - a)[of[s]].astype(np.int32)), pa.array(np.logical_or.reduceat(own, s) if len(s) else own), ids.take(pa.array(who)), nos.take(pa.array(who))], ["key", "lo", "hi", "n", "own", "doc_id", "line"])
 
     return run
 
@@ -298,7 +298,8 @@ def _tile(least_edit: int, every: int):
     """
 
     def run(t: pa.Table) -> pa.Table:
-        where = list(zip(t["doc_id"].to_pylist(), t["line"].to_pylist(), strict=True))
+        ids = [tuple(v.values()) if isinstance(v, dict) else v for v in t["doc_id"].to_pylist()]
+        where = list(zip(ids, t["line"].to_pylist(), strict=True))
         x = [_parts(v, least_edit) for v in t["text"].to_pylist()]
         n = np.array([len(v) for v in x])
         asked, other = np.flatnonzero(np.asarray(t["asked"])), np.flatnonzero(np.asarray(t["other"]))
@@ -321,23 +322,28 @@ def _tile(least_edit: int, every: int):
             has[mine] = 0
             for q in other[lack[other] <= most[other]]:
                 if where[q] < where[p] and type(x[q]) is type(x[p]) and within(x[p], x[q], int(most[q])):
-                    out.append(where[p])
+                    out.append(p)
                     break
-        return pa.table([pa.array([d for d, _ in out], pa.int64()), pa.array([i for _, i in out], pa.int32())], names=["doc_id", "line"])
+        return t.select(["doc_id", "line"]).take(pa.array(out, pa.int64()))
 
     return run
 
 
+def _kind(df: DataFrame) -> str:
+    """The type of the key of documents."""
+    return df.schema["doc_id"].dataType.simpleString()
+
+
 def _verified(met: DataFrame, texts: DataFrame, least_edit: int, every: int | None, scratch: Scratch) -> DataFrame:
     """(doc_id, line) of the pairs (doc_id, line, pd, pl) within the edit bound."""
     pairs = met.join(texts.select("doc_id", "line", F.col("text").alias("ta")), ["doc_id", "line"])
     pairs = pairs.join(texts.select(F.col("doc_id").alias("pd"), F.col("line").alias("pl"), F.col("text").alias("tb")), ["pd", "pl"])
-    return scratch.save(pairs.select("doc_id", "line", "ta", "tb").mapInArrow(_verifier(least_edit, every), "doc_id bigint, line int"), "near", BATCH)
+    return scratch.save(pairs.select("doc_id", "line", "ta", "tb").mapInArrow(_verifier(least_edit, every), f"doc_id {_kind(texts)}, line int"), "near", BATCH)
 
 
 def _near_long(texts: DataFrame, least_edit: int, every: int, min_chars: int | None, scratch: Scratch) -> list[DataFrame]:
     """(doc_id, line) of lines of which an earlier one is within the edit bound, the longer of 2 every units or more."""
-    kinds = "key bigint, lo int, hi int, n int, own boolean, doc_id bigint, line int"
+    kinds = f"key bigint, lo int, hi int, n int, own boolean, doc_id {_kind(texts)}, line int"
     rows = scratch.save(texts.mapInArrow(_grams(least_edit, every, min_chars), kinds), "grams", BATCH)
     me, at = F.struct("doc_id", "line"), ["doc_id", "line"]
     best = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "line", "n")).alias("p")).where("copies > 1").drop("copies")
@@ -361,7 +367,7 @@ def _near_long(texts: DataFrame, least_edit: int, every: int, min_chars: int | N
     asks = mine.join(scratch.small(many), "key").withColumn("i", part(1)).select("key", *at, "i", across.alias("j"), F.lit(True).alias("asked"), F.lit(False).alias("other"))
     others = rows.join(scratch.small(many), "key").withColumn("j", part(2)).select("key", *at, across.alias("i"), "j", F.lit(False).alias("asked"), F.lit(True).alias("other"))
     dealt = asks.unionByName(others).groupBy("key", "i", "j", *at).agg(F.max("asked").alias("asked"), F.max("other").alias("other")).join(texts, at)
-    met = dealt.groupBy("key", "i", "j").applyInArrow(_tile(least_edit, every), "doc_id bigint, line int")
+    met = dealt.groupBy("key", "i", "j").applyInArrow(_tile(least_edit, every), f"doc_id {_kind(texts)}, line int")
     tiled = scratch.save(met.distinct(), "tiled")
     scratch.drop(rows, first, left, mine, many)
     return [sure, more, tiled]
@@ -379,9 +385,9 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, least_edit: int, every: in
     chosen = distinct.where(F.col("n") >= (least_edit if min_chars is None else 1)).join(names, "name", "left_semi")
     chosen = scratch.save(chosen.groupBy("doc_id").agg(F.collect_list("line").alias("want")), "chosen")
     scratch.drop(keys)
-    texts = docs.join(scratch.small(chosen), "doc_id").select("doc_id", "text", "want").mapInArrow(_picker, "doc_id bigint, line int, text string")
+    texts = docs.join(scratch.small(chosen), "doc_id").select("doc_id", "text", "want").mapInArrow(_picker, f"doc_id {_kind(docs)}, line int, text string")
     texts = scratch.save(texts, "texts", BATCH)
-    rows = scratch.save(texts.mapInArrow(_variants(least_edit, every, min_chars), "key bigint, kind tinyint, doc_id bigint, line int"), "variants", BATCH)
+    rows = scratch.save(texts.mapInArrow(_variants(least_edit, every, min_chars), f"key bigint, kind tinyint, doc_id {_kind(docs)}, line int"), "variants", BATCH)
     me = F.struct("doc_id", "line")
     least = lambda k: F.min(F.when(F.col("kind") == k, me))
     best = rows.groupBy("key").agg(F.count("*").alias("n"), least(0).alias("whole"), least(1).alias("gone"), least(2).alias("changed")).where("n > 1").drop("n")
@@ -429,20 +435,34 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     characters (words joined by one space).
     Lines are judged on the input, so partners needn't be kept themselves.
     Lines of fewer than ``min_words`` words, empty ones among them, stay. White space between words doesn't count.
-    Null texts stay null and have no lines. Rows with a null id, and rows that repeat an id with another text, keep
-    their row; rows with a null id keep all their lines. Columns of the new names are replaced.
+    Null texts stay null and have no lines; an empty table gives an empty one. Rows with a null id keep all their lines. Rows
+    equal in id and text are in one place: neither is earlier, and both are cut alike. Of rows that repeat an id with another
+    text that with the smaller digest is earlier. Columns of the new names are replaced; all others stay.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_sha256")])
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    rows = scratch.save(d.mapInArrow(_line_rows(min_words, min_edit_words, False), "name bigint, check int, doc_id bigint, line int, n int"), "rows", BATCH)
+    docs = docs.withColumn(text, F.col(text).cast("string"))
+    key, kind = row_key(docs, doc_id, text)
+    d = docs.select(key.alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    if kind != "bigint":
+        d = d.dropDuplicates(["doc_id"])
+    rows = scratch.save(d.mapInArrow(_line_rows(min_words, min_edit_words, False), f"name bigint, check int, doc_id {kind}, line int, n int"), "rows", BATCH)
     distinct = rows.groupBy("name", "check").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.min("n").alias("n"), F.count("*").alias("copies"))
     distinct = scratch.save(distinct.select("name", "check", F.col("x.doc_id").alias("doc_id"), F.col("x.line").alias("line"), "n", "copies"), "distinct")
     first = distinct.where("copies > 1").select("name", "check", F.struct("doc_id", "line").alias("first"))
     again = rows.join(first, ["name", "check"]).where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
     gone = again.unionByName(_near_lines(d, distinct, min_edit_words, edit_every, min_chars, scratch))
-    gone = scratch.save(gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone")), "gone")
+    gone = scratch.save(gone.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("line").alias("g")), "gone")
     scratch.drop(rows, distinct)
-    out = docs.withColumn(text, F.col(text).cast("string")).join(scratch.small(gone), docs[doc_id].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "_gone")
-    return out.mapInArrow(_cutter(out.columns.index(text), out.columns.index("_gone")), f"{kinds}, n_lines bigint, n_removed bigint, kept_sha256 string")
+    # the input's columns travel in one struct, so that no name of theirs meets one of ours
+    out = docs.select(key.alias("k"), F.struct(*docs.columns).alias("row")).join(scratch.small(gone), "k", "left").select("row.*", F.col("g"))
+    names = [*docs.columns, _fresh("g", docs.columns)]
+    out = out.toDF(*names)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return out.mapInArrow(_cutter(names.index(text), len(names) - 1), f"{kinds}, n_lines bigint, n_removed bigint, kept_sha256 string")
+
+
+def _fresh(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
