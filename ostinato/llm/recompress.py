@@ -1,17 +1,19 @@
 """Substring deduplication by recompression.
 
-Rounds of recompression name pairs of adjacent symbols. A symbol belongs to the left or the right class by a bit of
-its name, and a left symbol followed by a right one is replaced by the name of the pair; names are fingerprints of
-the words below, so they are the same in all documents without a dictionary, and a round is a narrow map. Whether
-two symbols join depends on them alone, so equal stretches of words get equal symbols but for a few words at their
-edges: after two rounds a symbol has at most four words, and is determined by those and by three words to its left
-and five from its start to its right. Runs of one symbol are named once.
-
-Every window of 20 words therefore holds a symbol that depends on the window alone. A symbol is taken together with the
-eight words that determine it, which makes it rare in unlike text; the least by hash stands for the window. Only symbols that occur more than once in all documents can belong to a repeated window; they are found by one
-pre-aggregated count. The stretch of windows that a symbol stands for is itself named, as a symbol of a higher level:
-equal names verify a repeat of the whole stretch, and only where a symbol stands in unlike stretches, at the edges of
-repeats, are their windows compared one by one.
+A round of recompression names runs of one symbol, then pairs of adjacent symbols: a symbol belongs to the left or the
+right class by a bit of its name, and a run of a left symbol followed by a run of a right one gets the name of the pair.
+Names are fingerprints of the round and of the names below, so they are the same in all documents without a dictionary,
+and rounds are a narrow map. Whether two symbols join depends on them alone: a symbol is determined by its own words and one
+symbol beside it on each side in every round, so equal stretches of words get equal symbols but for some at their edges.
+
+Long repeats: rounds go on until symbols are longer than a window, LONG words or more. Spark counts their names over all
+documents; an occurrence of a shared symbol that isn't the first one is a verified repeat of all its windows.
+
+Edges of repeats, and short ones: every other window of 20 words is represented by symbols that it determines by itself, UNITS of
+them in a row, of the highest level that the window holds, the least by hash. Windows represented by the same occurrence make a
+stretch. Only symbols that occur more than once in all documents can belong to a repeated window; one pre-aggregated
+count finds them. The words of a stretch are named as one symbol more: equal names verify a repeat of the whole stretch, and
+only where the symbols stand in unlike stretches are their windows compared one by one.
 """
 
 from __future__ import annotations
@@ -24,81 +26,166 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._scratch import Scratch
+from ._scratch import Scratch, row_key
 
-WINDOW, ROUNDS = 20, 2
-#: Words, left of a symbol's start and right from it, that determine it after two rounds.
-LEFT, RIGHT = 3, 5
+WINDOW = 20
+#: Words from which on a symbol is long and joins no other.
+LONG = 32
+#: Symbols in a row that represent a window, by their level (0: words).
+UNITS = (6, 5, 4)
 BATCH = 500
-_MAX = np.uint64(2**64 - 1)
-
-
-def symbols(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word and name of each symbol after ROUNDS rounds; no symbol crosses the end of a document."""
-    at, name = np.arange(len(h)), h
-    first = np.zeros(len(h) + 1, bool)
-    first[docs] = True
-    for r in range(1, ROUNDS + 1):
-        if len(name) < 2:
-            break
-        left = (W.mix(name ^ np.uint64(r * 0x632BE59BD9B4E019 % 2**64)) & np.uint64(1)).astype(bool)
-        pair = left[:-1] & ~left[1:] & ~first[at[1:]]
-        with np.errstate(over="ignore"):
-            named = W.mix(name[:-1] * np.uint64(0x9FB21C651E98DF25) + name[1:] + np.uint64(r))
-        name = np.where(np.append(pair, False), np.append(named, np.uint64(0)), name)
-        keep = ~np.append(False, pair)
-        at, name = at[keep], name[keep]
-    return at, name
-
-
-def anchors(h: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, end, name, self-repeating) of stretches of windows that one symbol, or a run of equal ones, stands for."""
+_U = np.uint64
+
+
+class Level:
+    """Symbols after some rounds: first word, name, and the words from lo to hi that determine it.
+
+    A symbol whose edge a document's end decides has a lo or hi outside of the document: no window determines it.
+    """
+
+    def __init__(self, at: np.ndarray, name: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        self.at, self.name, self.lo, self.hi = at, name, lo, hi
+
+
+def _round(x: Level, docs: np.ndarray, r: int, most: int | None = None) -> Level:
+    """One round over the symbols of all documents (first words in docs): runs, then pairs. With most, symbols of so many words stay."""
+    at, name = x.at, x.name
+    n = len(at)
+    first = np.zeros(n + 1, bool)
+    first[np.searchsorted(at, docs)] = True
+    free = ~first[1:n]  # between a symbol and the next one
+    if most is not None:
+        small = np.diff(np.append(at, docs[-1])) < most
+        free &= small[:-1] & small[1:]
+    with np.errstate(over="ignore"):
+        right = (W.mix(name ^ (_U(r) * _U(0x632BE59BD9B4E019))) & _U(1)).astype(bool)
+        equal = (name[1:] == name[:-1]) & free
+        pair = ~right[:-1] & right[1:] & free
+        run = np.flatnonzero(np.append(True, ~equal))  # first symbol of each run
+        length = np.diff(np.append(run, n)).astype(_U)
+        named = np.where(length > 1, W.mix(name[run] * _U(0xC2B2AE3D27D4EB4F) + length * _U(0x165667B19E3779F9) + _U(r)), name[run])
+        tied = np.append(pair[run[1:] - 1], False)  # a run with the next one
+        both = W.mix(named[:-1] * _U(0x9FB21C651E98DF25) + named[1:] + _U(r))
+    named = np.where(tied, np.append(both, _U(0)), named)
+    keep = np.append(True, ~tied[:-1])
+    start, named = run[keep], named[keep]
+    end = np.append(start[1:], n)
+    lo = np.where(first[start], at[start] - 1, x.lo[start - 1])
+    hi = np.where(first[end], np.append(at, docs[-1])[end] + 1, x.hi[np.minimum(end, n - 1)])
+    return Level(at[start], named, lo, hi)
+
+
+def symbols(h: np.ndarray, docs: np.ndarray) -> list[Level]:
+    """Levels 0 to len(UNITS) - 1 of the words h of documents with first words docs[:-1]; no symbol crosses the end of a document."""
+    i = np.arange(len(h))
+    out = [Level(i, h, i, i + 1)]
+    for r in range(1, len(UNITS)):
+        out.append(_round(out[-1], docs, r) if len(h) else out[-1])
+    return out
+
+
+def long_symbols(h: np.ndarray, docs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end, name) of symbols of ``least`` words or more, after as many rounds as it takes."""
+    i = np.arange(len(h))
+    x, r, still = Level(i, h, i, i), 0, 0
+    while len(x.at) and still < 8:  # a round that joins nothing may be chance: other bits follow
+        r, before = r + 1, len(x.at)
+        x = _round(x, docs, r, LONG)
+        still = still + 1 if len(x.at) > 0.99 * before else 0
+    end = np.append(x.at[1:], docs[-1])[: len(x.at)]
+    long = end - x.at >= least
+    return x.at[long], end[long], x.name[long]
+
+
+def _least(value: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of value[a:b] for each of many ranges that aren't empty, by doubling."""
+    out = np.zeros(len(a), value.dtype)
+    size = (b - a).astype(np.int64)
+    step, k = 1, 0
+    while len(a):
+        mine = np.flatnonzero((size >= step) & (size < 2 * step))
+        out[mine] = np.minimum(value[a[mine]], value[b[mine] - step])
+        if not (size >= 2 * step).any():
+            return out
+        value = np.minimum(value[:-step], value[step:])
+        step, k = 2 * step, k + 1
+    return out
+
+
+def anchors(h: np.ndarray, docs: np.ndarray, window: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, end, name) of stretches of windows that one occurrence of some symbols in a row represents.
+
+    skip: whether a window takes no part. Two equal windows are never in one stretch: their symbols stand in unlike places.
+    """
     n = len(h)
-    none = np.zeros(0, np.int64)
-    if n < window:
-        return none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
-    at, _ = symbols(h, docs)
-    at = at[(at >= LEFT) & (at + RIGHT <= n)]
-    value = np.full(n, _MAX)
-    value[at] = np.minimum(W.grams(h, LEFT + RIGHT)[at - LEFT], _MAX - np.uint64(1))
-    reach = window - LEFT - RIGHT + 1  # starts of usable symbols in a window
-    low, size = value[LEFT:], 1
-    while 2 * size <= reach:
-        low, size = np.minimum(low[:-size], low[size:]), 2 * size
-    if size < reach:
-        low = np.minimum(low[: len(low) - (reach - size)], low[reach - size :])
-    low = low[: n - window + 1]
-    inside = np.zeros(n - window + 1, bool)
+    inside = np.zeros(max(0, n - window + 1), bool)
     for a, b in zip(docs[:-1].tolist(), docs[1:].tolist(), strict=True):
         inside[a : max(a, b - window + 1)] = True
+    if skip is not None:
+        inside &= ~skip[: len(inside)]
     w = np.flatnonzero(inside)
     if not len(w):
-        return none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
-    new = np.append(True, (low[w[1:]] != low[w[:-1]]) | (w[1:] != w[:-1] + 1))
+        return w, w, np.zeros(0, _U)
+    place, name = np.full(len(w), -1, np.int64), np.zeros(len(w), _U)
+    levels = symbols(h, docs)
+    for r in range(len(UNITS) - 1, -1, -1):
+        x, k = levels[r], UNITS[r]
+        if len(x.at) < k:
+            continue
+        units = W.mix(W.grams(x.name, k) ^ (_U(r + 1) * _U(0x2545F4914F6CDD1D % 2**63)))
+        lo, hi = x.lo[: len(units)], x.hi[k - 1 :]
+        todo = np.flatnonzero(place < 0)
+        a = np.searchsorted(lo, w[todo], "left")
+        b = np.searchsorted(hi, w[todo] + window, "right")
+        held = b > a
+        todo, a, b = todo[held], a[held], b[held]
+        # the upper half of a name, then the place: of equal names the first in the window
+        best = (_least((units & ~_U(0xFFFFFFFF)) | np.arange(len(units), dtype=_U), a, b) & _U(0xFFFFFFFF)).astype(np.int64)
+        place[todo], name[todo] = best * len(UNITS) + r, units[best]
+    new = np.append(True, (place[1:] != place[:-1]) | (w[1:] != w[:-1] + 1))
     s = np.flatnonzero(new)
-    s, e = w[s], w[np.append(s[1:], len(w)) - 1] + 1
-    name = low[s]
-    # the symbol stands in a stretch more than once: surely if the stretch is too long for one, else by a look
-    seen = np.zeros(len(s), np.int8)
-    for i in range(2 * reach - 1):
-        p = s + LEFT + i
-        seen += (value[np.minimum(p, n - 1)] == name) & (p < e + window - RIGHT)
-    return s, e, name, (e - s > reach) | (seen > 1)
+    return w[s], w[np.append(s[1:], len(w)) - 1] + 1, name[s]
+
+
+def _skipped(known: pa.Array, lo: int, docs: np.ndarray, window: int) -> np.ndarray:
+    """The windows inside verified repeats, from lists [start, end, start, end, ...] of words of each document from row lo on."""
+    part = known.slice(lo, len(docs) - 1)
+    n = np.asarray(part.value_lengths().fill_null(0)).astype(np.int64)
+    at = np.asarray(part.flatten()).astype(np.int64) + np.repeat(docs[:-1], n)
+    edge = np.zeros(int(docs[-1]) + 2, np.int64)
+    np.add.at(edge, at[0::2], 1)
+    np.add.at(edge, at[1::2] - window + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _long_rows(window: int):
+    """Long symbols: name, a second fingerprint of the words, place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, offs in W.chunks(batch.column(1)):
+                w = W.Words(data, offs, W.SPACED)
+                h = w.hashes()
+                s, e, name = long_symbols(h, w.docs, window)
+                check = (W.runs(W.mix(h ^ _U(0x5DEECE66D)), s, e) >> _U(33)).astype(np.int32)
+                d = np.searchsorted(w.docs, s, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check), batch.column(0).take(pa.array(lo + d)), pa.array((s - w.docs[d]).astype(np.int32)), pa.array((e - w.docs[d]).astype(np.int32))], ["name", "check", "doc_id", "start", "end"])
+
+    return run
 
 
 def _anchor_rows(window: int):
-    """Stretches of windows with their symbol, their place, all their words as one fingerprint, and whether they repeat in themselves."""
+    """Stretches of windows with their symbol, their place, and all their words as one fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
             for lo, _, data, offs in W.chunks(batch.column(1)):
                 w = W.Words(data, offs, W.SPACED)
                 h = w.hashes()
-                s, e, name, again = anchors(h, w.docs, window)
+                s, e, name = anchors(h, w.docs, window, _skipped(batch.column(2), lo, w.docs, window))
                 d = np.searchsorted(w.docs, s, "right") - 1
                 content = W.runs(h, s, e + window - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[lo + d]), pa.array((s - w.docs[d]).astype(np.int32)), pa.array(again.astype(np.int8))], ["symbol", "content", "doc_id", "start", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(pa.array(lo + d)), pa.array((s - w.docs[d]).astype(np.int32))], ["symbol", "content", "doc_id", "start"])
 
     return run
 
@@ -108,18 +195,17 @@ def _window_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts = np.asarray(batch.column(0)), batch.column(2)
             for lo, _, data, offs in W.chunks(batch.column(1)):
                 w = W.Words(data, offs, W.SPACED)
                 h = w.hashes()
-                s, e, name, _ = anchors(h, w.docs, window)
-                pick = _picked(s, w.docs, starts, lo)
+                s, e, name = anchors(h, w.docs, window, _skipped(batch.column(2), lo, w.docs, window))
+                pick = _picked(s, w.docs, batch.column(3), lo)
                 s, e, name = s[pick], e[pick], name[pick]
                 n = e - s
                 at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 full = W.grams(h, window)
                 d = np.searchsorted(w.docs, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(full[at].view(np.int64) if len(at) else np.zeros(0, np.int64)), pa.array((np.repeat(name, n) >> np.uint64(33)).astype(np.int32)), pa.array(ids[lo + d]), pa.array((at - w.docs[d]).astype(np.int32))], ["window", "check", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(full[at].view(np.int64) if len(at) else np.zeros(0, np.int64)), pa.array((np.repeat(name, n) >> _U(33)).astype(np.int32)), batch.column(0).take(pa.array(lo + d)), pa.array((at - w.docs[d]).astype(np.int32))], ["window", "check", "doc_id", "start"])
 
     return run
 
@@ -130,8 +216,7 @@ def _picked(s: np.ndarray, docs: np.ndarray, starts: pa.Array, lo: int) -> np.nd
     n = np.asarray(part.value_lengths().fill_null(0)).astype(np.int64)
     want = np.asarray(part.flatten()).astype(np.int64) + np.repeat(docs[:-1], n)
     want.sort()
-    at = np.searchsorted(s, want)
-    return at
+    return np.searchsorted(s, want)
 
 
 def _removed(window: int, texts: bool):
@@ -140,16 +225,16 @@ def _removed(window: int, texts: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, first, mixed, firsts = (batch.column(i) for i in (2, 3, 4, 5))
-            copy = np.asarray(batch.column(6).fill_null(False).cast(pa.int8())).astype(bool)
+            known, shared, first, mixed, firsts = (batch.column(i) for i in (2, 3, 4, 5, 6))
+            copy = np.asarray(batch.column(7).fill_null(False).cast(pa.int8())).astype(bool)
             n_words, n_removed, digest, kept = [], [], [], []
             for lo, hi, data, offs in W.chunks(batch.column(1)):
                 w = W.Words(data, offs, W.SPACED)
                 n = np.diff(w.docs)
                 gone = np.zeros(len(w) + 1, np.int64)
-                busy = np.asarray(shared.slice(lo, hi - lo).value_lengths().fill_null(0)) > 0
-                if busy.any():
-                    s, e, _, _ = anchors(w.hashes(), w.docs, window)
+                if any(np.asarray(c.slice(lo, hi - lo).value_lengths().fill_null(0)).any() for c in (known, shared)):
+                    skip = _skipped(known, lo, w.docs, window)
+                    s, e, _ = anchors(w.hashes(), w.docs, window, skip)
                     gone_too = np.zeros(len(s), bool)
                     for column, value in ((shared, True), (first, False), (mixed, True)):
                         gone_too[_picked(s, w.docs, column, lo)] = value
@@ -159,7 +244,7 @@ def _removed(window: int, texts: bool):
                     f = firsts.slice(lo, hi - lo)
                     k = np.asarray(f.value_lengths().fill_null(0)).astype(np.int64)
                     mark[np.asarray(f.flatten()).astype(np.int64) + np.repeat(w.docs[:-1], k)] = False
-                    at = np.flatnonzero(mark)
+                    at = np.flatnonzero(mark | skip[: len(mark)])
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + window, -1)
                 keep = np.cumsum(gone[:-1]) == 0
@@ -187,38 +272,52 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
 
     Words are what stands between white space, unchanged. A word goes if a window of ``window`` consecutive words covers it
     whose sequence also starts earlier: in a smaller doc_id, or earlier in the same document. Windows are judged on the input.
-    Null and empty texts have no words. A document equal, as a text, to one of a smaller id goes whole without a comparison of
-    its windows. Ids are taken to be unique; rows with a null id can't be ordered: they keep all their words and their row.
-    Windows are compared by 95 bits of fingerprint.
+    Null and empty texts have no words; an empty table gives an empty one. A document equal, as a text, to one of a smaller id
+    goes whole without a comparison of its windows. Rows equal in id and text are one document: they are judged alike, and
+    none repeats the other. Of rows that repeat an id with another text that with the smaller digest is earlier. Rows with a
+    null id can't be ordered: they keep all their words and their row. Names and windows are compared by 95 bits of fingerprint.
     """
-    if window < LEFT + RIGHT + 4:
-        raise ValueError(f"window must be at least {LEFT + RIGHT + 4}")
+    if window < max(UNITS) or window > LONG:
+        raise ValueError(f"window must be from {max(UNITS)} to {LONG}")
     scratch = Scratch(docs.sparkSession, "recompress")
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    own, kind = row_key(docs, "id", "text")
+    d = docs.select(own.alias("doc_id"), "id", "text")
     key = d.select("doc_id", F.unhex(F.md5("text")).alias("key")).where("doc_id is not null and key is not null")
     first = key.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = scratch.save(key.join(first, "key").where("doc_id > first").select("doc_id").distinct(), "copies")
-    origin = d.where("doc_id is not null").join(copies, "doc_id", "left_anti")
+    origin = d.select("doc_id", "text").where("doc_id is not null").join(scratch.small(copies), "doc_id", "left_anti")
+    if kind != "bigint":
+        origin = origin.dropDuplicates(["doc_id"])
+
+    place = F.struct("doc_id", "start")
+    long = scratch.save(origin.mapInArrow(_long_rows(window), f"name bigint, check int, doc_id {kind}, start int, end int"), "long", BATCH)
+    first = long.groupBy("name", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    known = long.join(first, ["name", "check"]).where(place > F.col("first"))
+    known = scratch.save(known.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("known")), "known")
+    scratch.drop(long)
 
-    rows = origin.mapInArrow(_anchor_rows(window), "symbol bigint, content bigint, doc_id bigint, start int, again tinyint")
+    rows = origin.join(scratch.small(known), "doc_id", "left").select("doc_id", "text", "known").mapInArrow(_anchor_rows(window), f"symbol bigint, content bigint, doc_id {kind}, start int")
     rows = scratch.save(rows, "stretches", BATCH)
-    twice = rows.groupBy("symbol").agg(F.sum(F.lit(1) + F.col("again")).alias("n")).where("n > 1").select("symbol")
+    twice = rows.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol")
     shared = scratch.save(rows.join(twice, "symbol"), "shared")
     scratch.drop(rows)
     # of equal stretches all but the first go whole; first ones are compared by windows where a symbol stands in unlike ones
-    unlike = shared.groupBy("symbol").agg(((F.min("content") < F.max("content")) | (F.max("again") > 0)).alias("mixed"))
-    first = shared.groupBy("symbol", "content").agg(F.min(F.struct("doc_id", "start")).alias("x")).join(unlike, "symbol")
+    unlike = shared.groupBy("symbol").agg((F.min("content") < F.max("content")).alias("mixed"))
+    first = shared.groupBy("symbol", "content").agg(F.min(place).alias("x")).join(unlike, "symbol")
     first = first.groupBy("x.doc_id").agg(F.collect_list("x.start").alias("first"), F.collect_list(F.when(F.col("mixed"), F.col("x.start"))).alias("mixed"))
-    stretches = shared.groupBy("doc_id").agg(F.collect_list("start").alias("shared"))
-    stretches = scratch.save(stretches.join(first, "doc_id", "left"), "by-document")
+    stretches = shared.groupBy("doc_id").agg(F.collect_list("start").alias("shared")).join(first, "doc_id", "left")
+    stretches = scratch.save(stretches.join(known, "doc_id", "full").select("doc_id", "known", "shared", "first", "mixed"), "by-document")
     scratch.drop(shared)
 
-    some = stretches.where(F.size("mixed") > 0).select("doc_id", "mixed")
-    windows = origin.join(some, "doc_id").select("doc_id", "text", "mixed").mapInArrow(_window_rows(window), "window bigint, check int, doc_id bigint, start int")
-    firsts = windows.groupBy("window", "check").agg(F.min(F.struct("doc_id", "start")).alias("x"))
+    some = scratch.save(stretches.where(F.size("mixed") > 0).select("doc_id", "known", "mixed"), "mixed")
+    windows = origin.join(scratch.small(some), "doc_id").select("doc_id", "text", "known", "mixed").mapInArrow(_window_rows(window), f"window bigint, check int, doc_id {kind}, start int")
+    firsts = windows.groupBy("window", "check").agg(F.min(place).alias("x"))
     firsts = scratch.save(firsts.groupBy("x.doc_id").agg(F.collect_list("x.start").alias("firsts")), "firsts", BATCH)
-    none = [F.lit(None).cast("array<int>").alias(c) for c in ("shared", "first", "mixed", "firsts")]
+    scratch.drop(some, known)
+    none = [F.lit(None).cast("array<int>").alias(c) for c in ("known", "shared", "first", "mixed", "firsts")]
     marks = stretches.join(firsts, "doc_id", "left").withColumn("copy", F.lit(False))
-    marks = marks.unionByName(copies.select("doc_id", *none, F.lit(True).alias("copy")))
-    out = d.join(marks, "doc_id", "left").select("doc_id", "text", "shared", "first", "mixed", "firsts", "copy")
+    marks = scratch.save(marks.unionByName(copies.select("doc_id", *none, F.lit(True).alias("copy"))), "marks")
+    scratch.drop(stretches, firsts, copies)
+    out = d.join(scratch.small(marks), "doc_id", "left").select("id", "text", "known", "shared", "first", "mixed", "firsts", "copy")
     return out.mapInArrow(_removed(window, texts), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
