@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch
+from ._scratch import SMALL_BYTES, Scratch
 
 #: Bytes of an archive file before the next is begun, and of a read.
 SEGMENT, BLOCK = 32 << 20, 1 << 16
+#: Copies of a payload beyond which its pages are spread over tasks.
+HOT = 1000
 RECORD_ID = "urn:page:"
 
 
@@ -45,12 +47,12 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, digest: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str) -> bytes:
     """One record as a gzip member. A revisit keeps the response's HTTP headers and no body."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{RECORD_ID}{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{f'urn:uuid:{uuid.uuid4()}' if page_id is None else f'{RECORD_ID}{page_id}'}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     head += [f"WARC-Target-URI: {target}"] * bool(target)
     if refers_to is not None:
         head += [f"WARC-Refers-To: <{RECORD_ID}{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -99,7 +101,7 @@ def parse(member: bytes) -> dict:
     kind = h.get("warc-type", "")
     if kind == "response" and (length != len(payload) or digest and digest != digest_of(payload)):
         raise Corrupt("payload digest")
-    ident = lambda k: int(h[k].strip("<>").removeprefix(RECORD_ID)) if k in h else None
+    ident = lambda k: int(x.removeprefix(RECORD_ID)) if (x := h.get(k, "").strip("<>")).startswith(RECORD_ID) else None
     return {"page_id": ident("warc-record-id"), "url": h.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": ident("warc-refers-to")}
 
 
@@ -132,17 +134,31 @@ def write(pages: DataFrame, root: str, min_bytes: int = 0, page_id: str = "page_
     """Archives of all pages under a shared folder; returns a lazy manifest (path, records). Materialise it once.
 
     The payload is the html in UTF-8, a null one is empty. Of records with equal payloads of at least min_bytes bytes that
-    with the smallest page_id is the response and the others revisits; smaller payloads are all responses. Rows with a null
-    id can't be named and are left out; of rows that repeat an id and payload each is written, as a response if the id is
-    the smallest of its payload. No pages, no files.
+    with the smallest page_id is the response and the others revisits; smaller payloads are all responses. A row with a null id
+    gets a record of a random name: it is read back with a null id, never referred to, and a revisit where a row with an id has
+    its payload. Of rows that repeat an id and payload each is written, as a response if the id is the smallest of its payload.
+    No pages, no files; columns other than the three are not written.
+
+    Only digests and ids are shuffled to find the first of each payload. Pages meet that table by a broadcast where its files
+    are small; else by a join in which pages of payloads with more than HOT copies take their first from a broadcast table (there
+    are at most one in HOT rows of them) and are spread over all tasks.
     """
-    p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")).where("page_id is not null")
-    p = p.withColumn("digest", F.sha2("html", 256))
+    scratch = Scratch(pages.sparkSession, "warc-first")
+    p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
+    p = p.withColumn("digest", F.unhex(F.sha2("html", 256)))
     long = F.octet_length("html") >= min_bytes
-    first = p.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    ref = F.when(long & (F.col("first") < F.col("page_id")), F.col("first"))
-    p = p.join(first, "digest", "left").select("page_id", "url", "html", ref.alias("refers_to"))
-    return p.mapInArrow(_writer(root), "path string, records bigint")
+    first = p.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    first = scratch.save(first, "first")
+    ref = F.when(long & (F.col("page_id").isNull() | (F.col("first") < F.col("page_id"))), F.col("first")).alias("refers_to")
+    if scratch.size(first) <= SMALL_BYTES:
+        out = p.join(F.broadcast(first), "digest", "left")
+    else:
+        hot = scratch.small(scratch.save(first.where(F.col("n") > HOT).select("digest", F.col("first").alias("hot")), "hot"))
+        cold = first.where(F.col("n") <= HOT).select(F.col("digest").alias("key"), "first")
+        p = p.join(hot, "digest", "left")
+        spread = F.concat("digest", F.xxhash64("page_id", "url").cast("string").cast("binary"))
+        out = p.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(spread)).join(cold, "key", "left").withColumn("first", F.coalesce("hot", "first"))
+    return out.select("page_id", "url", "html", ref).mapInArrow(_writer(root), "path string, records bigint")
 
 
 def _reader(payloads: bool):
