@@ -1,101 +1,120 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The automaton of the normalised items is built once for a shard of bounded size and broadcast; documents
-stream through it, and the length of the longest match that ends at each word tells which words lie in an
-occurrence of a window. Before the automaton sees a word, a vectorised test drops the words that no
-occurrence can hold: a match of two words or more needs every adjacent pair in it to be adjacent in some
-item. Documents are never shuffled.
+Automata of the normalised items are built on the driver, each from a shard of bounded size, and broadcast as flat
+arrays; documents stream through all of them in one pass, and the length of the longest match that ends at each
+word tells which words lie in an occurrence of a window. Before an automaton sees a word, a vectorised test drops
+the words that no occurrence can hold: a match of two words or more needs every adjacent pair in it to be adjacent
+in some item. Documents are never shuffled.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _words as W
 from ._scratch import Scratch
 
 WINDOW = 10
-#: Words of items in one automaton: some 70 MB in a worker. More items make more automata, one pass each.
-SHARD_WORDS = 100_000
+#: Words of items in one automaton: some 130 MB on the driver while it is built, 10 MB in a worker. And automata in one pass over
+#: the documents, some 320 MB in a worker: only suites of more than 8 M words make a second pass.
+SHARD_WORDS, SHARDS = 250_000, 32
 
 SPANS = "array<struct<word_start:int,word_end:int,byte_start:int,byte_end:int>>"
 
 
 class Automaton:
-    """All substrings of some word sequences, with the items whose windows end in each state."""
+    """All substrings of some word sequences, with the items whose windows end in each state.
+
+    It is built with a dictionary for each state and kept as flat arrays, 40 bytes or so for a word: transitions sorted by state
+    and code, suffix links, lengths, and the items of states. Items are numbers; their names stay with the caller.
+    """
 
     def __init__(self, items: list[tuple[int, np.ndarray]], window: int):
         self.window = window
         self.vocab = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, np.uint64)
         coded = [(k, np.searchsorted(self.vocab, h).tolist()) for k, h in items if len(h)]
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        for _, codes in coded:
-            last = 0
-            for c in codes:
-                last = self._extend(last, c)
+        nxt, link, length = self._build([c for _, c in coded])
         v = max(1, len(self.vocab))
         pairs = [np.asarray(c[:-1], np.int64) * v + np.asarray(c[1:], np.int64) for _, c in coded if len(c) > 1]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         self.least = min([window, *(len(c) for _, c in coded)])
-        self.items: dict[int, set[int]] = {}
-        self.short: dict[int, list[tuple[int, int]]] = {}
+
+        def holding(state: int, n: int) -> int:
+            """The state of the last n words of the longest match of a state."""
+            while length[link[state]] >= n:
+                state = link[state]
+            return state
+
+        whole: dict[int, set[int]] = {}
+        short: dict[int, list[tuple[int, int]]] = {}
         for k, codes in coded:
             state = 0
             for i, c in enumerate(codes):
-                state = self.next[state][c]
+                state = nxt[state][c]
                 if i + 1 >= window:
-                    self.items.setdefault(self._holding(state, window), set()).add(k)
+                    whole.setdefault(holding(state, window), set()).add(k)
             if len(codes) < window:
-                self.short.setdefault(self._holding(state, len(codes)), []).append((len(codes), k))
-        self.items = {s: sorted(x) for s, x in self.items.items()}
+                short.setdefault(holding(state, len(codes)), []).append((len(codes), k))
         # by rising length, so that a state's shorter suffixes are known before it
-        self.has_short = [False] * len(self.next)
-        self.window_state = [-1] * len(self.next)
-        for s in sorted(range(len(self.next)), key=self.length.__getitem__):
-            up = self.link[s]
-            self.has_short[s] = s in self.short or (up >= 0 and self.has_short[up])
-            if self.length[s] >= window:
-                self.window_state[s] = self.window_state[up] if self.length[up] >= window else s
-
-    def _holding(self, state: int, n: int) -> int:
-        """The state of the last n words of the longest match of a state."""
-        while self.length[self.link[state]] >= n:
-            state = self.link[state]
-        return state
-
-    def _split(self, p: int, c: int, q: int) -> int:
-        twin = len(self.next)
-        self.next.append(dict(self.next[q]))
-        self.length.append(self.length[p] + 1)
-        self.link.append(self.link[q])
-        self.link[q] = twin
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = twin
-            p = self.link[p]
-        return twin
-
-    def _extend(self, last: int, c: int) -> int:
-        q = self.next[last].get(c)
-        if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
-        state = len(self.next)
-        self.next.append({})
-        self.length.append(self.length[last] + 1)
-        self.link.append(0)
-        p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = state
-            p = self.link[p]
-        if p >= 0:
-            q = self.next[p][c]
-            self.link[state] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
-        return state
+        n = len(nxt)
+        has_short, window_state = np.zeros(n, bool), np.full(n, -1, np.int32)
+        for s in sorted(range(n), key=length.__getitem__):
+            up = link[s]
+            has_short[s] = s in short or (up >= 0 and has_short[up])
+            if length[s] >= window:
+                window_state[s] = window_state[up] if length[up] >= window else s
+        self.at = np.concatenate([[0], np.cumsum([len(d) for d in nxt])]).astype(np.int32)
+        order = [sorted(d) for d in nxt]
+        self.code = np.fromiter((c for o in order for c in o), np.int32, int(self.at[-1]))
+        self.to = np.fromiter((d[c] for d, o in zip(nxt, order, strict=True) for c in o), np.int32, int(self.at[-1]))
+        self.link, self.length, self.window_state, self.has_short = np.array(link, np.int32), np.array(length, np.int32), window_state, has_short
+        self.whole, self.short = {s: sorted(x) for s, x in whole.items()}, short
+
+    @staticmethod
+    def _build(sequences: list[list[int]]) -> tuple[list[dict[int, int]], list[int], list[int]]:
+        """Transitions, suffix links and lengths of the states."""
+        nxt: list[dict[int, int]] = [{}]
+        link, length = [-1], [0]
+
+        def split(p: int, c: int, q: int) -> int:
+            twin = len(nxt)
+            nxt.append(dict(nxt[q]))
+            length.append(length[p] + 1)
+            link.append(link[q])
+            link[q] = twin
+            while p >= 0 and nxt[p].get(c) == q:
+                nxt[p][c] = twin
+                p = link[p]
+            return twin
+
+        for codes in sequences:
+            last = 0
+            for c in codes:
+                q = nxt[last].get(c)
+                if q is not None:
+                    last = q if length[q] == length[last] + 1 else split(last, c, q)
+                    continue
+                state = len(nxt)
+                nxt.append({})
+                length.append(length[last] + 1)
+                link.append(0)
+                p = last
+                while p >= 0 and c not in nxt[p]:
+                    nxt[p][c] = state
+                    p = link[p]
+                if p >= 0:
+                    q = nxt[p][c]
+                    link[state] = q if length[q] == length[p] + 1 else split(p, c, q)
+                last = state
+        return nxt, link, length
 
     def codes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of words, and whether each is a word of the items."""
@@ -123,20 +142,24 @@ class Automaton:
 
     def stream(self, codes: list[int]) -> Iterator[tuple[int, int, list[int]]]:
         """(first word, end, items) of each window that occurs, in order of their ends."""
-        nxt, link, length, window, at = self.next, self.link, self.length, self.window, self.window_state
+        first, code, to, link, length = (memoryview(x) for x in (self.at, self.code, self.to, self.link, self.length))
+        window, has_short, window_state = self.window, self.has_short, self.window_state
         state = n = 0
         for i, c in enumerate(codes):
-            while state and c not in nxt[state]:
+            while True:
+                lo, hi = first[state], first[state + 1]
+                j = bisect_left(code, c, lo, hi)
+                if j < hi and code[j] == c:
+                    state, n = to[j], n + 1
+                    break
+                if not state:
+                    n = 0
+                    break
                 state = link[state]
                 n = length[state]
-            to = nxt[state].get(c)
-            if to is None:
-                state = n = 0
-                continue
-            state, n = to, n + 1
             if n >= window:
-                yield i + 1 - window, i + 1, self.items[at[state]]
-            if self.has_short[state]:
+                yield i + 1 - window, i + 1, self.whole[int(window_state[state])]
+            if n and has_short[state]:
                 q = state
                 while q > 0:
                     for m, k in self.short.get(q, ()):
@@ -145,68 +168,78 @@ class Automaton:
                     q = link[q]
 
 
-def _item_words(ids: list[int], texts: list[str | None]) -> list[tuple[int, np.ndarray]]:
+def _item_words(texts: list[str | None]) -> list[np.ndarray]:
     out = []
-    for lo, _, data, offs in W.chunks(pa.array(texts, pa.large_string())):
+    for _, _, data, offs in W.chunks(pa.array(texts, pa.large_string())):
         w = W.Words(data, offs, W.ALNUM, W.LOWER)
         h = w.hashes()
-        out += [(ids[lo + d], h[w.docs[d] : w.docs[d + 1]]) for d in range(len(offs) - 1)]
+        out += [h[a:b] for a, b in zip(w.docs[:-1].tolist(), w.docs[1:].tolist(), strict=True)]
     return out
 
 
-def _shards(items: DataFrame, item_id: str, item_text: str, window: int, shard_words: int) -> Iterator[Automaton]:
-    """Automata of bounded size; the driver holds one shard of items at a time."""
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
-    ids: list[int] = []
-    texts: list[str] = []
+def _pieces(h: np.ndarray, window: int, most: int) -> Iterator[np.ndarray]:
+    """A long item in pieces of ``most`` words that overlap by all but one of a window: no window is lost."""
+    at, most = 0, max(most, 2 * window)
+    while len(h) - at > most:
+        yield h[at : at + most]
+        at += most - window + 1
+    yield h[at:]
+
+
+def _shards(items: DataFrame, item_id: str, item_text: str, window: int, shard_words: int) -> Iterator[tuple[Automaton, list]]:
+    """Automata of bounded size with the names of their items; the driver holds one shard of items at a time."""
+    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
+    held: list[tuple[int, np.ndarray]] = []
+    names: list = []
     size = 0
     for r in rows.toLocalIterator():
-        ids.append(r.i)
-        texts.append(r.t)
-        size += r.t.count(" ") + 1
-        if size >= shard_words:
-            yield Automaton(_item_words(ids, texts), window)
-            ids, texts, size = [], [], 0
-    yield Automaton(_item_words(ids, texts), window)
+        for h in _pieces(_item_words([r.t])[0], window, shard_words):
+            if not len(h):
+                continue
+            held.append((len(names), h))
+            names.append(r.i)
+            size += len(h)
+            if size >= shard_words:
+                yield Automaton(held, window), names
+                held, names, size = [], [], 0
+    yield Automaton(held, window), names
 
 
-def _matcher(shard, text_at: int, n_in: int, more: bool):
-    """A function over Arrow batches that adds n_words, spans and items, or extends them."""
+def _matcher(shards: list, text_at: int, n_in: int, more: bool, item_type: pa.DataType):
+    """A function over Arrow batches that adds n_words, spans and items, or extends them: one pass for all automata."""
+    keys = ("word_start", "word_end", "byte_start", "byte_end")
+    kind = pa.list_(pa.struct([(x, pa.int32()) for x in keys]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto: Automaton = shard.value
+        loaded: list[tuple[Automaton, list]] = [s.value for s in shards]
         for batch in batches:
-            counts, spans, items = [], [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
+            counts, spans, items = [], [[] for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)]
             for lo, _, data, offs in W.chunks(batch.column(text_at)):
                 w = W.Words(data, offs, W.ALNUM, W.LOWER)
                 counts.append(np.diff(w.docs))
-                code, known = auto.codes(w.hashes())
-                for a, b in auto.segments(code, known, w.docs[:-1]):
-                    d = int(np.searchsorted(w.docs, a, "right")) - 1
-                    base = int(w.docs[d])
-                    for s, e, found in auto.stream(code[a:b].tolist()):
-                        items[lo + d].append(found)
-                        s, e = s + a, e + a
-                        own = spans[lo + d]
-                        # occurrences come in order of their ends; one that starts inside the last joins it
-                        while own and s - base <= own[-1][1]:
-                            s = min(s, own.pop()[0] + base)
-                        own.append((s - base, e - base, int(w.starts[s] - offs[d]), int(w.ends[e - 1] - offs[d])))
+                h = w.hashes()
+                for auto, names in loaded:
+                    code, known = auto.codes(h)
+                    for a, b in auto.segments(code, known, w.docs[:-1]):
+                        d = int(np.searchsorted(w.docs, a, "right")) - 1
+                        base, own = int(w.docs[d]), []
+                        for s, e, found in auto.stream(code[a:b].tolist()):
+                            items[lo + d].update(names[k] for k in found)
+                            s, e = s + a, e + a
+                            # occurrences come in order of their ends; one that starts inside the last joins it
+                            while own and s - base <= own[-1][1]:
+                                s = min(s, own.pop()[0] + base)
+                            own.append((s - base, e - base, int(w.starts[s] - offs[d]), int(w.ends[e - 1] - offs[d])))
+                        spans[lo + d] += own
             cols = [batch.column(i) for i in range(n_in)]
             if more:
                 for d, (was, had) in enumerate(zip(batch.column(n_in + 1).to_pylist(), batch.column(n_in + 2).to_pylist(), strict=True)):
-                    if was and spans[d]:
-                        spans[d] = _union([tuple(x.values()) for x in was] + spans[d])
-                    elif was:
-                        spans[d] = [tuple(x.values()) for x in was]
-                    items[d].append(had)
-            n_words = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
-            kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("word_start", "word_end", "byte_start", "byte_end")]))
-            keys = ("word_start", "word_end", "byte_start", "byte_end")
+                    spans[d] += [tuple(x.values()) for x in was]
+                    items[d].update(had)
             cols += [
-                n_words,
-                pa.array([[dict(zip(keys, x, strict=True)) for x in s] for s in spans], kind),
-                pa.array([sorted({k for f in found for k in f}) for found in items], pa.list_(pa.int64())),
+                pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64()),
+                pa.array([[dict(zip(keys, x, strict=True)) for x in _union(s)] for s in spans], kind),
+                pa.array([sorted(found - {None}) for found in items], pa.list_(item_type)),
             ]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:n_in], "n_words", "spans", "items"])
 
@@ -229,20 +262,23 @@ def match(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
 
     n_words (long): words of the text; A-Z are lower-cased, and letters, digits and all beyond ASCII make words.
     spans: disjoint stretches of words inside occurrences of windows, as word and byte positions (of the UTF-8 text).
-    items (array of long): ids of the items with occurring windows, ascending.
+    items (array of the item_id's own type): ids of the items with occurring windows, ascending.
     A window is ``window`` consecutive words of an item, or the whole of a shorter item that has a word.
     Null and empty texts have no words and no spans; null items, or items without a word, have no windows; an
-    empty table of items finds nothing. Items with equal texts are all reported. Rows keep their number.
+    empty table of items finds nothing. Items with equal texts are all reported; an item with a null id makes spans
+    and is not listed. Rows keep their number, whatever their ids: no id of a document is read.
     """
     spark = docs.sparkSession
     docs = docs.select(*[c for c in docs.columns if c not in ("n_words", "spans", "items")])
     names, n_in = docs.columns, len(docs.columns)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, n_words bigint, spans {SPANS}, items array<bigint>"
+    item_type = items.schema[item_id].dataType
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, n_words bigint, spans {SPANS}, items array<{item_type.simpleString()}>"
     scratch, out = Scratch(spark, "decontaminate"), docs
-    for i, auto in enumerate(_shards(items, item_id, item_text, window, shard_words)):
+    send = spark.sparkContext.broadcast
+    for i, shards in enumerate(batched((send(x) for x in _shards(items, item_id, item_text, window, shard_words)), SHARDS)):
         if i:
-            out = scratch.save(out, "shard")
-        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(auto), names.index(text), n_in, i > 0), schema)
+            out = scratch.save(out, "pass")
+        out = out.mapInArrow(_matcher(list(shards), names.index(text), n_in, i > 0, to_arrow_type(item_type)), schema)
     return out
 
 
