@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ostinato.llm import _words as W
 from ostinato.llm import chosen_path, decontaminate, lines, quality, recompress
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,18 +66,47 @@ def test_recompression(docs, texts):
     assert sum(r.n_removed for r in got.values()) > 500
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 3), min_size=20, max_size=120))
-def test_equal_windows_have_equal_anchors(codes):
-    from ostinato.llm import _words as W
-
-    h = W.mix(np.array(codes, np.uint64) + np.uint64(99))
-    s, e, name, _ = recompress.anchors(h, np.array([0, len(h)]), 20)
-    of = np.repeat(name, e - s)
-    assert len(of) == len(h) - 19
+codes_of = lambda codes: W.mix(np.array(codes, np.uint64) + np.uint64(99))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=20, max_size=120), st.integers(1, 40))
+def test_equal_windows_have_equal_anchors(codes, cut):
+    h, docs = codes_of(codes), np.unique([0, min(cut, len(codes)), len(codes)])
+    s, e, name = recompress.anchors(h, docs, 20)
+    of = {i: (n, k) for k, (a, b, n) in enumerate(zip(s, e, name)) for i in range(a, b)}
     by = {}
-    for i in range(len(of)):
-        assert by.setdefault(tuple(codes[i : i + 20]), of[i]) == of[i]
+    for a, b in zip(docs[:-1], docs[1:]):
+        for i in range(a, b - 19):
+            assert by.setdefault(tuple(codes[i : i + 20]), of[i][0]) == of[i][0]
+            for j in range(a, i):  # equal windows are in two stretches
+                assert codes[i : i + 20] != codes[j : j + 20] or of[i][1] != of[j][1]
+    assert len(of) == sum(max(0, b - a - 19) for a, b in zip(docs[:-1], docs[1:]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 50), max_size=30), st.lists(st.integers(0, 50), min_size=30, max_size=80), st.lists(st.integers(0, 50), max_size=30))
+def test_equal_stretches_have_equal_symbols_inside(left, middle, right):
+    """Symbols that the words of a passage determine are the same wherever the passage stands, on every level."""
+    alone, within = (recompress.symbols(codes_of(x), np.array([0, len(x)])) for x in (middle, left + middle + right))
+    for a, b in zip(alone, within):
+        inside = lambda x, lo, hi: {(int(p) - lo, int(n), int(u) - lo, int(v) - lo) for p, n, u, v in zip(x.at, x.name, x.lo, x.hi) if u >= lo and v <= hi}
+        assert inside(a, 0, len(middle)) == inside(b, len(left), len(left) + len(middle))
+
+
+def test_runs_and_pairs_are_named():
+    h = codes_of([7] * 6 + [1, 2] * 5 + [7] * 6 + [3])
+    one = recompress._round(recompress.symbols(h, np.array([0, len(h)]))[0], np.array([0, len(h)]), 1)
+    runs = [(a, n) for a, b, n in zip(one.at, [*one.at[1:], len(h)], one.name) if b - a >= 6 and a in (0, 16)]
+    assert len(one.at) < 16 and len(runs) >= 1
+    r = random.Random(1)
+    words = [r.randrange(1000) for _ in range(400)]
+    s, e, name = recompress.long_symbols(codes_of(words + [5] * 9 + words), np.array([0, 809]), 20)
+    assert (e - s >= 20).all() and len(set(name.tolist())) < 0.75 * len(name)
+    seen = {}
+    for a, b, n in zip(s, e, name):
+        x = (words + [5] * 9 + words)[a:b]
+        assert seen.setdefault(n, x) == x
 
 
 def test_near_duplicates(docs, texts):
@@ -189,6 +219,40 @@ def test_null_ids_keep_their_rows(spark):
     assert recompress.deduplicate(df).count() == 4
 
 
+def test_repeated_ids(spark):
+    """Rows of one id with unlike texts are unlike documents; rows equal in both are one."""
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, "l1 aa bb\nx y z"), (5, "unique first line\n" + base), (5, "unique first line\n" + base), (6, base + "\nx y z"), (6, "short"), (None, base), (7, "short")]
+    df = spark.createDataFrame([(a, b, "q", 1) for a, b in rows], "doc_id bigint, text string, _gone string, k int").repartition(3)
+    order = sorted({(a, hashlib.md5(b.encode()).digest(), b) for a, b in rows if a})
+    seen, want, windows, removed = set(), {}, set(), {}
+    for a, _, b in order:
+        want[a, b] = "\n".join(x for x in b.split("\n") if (x not in seen, seen.add(x))[0])
+        w = b.split()
+        own = [tuple(w[i : i + 20]) for i in range(len(w) - 19)]
+        removed[a, b] = len({j for i, x in enumerate(own) if x in windows for j in range(i, i + 20)})
+        windows.update(own)
+    got = lines.deduplicate(df, min_words=1, edit_every=20, min_chars=20)
+    assert sorted((r.doc_id or 0, r.text, r._gone, r.k) for r in got.collect()) == sorted((a or 0, want[a, b] if a else b, "q", 1) for a, b in rows)
+    assert sorted((r.doc_id or 0, r.n_removed) for r in recompress.deduplicate(df).collect()) == sorted((a or 0, removed[a, b] if a else 0) for a, b in rows)
+
+
+def test_items_of_any_type(spark, docs, texts):
+    """Text ids sorted as strings, null ids not listed, one long item in pieces, and two passes: the same hits."""
+    long = " ".join(ALNUM.findall(lower(max((t or "" for _, t in texts), key=len))))
+    rows = [("b10", long[:400]), ("b9", long[:400]), (None, long[500:900]), ("c", long.replace(" ", "\n"))]
+    table = spark.createDataFrame(rows, "item_id string, text string")
+    a = {r.doc_id: r for r in decontaminate.report(docs, table).collect()}
+    for conf in ({"shard_words": 25}, {"shard_words": 400}):
+        old, decontaminate.SHARDS = decontaminate.SHARDS, 3
+        try:
+            assert {r.doc_id: r for r in decontaminate.report(docs, table, **conf).collect()} == a
+        finally:
+            decontaminate.SHARDS = old
+    best = max(a.values(), key=lambda r: r.n_hit)
+    assert best.n_items == 3 and best.items_sha256 == hashlib.sha256(b"b10,b9,c").hexdigest() and best.n_hit == best.n_words
+
+
 def test_quality_learns_held_out(spark):
     r = random.Random(0)
     good = [" ".join(f"w{r.randint(0, 400)}" for _ in range(r.randint(30, 300))) for _ in range(300)]
