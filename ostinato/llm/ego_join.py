@@ -1,26 +1,33 @@
 """Near-duplicate vectors by an epsilon grid order join.
 
-Vectors of length one are sorted by the cells of a grid on their leading principal directions; the sorted
-sequence is cut into blocks, and intervals of it are joined recursively: from a tree over the sequence, only
-pairs of intervals whose boxes are within reach go on to their parts. The recursion is level by level, as
-joins of tables, and ends in pairs of blocks, which one task compares as a product of two matrices. Of the
-links in a pair of blocks it returns a count for each vector and a spanning forest, never the pairs.
+Equal vectors are one class and enter the join once, with their number. Classes are sorted by the cells of a grid on their
+leading principal directions; the sorted sequence is cut into blocks, and intervals of it are joined recursively: from a tree
+over the sequence, only pairs of intervals whose boxes are within reach go on to their parts. The recursion is level by level,
+as joins of tables, down to pairs of blocks. Pairs of blocks are dealt in squares of SQUARE x SQUARE, so that a block travels once
+for each square and not for each pair. In a task the recursion goes on to strips of a block, and strips that are within reach are
+compared as a product of two matrices. Of the links in a pair of blocks it returns a count for each class and a spanning
+forest, never the pairs.
+
+Boxes have the leading directions and, as one coordinate more, the length of what these leave out: the distance over those
+is never more than the real one, so no link is skipped.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch, connected_components
 
-#: Vectors in a block, leading directions of the grid, rows of which the directions are fitted, parts of an interval.
-BLOCK, DIRECTIONS, FIT_ROWS, FAN = 512, 8, 20_000, 8
+#: Classes in a block and in a strip of it, leading directions of the grid, rows of which the directions are fitted, parts of an
+#: interval, blocks on a side of a square that one task joins.
+BLOCK, STRIP, DIRECTIONS, FIT_ROWS, FAN, SQUARE = 512, 64, 16, 20_000, 8, 8
 
 
 def _unit(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,50 +60,60 @@ def directions(vectors: DataFrame, vector: str, rows: int = FIT_ROWS, k: int = D
 
 
 def _project(u: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Coordinates in the leading directions, and the length of the rest."""
     n = min(u.shape[1], basis.shape[0])
-    return u[:, :n] @ basis[:n]
+    p = u[:, :n] @ basis[:n]
+    return np.column_stack([p, np.sqrt(np.maximum(0, (u * u).sum(axis=1) - (p * p).sum(axis=1)))])
 
 
 def _placer(basis: np.ndarray, side: float):
-    """Vectors with the cells of the grid that their projections lie in."""
+    """Every row's id, with the name of its vector, the vector at length one and the cells of the grid that it lies in; nulls where
+    a vector links with nothing. Trailing zeros don't count: a vector that ends in them is that without them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 good, u = _unit(part, 1)
-                cells = np.floor(_project(u, basis) / side).astype(np.int64)
-                key = ["".join(f"{min(max(c + 5000, 0), 9999):04d}" for c in row) for row in cells.tolist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(good)), pa.array(key, pa.string()), pa.array([x.tobytes() for x in u], pa.binary())], ["vec_id", "cell", "unit"])
+                cells = np.clip(np.floor(_project(u, basis)[:, :-1] / side).astype(np.int64) + 128, 0, 255).astype(np.uint8)
+                name, cell, unit = ([None] * part.num_rows for _ in range(3))
+                for i, c, x in zip(good.tolist(), cells, u, strict=True):
+                    unit[i] = np.trim_zeros(x, "b").tobytes()
+                    name[i], cell[i] = hashlib.blake2b(unit[i], digest_size=16).digest(), c.tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name, pa.binary()), pa.array(cell, pa.binary()), pa.array(unit, pa.binary())], ["vec_id", "name", "cell", "unit"])
 
     return run
 
 
-def _blocks(basis: np.ndarray, rows: int, width: int):
-    """Intervals of the sorted sequence: ids, unit vectors as one matrix, and their box in the leading directions."""
+def _matrix(units: list[bytes]) -> np.ndarray:
+    m = np.zeros((len(units), max(len(x) for x in units) // 8))
+    for i, x in enumerate(units):
+        m[i, : len(x) // 8] = np.frombuffer(x)
+    return m
+
+
+def _blocks(basis: np.ndarray, rows: int):
+    """Intervals of the sorted sequence, numbered within their partition: names, numbers of copies, unit vectors as one matrix, box."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, units = TaskContext.get().partitionId() * width, [], []
+        part, at, held = TaskContext.get().partitionId(), 0, []
 
         def cut(k: int) -> pa.RecordBatch:
             nonlocal at
-            dim = max(len(x) for x in units[:k]) // 8
-            m = np.zeros((k, dim))
-            for i, x in enumerate(units[:k]):
-                m[i, : len(x) // 8] = np.frombuffer(x)
+            m = _matrix([x for _, _, x in held[:k]])
             p = _project(m, basis)
-            out = pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.array(ids[:k], "<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64()))], ["block", "ids", "units", "lo", "hi"])
+            cols = [pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([[x for x, _, _ in held[:k]]], pa.list_(pa.binary())), pa.array([[x for _, x, _ in held[:k]]], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())]
+            cols += [pa.array([f(axis=0).tolist()], pa.list_(pa.float64())) for f in (p.min, p.max)]
             at += 1
-            del ids[:k], units[:k]
-            return out
+            del held[:k]
+            return pa.RecordBatch.from_arrays(cols, ["part", "i", "names", "copies", "units", "lo", "hi"])
 
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            units += batch.column(1).to_pylist()
-            while len(ids) >= rows:
+            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            while len(held) >= rows:
                 yield cut(rows)
-        if ids:
-            yield cut(len(ids))
+        if held:
+            yield cut(len(held))
 
     return run
 
@@ -122,36 +139,61 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _comparer(least: float):
-    """Of each pair of blocks: vec_id, its links to the other block (or within the block), and a node of its component."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = lambda c, i=i: batch.column(c)[i].as_py()
-                same = one(0) == one(1)
-                ia = np.frombuffer(one(2), "<i8")
-                ua = np.frombuffer(one(3)).reshape(len(ia), -1)
-                ib, ub = ia, ua
-                if not same:
-                    ib = np.frombuffer(one(4), "<i8")
-                    ub = np.frombuffer(one(5)).reshape(len(ib), -1)
-                dim = min(ua.shape[1], ub.shape[1])
-                dot = ua[:, :dim] @ ub[:, :dim].T
-                a, b = np.nonzero(dot >= least)
-                if same:
-                    a, b = a[a < b], b[a < b]
-                if not len(a):
-                    continue
-                ids = ia if same else np.concatenate([ia, ib])
-                shift = 0 if same else len(ia)
-                n = np.bincount(a, minlength=len(ids)) + np.bincount(b + shift, minlength=len(ids))
-                order = np.argsort(ids, kind="stable")  # so that the least node is the least id
-                rank = np.empty(len(ids), np.int64)
-                rank[order] = np.arange(len(ids))
-                root = ids[order[_roots(len(ids), rank[a], rank[b + shift])]][rank]
-                hit = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit].astype(np.int64)), pa.array(root[hit])], ["vec_id", "n", "root"])
+def _within(p: np.ndarray, q: np.ndarray, reach: float) -> np.ndarray:
+    """Whether the boxes of strips p and q, each (lo, hi) by strip and coordinate, come within reach."""
+    gap = np.maximum(0, np.maximum(p[0][:, None] - q[1][None], q[0][None] - p[1][:, None]))
+    return (gap * gap).sum(axis=2) <= reach * reach * (1 + 1e-9) + 1e-12
+
+
+def _boxes(u: np.ndarray, basis: np.ndarray, strip: int) -> np.ndarray:
+    p, at = _project(u, basis), np.arange(0, len(u), strip)
+    return np.stack([np.minimum.reduceat(p, at), np.maximum.reduceat(p, at)])
+
+
+def _links(ua: np.ndarray, ub: np.ndarray | None, box_a: np.ndarray, box_b: np.ndarray, least: float, reach: float, strip: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two blocks, or twice of one, whose cosine is at least so much: strip by strip, those within reach."""
+    same = ub is None
+    ub = ua if same else ub
+    dim = min(ua.shape[1], ub.shape[1])
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    near = _within(box_a, box_b, reach)
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        cols = np.flatnonzero(np.repeat(near[i], strip)[: len(ub)])
+        if same:
+            cols = cols[cols >= i * strip]
+        rows = ua[i * strip : (i + 1) * strip, :dim]
+        a, b = np.nonzero(rows @ (ub[:, :dim] if len(cols) == len(ub) else ub[cols, :dim]).T >= least)
+        out_a.append(a + i * strip)
+        out_b.append(cols[b])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return (a[a < b], b[a < b]) if same else (a, b)
+
+
+def _comparer(basis: np.ndarray, least: float, reach: float, strip: int = STRIP):
+    """A square's blocks and pairs of blocks to: place of a class, its links to the other block (or within the block), weighted by
+    copies, and a place of its component. Blocks come as matrices with the places of their classes; pairs are rows without one."""
+
+    def run(t: pa.Table) -> pa.Table:
+        blocks, pairs = {}, []
+        for block, other, first, copies, units in zip(*(t[c].to_pylist() for c in ("block", "other", "first", "copies", "units")), strict=True):
+            if units is None:
+                pairs.append((block, other))
+            elif block not in blocks:
+                u = np.frombuffer(units).reshape(len(copies), -1)
+                blocks[block] = (first + np.arange(len(copies)), np.array(copies), u, _boxes(u, basis, strip))
+        out = []
+        for p, q in sorted(set(pairs)):
+            (ia, ca, ua, xa), (ib, cb, ub, xb) = blocks[p], blocks[q]
+            a, b = _links(ua, None if p == q else ub, xa, xb, least, reach, strip)
+            if not len(a):
+                continue
+            ids, copies, shift = (ia, ca, 0) if p == q else (np.concatenate([ia, ib]), np.concatenate([ca, cb]), len(ia))
+            n = np.bincount(a, copies[b + shift], len(ids)) + np.bincount(b + shift, copies[a], len(ids))
+            root = ids[_roots(len(ids), a, b + shift)]
+            hit = np.flatnonzero(n)
+            out.append((ids[hit], n[hit].astype(np.int64), root[hit]))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.table([pa.array(x) for x in cols], names=["place", "n", "root"])
 
     return run
 
@@ -162,10 +204,10 @@ def _near(reach: float):
     return F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= reach * reach * (1 + 1e-9) + 1e-12
 
 
-def interval_pairs(blocks: DataFrame, levels: int, reach: float, fan: int = FAN) -> DataFrame:
+def interval_pairs(blocks: DataFrame, levels: int, reach: float, coordinates: int, fan: int = FAN) -> DataFrame:
     """Pairs (a, b), a <= b, of blocks that may hold a link: the recursive join of intervals, one level after the other."""
     boxes = blocks.select("block", "lo", "hi")
-    corner = lambda c, f: F.array(*[f(F.col(c)[i]) for i in range(DIRECTIONS)])
+    corner = lambda c, f: F.array(*[f(F.col(c)[i]) for i in range(coordinates)])
     pairs = None
     for level in range(levels, -1, -1):
         node = F.floor(F.col("block") / fan**level).cast("long")
@@ -187,37 +229,49 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
 
     Cosines are in double precision. Vectors that are null, empty, zero or hold a null or a non-finite component link with
     nothing. Vectors of unlike lengths are compared as if the shorter ended in zeros. Equal vectors link like any others.
-    Ids are taken to be unique: rows that repeat an id are linked as different vectors and share the id's sums; rows with a
-    null id link with nothing and keep their row. An empty table gives an empty one.
+    Rows that repeat an id are vectors of their own, linked as such; each keeps its row with its own links. Rows with a null id
+    link with nothing and keep their row, with a null component. An empty table gives an empty one; other columns are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ego")
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
     basis = directions(v, "vector")
-    if basis.shape[1] < DIRECTIONS:
-        basis = np.pad(basis, ((0, 0), (0, DIRECTIONS - basis.shape[1])))
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    placed = v.where("vec_id is not null and vector is not null").mapInArrow(_placer(basis, max(reach / 2, 1e-3)), "vec_id bigint, cell string, unit binary")
+    seen = F.when(F.col("vec_id").isNotNull(), F.col("vector")).alias("vector")
+    placed = v.select("vec_id", seen).mapInArrow(_placer(basis, max(reach / 2, 1e-3)), "vec_id bigint, name binary, cell binary, unit binary")
     placed = scratch.save(placed, "placed")
-    n = placed.count()
-    parts = max(1, -(-n // (4 * block)))
-    width = 64  # block numbers of a partition: it holds some 4 blocks, more where the range is uneven
-    rows = max(block, 1)
-    ordered = placed.repartitionByRange(parts, "cell", "vec_id").sortWithinPartitions("cell", "vec_id").select("vec_id", "unit")
-    blocks = scratch.save(ordered.mapInArrow(_blocks(basis, rows, width), "block bigint, ids binary, units binary, lo array<double>, hi array<double>"), "blocks")
-    scratch.drop(placed)
+    classes = placed.where("name is not null").groupBy("name").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("cell").alias("cell"), F.first("unit").alias("unit"))
+    classes = scratch.save(classes, "classes")
+    parts = max(1, -(-classes.count() // (4 * block)))
+    ordered = classes.repartitionByRange(parts, "cell", "name").sortWithinPartitions("cell", "name").select("name", "copies", "unit")
+    cut = ordered.mapInArrow(_blocks(basis, max(block, 1)), "part int, i bigint, names array<binary>, copies array<bigint>, units binary, lo array<double>, hi array<double>")
+    cut = scratch.save(cut, "cut")
+    # numbers of blocks and places of classes go on from partition to partition; a partition has one row here
+    sizes = cut.groupBy("part").agg(F.count("*").alias("blocks"), F.sum(F.size("copies")).alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("blocks", "rows")])
+    blocks = cut.join(F.broadcast(sizes), "part").select((F.col("blocks_before") + F.col("i")).alias("block"), (F.col("rows_before") + F.col("i") * block).alias("first"), "names", "copies", "units", "lo", "hi")
+    blocks = scratch.save(blocks, "blocks")
+    scratch.drop(cut)
     last = blocks.agg(F.max("block")).first()[0] or 0
     levels = 0
     while FAN**levels <= last:
         levels += 1
-    pairs = interval_pairs(blocks, levels, reach)
-    side = lambda x: blocks.select(F.col("block").alias(x), F.col("ids").alias(f"ids_{x}"), F.col("units").alias(f"units_{x}"))
-    # a block paired with itself sends its matrix once
-    own = F.col("a") == F.col("b")
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ids_a", "units_a", F.when(~own, F.col("ids_b")).alias("ids_b"), F.when(~own, F.col("units_b")).alias("units_b"))
-    found = scratch.save(both.mapInArrow(_comparer(least), "vec_id bigint, n bigint, root bigint"), "found", rows_per_batch=16)
-    links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    comp = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")), scratch)
-    out = v.select("vec_id").join(links, "vec_id", "left").join(comp.select(F.col("id").alias("vec_id"), "component_id"), "vec_id", "left")
-    comp_id = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), (F.col("vec_id") == comp_id).alias("kept"))
+    pairs = scratch.save(interval_pairs(blocks, levels, reach, basis.shape[1] + 1).select("a", "b", *[F.floor(F.col(c) / SQUARE).alias(f"s{c}") for c in "ab"]), "pairs")
+    # a square's pairs, and each of its blocks once
+    none = [F.lit(None).cast(x).alias(c) for c, x in (("first", "bigint"), ("copies", "array<bigint>"), ("units", "binary"))]
+    asked = pairs.select("sa", "sb", F.col("a").alias("block"), F.col("b").alias("other"), *none)
+    needed = pairs.select("sa", "sb", "a").union(pairs.select("sa", "sb", "b")).distinct().toDF("sa", "sb", "block")
+    sent = needed.join(blocks, "block").select("sa", "sb", "block", F.lit(None).cast("bigint").alias("other"), "first", "copies", "units")
+    found = asked.unionByName(sent).groupBy("sa", "sb").applyInArrow(_comparer(basis, least, reach), "place bigint, n bigint, root bigint")
+    found = scratch.save(found, "found")
+    links = found.groupBy("place").agg(F.sum("n").alias("n_links"))
+    comp = connected_components(found.select(F.col("place").alias("u"), F.col("root").alias("v")), scratch)
+    linked = links.join(comp, links.place == comp.id).select("place", "n_links", "component_id")
+    named = blocks.select("first", F.posexplode("names").alias("i", "name")).select((F.col("first") + F.col("i")).alias("place"), "name")
+    own = classes.select("name", "id", "copies").join(named.join(linked, "place"), "name", "left")
+    low = own.where("component_id is not null").groupBy("component_id").agg(F.min("id").alias("low"))
+    own = own.join(low, "component_id", "left").select("name", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "id").alias("comp"))
+    out = placed.select("vec_id", "name").join(own, "name", "left")
+    comp_id = F.coalesce("comp", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))

@@ -123,7 +123,7 @@ def test_vectors(spark):
     comp = ids.copy()
     for _ in ids:
         comp = np.array([min(comp[i], comp[s[i]].min(initial=10**9)) for i in range(len(x))])
-    for block in (512, 8):
+    for block in (512, 8, 3):
         got = {r.vec_id: r for r in ego_join.near_duplicates(df, block=block).collect()}
         assert len(got) == len(rows)
         assert all((got[k].n_links, got[k].component_id) == (int(n), int(c)) for k, n, c in zip(ids.tolist(), s.sum(axis=1), comp))
@@ -131,6 +131,30 @@ def test_vectors(spark):
     assert ego_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_equal_vectors_and_repeated_ids(spark):
+    """Many equal vectors, many rows of one id, and null ids: no link is lost whatever the block."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(3, 8))
+    rows = [(7 if i < 200 else 1000 + i, v[0].tolist()) for i in range(500)] + [(7, v[1].tolist()), (3, (v[1] * 2).tolist()), (None, v[0].tolist()), (None, None), (4, v[2].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    for block in (1, 512):
+        got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in ego_join.near_duplicates(df, block=block).collect())
+        want = [(7 if i < 200 else 1000 + i, 499, 7, i < 200) for i in range(500)] + [(7, 1, 3, False), (3, 1, 3, True), (4, 0, 4, True)]
+        assert [g for g in got if g[0]] == sorted(want) and sum(not g[0] for g in got) == 2 and all(g[1] == 0 and g[3] for g in got if not g[0])
+
+
+def test_many_blocks_in_a_partition(spark):
+    """Chains of near vectors over hundreds of blocks, against all pairs."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(60, 4)), 8, axis=0)
+    x += np.cumsum(rng.normal(0, 0.04, x.shape), axis=0)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T >= 0.95
+    np.fill_diagonal(s, False)
+    got = {r.vec_id: r.n_links for r in ego_join.near_duplicates(spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(x)], "vec_id bigint, embedding array<double>"), block=2).collect()}
+    assert [got[i] for i in range(len(x))] == s.sum(axis=1).tolist() and s.sum() > 500
+
+
 def test_components(spark):
     r = random.Random(0)
     chain = [(i, i + 1) for i in range(100, 160)]
