@@ -42,8 +42,12 @@ def op5() -> str:
     fit = lambda r: "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '/{1}')".format(*r.split("/", 1))
     rule = "CASE " + " ".join(f"WHEN {fit(r)} THEN '{r}'" for r in order) + " END"
     listed = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES.items()) + " END"
-    two = "array_to_string(string_split(host, '.')[-2:], '.')"
-    long = ", ".join(f"'{s}'" for s in url_filter.SUFFIXES)
+    name = "regexp_replace(host, ':[0-9]*$', '')"
+    part = lambda k: f"array_to_string(string_split({name}, '.')[-{k}:], '.')"
+    quoted = lambda x: ", ".join(f"'{w}'" for w in x)
+    wide = f"(length({part(1)}) = 2 AND split_part({part(2)}, '.', 1) IN ({quoted(url_filter.SECOND_LEVEL)}) OR {part(2)} IN ({quoted(url_filter.SUFFIXES)}))"
+    number = f"regexp_matches({name}, '^[0-9.]+$|^\\[')"
+    named = f"regexp_matches(translate(host || path, '{_UP}', '{_LOW}'), '(^|[^a-z])({'|'.join(url_filter.BAD_WORDS)})([^a-z]|$)')"
     u = url_filter
 
     def level(name: str, key: str, up: str, source: str) -> str:
@@ -54,7 +58,7 @@ def op5() -> str:
 
     return f"""WITH h AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UP}', '{_LOW}') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r AS (SELECT *, {rule} AS rule FROM h), l AS (SELECT *, {listed} AS listed FROM r),
-c AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (listed = 'block') AS DOUBLE) AS y, CASE WHEN {two} IN ({long}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE {two} END AS domain, CASE WHEN {two} IN ({long}) THEN {two} ELSE string_split(host, '.')[-1] END AS suffix FROM l GROUP BY host),
+c AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (coalesce(listed = 'block', false) OR {named}) AS DOUBLE) AS y, CASE WHEN {number} THEN {name} WHEN {wide} THEN {part(3)} ELSE {part(2)} END AS domain, CASE WHEN {number} THEN {name} WHEN {wide} THEN {part(2)} ELSE {part(1)} END AS suffix FROM l GROUP BY host),
 t AS (SELECT (sum(y) + 0.5) / (sum(n) + 1) AS m FROM c),
 {level('su', 'suffix', 't', 'SELECT suffix, sum(n) AS n, sum(y) AS y, any_value(m) AS m FROM c, t GROUP BY suffix')},
 {level('dm', 'domain', 'su', 'SELECT c.domain, sum(c.n) AS n, sum(c.y) AS y, any_value(su.a / (su.a + su.b)) AS m FROM c JOIN su USING (suffix) GROUP BY c.domain')},

@@ -11,9 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels; every other suffix is the last label.
-SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "org.uk")
+#: Labels that make a suffix of two labels with a country code (of two letters) after them, as in co.uk or com.br.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "id", "info", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch", "school")
+#: Other suffixes of two labels, under which unlike parties have hosts; further ones are a parameter.
+SUFFIXES = ("appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "tumblr.com", "vercel.app", "wordpress.com")
+#: Words of a page's url that label it as bad, as a rule to block does; a parameter.
+BAD_WORDS = ("ads", "adult", "bets", "betting", "casino", "gambling", "jackpot", "lottery", "malware", "pills", "poker", "porn", "slots", "spam", "viagra", "warez", "xxx")
 #: Bounds of a prior's strength, in pages; and standard deviations between the posterior's mean and its bound.
 WEAKEST, STRONGEST, DEVIATIONS, THRESHOLD = 2.0, 200.0, 1.645, 0.5
 
@@ -32,15 +38,30 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def registered_domain(host: Column) -> Column:
-    """The suffix and the label before it; the host itself where it has no more labels."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def _labels(host: Column, suffixes: tuple[str, ...]) -> tuple[Column, Column, Column]:
+    """The host without a port, whether its suffix has two labels, and whether it is a number."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    two, last = F.substring_index(name, ".", -2), F.substring_index(name, ".", -1)
+    return name, (F.length(last) == 2) & F.substring_index(two, ".", 1).isin(*SECOND_LEVEL) | two.isin(*suffixes), name.rlike("^[0-9.]+$|^\\[")
+
+
+def registered_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The suffix and the label before it; the host itself where it has no more labels or is a number."""
+    name, wide, number = _labels(host, suffixes)
+    return F.when(number, name).when(wide, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+
+
+def suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The last label, or the last two where parties register below those."""
+    name, wide, number = _labels(host, suffixes)
+    return F.when(number, name).when(wide, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
-def suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def named_bad(host: Column, path: Column, words: tuple[str, ...] = BAD_WORDS) -> Column:
+    """Whether one of the words stands in the host or path, apart from other letters."""
+    if not words:
+        return F.lit(False)
+    return F.translate(F.concat(host, path), UPPER, LOWER).rlike(f"(^|[^a-z])({'|'.join(sorted(words))})([^a-z]|$)")
 
 
 def fits(rule: str, host: Column, path: Column) -> Column:
@@ -67,14 +88,14 @@ def _strength(moments: DataFrame) -> Column:
     return F.coalesce(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), strength)), F.lit(STRONGEST))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(host, bad) rows to host, n, y, mean, bound: the posterior of the share of bad pages of each host.
 
     bad: 1 or 0; rows with a null in it are unlabelled and count nowhere. An empty table gives an empty one.
     Counts are pre-aggregated, so a host with a third of all rows costs one row for each task.
     """
     counts = outcomes.where("bad is not null and host is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("bad").cast("double")).alias("y"))
-    counts = counts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+    counts = counts.withColumn("domain", registered_domain(F.col("host"), suffixes)).withColumn("suffix", suffix(F.col("host"), suffixes))
     total = counts.agg(((F.sum("y") + 0.5) / (F.sum("n") + 1)).alias("m"))
     up, levels = None, {}
     for level in ("suffix", "domain", "host"):
@@ -90,15 +111,17 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return levels["host"].select("host", "n", "y", "mean", "bound")
 
 
-def judge(pages: DataFrame, rules: dict[str, str], bad: Column | None = None, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], bad: Column | None = None, page_id: str = "page_id", url: str = "url", words: tuple[str, ...] = BAD_WORDS, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's posterior mean and bound.
 
     rules: rule to allow or block; the longest that fits decides. Where none fits, the page is blocked if the lower
     bound of its host's posterior is above THRESHOLD. bad: a column of ``pages``, 1 or 0, or null where a page has no
-    label; by default a page's outcome is 1 where a rule blocks it, else 0, so that an unlisted page of a host is
-    blocked once most of that host is surely listed.
+    label. By default a page's outcome is 1 where one of ``words`` stands in its url or a rule blocks it, and else 0: the
+    first doesn't depend on rules, so a host can be blocked of which no page is listed.
     A null url has an empty host and path and fits no rule. Rows with equal or null ids stay apart; empty in, empty out.
+    Columns of ``pages`` other than these are not read. Pages of a hot host are spread over all tasks.
     """
+    scratch = Scratch(pages.sparkSession, "reputation")
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), (bad if bad is not None else F.lit(None)).cast("int").alias("label"))
     base = base.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label")
     base = base.withColumn("rule", longest_rule(rules, F.col("host"), F.col("path")))
@@ -107,8 +130,9 @@ def judge(pages: DataFrame, rules: dict[str, str], bad: Column | None = None, pa
         if names := [r for r, v in rules.items() if v == verdict]:
             listed = F.when(F.col("rule").isin(*names), F.lit(verdict)).otherwise(listed)
     base = base.withColumn("listed", listed)
-    outcome = F.col("label") if bad is not None else F.coalesce((F.col("listed") == "block").cast("int"), F.lit(0))
-    known = reputation(base.select("host", outcome.alias("bad"))).select("host", "mean", "bound")
-    out = base.join(known, "host", "left")
+    own = named_bad(F.col("host"), F.col("path"), words) | F.coalesce(F.col("listed") == "block", F.lit(False))
+    outcome = F.col("label") if bad is not None else own.cast("int")
+    known = scratch.save(reputation(base.select("host", outcome.alias("bad")), suffixes).select("host", "n", "mean", "bound"), "hosts")
+    out = scratch.spread_join(base, known, "host", F.concat(F.lit(" "), F.xxhash64("page_id", "path").cast("string")))
     method = F.when(F.coalesce(F.col("bound"), F.lit(0.0)) > THRESHOLD, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", method).alias("verdict"), F.col("mean").alias("posterior_mean"), F.col("bound").alias("posterior_bound"))
