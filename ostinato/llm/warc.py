@@ -18,12 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import SMALL_BYTES, Scratch
+from ._scratch import Scratch
 
 #: Bytes of an archive file before the next is begun, and of a read.
 SEGMENT, BLOCK = 32 << 20, 1 << 16
-#: Copies of a payload beyond which its pages are spread over tasks.
-HOT = 1000
 RECORD_ID = "urn:page:"
 
 
@@ -140,8 +138,7 @@ def write(pages: DataFrame, root: str, min_bytes: int = 0, page_id: str = "page_
     No pages, no files; columns other than the three are not written.
 
     Only digests and ids are shuffled to find the first of each payload. Pages meet that table by a broadcast where its files
-    are small; else by a join in which pages of payloads with more than HOT copies take their first from a broadcast table (there
-    are at most one in HOT rows of them) and are spread over all tasks.
+    are small; else by a join that spreads the pages of a hot payload over all tasks.
     """
     scratch = Scratch(pages.sparkSession, "warc-first")
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
@@ -150,14 +147,7 @@ def write(pages: DataFrame, root: str, min_bytes: int = 0, page_id: str = "page_
     first = p.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     first = scratch.save(first, "first")
     ref = F.when(long & (F.col("page_id").isNull() | (F.col("first") < F.col("page_id"))), F.col("first")).alias("refers_to")
-    if scratch.size(first) <= SMALL_BYTES:
-        out = p.join(F.broadcast(first), "digest", "left")
-    else:
-        hot = scratch.small(scratch.save(first.where(F.col("n") > HOT).select("digest", F.col("first").alias("hot")), "hot"))
-        cold = first.where(F.col("n") <= HOT).select(F.col("digest").alias("key"), "first")
-        p = p.join(hot, "digest", "left")
-        spread = F.concat("digest", F.xxhash64("page_id", "url").cast("string").cast("binary"))
-        out = p.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(spread)).join(cold, "key", "left").withColumn("first", F.coalesce("hot", "first"))
+    out = scratch.spread_join(p, first, "digest", F.xxhash64("page_id", "url").cast("string"))
     return out.select("page_id", "url", "html", ref).mapInArrow(_writer(root), "path string, records bigint")
 
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ostinato.llm import ego_join, packing, spm, url_filter, warc
+from ostinato.llm import _scratch, ego_join, packing, spm, url_filter, warc
 from ostinato.llm._scratch import Scratch, connected_components
 from ostinato.llm.queries import PIECES, RANKS, RANKS_END, RULES, tokenizer_path
 
@@ -70,9 +70,9 @@ def test_warc_round_trip(spark, monkeypatch):
         ref = first if first is not None and a != first else None
         want.append((a, len(raw), warc.digest_of(raw), "response" if ref is None else "revisit", ref))
     key = lambda r: tuple(str(x) for x in r)
-    for small, hot in ((warc.SMALL_BYTES, 1000), (0, 1000), (0, 2)):
-        monkeypatch.setattr(warc, "SMALL_BYTES", small)
-        monkeypatch.setattr(warc, "HOT", hot)
+    for small, hot in ((_scratch.SMALL_BYTES, 1000), (0, 1000), (0, 2)):
+        monkeypatch.setattr(_scratch, "SMALL_BYTES", small)
+        monkeypatch.setattr(_scratch, "HOT", hot)
         got = warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
         assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert {r.record_type for r in warc.round_trip(pages, min_bytes=10**6).collect()} == {"response"}
@@ -103,6 +103,27 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_suffixes(spark):
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "www.x.com": ("x.com", "com"), "x.com": ("x.com", "com"), "com": ("com", "com"), "q.gov.br": ("q.gov.br", "gov.br"), "co.uk": ("co.uk", "co.uk"), "me.github.io": ("me.github.io", "github.io"), "a.b.org:80": ("b.org", "org"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "": ("", ""), "m.co.com": ("co.com", "com")}
+    df = spark.createDataFrame([(k,) for k in want], "h string")
+    got = {r.h: (r.d, r.s) for r in df.select("h", url_filter.registered_domain(F.col("h")).alias("d"), url_filter.suffix(F.col("h")).alias("s")).collect()}
+    assert got == want
+
+
+def test_reputation_decides(spark, monkeypatch):
+    """Pages of a host that is mostly bad are blocked, its unlisted ones too; a host with one bad page is not; clean ones stay."""
+    rows = [(i, f"http://casino.example.com/p/{i}") for i in range(30)] + [(100 + i, f"http://ok.example.com/p/{i}") for i in range(30)] + [(200, "http://ok.example.com/casino/1"), (300, None), (300, None), (301, "http://x.net"), (302, "http://one-casino.example.org/")]
+    rows += [(400 + i, f"http://x.net/{i}") for i in range(20)]
+    pages = spark.createDataFrame([(a, b, 1.0, "m") for a, b in rows], "page_id bigint, url string, mean double, n string").repartition(4)
+    for small, hot in ((_scratch.SMALL_BYTES, 1000), (0, 10)):
+        monkeypatch.setattr(_scratch, "SMALL_BYTES", small)
+        monkeypatch.setattr(_scratch, "HOT", hot)
+        got = [(r.page_id, r.verdict, r.rule) for r in url_filter.judge(pages, RULES).collect()]
+        verdict = {k: v for k, v, _ in got}
+        assert len(got) == len(rows) and all(verdict[i] == "block" for i in range(30)) and all(verdict[100 + i] == "allow" for i in range(30)) and verdict[200] == "allow"
+        assert (301, "block", None) in got and verdict[302] == "allow" and verdict[300] == "allow"
+
+
 def test_reputation_shrinks(spark):
     rows = [("big.example.com", 1)] * 60 + [("big.example.com", 0)] * 2 + [("one.example.com", 1)] + [("good.example.org", 0)] * 50 + [(None, 1), ("x.org", None)]
     r = {x.host: x for x in url_filter.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
