@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
 from .warc import open_file
 
 LENGTH = 2048
 #: Tokens that a task gathers before it packs them.
 BLOCK_TOKENS = 4 << 20
+#: Bytes of a file of ids before the next is begun.
+SEGMENT = 16 << 20
 
 
 class Rooms:
@@ -143,48 +146,103 @@ def position_ids(cu_seqlens: list[int], length: int = LENGTH) -> np.ndarray:
     return np.arange(length) - np.repeat(cuts[:-1], np.diff(cuts))
 
 
-def _matrix_writer(root: str, length: int):
+_ROW = [("input_ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32())), ("n_tokens", pa.int32())]
+ROW_SCHEMA = "input_ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<bigint>, offsets array<int>, n_tokens int"
+MANIFEST = "path string, rows bigint, bytes_per_id int"
+
+
+def _ragged(rows: list, kind: str) -> bytes:
+    """An index of the rows (rows + 1 places), then their values, as integers of one kind."""
+    flat = [np.asarray(r, kind) for r in rows]
+    return np.concatenate([np.cumsum([0, *map(len, flat)]).astype(kind), *flat]).tobytes()
+
+
+def _matrix_writer(root: str, length: int, segment: int):
     import uuid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            name = f"{root}/{uuid.uuid4().hex}"
-            ids = batch.column(0).to_pylist()
-            with open_file(f"{name}.ids.bin", "wb") as f:
-                f.write(b"".join(ids))
-            cuts = batch.column(1).to_pylist()
-            with open_file(f"{name}.cu.bin", "wb") as f:
-                f.write(np.concatenate([np.cumsum([0, *(len(c) for c in cuts)]), np.concatenate(cuts)]).astype("<i4").tobytes())
+        out, name, size, held, done = None, "", 0, [], []
+
+        def close() -> None:
+            nonlocal out, size, held
+            out.close()
+            cuts, docs, offs = (list(x) for x in zip(*held, strict=True))
             resets = [np.flatnonzero(position_ids(c, length) == 0) for c in cuts]
-            with open_file(f"{name}.resets.bin", "wb") as f:
-                f.write(np.concatenate([np.cumsum([0, *(len(r) for r in resets)]), np.concatenate(resets)]).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([len(ids[0]) // length], pa.int32())], ["path", "rows", "bytes_per_id"])
+            parts = {"cu": _ragged(cuts, "<i4"), "resets": _ragged(resets, "<i4"), "docs": _ragged([[0 if k is None else k for k in r] for r in docs], "<i8"), "nulls": _ragged([[k is None for k in r] for r in docs], "<i4"), "offsets": _ragged(offs, "<i4")}
+            for kind, raw in parts.items():
+                with open_file(f"{name}.{kind}.bin", "wb") as f:
+                    f.write(raw)
+            done.append((name, len(held), size // len(held) // length))
+            out, size, held = None, 0, []
+
+        for batch in batches:
+            ids, *rest = (batch.column(c).to_pylist() for c in ("input_ids", "cu_seqlens", "doc_ids", "offsets"))
+            for row, *own in zip(ids, *rest, strict=True):
+                if out is None:
+                    name = f"{root}/{uuid.uuid4().hex}"
+                    out = open_file(f"{name}.ids.bin", "wb")
+                out.write(row)
+                size += len(row)
+                held.append(own)
+                if size >= segment:
+                    close()
+        if out is not None:
+            close()
+        cols = list(zip(*done, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32()), strict=True)], ["path", "rows", "bytes_per_id"])
 
     return run
 
 
-def write_matrices(packed: DataFrame, root: str, length: int = LENGTH) -> DataFrame:
-    """Raw files in a shared folder, three for each batch of rows: ``.ids.bin`` a matrix of rows x length ids, ``.cu.bin`` and
-    ``.resets.bin`` the cumulative lengths and the positions where position ids begin anew, each as 32-bit integers after an
-    index of the rows (rows + 1 integers). Returns a lazy manifest (path, rows, bytes_per_id): materialise it once; files
-    that it doesn't name are of lost tasks.
+def write_matrices(packed: DataFrame, root: str, length: int = LENGTH, segment: int = SEGMENT) -> DataFrame:
+    """Raw files in a shared folder, a group for each ``segment`` bytes of ids: ``.ids.bin`` a matrix of rows x length ids, ``.cu.bin``
+    and ``.resets.bin`` the cumulative lengths and the positions where position ids begin anew, ``.docs.bin``, ``.nulls.bin`` and
+    ``.offsets.bin`` the documents of the pieces (0 where ``nulls`` says null) and the places of their first tokens, each as
+    integers after an index of the rows (rows + 1 of them). Returns a lazy manifest (path, rows, bytes_per_id): materialise it
+    once; files that it doesn't name are of lost tasks. No rows, no files.
     """
-    return packed.select("input_ids", "cu_seqlens").mapInArrow(_matrix_writer(root, length), "path string, rows bigint, bytes_per_id int")
+    return packed.mapInArrow(_matrix_writer(root, length, segment), MANIFEST)
+
+
+def _whole(name: str) -> bytes:
+    with open_file(name, "rb") as f:
+        return f.read()
+
+
+def _unragged(name: str, rows: int, kind: str) -> list[np.ndarray]:
+    x = np.frombuffer(_whole(name), kind)
+    at, rest = x[: rows + 1], x[rows + 1 :]
+    return [rest[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def read_matrix(path: str, rows: int, bytes_per_id: int, length: int = LENGTH) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Ids, cumulative lengths and resets of one batch of rows."""
+    """Ids, cumulative lengths and resets of one group of files."""
+    ids = np.frombuffer(_whole(f"{path}.ids.bin"), f"<u{bytes_per_id}").reshape(rows, length)
+    return ids, _unragged(f"{path}.cu.bin", rows, "<i4"), _unragged(f"{path}.resets.bin", rows, "<i4")
+
+
+def _matrix_reader(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, rows, width in zip(*(batch.column(c).to_pylist() for c in ("path", "rows", "bytes_per_id")), strict=True):
+                ids, cuts, resets = read_matrix(path, rows, width, length)
+                docs, nulls, offs = (_unragged(f"{path}.{k}.bin", rows, t) for k, t in (("docs", "<i8"), ("nulls", "<i4"), ("offsets", "<i4")))
+                for lo in range(0, rows, 512):
+                    part = slice(lo, lo + 512)
+                    named = [pa.array(d, pa.int64(), mask=n.astype(bool)) for d, n in zip(docs[part], nulls[part], strict=True)]
+                    own = [[x.tobytes() for x in ids[part]], cuts[part], resets[part], [x.to_pylist() for x in named], offs[part], [int(c[-1]) for c in cuts[part]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(own, _ROW, strict=True)], [k for k, _ in _ROW])
+
+    return run
+
 
-    def whole(name: str) -> bytes:
-        with open_file(name, "rb") as f:
-            return f.read()
+def read_matrices(manifest: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of all matrices that a manifest names, in no order: input_ids, cu_seqlens, resets, doc_ids, offsets, n_tokens."""
+    return manifest.mapInArrow(_matrix_reader(length), ROW_SCHEMA)
 
-    def ragged(name: str) -> list[np.ndarray]:
-        x = np.frombuffer(whole(name), "<i4")
-        at, rest = x[: rows + 1], x[rows + 1 :]
-        return [rest[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    ids = np.frombuffer(whole(f"{path}.ids.bin"), f"<u{bytes_per_id}").reshape(rows, length)
-    return ids, ragged(f"{path}.cu.bin"), ragged(f"{path}.resets.bin")
+def pack_to_files(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, length: int = LENGTH, **kw) -> DataFrame:
+    """Pack, write the matrices into the shared folder, and read them back: the rows of ``read_matrices`` (see ``pack``)."""
+    scratch = Scratch(docs.sparkSession, "packing")
+    manifest = scratch.save(write_matrices(pack(docs, ranks_path, pattern, end_id, length, **kw), scratch.path("matrices"), length), "manifest")
+    return read_matrices(manifest.repartition(max(1, manifest.count())), length)

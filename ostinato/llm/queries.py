@@ -28,7 +28,7 @@ def tokenizer_path(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), public_tokenizers.PATTERN, RANKS_END)
+    return packing.pack_to_files(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), public_tokenizers.PATTERN, RANKS_END)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

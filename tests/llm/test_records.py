@@ -50,16 +50,41 @@ def test_packing_is_lossless(spark, sf, tmp_path):
     for r in docs.collect():
         ids = np.concatenate([p for _, p in sorted(parts[r.doc_id], key=lambda x: x[0])])
         assert ids[-1] == RANKS_END and enc.decode(ids[:-1].tolist()) == (r.text or "")
-    m = packing.write_matrices(packed, f"file://{tmp_path}/m", 512).collect()
+    m = packing.write_matrices(packed, f"file://{tmp_path}/m", 512, segment=1 << 17).collect()
     total = 0
     for x in m:
         ids, cuts, resets = packing.read_matrix(x.path, x.rows, x.bytes_per_id, 512)
         total += sum(c[-1] for c in cuts)
         assert ids.shape == (x.rows, 512) and all((packing.position_ids(c.tolist(), 512)[r] == 0).all() for c, r in zip(cuts, resets))
-    assert total == packed.agg(F.sum("n_tokens")).first()[0]
+    assert len(m) > 4 and total == packed.agg(F.sum("n_tokens")).first()[0]
+    plain = lambda df: sorted(tuple(map(str, (r.input_ids, r.cu_seqlens, r.doc_ids, r.offsets, r.n_tokens))) for r in df.collect())
+    args = (tokenizer_path(RANKS), public_tokenizers.PATTERN, RANKS_END, 512)
+    twice = docs.unionByName(docs).withColumn("input_ids", F.lit(1))
+    back = packing.pack_to_files(docs, *args)
+    assert plain(back) == plain(packed) and all(r.resets == np.flatnonzero(packing.position_ids(r.cu_seqlens, 512) == 0).tolist() for r in back.collect())
+    assert packing.pack_to_files(twice, *args).agg(F.sum("n_tokens")).first()[0] == 2 * total and packing.pack_to_files(docs.limit(0), *args).count() == 0
     assert packing.pack(docs.limit(0), tokenizer_path(RANKS), public_tokenizers.PATTERN, RANKS_END).count() == 0
 
 
+def test_registered_packing_is_lossless(spark, sf):
+    """The query's own rows, put together by their offsets, are the ids of every document."""
+    import public_tokenizers
+
+    from ostinato.llm import queries
+
+    enc = packing.byte_bpe(tokenizer_path(RANKS), public_tokenizers.PATTERN)
+    parts: dict = {}
+    for r in queries.op1_packing(spark, sf).collect():
+        ids = np.frombuffer(r.input_ids, "<u2")
+        assert len(ids) == packing.LENGTH and (ids[r.n_tokens :] == RANKS_END).all() and set(r.cu_seqlens) <= {*r.resets, packing.LENGTH}
+        for k, o, a, b in zip(r.doc_ids, r.offsets, r.cu_seqlens, r.cu_seqlens[1:]):
+            parts.setdefault(k, []).append((o, ids[a:b]))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(parts) == len(docs)
+    for r in docs:
+        assert np.concatenate([p for _, p in sorted(parts[r.doc_id], key=lambda x: x[0])]).tolist() == [*enc.encode_ordinary(r.text or ""), RANKS_END]
+
+
 def test_warc_round_trip(spark, monkeypatch):
     rows = [(5, "http://a/", "same"), (3, None, "same"), (9, "u\r\nv", "same"), (4, "x", None), (6, "x", ""), (7, "é", "é" * 50_000), (None, "x", "same"), (None, "x", "lost"), (None, "x", "lost"), (8, "z", "other"), (8, "z", "other")]
     pages = spark.createDataFrame([(a, b, c, 1, 2) for a, b, c in rows], "page_id bigint, url string, html string, digest int, first int").repartition(3)
