@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage calls one operator and works on all that the stage before it kept."""
+"""A corpus pipeline: each stage calls one operator and works on all that the stage before it kept.
+
+Every stage takes (spark, docs, sf_dir), writes its result to the shared folder and returns it as read again, so a lost
+executor costs tasks of one stage. Settings of the session are as they were when a stage returns. All columns of docs stay, whatever
+their names; n_chars, where there is one, is the length of the text as it is now. No stage but the first reads a doc_id as a number:
+ids may be null or repeat, as each stage says. An empty docs gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -11,42 +17,64 @@ from ostinato.llm.queries import ACCEPT, PIECES, table, tokenizer_path
 
 #: Rows of an Arrow batch: texts pass through Python in most stages, so a batch is some megabytes.
 ROWS_PER_BATCH = 250
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _columns(docs: DataFrame) -> DataFrame:
-    """The columns of documents, with the number of characters of the text as it is now."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns as one, so that no operator's column meets one of theirs."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("rest"))
+
+
+def _kept(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, written and read."""
+    now = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    out = out.select(*[now.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
+    return Scratch(docs.sparkSession, "pipeline").save(out, "stage", ROWS_PER_BATCH)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled documents of the input, accepts."""
+    """Documents that the classifier, fitted on the labelled documents of the input, accepts: those of a score of ACCEPT or more.
+
+    The text alone is scored: null and empty texts as one passage without words, equal texts alike, rows of null or repeated ids
+    each for itself. Without labels of both kinds the score is the share of label 1, the same for all.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _columns(quality.score(docs, model, keep_text=True).where(F.col("score") >= ACCEPT))
+    return _kept(quality.score(_packed(docs), model, keep_text=True).where(F.col("score") >= ACCEPT), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one repeats; a document goes if that was all it had."""
-    out = lines.deduplicate(docs, min_words=1, edit_every=lines.EDIT_EVERY, min_chars=lines.MIN_CHARS)
-    return _columns(out.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)))
+    """Documents without lines that an earlier one repeats; a document goes if that was all it had.
+
+    Null, empty and blank texts stay as they are. Rows of a null id keep all lines; rows equal in id and text are cut alike, and
+    neither repeats the other; of rows that repeat an id with another text that with the smaller digest is earlier.
+    """
+    out = lines.deduplicate(_packed(docs), min_words=1, edit_every=lines.EDIT_EVERY, min_chars=lines.MIN_CHARS)
+    return _kept(out.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)), docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return chosen_path.deduplicate(docs).select(*COLUMNS)
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    Texts that are null or without words, and rows of a null id, stay. Rows of one id are one document and stay or go together.
+    """
+    return _kept(chosen_path.deduplicate(_packed(docs)), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark; a document goes if they were more than half of its words."""
-    return _columns(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    """Documents without passages of the benchmark; a document goes if they were more than half of its words.
+
+    Null, empty and blank texts stay as they are. Ids aren't read: repeated rows are cut alike. Without items nothing is cut.
+    """
+    return _kept(decontaminate.decontaminate(_packed(docs), table(spark, sf_dir, "benchmark")), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the ids of the text, and the digest of their decoding."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    """doc_id, lang, source, the number of ids of the text, the ids, and the digest of their decoding.
+
+    A null text is an empty one, which has the begin and end ids alone. Every row stays, repeated ones and those of null ids too.
+    """
     out = spm.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(PIECES))
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    out = out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return Scratch(spark, "pipeline").save(out, "pieces", ROWS_PER_BATCH)
 
 
 STAGES = [
@@ -56,15 +84,15 @@ STAGES = [
     ("benchmark decontamination", benchmark_decontamination),
     ("sentencepiece", sentencepiece),
 ]
-#: The classifier is trained and the near-duplicates are found by methods that SQL can't express.
+#: The classifier is trained and the near-duplicates are found by methods that SQL can't express: see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents; a stage's table goes when the next one is written."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.save(docs, "stage")
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if i:
+            scratch.drop(before)
     return docs

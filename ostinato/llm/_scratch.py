@@ -49,6 +49,36 @@ def settings(spark: SparkSession, **conf: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_ROOTS: set[str] = set()
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process, when their results have been read; at its end this is done anyway."""
+    for root in sorted(_ROOTS):
+        p = spark._jvm.org.apache.hadoop.fs.Path(root)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _ROOTS.clear()
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            clean(spark)
+        except Exception:  # noqa: BLE001  the session may be gone before the process
+            pass
+
+
+atexit.register(_at_exit)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, or with underscores after it where it is taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a task of the step that runs, not the steps before.
 
@@ -59,6 +89,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = itertools.count()
+        _ROOTS.add(self.root)
         self.parts: int | None = None
 
     def size(self, df: DataFrame) -> int:

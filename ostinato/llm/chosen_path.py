@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._scratch import Scratch, connected_components
+from ._scratch import Scratch, connected_components, fresh
 
 SHINGLE, SIMILARITY = 5, 75
 TOKENS, TREES, PICKS, LEVELS, SMALL = 64, 10, 2.0, 4, 512
@@ -295,8 +295,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Words are what stands between white space, A-Z in lower case. Documents link where 100 * intersection >= percent * union
     of their sets of ``shingle``-word shingles; a shorter text is one shingle. Texts that are null or without words link with
     nothing. Equal sets are joined by their digest and enter the trees once; every other link is confirmed on full sets.
-    Rows with a null id link with nothing and keep their row, with a null component; repeated rows of an id stay, with its
-    component. An empty table gives an empty one.
+    Rows with a null id link with nothing and keep their row, with a null component. Rows of one id are one document, which links
+    as any of its texts does: all stay, with its component. An empty table gives an empty one; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "chosen-path")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -314,8 +314,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
-    """docs with one document of each component of near-duplicates, the smallest id; same columns."""
-    gone = near_duplicates(docs, doc_id, **kw).where("not kept").select(F.col("doc_id").alias("_gone"))
+    """docs with one document of each component of near-duplicates, the smallest id; same columns, whatever their names."""
+    name = fresh("gone", docs.columns)
+    gone = near_duplicates(docs, doc_id, **kw).where("not kept").select(F.col("doc_id").alias(name))
     scratch = Scratch(docs.sparkSession, "gone")
     gone = scratch.small(scratch.save(gone.distinct(), "ids"))
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[doc_id].cast("long") == gone[name], "left_anti")
