@@ -33,6 +33,8 @@ WINDOW = 20
 LONG = 32
 #: Symbols in a row that represent a window, by their level (0: words).
 UNITS = (6, 5, 4)
+#: Occurrences beyond which a symbol's rows are not dealt by the symbol.
+HOT = 1000
 BATCH = 500
 _U = np.uint64
 
@@ -175,7 +177,7 @@ def _long_rows(window: int):
 
 
 def _anchor_rows(window: int):
-    """Stretches of windows with their symbol, their place, and all their words as one fingerprint."""
+    """Stretches of windows with their symbol, their place (32 times the first window, and their number), and all their words as one fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,38 +187,36 @@ def _anchor_rows(window: int):
                 s, e, name = anchors(h, w.docs, window, _skipped(batch.column(2), lo, w.docs, window))
                 d = np.searchsorted(w.docs, s, "right") - 1
                 content = W.runs(h, s, e + window - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(pa.array(lo + d)), pa.array((s - w.docs[d]).astype(np.int32))], ["symbol", "content", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(pa.array(lo + d)), pa.array((s - w.docs[d]) * 32 + e - s)], ["symbol", "content", "doc_id", "start"])
 
     return run
 
 
 def _window_rows(window: int):
-    """Of documents with the starts of some stretches: every window of those."""
+    """Of documents with some stretches: every window of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, offs in W.chunks(batch.column(1)):
                 w = W.Words(data, offs, W.SPACED)
                 h = w.hashes()
-                s, e, name = anchors(h, w.docs, window, _skipped(batch.column(2), lo, w.docs, window))
-                pick = _picked(s, w.docs, batch.column(3), lo)
-                s, e, name = s[pick], e[pick], name[pick]
+                s, e = _picked(w.docs, batch.column(2), lo)
                 n = e - s
                 at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                full = W.grams(h, window)
+                full, check = (W.runs(x, at, at + window) for x in (h, W.mix(h ^ _U(0x5DEECE66D))))
                 d = np.searchsorted(w.docs, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(full[at].view(np.int64) if len(at) else np.zeros(0, np.int64)), pa.array((np.repeat(name, n) >> _U(33)).astype(np.int32)), batch.column(0).take(pa.array(lo + d)), pa.array((at - w.docs[d]).astype(np.int32))], ["window", "check", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), pa.array((check >> _U(33)).astype(np.int32)), batch.column(0).take(pa.array(lo + d)), pa.array(at - w.docs[d])], ["window", "check", "doc_id", "start"])
 
     return run
 
 
-def _picked(s: np.ndarray, docs: np.ndarray, starts: pa.Array, lo: int) -> np.ndarray:
-    """Positions in s of the anchors that start at the words listed for each document from row lo on."""
-    part = starts.slice(lo, len(docs) - 1)
+def _picked(docs: np.ndarray, places: pa.Array, lo: int) -> tuple[np.ndarray, np.ndarray]:
+    """First windows and ends of the stretches listed for each document from row lo on, as words of the chunk."""
+    part = places.slice(lo, len(docs) - 1)
     n = np.asarray(part.value_lengths().fill_null(0)).astype(np.int64)
-    want = np.asarray(part.flatten()).astype(np.int64) + np.repeat(docs[:-1], n)
-    want.sort()
-    return np.searchsorted(s, want)
+    at = np.asarray(part.flatten()).astype(np.int64)
+    s = (at >> 5) + np.repeat(docs[:-1], n)
+    return s, s + (at & 31)
 
 
 def _removed(window: int, texts: bool):
@@ -233,18 +233,16 @@ def _removed(window: int, texts: bool):
                 n = np.diff(w.docs)
                 gone = np.zeros(len(w) + 1, np.int64)
                 if any(np.asarray(c.slice(lo, hi - lo).value_lengths().fill_null(0)).any() for c in (known, shared)):
-                    skip = _skipped(known, lo, w.docs, window)
-                    s, e, _ = anchors(w.hashes(), w.docs, window, skip)
-                    gone_too = np.zeros(len(s), bool)
-                    for column, value in ((shared, True), (first, False), (mixed, True)):
-                        gone_too[_picked(s, w.docs, column, lo)] = value
-                    mark = np.zeros(len(w) + 1, bool)
-                    for a, b in zip(s[gone_too].tolist(), e[gone_too].tolist(), strict=True):
-                        mark[a:b] = True
+                    edge = np.zeros(len(w) + 2, np.int64)
+                    for column, step in ((shared, 1), (first, -1), (mixed, 1)):
+                        a, b = _picked(w.docs, column, lo)
+                        np.add.at(edge, a, step)
+                        np.add.at(edge, b, -step)
+                    mark = np.cumsum(edge[:-1]) > 0
                     f = firsts.slice(lo, hi - lo)
                     k = np.asarray(f.value_lengths().fill_null(0)).astype(np.int64)
                     mark[np.asarray(f.flatten()).astype(np.int64) + np.repeat(w.docs[:-1], k)] = False
-                    at = np.flatnonzero(mark | skip[: len(mark)])
+                    at = np.flatnonzero(mark | _skipped(known, lo, w.docs, window)[: len(mark)])
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + window, -1)
                 keep = np.cumsum(gone[:-1]) == 0
@@ -286,7 +284,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     key = d.select("doc_id", F.unhex(F.md5("text")).alias("key")).where("doc_id is not null and key is not null")
     first = key.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = scratch.save(key.join(first, "key").where("doc_id > first").select("doc_id").distinct(), "copies")
-    origin = d.select("doc_id", "text").where("doc_id is not null").join(scratch.small(copies), "doc_id", "left_anti")
+    # joins with texts shuffle at every size (but for Spark's own choice on tables of some megabytes): cost grows in proportion
+    origin = d.select("doc_id", "text").where("doc_id is not null").join(copies, "doc_id", "left_anti")
     if kind != "bigint":
         origin = origin.dropDuplicates(["doc_id"])
 
@@ -297,27 +296,28 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     known = scratch.save(known.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("known")), "known")
     scratch.drop(long)
 
-    rows = origin.join(scratch.small(known), "doc_id", "left").select("doc_id", "text", "known").mapInArrow(_anchor_rows(window), f"symbol bigint, content bigint, doc_id {kind}, start int")
+    rows = origin.join(known, "doc_id", "left").select("doc_id", "text", "known").mapInArrow(_anchor_rows(window), f"symbol bigint, content bigint, doc_id {kind}, start bigint")
     rows = scratch.save(rows, "stretches", BATCH)
-    twice = rows.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol")
-    shared = scratch.save(rows.join(twice, "symbol"), "shared")
-    scratch.drop(rows)
+    twice = scratch.save(rows.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    # rows of hot symbols meet a table of one in HOT rows at most and stay where they are
+    hot = scratch.small(scratch.save(twice.where(F.col("n") > HOT).select("symbol"), "hot"))
+    shared = rows.join(hot, "symbol", "left_semi").unionByName(rows.join(hot, "symbol", "left_anti").join(twice.where(F.col("n") <= HOT).select("symbol"), "symbol"))
+    shared = scratch.save(shared, "shared")
+    scratch.drop(rows, twice)
     # of equal stretches all but the first go whole; first ones are compared by windows where a symbol stands in unlike ones
     unlike = shared.groupBy("symbol").agg((F.min("content") < F.max("content")).alias("mixed"))
     first = shared.groupBy("symbol", "content").agg(F.min(place).alias("x")).join(unlike, "symbol")
     first = first.groupBy("x.doc_id").agg(F.collect_list("x.start").alias("first"), F.collect_list(F.when(F.col("mixed"), F.col("x.start"))).alias("mixed"))
     stretches = shared.groupBy("doc_id").agg(F.collect_list("start").alias("shared")).join(first, "doc_id", "left")
     stretches = scratch.save(stretches.join(known, "doc_id", "full").select("doc_id", "known", "shared", "first", "mixed"), "by-document")
-    scratch.drop(shared)
+    scratch.drop(shared, known)
 
-    some = scratch.save(stretches.where(F.size("mixed") > 0).select("doc_id", "known", "mixed"), "mixed")
-    windows = origin.join(scratch.small(some), "doc_id").select("doc_id", "text", "known", "mixed").mapInArrow(_window_rows(window), f"window bigint, check int, doc_id {kind}, start int")
+    some = stretches.where(F.size("mixed") > 0).select("doc_id", "mixed")
+    windows = origin.join(some, "doc_id").select("doc_id", "text", "mixed").mapInArrow(_window_rows(window), f"window bigint, check int, doc_id {kind}, start bigint")
     firsts = windows.groupBy("window", "check").agg(F.min(place).alias("x"))
     firsts = scratch.save(firsts.groupBy("x.doc_id").agg(F.collect_list("x.start").alias("firsts")), "firsts", BATCH)
-    scratch.drop(some, known)
-    none = [F.lit(None).cast("array<int>").alias(c) for c in ("known", "shared", "first", "mixed", "firsts")]
+    none = [F.lit(None).cast(f"array<{'int' if c == 'known' else 'bigint'}>").alias(c) for c in ("known", "shared", "first", "mixed", "firsts")]
     marks = stretches.join(firsts, "doc_id", "left").withColumn("copy", F.lit(False))
-    marks = scratch.save(marks.unionByName(copies.select("doc_id", *none, F.lit(True).alias("copy"))), "marks")
-    scratch.drop(stretches, firsts, copies)
-    out = d.join(scratch.small(marks), "doc_id", "left").select("id", "text", "known", "shared", "first", "mixed", "firsts", "copy")
+    marks = marks.unionByName(copies.select("doc_id", *none, F.lit(True).alias("copy")))
+    out = d.join(marks, "doc_id", "left").select("id", "text", "known", "shared", "first", "mixed", "firsts", "copy")
     return out.mapInArrow(_removed(window, texts), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
