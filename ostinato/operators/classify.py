@@ -6,7 +6,7 @@ branch, spread anew over the cluster because its cost isn't, and the branches ar
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, fields
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -53,19 +53,31 @@ class Config:
 
     @classmethod
     def for_tissue(cls, tissue: str = "default", n: int | None = None) -> Config:
-        """Presets of the tissue families."""
-        c = cls(alpha=None if n is None else 0.05 if n >= 48 else 0.10 if n >= 30 else 0.20)
-        name = tissue.lower().strip()
-        if name in ("ovary", "uterus", "oviduct", "reproductive"):
-            c = replace(c, independent=0.5, likely=0.25, vmd_gate=0.12)
-            return replace(c, alpha=0.5) if n is not None and n < 30 else c
-        if name in ("heart", "muscle", "skeletal_muscle"):
-            return replace(c, likely=0.35, harmonic=-0.55, likely_harmonic=-0.25)
-        if name in ("fibroblast", "cell_line", "in_vitro"):
-            return replace(c, independent=0.5, likely=0.2, harmonic=-0.5, likely_harmonic=-0.2, vmd_gate=0.10)
-        if name in ("weak_rhythm", "peripheral", "adipose", "kidney"):
-            return replace(c, independent=0.5, likely=0.25, vmd_gate=0.12, bispectral_nonsin=0.3)
-        return c
+        """The settings of a tissue's family, and of a number of points; tissues of no family have the defaults."""
+        family = FAMILY.get(tissue.lower().strip(), "")
+        changes = dict(PRESETS.get(family, {}))
+        if n is not None:
+            changes["alpha"] = next(a for least, a in ALPHA_BY_POINTS if n >= least)
+            changes |= FEW_POINTS.get(family, {}) if n < FEW else {}
+        return cls(**changes)
+
+
+#: The families of tissues, and the settings in which they differ from the defaults.
+FAMILY = {name: family for family, names in {
+    "cultured": ("cell_line", "fibroblast", "in_vitro"),
+    "contractile": ("heart", "muscle", "skeletal_muscle"),
+    "reproductive": ("ovary", "oviduct", "reproductive", "uterus"),
+    "weak": ("adipose", "kidney", "peripheral", "weak_rhythm"),
+}.items() for name in names}
+PRESETS = {
+    "cultured": {"independent": 0.5, "likely": 0.2, "likely_harmonic": -0.2, "harmonic": -0.5, "vmd_gate": 0.10},
+    "contractile": {"likely": 0.35, "likely_harmonic": -0.25, "harmonic": -0.55},
+    "reproductive": {"independent": 0.5, "likely": 0.25, "vmd_gate": 0.12},
+    "weak": {"independent": 0.5, "likely": 0.25, "vmd_gate": 0.12, "bispectral_nonsin": 0.3},
+}
+#: Significance level by the number of points from which on it holds; and what few points change in a family.
+ALPHA_BY_POINTS = ((48, 0.05), (30, 0.10), (0, 0.20))
+FEW, FEW_POINTS = 30, {"reproductive": {"alpha": 0.5}}
 
 
 def _damped(x: Column) -> Column:
@@ -140,7 +152,7 @@ def two_stage(df: DataFrame, config: Config | None = None, partitions: int | Non
     rest = first.where((F.col("stage1_class") == "has_12h") & F.col("error").isNull())
     rest = per_series.spread(rest, partitions)
     m = evidence.models(rest, c.base, c.k)
-    m = per_series.apply(m, _stage2_modes(c.base), f"vh {evidence.VMD_HILBERT}, bic_value double")
+    m = per_series.apply(m, _stage2_modes(c.base), f"vh {evidence.VMD_HILBERT}, bic_value double").withColumn("vh", evidence.coupled(F.col("vh")))
     m = m.withColumn("amp_ratio", evidence.amplitude_ratio()).withColumn("rel_dev", evidence.period_deviation(c.base)).withColumn("r2_m0", evidence.harmonic_r2())
     m = m.withColumn("simulate", (F.col("rel_dev") > 0.01) | F.coalesce(F.col("p_gate_b").between(0.05, 0.2), F.lit(False)))
     three = [c.base, c.base / 2, c.base / 3]

@@ -6,24 +6,29 @@ import math
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import stats as S
-from . import fits, per_series
+from . import fits, per_series, ranks
 
 
-def component_fs(df: DataFrame, t: np.ndarray, periods: list[float], names: dict[int, str]) -> DataFrame:
-    """Adds the p-values of the partial F tests of some periods, by their places, with one fit of all periods."""
-    df = fits.with_fit(df, t, periods, "_full")
-    for i, name in names.items():
+def _partial(df: DataFrame, t: np.ndarray, periods: list[float], names: dict[int, str]) -> DataFrame:
+    """Adds the fit of all periods as _full, and the p-values of the partial F tests of some of them, by their places."""
+    for i in names:
         if not 0 <= i < len(periods):
             raise ValueError(f"no period {i} among {len(periods)}")
-        rest = [p for j, p in enumerate(periods) if j != i]
-        df = fits.with_fit(df, t, rest, "_rest") if rest else df.withColumn("_rest", F.struct(_tss("y").alias("rss")))
-        df = df.withColumn(name, S.f_sf_2(F.col("_rest.rss"), F.col("_full.rss"), F.lit(float(len(t) - 2 * len(periods) - 1)))).drop("_rest")
-    return df.drop("_full")
+    rests = {f"_rest{i}": [p for j, p in enumerate(periods) if j != i] for i in names}
+    df = fits.with_fits(df, t, {"_full": periods, **rests})
+    df2 = F.lit(float(len(t) - 2 * len(periods) - 1))
+    ps = {name: S.f_sf_2(F.col(f"_rest{i}.rss"), F.col("_full.rss"), df2) for i, name in names.items()}
+    return df.withColumns(ps).drop(*rests)
+
+
+def component_fs(df: DataFrame, t: np.ndarray, periods: list[float], names: dict[int, str]) -> DataFrame:
+    """Adds the p-values of the partial F tests of some periods, by their places, with one pass over the series."""
+    return _partial(df, t, periods, names).drop("_full")
 
 
 def component_f(df: DataFrame, t: np.ndarray, periods: list[float], index: int, name: str) -> DataFrame:
@@ -82,39 +87,25 @@ def nonparametric(df: DataFrame, f_test: str | None = None) -> DataFrame:
     return df.withColumn("p_combined", p).withColumn("detection_method", name)
 
 
-def bh_fdr(df: DataFrame, p: str, name: str, within: list[str] | None = None, buckets: int = 64) -> DataFrame:
+def bh_fdr(df: DataFrame, p: str, name: str, within: list[str] | None = None, buckets: int = ranks.BUCKETS) -> DataFrame:
     """Adds Benjamini and Hochberg's adjusted p-values; null and NaN stay null and don't count.
 
-    Within groups a window does. Over the whole table equal values are counted first, ranges of values are cut at approximate
-    quantiles, and each range is scanned on its own with the totals of the ranges below and the least of those above: no task
-    holds all rows. Equal p-values get equal results.
+    Equal values are counted first, ranges of values are cut at approximate quantiles of the counts, and each range (of each group) is
+    scanned on its own with the totals of the ranges below and the least of those above: no task holds all rows. Equal p-values
+    get equal results. The input is kept while it is read twice.
     """
     keys = within or []
     ok = F.col(p).isNotNull() & ~F.isnan(p)
-    return df.withColumn("_p", F.when(ok, F.col(p))).join(_adjusted(df, p, name, keys, buckets), [*keys, "_p"], "left").drop("_p")
+    df = df.withColumn("_p", F.when(ok, F.col(p))).persist(StorageLevel.MEMORY_AND_DISK)
+    return df.join(_adjusted(df, "_p", name, keys, buckets), [*keys, "_p"], "left").drop("_p")
 
 
-def _adjusted(df: DataFrame, p: str, name: str, keys: list[str], buckets: int = 64) -> DataFrame:
+def _adjusted(df: DataFrame, p: str, name: str, keys: list[str], buckets: int = ranks.BUCKETS) -> DataFrame:
     """keys and _p, each distinct p-value, to its adjusted value."""
     ok = F.col(p).isNotNull() & ~F.isnan(p)
     counts = df.where(ok).groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
-    if keys:
-        w = Window.partitionBy(*keys).orderBy("_p")
-        counts = counts.withColumn("_r", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-        q = F.min(F.col("_p") * F.col("_n") / F.col("_r")).over(Window.partitionBy(*keys).orderBy(F.desc("_p")))
-        return counts.select(*keys, "_p", F.least(F.lit(1.0), q).alias(name))
-    else:
-        cuts = sorted(set(df.where(ok).approxQuantile(p, [i / buckets for i in range(1, buckets)], 0.005))) if buckets > 1 else []
-        bucket = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col("_p")))
-        counts = counts.withColumn("_b", bucket)
-        total = counts.groupBy("_b").agg(F.sum("_c").alias("_t"))
-        order = Window.orderBy("_b")  # over one row a range
-        total = total.select("_b", (F.sum("_t").over(order) - F.col("_t")).alias("_below"), F.sum("_t").over(Window.partitionBy()).alias("_n"))
-        ranked = counts.join(F.broadcast(total), "_b").withColumn("_r", F.col("_below") + F.sum("_c").over(Window.partitionBy("_b").orderBy("_p")))
-        ranked = ranked.withColumn("_q", F.col("_p") * F.col("_n") / F.col("_r"))
-        above = ranked.groupBy("_b").agg(F.min("_q").alias("_m")).select("_b", F.min("_m").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))
-        q = F.least(F.min("_q").over(Window.partitionBy("_b").orderBy(F.desc("_p"))), F.coalesce("_above", F.lit(1.0)), F.lit(1.0))
-        return ranked.join(F.broadcast(above), "_b").select("_p", q.alias(name))
+    r = ranks.running(counts, "_p", {"_r": F.col("_c")}, keys, buckets).withColumn("_q", F.col("_p") * F.col("_r_all") / (F.col("_r") + F.col("_c")))
+    return ranks.least_above(r, "_p", "_q", keys, buckets).select(*keys, "_p", F.least(F.lit(1.0), "_least").alias(name))
 
 
 def gate_b(df: DataFrame, base: float = 24.0) -> DataFrame:
@@ -201,7 +192,7 @@ def lomb_power(df: DataFrame, t: np.ndarray, period: float, name: str) -> DataFr
 
 def cosinor(df: DataFrame, t: np.ndarray, period: float = 12.0, name: str = "cosinor") -> DataFrame:
     """Adds a struct: mesor, amplitude, phase, rss, tss, f, p of one period, on a shared grid. A perfect fit has p = 0."""
-    df = fits.with_fit(df, t, [period], "_f").withColumn("_tss", _tss("y"))
+    df = fits.with_fit(df, t, [period], "_f").withColumn("_tss", F.col("_f.tss"))
     n = float(len(t))
     c = F.col("_f.components")[0]
     out = F.struct(F.col("_f.mesor").alias("mesor"), c["amplitude"].alias("amplitude"), c["phase"].alias("phase"), F.col("_f.rss").alias("rss"), F.col("_tss").alias("tss"), F.when(F.col("_f.rss") > 0, S.f_stat(F.col("_tss"), F.col("_f.rss"), 2, F.lit(n - 3))).alias("f"), S.f_sf_2(F.col("_tss"), F.col("_f.rss"), F.lit(n - 3)).alias("p"))
@@ -211,8 +202,7 @@ def cosinor(df: DataFrame, t: np.ndarray, period: float = 12.0, name: str = "cos
 def harmonic_regression(df: DataFrame, t: np.ndarray, periods: list[float]) -> DataFrame:
     """Adds hr_p (overall F test), hr_best (period of the largest amplitude), hr_components: period, amplitude, phase, p of each."""
     n, k = len(t), len(periods)
-    df = component_fs(df, t, periods, {i: f"_p{i}" for i in range(k)})
-    df = fits.with_fit(df, t, periods, "_f").withColumn("_tss", _tss("y"))
+    df = _partial(df, t, periods, {i: f"_p{i}" for i in range(k)}).withColumnRenamed("_full", "_f").withColumn("_tss", F.col("_f.tss"))
     comps = F.array(*[F.struct(F.lit(float(p)).alias("period"), F.col("_f.components")[i]["amplitude"].alias("amplitude"), F.col("_f.components")[i]["phase"].alias("phase"), F.col(f"_p{i}").alias("p")) for i, p in enumerate(periods)])
     df2 = F.lit(float(n - 2 * k - 1))
     overall = S.f_sf_even(S.f_stat(F.col("_tss"), F.col("_f.rss"), 2 * k, df2), F.lit(float(2 * k)), df2)
@@ -283,12 +273,10 @@ def detect(df: DataFrame, t: np.ndarray, periods: list[float], alpha: float = 0.
     names = [f"{p:.0f}" for p in periods]
     if len(set(names)) < len(names):
         raise ValueError(f"periods {periods} have the names {names}")
-    df = component_fs(df, t, periods, {i: f"p_{n}" for i, n in enumerate(names)})
-    df = fits.with_fit(df, t, periods, "_f").withColumn("mesor", F.col("_f.mesor"))
-    for i, n in enumerate(names):
-        c = F.col("_f.components")[i]
-        df = df.withColumn(f"A_{n}", c["amplitude"]).withColumn(f"phi_{n}", c["phase"])
-    base = out = df.drop("_f", "t", "y").persist(StorageLevel.MEMORY_AND_DISK)  # a few numbers a series, read for each period
+    df = _partial(df, t, periods, {i: f"p_{n}" for i, n in enumerate(names)})
+    c = F.col("_full.components")
+    new = {"mesor": F.col("_full.mesor")} | {f"{k}_{n}": c[i][x] for i, n in enumerate(names) for k, x in (("A", "amplitude"), ("phi", "phase"))}
+    base = out = df.withColumns(new).drop("_full", "t", "y").persist(StorageLevel.MEMORY_AND_DISK)  # a few numbers a series, read for each period
     for n in names:  # all from one base, so that the plan grows by a term for each period
         adjusted = _adjusted(base.select(f"p_{n}"), f"p_{n}", f"fdr_{n}", []).withColumnRenamed("_p", f"p_{n}")
         out = out.join(adjusted, f"p_{n}", "left").withColumn(f"sig_{n}", F.col(f"fdr_{n}") < alpha)

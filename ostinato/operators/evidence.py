@@ -171,32 +171,76 @@ def vmd_score(v: Column) -> Column:
     return one(e > 0.3) + one(e > 0.6) + one(v["deviation"] > 0.02) + one(v["lock"] > 0.03) - one(e < 0.1) - one((v["lock"] < 0.02) & (e < 0.3))
 
 
+def coupling(slow: Column, fast: Column) -> Column:
+    """Two tracks of frequencies, of one length, to a struct: corr, ratio and ratio_sd (of fast over slow, where slow is above 0), short.
+
+    From one sum over the points of the first and second moments. Of two steady tracks, which vary by less than a hundredth of their
+    means, the correlation is 0; without three ratios the mean ratio is 0 and its spread 999.
+    """
+    zero = {k: F.lit(0.0) for k in ("n", "a", "b", "aa", "bb", "ab", "m", "r", "rr")}
+
+    def add(s: Column, x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        r = F.when(a > 1e-12, b / a)
+        terms = {"n": F.lit(1.0), "a": a, "b": b, "aa": a * a, "bb": b * b, "ab": a * b, "m": F.when(r.isNotNull(), 1.0).otherwise(0.0), "r": F.coalesce(r, F.lit(0.0)), "rr": F.coalesce(r * r, F.lit(0.0))}
+        return F.struct(*[(s[k] + v).alias(k) for k, v in terms.items()])
+
+    def done(s: Column) -> Column:
+        var = lambda x: F.greatest(s[x + x] / s["n"] - (s[x] / s["n"]) ** 2, F.lit(0.0))
+        steady = lambda x: F.sqrt(var(x)) < 0.01 * F.greatest(F.abs(s[x] / s["n"]), F.lit(1e-12))
+        spread = F.sqrt(var("a") * var("b"))
+        corr = F.when((steady("a") & steady("b")) | (spread <= 0), 0.0).otherwise((s["ab"] / s["n"] - s["a"] * s["b"] / s["n"] ** 2) / spread)
+        enough, mean = s["m"] > 2, s["r"] / s["m"]
+        sd = F.sqrt(F.greatest(s["rr"] / s["m"] - mean**2, F.lit(0.0)))
+        return F.struct(corr.alias("corr"), F.when(enough, mean).otherwise(0.0).alias("ratio"), F.when(enough, sd).otherwise(999.0).alias("ratio_sd"), (s["n"] < 30).alias("short"))
+
+    return F.aggregate(F.zip_with(slow, fast, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.struct(*[v.alias(k) for k, v in zero.items()]), add, done)
+
+
+#: Scores of a coupling, and the open bounds (from, to) within which they hold; the first that holds counts. off is the
+#: distance of the mean ratio from 2, cv the ratios' spread over their mean; short and long are of tracks under and from 30 points.
+COUPLING = (
+    (-3, "any", {"corr": (0.8, None), "off": (None, 0.15)}),
+    (-2, "any", {"corr": (0.6, None), "off": (None, 0.3)}),
+    (-2, "short", {"off": (None, 0.2), "cv": (None, 0.35)}),
+    (-1, "short", {"off": (None, 0.3), "cv": (None, 0.5)}),
+    (2, "long", {"corr": (None, 0.2)}),
+    (2, "long", {"sd": (0.5, None)}),
+    (2, "any", {"off": (0.5, None)}),
+    (2, "any", {"cv": (0.5, None), "off": (0.3, None)}),
+    (1, "any", {"corr": (None, 0.4), "off": (0.2, None)}),
+)
+
+
 def coupling_score(c: Column) -> Column:
-    """Of a struct corr, ratio, ratio_sd, short: -3 (the fast mode follows the slow one) to 2 (it doesn't)."""
-    off = F.abs(c["ratio"] - 2)
-    cv = c["ratio_sd"] / F.greatest(F.abs(c["ratio"]), F.lit(1e-12))
-    return (
-        F.when((c["corr"] > 0.8) & (off < 0.15), -3.0)
-        .when((c["corr"] > 0.6) & (off < 0.3), -2.0)
-        .when(c["short"] & (off < 0.2) & (cv < 0.35), -2.0)
-        .when(c["short"] & (off < 0.3) & (cv < 0.5), -1.0)
-        .when(~c["short"] & ((c["corr"] < 0.2) | (c["ratio_sd"] > 0.5)), 2.0)
-        .when(off > 0.5, 2.0)
-        .when((cv > 0.5) & (off > 0.3), 2.0)
-        .when((c["corr"] < 0.4) & (off > 0.2), 1.0)
-        .otherwise(0.0)
-    )
+    """Of a struct of ``coupling``: -3 (the fast mode follows the slow one) to 2 (it doesn't)."""
+    size = {"any": F.lit(True), "short": c["short"], "long": ~c["short"]}
+    x = {"corr": c["corr"], "off": F.abs(c["ratio"] - 2), "cv": c["ratio_sd"] / F.greatest(F.abs(c["ratio"]), F.lit(1e-12)), "sd": c["ratio_sd"]}
+    out = F.lit(0.0)
+    for score, points, bounds in reversed(COUPLING):
+        holds = size[points]
+        for k, (lo, hi) in bounds.items():
+            holds = holds & (x[k] > lo if lo is not None else x[k] < hi)
+        out = F.when(holds, F.lit(float(score))).otherwise(out)
+    return out
 
 
-VMD_HILBERT = "struct<corr:double,ratio:double,ratio_sd:double,short:boolean,converged:boolean,amp_base:double,amp_half:double,deviation:double>"
+VMD_HILBERT = "struct<slow:array<double>,fast:array<double>,converged:boolean,amp_base:double,amp_half:double,deviation:double>"
 
 
 def vmd_hilbert(df: DataFrame, base: float = 24.0) -> DataFrame:
     """Adds vh (frequencies' coupling of the two modes) and vh_score: a harmonic score is turned where the fast mode's period is off."""
     df = per_series.apply(df, lambda t, y, _: {"vh": K.vmd_hilbert(t, y, base)}, f"vh {VMD_HILBERT}")
+    df = df.withColumn("vh", coupled(F.col("vh")))
     return df.withColumn("vh_score", vmd_hilbert_score(F.col("vh")))
 
 
+def coupled(vh: Column) -> Column:
+    """The coupling of the two modes' tracks in place of the tracks."""
+    c = coupling(vh["slow"], vh["fast"])
+    return F.when(vh.isNotNull(), F.struct(*[c[k].alias(k) for k in ("corr", "ratio", "ratio_sd", "short")], *[vh[k].alias(k) for k in ("converged", "amp_base", "amp_half", "deviation")]))
+
+
 def vmd_hilbert_score(vh: Column) -> Column:
     s = coupling_score(vh)
     return F.when((vh["deviation"] > 0.05) & (s < 0), F.greatest(s + 2, F.lit(1.0))).otherwise(s)

@@ -1,15 +1,18 @@
 """Least-squares fits of cosines to many series.
 
-On a grid that all series share, the projection (X'X)^+ X' is computed once on the driver and shipped as literals:
-coefficients are inner products, no Python runs and nothing is shuffled. On grids of their own, one-period fits come
-from sums over the long form; fits of more periods, and free periods, run as NumPy kernels over Arrow batches.
+On a grid that all series share, the projection (X'X)^+ X' is computed once: coefficients and residuals of a batch of series are
+products of matrices in one narrow pass over Arrow batches, whatever the number of models, and what follows from them is in
+expressions. On grids of their own, one-period fits come from sums over the long form; fits of more periods, and free
+periods, run as NumPy kernels.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +29,33 @@ def harmonics(base: float = 24.0, k: int = 3) -> list[float]:
     return [base / i for i in range(1, k + 1)]
 
 
-def shared_fit(y: Column, t: np.ndarray, periods: list[float]) -> dict[str, Column]:
-    """beta, rss, sigma2, log_lik, bic, aicc, mesor, amplitudes and phases of a fit on a shared grid.
-
-    bic counts the variance as a parameter; aicc is bic where it isn't defined. Rank-deficient grids get the fit of least norm.
-    """
-    x = design(t, periods)
-    proj = np.linalg.pinv(x)
-    n, k = x.shape
-    beta = F.array(*[S.dot(y, row.tolist()) for row in proj])
-    # the residual sum of squares is taken over the residuals: the difference of two sums of squares loses digits
-    cols = F.lit([[float(v) for v in row] for row in x])
-    fitted = F.transform(cols, lambda row: F.aggregate(F.zip_with(row, F.col("_beta"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    rss = F.aggregate(F.zip_with(y, fitted, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return {"_beta": beta, "rss": rss, "n": F.lit(n), "k": F.lit(k)}
+def _projector(t: np.ndarray, models: dict[str, list[float]], at: int):
+    """Coefficients and residual sums of squares of all models for a batch of series: products of one matrix of values."""
+    xs = [design(t, m) for m in models.values()]
+    proj = [np.linalg.pinv(x) for x in xs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(at)
+            flat = y.flatten()
+            size = np.asarray(y.value_lengths().fill_null(-1)).astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
+            holes = np.concatenate([[0], np.cumsum(np.asarray(flat.is_null()))])
+            good = np.flatnonzero((size == len(t)) & (holes[first[1:]] == holes[first[:-1]]))
+            m = np.asarray(flat.fill_null(0.0))[first[good][:, None] + np.arange(len(t))[None, :]]
+            place = np.full(batch.num_rows, -1)
+            place[good] = np.arange(len(good))
+            take = pa.array(place, mask=place < 0)
+            cols = [pa.array(((m - m.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)).take(take)]
+            for x, p in zip(xs, proj, strict=True):
+                beta = m @ p.T
+                # the residual sum of squares is taken over the residuals: the difference of two sums of squares loses digits
+                rss = ((m - beta @ x.T) ** 2).sum(axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(good) + 1) * beta.shape[1], pa.int32()), pa.array(beta.ravel()))
+                cols += [lists.take(take), pa.array(rss).take(take)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "_tss", *(f"_{c}{i}" for i in range(len(xs)) for c in ("beta", "rss"))])
+
+    return run
 
 
 def information(rss: Column, n: Column | int, n_params: Column | int) -> dict[str, Column]:
@@ -53,22 +69,36 @@ def information(rss: Column, n: Column | int, n_params: Column | int) -> dict[st
     return {"sigma2": sigma2, "log_lik": ll, "bic": bic, "aicc": aicc}
 
 
+def with_fits(df: DataFrame, t: np.ndarray, models: dict[str, list[float]], free: int = 0, y: str = "y") -> DataFrame:
+    """Adds a struct for each model (a list of periods; none for the mean alone): beta, mesor, components (period, a, b, amplitude,
+    phase), rss, tss, sigma2, log_lik, bic, aicc, n, n_params.
+
+    bic counts the variance as a parameter; aicc is bic where it isn't defined. Rank-deficient grids get the fit of least norm.
+    Series that are null, of another length than t, or hold a null get nulls; NaN makes NaN. One narrow pass for all models.
+    """
+    taken = [c for c in df.columns if c in models]
+    df = df.drop(*taken)
+    df = df.withColumn(y, F.col(y).cast("array<double>"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    made = ", ".join(f"_beta{i} array<double>, _rss{i} double" for i in range(len(models)))
+    out = df.mapInArrow(_projector(t, models, df.columns.index(y)), f"{kept}, _tss double, {made}")
+    fitted = []
+    for i, (name, periods) in enumerate(models.items()):
+        b, rss, k = F.col(f"_beta{i}"), F.col(f"_rss{i}"), 2 * len(periods) + 2 + free
+        comps = [F.struct(F.lit(float(p)).alias("period"), b[2 * j + 1].alias("a"), b[2 * j + 2].alias("b"), F.sqrt(b[2 * j + 1] ** 2 + b[2 * j + 2] ** 2).alias("amplitude"), F.atan2(b[2 * j + 2], b[2 * j + 1]).alias("phase")) for j, p in enumerate(periods)]
+        info = information(rss, len(t), k)
+        fitted.append(F.struct(b.alias("beta"), b[0].alias("mesor"), F.array(*comps).alias("components"), rss.alias("rss"), F.col("_tss").alias("tss"), *[c.alias(x) for x, c in info.items()], F.lit(len(t)).alias("n"), F.lit(k).alias("n_params")).alias(name))
+    return out.select(*df.columns, *fitted)
+
+
 def with_fit(df: DataFrame, t: np.ndarray, periods: list[float], name: str, free: int = 0, y: str = "y") -> DataFrame:
-    """Adds a struct column: beta, mesor, components (period, a, b, amplitude, phase), rss, sigma2, log_lik, bic, aicc, n, n_params."""
-    parts = shared_fit(F.col(y), t, periods)
-    df = df.withColumn("_beta", parts["_beta"]).withColumn("_rss", parts["rss"])
-    n, k = len(t), 2 * len(periods) + 2 + free
-    b = F.col("_beta")
-    comps = [F.struct(F.lit(float(p)).alias("period"), b[2 * i + 1].alias("a"), b[2 * i + 2].alias("b"), F.sqrt(b[2 * i + 1] ** 2 + b[2 * i + 2] ** 2).alias("amplitude"), F.atan2(b[2 * i + 2], b[2 * i + 1]).alias("phase")) for i, p in enumerate(periods)]
-    info = information(F.col("_rss"), n, k)
-    fit = F.struct(b.alias("beta"), b[0].alias("mesor"), F.array(*comps).alias("components"), F.col("_rss").alias("rss"), *[c.alias(x) for x, c in info.items()], F.lit(n).alias("n"), F.lit(k).alias("n_params"))
-    return df.withColumn(name, fit).drop("_beta", "_rss")
+    """Adds the struct of one model."""
+    return with_fits(df, t, {name: periods}, free, y)
 
 
 def order_by_aicc(df: DataFrame, t: np.ndarray, base: float = 24.0, most: int = 4) -> DataFrame:
     """Adds k_best: the number of harmonics from 1 to ``most`` with the least AICc, the smaller on ties."""
-    for k in range(1, most + 1):
-        df = with_fit(df, t, harmonics(base, k), f"_k{k}")
+    df = with_fits(df, t, {f"_k{k}": harmonics(base, k) for k in range(1, most + 1)})
     best = F.array_min(F.array(*[F.struct(F.col(f"_k{k}.aicc").alias("aicc"), F.lit(k).alias("k")) for k in range(1, most + 1)]))
     return df.withColumn("k_best", best["k"]).drop(*[f"_k{k}" for k in range(1, most + 1)])
 

@@ -6,10 +6,11 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from . import ranks
 
 ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
 
@@ -58,23 +59,27 @@ def parameter_errors(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def roc_points(df: DataFrame, score: Column, truth: Column, keys: list[str] | None = None) -> DataFrame:
     """Keys, threshold, tpr, fpr: a point for each distinct score from the top; equal scores are one point, null scores are least.
 
-    A label and score are counted first, so the window has a row for each distinct score.
+    A label and score are counted first, and points are running sums by ranges of scores: see ``ranks``.
     """
     keys = keys or []
-    rows = df.where(truth.isNotNull()).select(*keys, F.coalesce(F.nanvl(score.cast("double"), F.lit(float("-inf"))), F.lit(float("-inf"))).alias("threshold"), truth.cast("int").alias("t"))
-    g = rows.groupBy(*keys, "threshold").agg(F.sum("t").alias("p"), F.sum(1 - F.col("t")).alias("n"))
-    run, whole = Window.partitionBy(*keys).orderBy(F.desc("threshold")), Window.partitionBy(*keys)
-    share = lambda c: F.sum(c).over(run) / F.sum(c).over(whole)
-    return g.select(*keys, "threshold", F.try_divide(F.sum("p").over(run), F.sum("p").over(whole)).alias("tpr"), F.try_divide(F.sum("n").over(run), F.sum("n").over(whole)).alias("fpr"))
+    g = _roc_counts(df, score, truth, keys)
+    return g.select(*keys, F.negative("v").alias("threshold"), F.try_divide(F.col("tp") + F.col("p"), F.col("tp_all")).alias("tpr"), F.try_divide(F.col("fp") + F.col("n"), F.col("fp_all")).alias("fpr"))
+
+
+def _roc_counts(df: DataFrame, score: Column, truth: Column, keys: list[str]) -> DataFrame:
+    """v (the score's negative), p and n (rows of each label), and of the higher scores tp and fp, with totals."""
+    v = -F.coalesce(F.nanvl(score.cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
+    rows = df.where(truth.isNotNull()).select(*keys, v.alias("v"), truth.cast("int").alias("t"))
+    counts = rows.groupBy(*keys, "v").agg(F.sum("t").alias("p"), F.sum(1 - F.col("t")).alias("n"))
+    return ranks.running(counts, "v", {"tp": F.col("p"), "fp": F.col("n")}, keys)
 
 
 def auc(df: DataFrame, score: Column, truth: Column, keys: list[str] | None = None) -> DataFrame:
     """Keys to the area under the ROC curve by trapezoids: null where a class is missing."""
     keys = keys or []
-    w = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    pts = roc_points(df, score, truth, keys)
-    area = (F.col("fpr") - F.lag("fpr", 1, 0.0).over(w)) * (F.col("tpr") + F.lag("tpr", 1, 0.0).over(w)) / 2
-    return pts.withColumn("a", area).groupBy(*keys).agg(F.sum("a").alias("auc"))
+    area = F.col("n").cast("double") * (2 * F.col("tp") + F.col("p")) / 2
+    whole = F.max("tp_all").cast("double") * F.max("fp_all")
+    return _roc_counts(df, score, truth, keys).groupBy(*keys).agg(F.when(whole > 0, F.sum(area) / whole).alias("auc"))
 
 
 def log_p_score(p: Column) -> Column:
@@ -99,9 +104,8 @@ def delong(df: DataFrame, a: str, b: str, truth: Column, key: str = "series_id")
     rows = df.where(truth.isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, a, b, truth.cast("int").alias("_t"))
     for s in (a, b):
         g = rows.groupBy(s).agg(F.sum("_t").alias("_p"), F.sum(1 - F.col("_t")).alias("_n"))
-        w = Window.orderBy(s).rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct score
-        below = lambda c, w=w: F.coalesce(F.sum(c).over(w), F.lit(0))
-        place = g.select(s, (below("_n") + F.col("_n") / 2).alias(f"_v_{s}"), (below("_p") + F.col("_p") / 2).alias(f"_w_{s}"))
+        g = ranks.running(g, s, {"_bp": F.col("_p"), "_bn": F.col("_n")})
+        place = g.select(s, (F.col("_bn") + F.col("_n") / 2).alias(f"_v_{s}"), (F.col("_bp") + F.col("_p") / 2).alias(f"_w_{s}"))
         rows = rows.join(place, s)
     m = rows.agg(F.sum("_t").cast("double").alias("m"), F.sum(1 - F.col("_t")).cast("double").alias("n"))
     rows = rows.join(F.broadcast(m), F.lit(True))

@@ -216,7 +216,7 @@ def shrink(df: DataFrame, hyper: DataFrame, strength: float = 1.0) -> DataFrame:
     own = F.when(F.col("T_12_deviation") > 0, F.col("T_12_deviation"))
     mid = df.agg(F.percentile(own, 0.5)).scalar()
     h = hyper.select("module_id", *[c for c in hyper.columns if c.startswith(("mu_", "sigma_", "kappa_"))])
-    j = df.join(F.broadcast(h), "module_id", "left").withColumn("_sg", F.coalesce(own, mid, F.lit(1.0)))
+    j = df.join(h, "module_id", "left").withColumn("_sg", F.coalesce(own, mid, F.lit(1.0)))
     on = F.col("mu_A_12").isNotNull() & F.col("A_12").isNotNull() & F.col("A_24").isNotNull()
     for p in (12, 24):
         s = F.col(f"sigma_A_{p}") / max(strength, 1e-8)
@@ -240,7 +240,7 @@ def reclassify(df: DataFrame, least: int = 5, prior: float = 0.3) -> DataFrame:
     bound = 0.6 * (1 - prior) + 0.4 * prior
     ok = (F.col("_n") >= least) & (F.col("_known") > 0) & (c == "ambiguous")
     label = F.when(ok & (F.col("_ind") / F.col("_known") > bound), "likely_independent").when(ok & (F.col("_har") / F.col("_known") > bound), "likely_harmonic").otherwise(c)
-    return df.join(F.broadcast(g), "module_id", "left").withColumn("hierarchical_classification", label).drop("_n", "_known", "_ind", "_har")
+    return df.join(g, "module_id", "left").withColumn("hierarchical_classification", label).drop("_n", "_known", "_ind", "_har")
 
 
 def hierarchical(results: DataFrame, k: int | None = None, least: int = 5, strength: float = 1.0, prior: float = 0.3, method: str = "ward") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from . import ranks
 from .evidence import ladder
 
 
@@ -57,13 +58,15 @@ def circular_correlation(df: DataFrame, a: Column, b: Column, keys: list[str] |
     return g.select(*(keys or []), "n", F.when(den < 1e-10, 0.0).otherwise(num / den).alias("rho"))
 
 
-def circular_permutation(df: DataFrame, a: str, b: str, n: int = 9999, seed: int = 42, blocks: int = 32) -> DataFrame:
+def circular_permutation(df: DataFrame, a: str, b: str, n: int = 9999, seed: int = 42, blocks: int = 32, most: int = 5_000_000) -> DataFrame:
     """One row: n, rho, p_value and evidence of the circular correlation against shuffled partners.
 
-    The angles, two numbers a series, are one column pair in each task, so this is for populations of up to some millions;
-    permutations are dealt over tasks in blocks with seeds of their own.
+    The angles, two numbers a series, are one column pair in each task: a table of more than ``most`` series is refused. Permutations
+    are dealt over tasks in blocks with seeds of their own.
     """
     spark = df.sparkSession
+    if (size := df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).count()) > most:
+        raise ValueError(f"{size} series are too many to permute in a task: the limit is {most}")
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).orderBy("a", "b").toArrow()
     x, y = np.asarray(rows["a"].combine_chunks() if rows.num_rows else []), np.asarray(rows["b"].combine_chunks() if rows.num_rows else [])
     shared = spark.sparkContext.broadcast((np.exp(1j * x), np.exp(1j * y)))
@@ -123,17 +126,15 @@ def mann_whitney(df: DataFrame, value: Column, second: Column, keys: list[str] |
     """Rank-sum test of the rows for which ``second`` is false against the others: n1, n2, medians, u, p_value (normal, corrected
     for ties and continuity), rank_biserial, log2fc of the medians.
 
-    Equal values are counted before they are ranked, so a common value is one row of the window.
+    Equal values are counted before they are ranked, and ranks are running sums by ranges of values: see ``ranks``.
     """
     keys = keys or []
     rows = df.where(value.isNotNull() & second.isNotNull()).select(*keys, value.cast("double").alias("v"), second.cast("int").alias("g"))
-    counts = rows.groupBy(*keys, "v").agg(F.sum(1 - F.col("g")).alias("c1"), F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", before + (F.col("c") + 1) / 2)
+    counts = rows.groupBy(*keys, "v").agg(F.sum(1 - F.col("g")).alias("c1"), F.sum("g").alias("c2"), F.count("*").alias("c"))
+    r = ranks.running(counts, "v", {"below": F.col("c"), "b1": F.col("c1"), "b2": F.col("c2")}, keys)
     total = lambda e: F.sum(e).cast("double")
-    g = ranked.groupBy(*keys).agg(total(F.col("c1") * F.col("rank")).alias("r1"), total(F.col("c1")).alias("n1"), total(F.col("c")).alias("n"), total(F.col("c") ** 3 - F.col("c")).alias("ties"))
-    med = rows.groupBy(*keys).agg(F.percentile(F.when(F.col("g") == 0, F.col("v")), 0.5).alias("median_1"), F.percentile(F.when(F.col("g") == 1, F.col("v")), 0.5).alias("median_2"))
-    g = g.join(med, keys) if keys else g.crossJoin(F.broadcast(med))
+    med = lambda i: ranks.quantile(f"b{i}", F.col(f"c{i}"), F.col(f"b{i}_all"), "v", 0.5).alias(f"median_{i}")
+    g = r.groupBy(*keys).agg(total(F.col("c1") * (F.col("below") + (F.col("c") + 1) / 2)).alias("r1"), total(F.col("c1")).alias("n1"), total(F.col("c")).alias("n"), total(F.col("c") ** 3 - F.col("c")).alias("ties"), med(1), med(2))
     n1, n2, n = F.col("n1"), F.col("n") - F.col("n1"), F.col("n")
     u = F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
@@ -167,6 +168,6 @@ def spearman(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> Da
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     for c in (a, b):
         counts = rows.groupBy(*keys, c).agg(F.count("*").alias("_c"))
-        before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.join(counts.select(*keys, c, (before + (F.col("_c") + 1) / 2).alias(f"_r_{c}")), [*keys, c])
+        r = ranks.running(counts, c, {"_below": F.col("_c")}, keys)
+        rows = rows.join(r.select(*keys, c, (F.col("_below") + (F.col("_c") + 1) / 2).alias(f"_r_{c}")), [*keys, c])
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(f"_r_{a}", f"_r_{b}").alias("spearman"))

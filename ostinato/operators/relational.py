@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def prefixed(df: DataFrame, source: str, keys: list[str]) -> DataFrame:
     """Key columns first, all others with the source's prefix."""
@@ -20,7 +22,7 @@ def expressed(df: DataFrame, least: float | None = None, percentile: float | Non
     if least is not None:
         d = d.where(F.col("_mean") >= least)
     if percentile is not None:
-        d = d.where(F.col("_mean") >= d.agg(F.percentile("_mean", percentile)).scalar())
+        d = d.where(F.col("_mean") >= ranks.percentile(d, F.col("_mean"), percentile).scalar())
     return d.drop("_mean")
 
 
@@ -39,7 +41,7 @@ def truth_of(df: DataFrame, lists: DataFrame, symbol: str = "symbol") -> DataFra
     """Adds truth: the category of a symbol in lists (symbol, category), whatever its case; known_12h before circadian before housekeeping."""
     rank = F.when(F.col("category") == "known_12h", 0).when(F.col("category") == "circadian", 1).otherwise(2)
     one = lists.groupBy(F.upper("symbol").alias("_s")).agg(F.min(F.struct(rank.alias("r"), F.col("category").alias("c"))).alias("b")).select("_s", F.col("b.c").alias("truth"))
-    return df.join(F.broadcast(one), F.upper(symbol) == F.col("_s"), "left").drop("_s")
+    return df.join(one, F.upper(symbol) == F.col("_s"), "left").drop("_s")
 
 
 def dedup_max_mean(df: DataFrame, key: str, mean: Column, tie: str) -> DataFrame:
@@ -106,7 +108,7 @@ def coverage(df: DataFrame, key: str, group: str, detected: Column) -> DataFrame
 
 def pathway_counts(df: DataFrame, pathways: DataFrame, key: str = "symbol") -> DataFrame:
     """For each pathway: series, and those with a half-period rhythm in the first, in the second condition, and independent in the second."""
-    j = df.join(F.broadcast(pathways), key)
+    j = df.join(pathways, key)
     return j.groupBy("pathway").agg(F.count("*").alias("n"), F.count_if("first_12h").alias("n_first"), F.count_if("second_12h").alias("n_second"), F.count_if("second_independent").alias("n_second_independent"))
 
 
@@ -132,4 +134,4 @@ def atlas(tables: dict[str, DataFrame], marks: DataFrame, least: int = 3) -> Dat
     out = out.withColumn("is_12h", F.col("classification").isin("independent_ultradian", "likely_independent_ultradian", "harmonic"))
     c = conserved(out.where("is_12h"), "symbol", "tissue", least).select("symbol", F.lit(True).alias("is_conserved"))
     m = marks.select("symbol").distinct().withColumn("is_marked", F.lit(True))
-    return out.join(c, "symbol", "left").join(F.broadcast(m), "symbol", "left").na.fill(False, ["is_conserved", "is_marked"])
+    return out.join(c, "symbol", "left").join(m, "symbol", "left").na.fill(False, ["is_conserved", "is_marked"])

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import per_series, series
 
-#: Components of a vector that the queries with closed SQL take as a series (whole cycles of their periods), and all of them.
-POINTS, WHOLE = 48, 64
-GRID, WHOLE_GRID = np.arange(POINTS, dtype=float), np.arange(WHOLE, dtype=float)
+#: Components of a vector, all of which are an hourly series.
+POINTS = 64
+GRID = np.arange(POINTS, dtype=float)
 ORIGIN = "2024-01-01"
 
 
@@ -19,7 +19,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str, points: int = POINTS) -> DataFrame:
-    """The first components of each embedding as an hourly series."""
+    """The components of each embedding as an hourly series."""
     return series.from_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", points)
 
 
@@ -53,14 +53,35 @@ EVENTS = f"SELECT CAST({{key}} AS VARCHAR) AS series_id, (epoch_us(ts) - epoch_u
 POINTS_SQL = f"SELECT CAST(vec_id AS VARCHAR) AS series_id, label, CAST(i AS DOUBLE) AS t, CAST(embedding[i + 1] AS DOUBLE) AS y FROM (SELECT vec_id, label, embedding, unnest(range({POINTS})) AS i FROM embeddings)"
 
 
-def fit_sql(periods: tuple[int, ...] = (24, 12, 8, 6)) -> str:
-    """Common table f of the vectors: n, m, tss and coefficients, each an inner product, as whole cycles of these periods are orthogonal."""
-    parts = ", ".join(f"sum(y * {f}(2 * pi() * t / {p})) * 2 / {POINTS} AS {k}{p}" for p in periods for k, f in (("a", "cos"), ("b", "sin")))
-    return f"WITH pts AS ({POINTS_SQL}), s AS (SELECT series_id, any_value(label) AS label, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS tss, {parts} FROM pts GROUP BY series_id), f AS (SELECT *, " + ", ".join(f"sqrt(a{p}*a{p} + b{p}*b{p}) AS amp{p}, atan2(b{p}, a{p}) AS phi{p}" for p in periods) + " FROM s)"
-
-
 def rss_sql(*periods: int) -> str:
-    return f"(tss - {POINTS / 2} * (" + " + ".join(f"amp{p}*amp{p}" for p in periods) + "))" if periods else "tss"
+    """The column of ``fit_sql`` with the residual sum of squares of a model."""
+    return "rss_" + "_".join(map(str, periods)) if periods else "tss"
+
+
+def fit_sql(*models: tuple[int, ...]) -> str:
+    """Common table f of the vectors: series_id, label, n, tss, a column ``rss_sql`` for each model (a tuple of periods), and of the first
+    model m, amp and phi of each period.
+
+    Normal equations: inner products with cosines and sines, times the inverse of their Gram matrix, whose numbers depend on the
+    grid alone; a residual sum is what the explained part leaves of the values' sum of squares.
+    """
+    wave = {p: [f"list_dot_product(y, list_transform(range({POINTS}), lambda t: {f}(2 * pi() * t / {p})))" for f in ("cos", "sin")] for p in sorted({p for m in models for p in m})}
+    inner = ", ".join(f"{e} AS {f}{p}" for p, pair in wave.items() for f, e in zip("cs", pair, strict=True))
+    parts = [f"yy - s0 * s0 / {POINTS} AS tss"]
+    for i, model in enumerate(models):
+        w = 2 * np.pi * GRID[:, None] / np.array(model, float)[None, :]
+        x = np.column_stack([np.ones(POINTS), *(f(w[:, j]) for j in range(len(model)) for f in (np.cos, np.sin))])
+        inverse = np.linalg.inv(x.T @ x)
+        names = ["s0", *(f"{f}{p}" for p in model for f in "cs")]
+        beta = ["(" + " + ".join(f"{float(v)!r} * {n}" for v, n in zip(row, names, strict=True)) + ")" for row in inverse]
+        parts.append("yy - (" + " + ".join(f"{b} * {n}" for b, n in zip(beta, names, strict=True)) + f") AS {rss_sql(*model)}")
+        if not i:
+            parts.append(f"{beta[0]} AS m")
+            for j, period in enumerate(model):
+                c, d = beta[2 * j + 1], beta[2 * j + 2]
+                parts += [f"sqrt({c} * {c} + {d} * {d}) AS amp{period}", f"atan2({d}, {c}) AS phi{period}"]
+    vectors_ = f"SELECT CAST(vec_id AS VARCHAR) AS series_id, label, CAST(embedding AS DOUBLE[])[1:{POINTS}] AS y FROM embeddings WHERE len(embedding) >= {POINTS}"
+    return f"WITH v AS ({vectors_}), s AS (SELECT series_id, label, list_sum(y) AS s0, list_dot_product(y, y) AS yy, {inner} FROM v), f AS (SELECT series_id, label, {POINTS} AS n, {', '.join(parts)} FROM s)"
 
 
 def p2_sql(reduced: str, full: str, df2: int) -> str:

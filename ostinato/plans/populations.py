@@ -39,7 +39,7 @@ def rayleigh(spark, d):
 
 
 _SCORE = "CAST(CASE WHEN n < 5 THEN 0 WHEN p < 0.001 THEN -3 WHEN p < 0.01 THEN -2 WHEN p < 0.05 THEN -1 WHEN p > 0.5 THEN 2 WHEN p > 0.2 THEN 1 ELSE 0 END AS DOUBLE)"
-_PHASES = I.fit_sql() + ", ph AS (SELECT label, phi12 - 2 * phi24 AS psi FROM f), g AS (SELECT label, count(*) AS n, avg(cos(psi)) AS c, avg(sin(psi)) AS s FROM ph GROUP BY label), h AS (SELECT *, n * (c*c + s*s) AS z FROM g), w AS (SELECT *, " + _RAY + " AS p FROM h)"
+_PHASES = I.fit_sql((24, 12)) + ", ph AS (SELECT label, phi12 - 2 * phi24 AS psi FROM f), g AS (SELECT label, count(*) AS n, avg(cos(psi)) AS c, avg(sin(psi)) AS s FROM ph GROUP BY label), h AS (SELECT *, n * (c*c + s*s) AS z FROM g), w AS (SELECT *, " + _RAY + " AS p FROM h)"
 
 
 def _phased(spark, d):
@@ -55,7 +55,7 @@ def cross_series_phase(spark, d):
     return r.select("label", "n", I.r6(F.col("p_value"), "p_value"), "classification", "evidence_score")
 
 
-@query(I.fit_sql() + f" SELECT count(*) AS n, {I.q6('(SELECT sum(sin(x.phi24 - y.phi24) * sin(x.phi12 - y.phi12)) / sqrt(sum(pow(sin(x.phi24 - y.phi24), 2)) * sum(pow(sin(x.phi12 - y.phi12), 2))) FROM f x, f y)', 'rho')} FROM f")
+@query(I.fit_sql((24, 12)) + f" SELECT count(*) AS n, {I.q6('(SELECT sum(sin(x.phi24 - y.phi24) * sin(x.phi12 - y.phi12)) / sqrt(sum(pow(sin(x.phi24 - y.phi24), 2)) * sum(pow(sin(x.phi12 - y.phi12), 2))) FROM f x, f y)', 'rho')} FROM f")
 def circular_correlation(spark, d):
     r = population.circular_correlation(_phased(spark, d), F.col("phase_24"), F.col("phase_12"))
     return r.select("n", I.r6(F.col("rho"), "rho"))
@@ -131,13 +131,13 @@ def oscillator_fate(spark, d):
 
 # --- modules -----------------------------------------------------------------------------------------------------
 
-_MOD = I.fit_sql() + ", md AS (SELECT CAST(label AS INTEGER) AS module_id, series_id, amp12 AS A_12, amp24 AS A_24, phi12 AS phi_12, phi24 AS phi_24, CASE WHEN amp12 > 1.2 * amp24 THEN 'independent_ultradian' WHEN amp12 > amp24 THEN 'ambiguous' ELSE 'harmonic' END AS classification, amp12 > 0.1 AS f_test_12h_significant, amp8 - amp6 AS T_12_deviation FROM f)"
+_MOD = I.fit_sql((24, 12, 8, 6)) + ", md AS (SELECT CAST(label AS INTEGER) AS module_id, series_id, amp12 AS A_12, amp24 AS A_24, phi12 AS phi_12, phi24 AS phi_24, CASE WHEN amp12 > 1.2 * amp24 THEN 'independent_ultradian' WHEN amp12 > amp24 THEN 'ambiguous' ELSE 'harmonic' END AS classification, amp12 > 0.1 AS f_test_12h_significant, amp8 - amp6 AS T_12_deviation FROM f)"
 
 
-def _moduled(spark, d, points=I.POINTS, grid=I.GRID):
+def _moduled(spark, d):
     from ..operators import fits
 
-    v = fits.phases(I.vectors_with_label(spark, d, points), grid, [24.0, 12.0, 8.0, 6.0])
+    v = fits.phases(I.vectors_with_label(spark, d), I.GRID, [24.0, 12.0, 8.0, 6.0])
     a12, a24 = F.col("amp_12"), F.col("amp_24")
     label = F.when(a12 > 1.2 * a24, "independent_ultradian").when(a12 > a24, "ambiguous").otherwise("harmonic")
     signed = lambda c: F.when(F.col(c) > math.pi, F.col(c) - 2 * math.pi).otherwise(F.col(c))
@@ -183,7 +183,7 @@ def hierarchical_reclassification(spark, d):
 
 @query()
 def refine_ambiguous(spark, d):
-    m = _moduled(spark, d, I.WHOLE, I.WHOLE_GRID)
+    m = _moduled(spark, d)
     return network.refine(m, network.enrichment(m)).select("series_id", "module_id", "refined")
 
 
@@ -195,25 +195,25 @@ def impute_median(spark, d):
 
 @query()
 def ward_modules(spark, d):
-    m = _moduled(spark, d, I.WHOLE, I.WHOLE_GRID).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
+    m = _moduled(spark, d).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
     return network.modules(network.features(m))
 
 
 @query()
 def spectral_modules(spark, d):
-    m = _moduled(spark, d, I.WHOLE, I.WHOLE_GRID).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
+    m = _moduled(spark, d).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
     return network.modules(network.features(m), 8, "spectral")
 
 
 @query()
 def bisecting_modules(spark, d):
-    m = _moduled(spark, d, I.WHOLE, I.WHOLE_GRID).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
+    m = _moduled(spark, d).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
     return network.modules(network.features(m), 8, "bisecting")
 
 
 @query()
 def hierarchical_refinement(spark, d):
-    m = _moduled(spark, d, I.WHOLE, I.WHOLE_GRID).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
+    m = _moduled(spark, d).withColumn("log_bf", F.col("A_12") - F.col("A_24")).drop("module_id")
     return network.hierarchical(m, method="bisecting")
 
 

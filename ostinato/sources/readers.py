@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import relational, series
+from ..operators import ranks, relational, series
 
 #: Hours in sample titles, tried in order. Fixed values.
-HOUR_PATTERNS = (r"CT\s*(\d+)", r"ZT\s*(\d+)", r"(\d+)\s*h(?:r|our)?")
+HOUR_PATTERNS = (r"CT(\d+)", r"[Cc]ircadian\s+time\s+(\d+)", r"(\d+)\s*$")
 
 
 def matrix_csv(spark: SparkSession, path: str, timepoints: list[float] | None = None, sep: str = ",") -> DataFrame:
@@ -53,7 +53,7 @@ def study(wide: DataFrame, samples: DataFrame, symbol: str = "symbol", least: fl
     cols = [c for c in wide.columns if c != symbol]
     rows = wide.where(F.col(symbol).isNotNull() & (F.col(symbol) != "")).withColumn("_row", F.monotonically_increasing_id())
     points = F.explode(F.array(*[F.struct(F.lit(c).alias("sample"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols])).alias("p")
-    long = rows.select(symbol, "_row", points).select(symbol, "_row", "p.*").join(F.broadcast(samples), "sample")
+    long = rows.select(symbol, "_row", points).select(symbol, "_row", "p.*").join(samples, "sample")
     mean = long.groupBy(symbol, "_row", F.col("time").alias("t")).agg(F.avg("value").alias("value"))
     pts = F.array_sort(F.collect_list(F.struct("t", "value")))
     g = mean.groupBy(symbol, "_row").agg(pts.alias("p"), F.avg("value").alias("_mean")).where(F.col("_mean") >= least)
@@ -99,12 +99,14 @@ def array_study(table: DataFrame, titles: dict[str, str], annotation: DataFrame,
     hours: dict[float, list[str]] = {}
     for sample, title in titles.items():
         found = [m for p in ((pattern,) if pattern else HOUR_PATTERNS) if (m := re.search(p, title))]
+        if not found and not pattern:
+            raise ValueError(f"no hour in the title {title!r}")
         if found:
             hours.setdefault(float(found[0].groups()[-1]), []).append(sample)
     mean = lambda cols: sum((F.col(f"`{c}`") for c in cols), F.lit(0.0)) / len(cols)
     times = sorted(hours)[::every]
     ann = annotation.select("probe", first_symbol(F.col("symbol")).alias("symbol")).where("symbol is not null and symbol <> ''").dropDuplicates(["probe"])
-    rows = table.join(F.broadcast(ann), "probe").select("symbol", "probe", F.lit(times).alias("t") if times else F.array().cast("array<double>").alias("t"), F.array(*[mean(hours[t]) for t in times]).alias("y"))
+    rows = table.join(ann, "probe").select("symbol", "probe", F.lit(times).alias("t") if times else F.array().cast("array<double>").alias("t"), F.array(*[mean(hours[t]) for t in times]).alias("y"))
     rows = rows.where(~F.exists("y", lambda v: v.isNull())).withColumn("_mean", F.aggregate("y", F.lit(0.0), lambda a, v: a + v) / F.size("y"))
     rows = relational.dedup_max_mean(rows, "symbol", F.col("_mean"), "probe").select(F.col("symbol").alias("series_id"), "t", "y")
     return relational.expressed(rows, least, floor_percentile)
@@ -127,7 +129,7 @@ def condition_pair(first: DataFrame, second: DataFrame, pattern: str = r"CT(\d+)
     j = one(first, "wt").join(one(second, "ko"), "series_id")
     m = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c)
     j = j.withColumn("_mean", (m("y_wt") + m("y_ko")) / 2)
-    return j.where(F.col("_mean") >= j.agg(F.percentile("_mean", floor_percentile)).scalar()).drop("_mean")
+    return j.where(F.col("_mean") >= ranks.percentile(j, F.col("_mean"), floor_percentile).scalar()).drop("_mean")
 
 
 def tissue_table(wide: DataFrame, tissue: str, symbol: str = "Symbol", drop_prefix: str = "ENS", least: float = 0.0) -> DataFrame:
@@ -140,9 +142,15 @@ def tissue_table(wide: DataFrame, tissue: str, symbol: str = "Symbol", drop_pref
     return relational.dedup_max_mean(rows, "symbol", F.col("_mean"), "y").select(F.col("symbol").alias("series_id"), "t", "y")
 
 
-def subjects(long: DataFrame, subject: str = "all") -> DataFrame:
-    """Long form with a column subject to one subject's, or the mean over all subjects of each time."""
-    return series.average_replicates(long if subject == "all" else long.where(F.col("subject") == subject))
+def subjects(long: DataFrame, subject: str = "all", floor_percentile: float | None = None) -> DataFrame:
+    """Long form with a column subject to one subject's, or the mean over all subjects of each time; with a percentile without the
+    series whose mean is below it."""
+    out = series.average_replicates(long if subject == "all" else long.where(F.col("subject") == subject))
+    if floor_percentile is None:
+        return out
+    means = out.groupBy("series_id").agg(F.avg("value").alias("m"))
+    low = ranks.percentile(means, F.col("m"), floor_percentile).scalar()
+    return out.join(means.where(F.col("m") >= low).select("series_id"), "series_id", "left_semi")
 
 
 def workbook(spark: SparkSession, path: str) -> DataFrame:

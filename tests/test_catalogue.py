@@ -58,13 +58,8 @@ def test_resamples_are_the_operators_own():
         assert not any(x in inspect.getsource(q[name]) for x in ("n=", "n_bootstrap=")), name
 
 
-def test_queries_without_sql_take_whole_vectors(spark, sf):
-    import inspect
-    import re
-
+def test_queries_take_whole_vectors(spark, sf):
     from ostinato.plans import inputs
 
-    for name in set(catalogue.queries()) - set(catalogue.oracle_sql()):
-        assert not re.search(r"I\.(vectors|spread|vectors_with_label)\(spark, d\)|I\.GRID|_moduled\(spark, d\)", inspect.getsource(catalogue.queries()[name])), name
-    v = inputs.vectors(spark, sf, inputs.WHOLE).join(inputs.table(spark, sf, "embeddings").selectExpr("cast(vec_id as string) as series_id", "embedding"), "series_id")
+    v = inputs.vectors(spark, sf).join(inputs.table(spark, sf, "embeddings").selectExpr("cast(vec_id as string) as series_id", "embedding"), "series_id")
     assert v.where("size(y) = 64 and y = cast(embedding as array<double>)").count() == inputs.table(spark, sf, "embeddings").count()
