@@ -186,12 +186,13 @@ def coupling(slow: Column, fast: Column) -> Column:
         return F.struct(*[(s[k] + v).alias(k) for k, v in terms.items()])
 
     def done(s: Column) -> Column:
-        var = lambda x: F.greatest(s[x + x] / s["n"] - (s[x] / s["n"]) ** 2, F.lit(0.0))
-        steady = lambda x: F.sqrt(var(x)) < 0.01 * F.greatest(F.abs(s[x] / s["n"]), F.lit(1e-12))
+        n, m = F.greatest(s["n"], F.lit(1.0)), F.greatest(s["m"], F.lit(1.0))
+        var = lambda x: F.greatest(s[x + x] / n - (s[x] / n) ** 2, F.lit(0.0))
+        steady = lambda x: F.sqrt(var(x)) < 0.01 * F.greatest(F.abs(s[x] / n), F.lit(1e-12))
         spread = F.sqrt(var("a") * var("b"))
-        corr = F.when((steady("a") & steady("b")) | (spread <= 0), 0.0).otherwise((s["ab"] / s["n"] - s["a"] * s["b"] / s["n"] ** 2) / spread)
-        enough, mean = s["m"] > 2, s["r"] / s["m"]
-        sd = F.sqrt(F.greatest(s["rr"] / s["m"] - mean**2, F.lit(0.0)))
+        corr = F.when((steady("a") & steady("b")) | (spread <= 0), 0.0).otherwise((s["ab"] / n - s["a"] * s["b"] / (n * n)) / spread)
+        enough, mean = s["m"] > 2, s["r"] / m
+        sd = F.sqrt(F.greatest(s["rr"] / m - mean**2, F.lit(0.0)))
         return F.struct(corr.alias("corr"), F.when(enough, mean).otherwise(0.0).alias("ratio"), F.when(enough, sd).otherwise(999.0).alias("ratio_sd"), (s["n"] < 30).alias("short"))
 
     return F.aggregate(F.zip_with(slow, fast, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.struct(*[v.alias(k) for k, v in zero.items()]), add, done)

@@ -187,8 +187,8 @@ def refine(df: DataFrame, enriched: DataFrame, alpha: float = 0.05) -> DataFrame
 
 def concentration(r: Column) -> Column:
     """The approximate von Mises concentration of a mean resultant length, 500 at most."""
-    high = 1 / (2 * (1 - r) - (1 - r) ** 2)
-    return F.when(r < 1e-10, 0.0).otherwise(F.least(F.lit(500.0), F.when(r >= 0.85, high).otherwise(r * (2 - r * r) / (1 - r * r))))
+    high = F.coalesce(F.try_divide(F.lit(1.0), 2 * (1 - r) - (1 - r) ** 2), F.lit(500.0))  # one angle, r = 1
+    return F.when(r < 1e-10, 0.0).otherwise(F.least(F.lit(500.0), F.when(r >= 0.85, high).otherwise(F.try_divide(r * (2 - r * r), 1 - r * r))))
 
 
 def hyperparameters(df: DataFrame, least: int = 5) -> DataFrame:
