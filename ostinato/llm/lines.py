@@ -11,7 +11,8 @@ as it was, so a line whose halves (two keys, or four) occur in no other line emi
 
 With ``edit_every`` = E the bound grows: lines may differ in one edit, and in one for each E units of the longer. k edits
 leave a stretch of (n - k) / (k + 1) units or more as it was, so from 2 E units on two near lines share a stretch of
-(2 E - 2) / 3 units, and winnowing picks the same gram of it in both, at places at most k apart. The first line of each
+(2 E - 2) / 3 units, from 4 E units on one of (4 E - 4) / 5, and winnowing picks the same gram of it in both, at places at
+most k apart. The first line of each
 gram is tried as a partner before the others are. Units are words, or characters in lines of few words.
 """
 
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._scratch import Scratch, row_key
+from ._scratch import Scratch, fresh, row_key
 
 #: Words of the shortest line that can be a duplicate, and of the shortest to which the edit bound of one word applies.
 MIN_WORDS, MIN_EDIT_WORDS = 2, 8
@@ -86,38 +88,47 @@ def _units(w: W.Words, h: np.ndarray, lw: np.ndarray, least_edit: int, min_chars
 
 
 def _winnow(h: np.ndarray, a: np.ndarray, b: np.ndarray, every: int, unit: int, places: bool) -> tuple[np.ndarray, ...]:
-    """(line, key) of grams, one at least of those in any stretch of (2 every - 2) / 3 units of a line h[a:b].
+    """(line, key) of grams of lines h[a:b], picked so that near lines, the longer of 2 every units or more, share one.
 
-    With places: (line, key, place, own); the stretches that start where own holds are so many and disjoint that one of
-    them is as it was in each line within the bound.
+    k edits leave a stretch of (n - k) / (k + 1) units: 2 (every - 1) / 3 at least, and 4 (every - 1) / 5 where the longer has
+    4 every units or more. The longer the stretch the fewer grams it takes; lines that can be in both cases pick for both.
+    The stretches that start at some places of a line, the line's own, are so many and disjoint that one of them is as it was in each
+    line within the bound: near lines share a gram that is one of the own picks of either. The lowest bit of a key says so.
+    With places: (line, key, place, own), the lowest bit 0.
     """
-    stretch = -(-(2 * every - 2) // 3)
-    gram = max(1, stretch - 3) if unit else (stretch + 1) // 2
-    wide = stretch - gram + 1
-    count = np.maximum(b - a - stretch + 1, 0)
-    if not count.sum():
-        none = np.zeros(0, np.int64)
-        return (none, none.view(np.uint64), none, none.astype(bool)) if places else (none, none.view(np.uint64))
-    line = np.repeat(np.arange(len(a)), count)
-    i = np.repeat(a - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    g = W.mix(W.grams(h, gram) ^ _SALT[unit] ^ np.uint64(0x7A3D70B1))
-    if places:
-        at, rel, n = i + np.lib.stride_tricks.sliding_window_view(g, wide).argmin(axis=1)[i], i - a[line], (b - a)[line]
-        most = n // (every - 1)
-        own = (rel % stretch == 0) & (rel // stretch <= most) | (n // stretch <= most)
-        return line, g[at], at - a[line], own
-    least, w = g, 1
-    while w < wide:
-        step = min(w, wide - w)
-        least, w = np.minimum(least[:-step], least[step:]), w + step
-    key = least[i]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    return line[new], key[new]
-
-
-def _line_rows(least: int, least_edit: int, keys: bool, every: int | None = None, min_chars: int | None = None):
-    """Lines: name, check, doc_id, line; or for the filter of halves and grams: key, name."""
+    n, parts = b - a, []
+    gram = max(1, -(-2 * (every - 1) // 3) - 3) if unit else -(-2 * (every - 1) // 3) // 2
+    g = W.mix(W.grams(h, gram) ^ _SALT[unit] ^ np.uint64(0x7A3D70B1)) & ~np.uint64(1)
+    for m, some in ((2, n < 4 * every), (4, n >= 4 * (every - 1))):
+        stretch = -(-m * (every - 1) // (m + 1))
+        wide = stretch - gram + 1
+        count = np.where(some, np.maximum(n - stretch + 1, 0), 0)
+        if not count.sum():
+            continue
+        line = np.repeat(np.arange(len(a)), count)
+        i = np.repeat(a - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        rel, size = i - a[line], n[line]
+        most = size // (every - 1)
+        own = (rel % stretch == 0) & (rel // stretch <= most) | (size // stretch <= most)
+        if places:
+            at = i + np.lib.stride_tricks.sliding_window_view(g, wide).argmin(axis=1)[i]
+            parts.append((line, g[at], at - a[line], own))
+            continue
+        least, w = g, 1
+        while w < wide:
+            step = min(w, wide - w)
+            least, w = np.minimum(least[:-step], least[step:]), w + step
+        key = least[i]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        parts.append((line[new], key[new] | np.logical_or.reduceat(own, np.flatnonzero(new)).astype(np.uint64)))
+    none = np.zeros(0, np.int64)
+    empty = (none, none.view(np.uint64), none, none.astype(bool))[: 4 if places else 2]
+    return tuple(np.concatenate([e, *x]) for e, x in zip(empty, zip(*parts), strict=True)) if parts else empty
+
+
+def _line_rows(least: int, least_edit: int, every: int | None = None, min_chars: int | None = None):
+    """Lines: name, check, doc_id, line, n, and the keys of halves and grams that lines with a partner share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,29 +137,29 @@ def _line_rows(least: int, least_edit: int, keys: bool, every: int | None = None
                 _, first, w, lw = _lines(data, offs)
                 n = np.diff(lw)
                 h = w.hashes()
-                if keys:
-                    out_key, out_name = [], []
-                    for k, u, a, b, unit in _units(w, h, lw, least_edit, min_chars):
-                        name = W.runs(h, lw[k], lw[k + 1])
-                        m = b - a
-                        if every:
-                            long = m >= 2 * every - 2
-                            of, key = _winnow(u, a[long], b[long], every, unit, False)
-                            out_key.append(key)
-                            out_name.append(name[long][of])
-                            short = m < 2 * every
-                            a, b, m, name = a[short], b[short], m[short], name[short]
-                        for q, some in (((m) // 2, m > 0), ((m + 1) // 2, m % 2 == 1)):
-                            for s, e, salt in ((a, a + q, 0x51ED270B), (b - q, b, 0x2C1B3C6D)):
-                                out_key.append(W.mix(W.runs(u, s, e) ^ np.uint64(salt) ^ _SALT[unit])[some])
-                                out_name.append(name[some])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_key, out_name)], ["key", "name"])
-                else:
-                    k = np.flatnonzero(n >= least)
-                    name = W.runs(h, lw[k], lw[k + 1])
-                    check = (W.runs(W.mix(h ^ np.uint64(0x5DEECE66D)), lw[k], lw[k + 1]) >> np.uint64(33)).astype(np.int32)
-                    d = np.searchsorted(first, k, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check), ids.take(pa.array(lo + d)), pa.array((k - first[d]).astype(np.int32)), pa.array(n[k].astype(np.int32))], ["name", "check", "doc_id", "line", "n"])
+                keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for k, u, a, b, unit in _units(w, h, lw, least_edit, min_chars):
+                    m = b - a
+                    if every:
+                        long = m >= 2 * every - 2
+                        line, key = _winnow(u, a[long], b[long], every, unit, False)
+                        keys.append(key)
+                        of.append(k[long][line])
+                        short = m < 2 * every
+                        a, b, m, k = a[short], b[short], m[short], k[short]
+                    for q, some in ((m // 2, m > 0), ((m + 1) // 2, m % 2 == 1)):
+                        for s, e, salt in ((a, a + q, 0x51ED270B), (b - q, b, 0x2C1B3C6D)):
+                            keys.append(W.mix(W.runs(u, s, e) ^ np.uint64(salt) ^ _SALT[unit])[some] | np.uint64(1))
+                            of.append(k[some])
+                of = np.concatenate(of)
+                keys = np.concatenate(keys)[np.argsort(of, kind="stable")]
+                held = np.bincount(of, minlength=len(n))
+                k = np.flatnonzero((n >= least) | (held > 0))
+                name = W.runs(h, lw[k], lw[k + 1])
+                check = (W.runs(W.mix(h ^ np.uint64(0x5DEECE66D)), lw[k], lw[k + 1]) >> np.uint64(33)).astype(np.int32)
+                d = np.searchsorted(first, k, "right") - 1
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held[k])]), pa.int32()), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check), ids.take(pa.array(lo + d)), pa.array((k - first[d]).astype(np.int32)), pa.array(n[k].astype(np.int32)), lists], ["name", "check", "doc_id", "line", "n", "keys"])
 
     return run
 
@@ -156,7 +167,7 @@ def _line_rows(least: int, least_edit: int, keys: bool, every: int | None = None
 def _picker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of listed lines, joined by one space."""
     for batch in batches:
-        ids, out_id, out_line, out_text = batch.column(0), [], [], []
+        ids, out_id, out_line, out_n, out_text = batch.column(0), [], [], [], []
         want = batch.column(2)
         for lo, _, data, offs in W.chunks(batch.column(1)):
             _, first, w, lw = _lines(data, offs)
@@ -165,8 +176,9 @@ def _picker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     j = first[d] + i
                     out_id.append(lo + d)
                     out_line.append(i)
+                    out_n.append(lw[j + 1] - lw[j])
                     out_text.append(W.joined(data, w.starts[lw[j] : lw[j + 1]], w.ends[lw[j] : lw[j + 1]]))
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(out_id, pa.int64())), pa.array(out_line, pa.int32()), pa.array(out_text, pa.binary()).cast(pa.string())], ["doc_id", "line", "text"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(out_id, pa.int64())), pa.array(out_line, pa.int32()), pa.array(out_text, pa.binary()).cast(pa.string()), pa.array(out_n, pa.int32())], ["doc_id", "line", "text", "n"])
 
 
 def _spans(col: pa.Array, least_edit: int, min_chars: int | None):
@@ -302,26 +314,30 @@ def _tile(least_edit: int, every: int):
         where = list(zip(ids, t["line"].to_pylist(), strict=True))
         x = [_parts(v, least_edit) for v in t["text"].to_pylist()]
         n = np.array([len(v) for v in x])
-        asked, other = np.flatnonzero(np.asarray(t["asked"])), np.flatnonzero(np.asarray(t["other"]))
+        by = np.argsort(n, kind="stable")  # lines within the bound are as long, or nearly: a stretch of this order
+        asked, other = np.asarray(t["asked"]), np.asarray(t["other"])[by]
         flat, codes = [], {}
-        for v in x:
+        for q in by:
             seen: dict = {}
-            for u in v:
+            for u in x[q]:
                 seen[u] = seen.get(u, 0) + 1
                 flat.append(codes.setdefault((u, seen[u]), len(codes)))
-        flat, first = np.array(flat), np.concatenate([[0], np.cumsum(n)[:-1]])
+        n = n[by]
+        flat, first = np.array(flat), np.concatenate([[0], np.cumsum(n)])
         has, out = np.zeros(len(codes), np.int32), []
-        for p in asked:
-            longer = np.maximum(n[p], n)
+        for at in np.flatnonzero(asked[by]).tolist():
+            p, size = by[at], n[at]
+            lo = int(np.searchsorted(n, size - max(1, size // every)))
+            hi = int(np.searchsorted(n - np.maximum(1, n // every), size, "right"))
+            longer = np.maximum(size, n[lo:hi])
             most = np.maximum(1, longer // every)
-            if not (np.abs(n[other] - n[p]) <= most[other]).any():
-                continue
-            mine = flat[first[p] : first[p] + n[p]]
+            mine = flat[first[at] : first[at + 1]]
             has[mine] = 1
-            lack = longer - np.add.reduceat(has[flat], first)
+            lack = longer - np.add.reduceat(has[flat[first[lo] : first[hi]]], first[lo:hi] - first[lo])
             has[mine] = 0
-            for q in other[lack[other] <= most[other]]:
-                if where[q] < where[p] and type(x[q]) is type(x[p]) and within(x[p], x[q], int(most[q])):
+            for j in np.flatnonzero(other[lo:hi] & (lack <= most)).tolist():
+                q = by[lo + j]
+                if where[q] < where[p] and type(x[q]) is type(x[p]) and within(x[p], x[q], int(most[j])):
                     out.append(p)
                     break
         return t.select(["doc_id", "line"]).take(pa.array(out, pa.int64()))
@@ -344,7 +360,8 @@ def _verified(met: DataFrame, texts: DataFrame, least_edit: int, every: int | No
 def _near_long(texts: DataFrame, least_edit: int, every: int, min_chars: int | None, scratch: Scratch) -> list[DataFrame]:
     """(doc_id, line) of lines of which an earlier one is within the edit bound, the longer of 2 every units or more."""
     kinds = f"key bigint, lo int, hi int, n int, own boolean, doc_id {_kind(texts)}, line int"
-    rows = scratch.save(texts.mapInArrow(_grams(least_edit, every, min_chars), kinds), "grams", BATCH)
+    long = texts.where((F.col("n") >= 2 * every - 2) | (F.col("n") < least_edit))
+    rows = scratch.save(long.select("doc_id", "line", "text").mapInArrow(_grams(least_edit, every, min_chars), kinds), "grams", BATCH)
     me, at = F.struct("doc_id", "line"), ["doc_id", "line"]
     best = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "line", "n")).alias("p")).where("copies > 1").drop("copies")
     edits = lambda a, b: F.floor(F.greatest(a, b) / every)
@@ -366,28 +383,25 @@ def _near_long(texts: DataFrame, least_edit: int, every: int, min_chars: int | N
     across = F.explode(F.sequence(F.lit(0), tiles - 1))
     asks = mine.join(scratch.small(many), "key").withColumn("i", part(1)).select("key", *at, "i", across.alias("j"), F.lit(True).alias("asked"), F.lit(False).alias("other"))
     others = rows.join(scratch.small(many), "key").withColumn("j", part(2)).select("key", *at, across.alias("i"), "j", F.lit(False).alias("asked"), F.lit(True).alias("other"))
-    dealt = asks.unionByName(others).groupBy("key", "i", "j", *at).agg(F.max("asked").alias("asked"), F.max("other").alias("other")).join(texts, at)
+    dealt = asks.unionByName(others).groupBy("key", "i", "j", *at).agg(F.max("asked").alias("asked"), F.max("other").alias("other")).join(texts.drop("n"), at)
     met = dealt.groupBy("key", "i", "j").applyInArrow(_tile(least_edit, every), f"doc_id {_kind(texts)}, line int")
     tiled = scratch.save(met.distinct(), "tiled")
     scratch.drop(rows, first, left, mine, many)
     return [sure, more, tiled]
 
 
-def _near_lines(docs: DataFrame, distinct: DataFrame, least_edit: int, every: int | None, min_chars: int | None, scratch: Scratch) -> DataFrame:
+def _near_lines(docs: DataFrame, rows: DataFrame, distinct: DataFrame, least_edit: int, every: int | None, min_chars: int | None, scratch: Scratch) -> DataFrame:
     """(doc_id, line) of first lines that have an earlier one within the edit bound, verified."""
-    keys = scratch.save(docs.mapInArrow(_line_rows(0, least_edit, True, every, min_chars), "key bigint, name bigint"), "halves", BATCH)
-    if every:  # many keys: one shuffle of them, and no join
-        of = Window.partitionBy("key")
-        names = keys.select("name", F.min("name").over(of).alias("lo"), F.max("name").over(of).alias("hi")).where("lo < hi").select("name").distinct()
-    else:
-        shared = keys.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("key")
-        names = keys.join(shared, "key").select("name").distinct()
+    keys = rows.select(F.explode("keys").alias("key"), "name")
+    of = Window.partitionBy("key")
+    keys = keys.select(F.expr("key & -2").alias("key"), F.expr("key & 1").alias("own"), "name")
+    names = keys.select("name", "own", F.min("name").over(of).alias("lo"), F.max("name").over(of).alias("hi")).where("lo < hi and own = 1").select("name").distinct()
     chosen = distinct.where(F.col("n") >= (least_edit if min_chars is None else 1)).join(names, "name", "left_semi")
     chosen = scratch.save(chosen.groupBy("doc_id").agg(F.collect_list("line").alias("want")), "chosen")
-    scratch.drop(keys)
-    texts = docs.join(scratch.small(chosen), "doc_id").select("doc_id", "text", "want").mapInArrow(_picker, f"doc_id {_kind(docs)}, line int, text string")
+    texts = docs.join(scratch.small(chosen), "doc_id").select("doc_id", "text", "want").mapInArrow(_picker, f"doc_id {_kind(docs)}, line int, text string, n int")
     texts = scratch.save(texts, "texts", BATCH)
-    rows = scratch.save(texts.mapInArrow(_variants(least_edit, every, min_chars), f"key bigint, kind tinyint, doc_id {_kind(docs)}, line int"), "variants", BATCH)
+    short = texts.where(F.col("n") < 2 * every) if every else texts
+    rows = scratch.save(short.select("doc_id", "line", "text").mapInArrow(_variants(least_edit, every, min_chars), f"key bigint, kind tinyint, doc_id {_kind(docs)}, line int"), "variants", BATCH)
     me = F.struct("doc_id", "line")
     least = lambda k: F.min(F.when(F.col("kind") == k, me))
     best = rows.groupBy("key").agg(F.count("*").alias("n"), least(0).alias("whole"), least(1).alias("gone"), least(2).alias("changed")).where("n > 1").drop("n")
@@ -403,30 +417,39 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, least_edit: int, every: in
     return out
 
 
-def _cutter(text_at: int, gone_at: int):
+def _cutter(text_at: int, gone_at: int, texts: bool):
     """Texts without the listed lines; with them their numbers of lines, of lines that went, and the digest of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = batch.column(text_at).to_pylist(), batch.column(gone_at).to_pylist()
-            n_lines, n_removed, digest = [], [], []
-            for i, (t, g) in enumerate(zip(texts, gone, strict=True)):
-                lines = t.split("\n") if t else []
-                if g:
-                    out = set(g)
-                    texts[i] = "\n".join(x for j, x in enumerate(lines) if j not in out)
-                n_lines.append(len(lines))
-                n_removed.append(len(set(g)) if g else 0)
-                digest.append(hashlib.sha256((texts[i] or "").encode()).hexdigest())
-            cols = [pa.array(texts, pa.string()) if i == text_at else c for i, c in enumerate(batch.columns) if i != gone_at]
-            names = [x for i, x in enumerate(batch.schema.names) if i != gone_at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], [*names, "n_lines", "n_removed", "kept_sha256"])
+            column, gone = batch.column(text_at), batch.column(gone_at)
+            n_lines, digest, kept = [], [], []
+            for lo, _, data, offs in W.chunks(column):
+                breaks = np.searchsorted(np.flatnonzero(data == 10), offs)
+                n_lines.append(np.where(np.diff(offs) > 0, np.diff(breaks) + 1, 0))
+                for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+                    raw = data[a:b].tobytes()
+                    if (g := gone[lo + i].as_py()) is not None:
+                        out = set(g)
+                        raw = b"\n".join(x for j, x in enumerate(raw.split(b"\n")) if j not in out)
+                        if texts:
+                            kept.append((lo + i, raw))
+                    digest.append(hashlib.sha256(raw).hexdigest())
+            if kept:  # other texts stay as they are
+                at, new = zip(*kept, strict=True)
+                mask = np.zeros(batch.num_rows, bool)
+                mask[list(at)] = True
+                column = pa.compute.replace_with_mask(column, pa.array(mask), pa.array(new, pa.binary()).cast(column.type))
+            n_removed = gone.value_lengths().fill_null(0).cast(pa.int64())
+            held = [(column if i == text_at else c, x) for i, (c, x) in enumerate(zip(batch.columns, batch.schema.names, strict=True)) if i != gone_at and (texts or i != text_at)]
+            new = [pa.array(np.concatenate(n_lines) if n_lines else np.zeros(0, np.int64), pa.int64()), n_removed, pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(c for c, _ in held), *new], [*(x for _, x in held), "n_lines", "n_removed", "kept_sha256"])
 
     return run
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_edit_words: int = MIN_EDIT_WORDS, edit_every: int | None = None, min_chars: int | None = None) -> DataFrame:
-    """The rows of docs with their text cut, and n_lines, n_removed, kept_sha256 (of the text that is left, in UTF-8).
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_edit_words: int = MIN_EDIT_WORDS, edit_every: int | None = None, min_chars: int | None = None, texts: bool = True) -> DataFrame:
+    """The rows of docs with their text cut (without it unless texts), and n_lines, n_removed, kept_sha256 (of the text that is left, in UTF-8).
 
     Lines end at line feeds. A line goes if an earlier one (of a smaller doc_id, or above it in the document) has the same
     words or, where both have ``min_edit_words`` words or more, words within one edit: one put in, left out or changed.
@@ -446,23 +469,17 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     d = docs.select(key.alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     if kind != "bigint":
         d = d.dropDuplicates(["doc_id"])
-    rows = scratch.save(d.mapInArrow(_line_rows(min_words, min_edit_words, False), f"name bigint, check int, doc_id {kind}, line int, n int"), "rows", BATCH)
-    distinct = rows.groupBy("name", "check").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    rows = scratch.save(d.mapInArrow(_line_rows(min_words, min_edit_words, edit_every, min_chars), f"name bigint, check int, doc_id {kind}, line int, n int, keys array<bigint>"), "rows", BATCH)
+    distinct = rows.where(F.col("n") >= min_words).groupBy("name", "check").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.min("n").alias("n"), F.count("*").alias("copies"))
     distinct = scratch.save(distinct.select("name", "check", F.col("x.doc_id").alias("doc_id"), F.col("x.line").alias("line"), "n", "copies"), "distinct")
     first = distinct.where("copies > 1").select("name", "check", F.struct("doc_id", "line").alias("first"))
-    again = rows.join(first, ["name", "check"]).where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
-    gone = again.unionByName(_near_lines(d, distinct, min_edit_words, edit_every, min_chars, scratch))
+    again = rows.drop("keys").join(first, ["name", "check"]).where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
+    gone = again.unionByName(_near_lines(d, rows, distinct, min_edit_words, edit_every, min_chars, scratch))
     gone = scratch.save(gone.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("line").alias("g")), "gone")
     scratch.drop(rows, distinct)
     # the input's columns travel in one struct, so that no name of theirs meets one of ours
     out = docs.select(key.alias("k"), F.struct(*docs.columns).alias("row")).join(scratch.small(gone), "k", "left").select("row.*", F.col("g"))
-    names = [*docs.columns, _fresh("g", docs.columns)]
+    names = [*docs.columns, fresh("g", docs.columns)]
     out = out.toDF(*names)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return out.mapInArrow(_cutter(names.index(text), len(names) - 1), f"{kinds}, n_lines bigint, n_removed bigint, kept_sha256 string")
-
-
-def _fresh(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if texts or f.name != text)
+    return out.mapInArrow(_cutter(names.index(text), len(names) - 1, texts), f"{kinds}n_lines bigint, n_removed bigint, kept_sha256 string")

@@ -36,7 +36,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1, edit_every=lines.EDIT_EVERY, min_chars=lines.MIN_CHARS).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1, edit_every=lines.EDIT_EVERY, min_chars=lines.MIN_CHARS, texts=False).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
