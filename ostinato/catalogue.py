@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import detect, fits
-from .plans import classifying, fitting, inputs, populations
+from .plans import classifying, fitting, inputs, populations, reporting
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PLANS = (fitting, populations, classifying)
+_PLANS = (fitting, populations, classifying, reporting)
 
 
 def queries() -> dict[str, Query]:

@@ -150,7 +150,11 @@ def stage1(df: DataFrame, base: float = 24.0, alpha: Column | float | None = Non
     and at least ``min_methods`` of its four p-values are below 0.1. The gate is informative: it never blocks.
     """
     df = per_series.apply(df, lambda t, y, _: stage1_numbers(t, y, base), STAGE1)
-    n = F.size("y")
+    return stage1_rules(df, F.size("y"), alpha, min_methods, gate)
+
+
+def stage1_rules(df: DataFrame, n: Column, alpha: Column | float | None = None, min_methods: int = 2, gate: bool = True) -> DataFrame:
+    """The first stage's decisions, from columns of its six p-values and the number of points."""
     alpha = F.when(n >= 48, 0.05).when(n >= 30, 0.10).otherwise(0.20) if alpha is None else S.col(alpha)
     four = {k: F.col(f"p_{k}") for k in ("ftest", "jtk", "rain", "harmreg")}
     df = df.withColumn("p_detect", S.cauchy_combine(F.array(*four.values())))
