@@ -122,7 +122,7 @@ class Scratch:
         return F.broadcast(df) if self.size(df) <= limit else df
 
     def spread_join(self, big: DataFrame, few: DataFrame, key: str, salt: Column) -> DataFrame:
-        """big left join few, a written table of one row for each key (string or binary), where a key may hold any share of big.
+        """big left join few, a written table of one row for each key, where a key may hold any share of big.
 
         few has a column n, the rows of big with the key. A table of few bytes is broadcast. Else the keys of more than HOT rows are
         (they are at most one in HOT of the rows), and their rows are dealt by salt; the others meet by their key.
@@ -131,11 +131,11 @@ class Scratch:
         if self.size(few) <= SMALL_BYTES:
             return big.join(F.broadcast(few.drop("n")), key, "left")
         hot = self.save(few.where(F.col("n") > HOT).select(key, F.struct(*rest).alias("_hot")), "hot")
-        cold = few.where(F.col("n") <= HOT).select(F.col(key).alias("_key"), F.struct(*rest).alias("_cold"))
+        cold = few.where(F.col("n") <= HOT).select(key, F.lit(0).cast("bigint").alias("_salt"), F.struct(*rest).alias("_cold"))
         big = big.join(self.small(hot), key, "left")
-        own = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.col(key), salt.cast(few.schema[key].dataType)))
-        big = big.withColumn("_key", own).join(cold, "_key", "left").drop("_key")
-        return big.withColumn("_v", F.coalesce("_hot", "_cold")).select("*", "_v.*").drop("_v", "_hot", "_cold")
+        big = big.withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(salt) % 100_000 + 100_001))
+        big = big.join(cold, [key, "_salt"], "left").withColumn("_v", F.coalesce("_hot", "_cold"))
+        return big.select("*", "_v.*").drop("_v", "_hot", "_cold", "_salt")
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads."""

@@ -202,7 +202,10 @@ class _Join:
         """Members of nodes with two or more: node, id, first (of the node), size."""
         m = rows.mapInArrow(_branch(first), "node bigint, id bigint")
         size = m.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
-        return self.scratch.save(m.join(size, "node"), "nodes", 8 * BATCH)
+        size = self.scratch.save(size.withColumn("n", F.col("size")), "sizes")
+        out = self.scratch.save(self.scratch.spread_join(m, size, "node", F.col("id")).where("first is not null"), "nodes", 8 * BATCH)
+        self.scratch.drop(size)
+        return out
 
     def similar(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         side = lambda c: reps.select(F.col("id").alias(c), F.col("sketch").alias(f"t{c}"), F.col("n_shingles").alias(f"n{c}"))
@@ -257,7 +260,8 @@ class _Join:
             parts = m.groupBy("node", "comp").agg(F.count("*").alias("c"))
             mixed = parts.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("k")).where("k > 1")
             mixed = mixed.select("node", F.col("top.comp").alias("main"), "size", (F.col("size") - F.col("top.c")).alias("outside"))
-            open_ = sc.save(m.join(mixed, "node"), "open")
+            mixed = sc.save(mixed.withColumn("n", F.col("size")), "mixed")
+            open_ = sc.save(sc.spread_join(m, mixed, "node", F.col("id")).where("main is not null"), "open")
             large = open_.where(F.col("size") > SMALL)
             meet = large.where((F.col("outside") <= OUTSIDE) & (F.col("comp") != F.col("main"))).select("id", "comp", "main").distinct()
             sizes = comp.groupBy(F.col("component_id").alias("main")).agg(F.count("*").alias("n_main"))
@@ -306,6 +310,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one = F.min(F.struct("doc_id", "n_shingles", "tokens", "sketch")).alias("x")
     reps = sets.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(one)
     reps = scratch.save(reps.select("set_key", F.col("x.doc_id").alias("id"), "x.n_shingles", "x.tokens", "x.sketch"), "reps")
+    whole, sets = sets, scratch.save(sets.select("doc_id", "n_shingles", "set_key"), "keys")
+    scratch.drop(whole)
     comp = join.components(reps)
     own = reps.select("set_key", "id").join(comp, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("comp"))
     out = sets.select("doc_id", "n_shingles", "set_key").join(own, "set_key", "left")

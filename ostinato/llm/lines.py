@@ -128,7 +128,8 @@ def _winnow(h: np.ndarray, a: np.ndarray, b: np.ndarray, every: int, unit: int,
 
 
 def _line_rows(least: int, least_edit: int, every: int | None = None, min_chars: int | None = None):
-    """Lines: name, check, doc_id, line, n, and the keys of halves and grams that lines with a partner share."""
+    """Lines: name, check, doc_id, line, n, whether an equal one stands above it in the document, and the keys of halves and grams
+    that lines with a partner share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,8 +159,11 @@ def _line_rows(least: int, least_edit: int, every: int | None = None, min_chars:
                 name = W.runs(h, lw[k], lw[k + 1])
                 check = (W.runs(W.mix(h ^ np.uint64(0x5DEECE66D)), lw[k], lw[k + 1]) >> np.uint64(33)).astype(np.int32)
                 d = np.searchsorted(first, k, "right") - 1
+                by = np.lexsort((k, check, name, d))
+                same = np.zeros(len(k), bool)
+                same[by[1:]] = (name[by[1:]] == name[by[:-1]]) & (check[by[1:]] == check[by[:-1]]) & (d[by[1:]] == d[by[:-1]])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held[k])]), pa.int32()), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check), ids.take(pa.array(lo + d)), pa.array((k - first[d]).astype(np.int32)), pa.array(n[k].astype(np.int32)), lists], ["name", "check", "doc_id", "line", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check), ids.take(pa.array(lo + d)), pa.array((k - first[d]).astype(np.int32)), pa.array(n[k].astype(np.int32)), pa.array(same), lists], ["name", "check", "doc_id", "line", "n", "again", "keys"])
 
     return run
 
@@ -469,11 +473,14 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     d = docs.select(key.alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     if kind != "bigint":
         d = d.dropDuplicates(["doc_id"])
-    rows = scratch.save(d.mapInArrow(_line_rows(min_words, min_edit_words, edit_every, min_chars), f"name bigint, check int, doc_id {kind}, line int, n int, keys array<bigint>"), "rows", BATCH)
-    distinct = rows.where(F.col("n") >= min_words).groupBy("name", "check").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.min("n").alias("n"), F.count("*").alias("copies"))
-    distinct = scratch.save(distinct.select("name", "check", F.col("x.doc_id").alias("doc_id"), F.col("x.line").alias("line"), "n", "copies"), "distinct")
-    first = distinct.where("copies > 1").select("name", "check", F.struct("doc_id", "line").alias("first"))
-    again = rows.drop("keys").join(first, ["name", "check"]).where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
+    rows = scratch.save(d.mapInArrow(_line_rows(min_words, min_edit_words, edit_every, min_chars), f"name bigint, check int, doc_id {kind}, line int, n int, again boolean, keys array<bigint>"), "rows", BATCH)
+    # a line comes once from a document, so its least document has its first place: sums of fixed size, no sort
+    counted = rows.where((F.col("n") >= min_words) & ~F.col("again")).drop("keys")
+    distinct = counted.groupBy("name", "check").agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    distinct = scratch.save(distinct, "distinct")
+    first = distinct.where("copies > 1").select("name", "check", F.col("doc_id").alias("first"))
+    again = counted.join(first, ["name", "check"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "line")
+    again = again.unionByName(rows.where((F.col("n") >= min_words) & F.col("again")).select("doc_id", "line"))
     gone = again.unionByName(_near_lines(d, rows, distinct, min_edit_words, edit_every, min_chars, scratch))
     gone = scratch.save(gone.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("line").alias("g")), "gone")
     scratch.drop(rows, distinct)

@@ -133,6 +133,6 @@ def judge(pages: DataFrame, rules: dict[str, str], bad: Column | None = None, pa
     own = named_bad(F.col("host"), F.col("path"), words) | F.coalesce(F.col("listed") == "block", F.lit(False))
     outcome = F.col("label") if bad is not None else own.cast("int")
     known = scratch.save(reputation(base.select("host", outcome.alias("bad")), suffixes).select("host", "n", "mean", "bound"), "hosts")
-    out = scratch.spread_join(base, known, "host", F.concat(F.lit(" "), F.xxhash64("page_id", "path").cast("string")))
+    out = scratch.spread_join(base, known, "host", F.xxhash64("page_id", "path"))
     method = F.when(F.coalesce(F.col("bound"), F.lit(0.0)) > THRESHOLD, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", method).alias("verdict"), F.col("mean").alias("posterior_mean"), F.col("bound").alias("posterior_bound"))

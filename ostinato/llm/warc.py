@@ -147,7 +147,7 @@ def write(pages: DataFrame, root: str, min_bytes: int = 0, page_id: str = "page_
     first = p.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     first = scratch.save(first, "first")
     ref = F.when(long & (F.col("page_id").isNull() | (F.col("first") < F.col("page_id"))), F.col("first")).alias("refers_to")
-    out = scratch.spread_join(p, first, "digest", F.xxhash64("page_id", "url").cast("string"))
+    out = scratch.spread_join(p, first, "digest", F.xxhash64("page_id", "url"))
     return out.select("page_id", "url", "html", ref).mapInArrow(_writer(root), "path string, records bigint")
 
 

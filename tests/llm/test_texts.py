@@ -127,8 +127,12 @@ def test_near_duplicates(docs, texts):
 
 
 def test_large_node_paths(docs, texts, monkeypatch):
-    """The same links when nodes count as large, branch, and end in tiles."""
+    """The same links when nodes count as large, branch, and end in tiles, and when tables count as large and nodes as hot."""
+    from ostinato.llm import _scratch
+
     want = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs).collect()}
+    monkeypatch.setattr(_scratch, "SMALL_BYTES", 0)
+    monkeypatch.setattr(_scratch, "HOT", 3)
     for name, value in (("SMALL", 2), ("OUTSIDE", 1), ("LEVELS", 2)):
         monkeypatch.setattr(chosen_path, name, value)
     assert {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs).collect()} == want
@@ -136,6 +140,24 @@ def test_large_node_paths(docs, texts, monkeypatch):
     assert {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs).collect()} == want
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity of 0.75 to 0.80, each a group of its own: all are found, none below is linked."""
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows, near = [], 0
+    for i in range(400):
+        base = [r.choice(vocab) for _ in range(r.randint(60, 300))]
+        other = list(base)
+        shingles = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        alike = lambda: len(shingles(base) & shingles(other)) / len(shingles(base) | shingles(other))
+        while alike() > 0.80:
+            other[r.randrange(len(other))] = r.choice(vocab)
+        near += 100 * len(shingles(base) & shingles(other)) >= 75 * len(shingles(base) | shingles(other))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    got = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert near > 300 and sum(not x.kept for x in got) == near and all(x.component_id in (x.doc_id, x.doc_id - 1) for x in got)
+
+
 def test_lines(docs, texts):
     got = {r.doc_id: r for r in lines.deduplicate(docs).collect()}
     earlier: list[tuple] = []
