@@ -283,7 +283,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     d = docs.select(own.alias("doc_id"), "id", "text")
     key = d.select("doc_id", F.unhex(F.md5("text")).alias("key")).where("doc_id is not null and key is not null")
     first = key.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = scratch.save(key.join(first, "key").where("doc_id > first").select("doc_id").distinct(), "copies")
+    first = scratch.save(first, "texts-twice")
+    copies = scratch.spread_join(key, first, "key", F.col("doc_id")).where("doc_id > first")
+    copies = scratch.save(copies.select("doc_id").distinct(), "copies")
     # joins with texts shuffle at every size (but for Spark's own choice on tables of some megabytes): cost grows in proportion
     origin = d.select("doc_id", "text").where("doc_id is not null").join(copies, "doc_id", "left_anti")
     if kind != "bigint":

@@ -50,6 +50,15 @@ def texts(docs):
     return sorted((r.doc_id, r.text) for r in docs.collect())
 
 
+def test_recompression_of_hot_texts(docs, texts, monkeypatch):
+    """Copies of one text are dealt over tasks where no table is broadcast: the same documents go."""
+    want = sorted(tuple(r) for r in recompress.deduplicate(docs).collect())
+    monkeypatch.setattr(_scratch, "SMALL_BYTES", 0)
+    monkeypatch.setattr(_scratch, "HOT", 1)
+    assert sorted(tuple(r) for r in recompress.deduplicate(docs).collect()) == want
+    assert len({t for _, t in texts if t}) < len([t for _, t in texts if t])
+
+
 def test_recompression(docs, texts):
     got = {r.doc_id: r for r in recompress.deduplicate(docs).collect()}
     seen = set()
