@@ -148,6 +148,19 @@ def runs(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
+def spaced(w: Words, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of sequences of words, those of each joined by one space, and the first byte of each with the end of the last;
+    first: the first of the words of each with the end of the last. No sequence is empty."""
+    lens = w.ends[words] - w.starts[words]
+    place = np.concatenate([[0], np.cumsum(lens + 1)])
+    src = np.repeat(w.starts[words] - place[:-1], lens + 1) + np.arange(place[-1])
+    out = w.data[np.minimum(src, len(w.data) - 1)] if len(src) else np.zeros(0, np.uint8)
+    out[place[1:] - 1] = 32
+    keep = np.ones(len(out), bool)
+    keep[place[first[1:]] - 1] = False  # no space after the last word
+    return out[keep], place[first] - np.arange(len(first))
+
+
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     """Words joined by one space, by two gathers instead of a Python object for each word."""
     n = len(starts)

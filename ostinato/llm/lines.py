@@ -37,6 +37,8 @@ EDIT_EVERY, MIN_CHARS = 20, 20
 #: Lines of a gram beyond which they are compared in tiles, and lines of a tile.
 MANY, TILE = 64, 2048
 BATCH = 500
+#: Bytes of texts whose lines are named at once, if no text is longer.
+LINE_CHUNK = 1 << 20
 _SALT = (np.uint64(0), np.uint64(0x27D4EB2F165667C5))
 
 
@@ -58,14 +60,7 @@ def _lines(data: np.ndarray, offs: np.ndarray):
 def _chars(w: W.Words, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the characters of lines, given by their words and the first word of each with the end of the last,
     joined by one space; and the first character of each line with the end of the last."""
-    lens = w.ends[words] - w.starts[words]
-    place = np.concatenate([[0], np.cumsum(lens + 1)])
-    src = np.repeat(w.starts[words] - place[:-1], lens + 1) + np.arange(place[-1])
-    data = w.data[np.minimum(src, len(w.data) - 1)] if len(src) else np.zeros(0, np.uint8)
-    data[place[1:] - 1] = 32
-    keep = np.ones(len(data), bool)
-    keep[place[first[1:]] - 1] = False  # no space after the last word
-    data, at = data[keep], np.concatenate([[0], np.cumsum(keep)])[place[first]]
+    data, at = W.spaced(w, words, first)
     start = np.flatnonzero((data & 0xC0) != 0x80)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
@@ -134,7 +129,7 @@ def _line_rows(least: int, least_edit: int, every: int | None = None, min_chars:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for lo, _, data, offs in W.chunks(batch.column(1)):
+            for lo, _, data, offs in W.chunks(batch.column(1), LINE_CHUNK):
                 _, first, w, lw = _lines(data, offs)
                 n = np.diff(lw)
                 h = w.hashes()
@@ -171,18 +166,16 @@ def _line_rows(least: int, least_edit: int, every: int | None = None, min_chars:
 def _picker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of listed lines, joined by one space."""
     for batch in batches:
-        ids, out_id, out_line, out_n, out_text = batch.column(0), [], [], [], []
-        want = batch.column(2)
-        for lo, _, data, offs in W.chunks(batch.column(1)):
+        for lo, hi, data, offs in W.chunks(batch.column(1)):
             _, first, w, lw = _lines(data, offs)
-            for d in range(len(offs) - 1):
-                for i in want[lo + d].as_py():
-                    j = first[d] + i
-                    out_id.append(lo + d)
-                    out_line.append(i)
-                    out_n.append(lw[j + 1] - lw[j])
-                    out_text.append(W.joined(data, w.starts[lw[j] : lw[j + 1]], w.ends[lw[j] : lw[j + 1]]))
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(out_id, pa.int64())), pa.array(out_line, pa.int32()), pa.array(out_text, pa.binary()).cast(pa.string()), pa.array(out_n, pa.int32())], ["doc_id", "line", "text", "n"])
+            want = batch.column(2).slice(lo, hi - lo)
+            doc = np.repeat(np.arange(hi - lo), np.asarray(want.value_lengths().fill_null(0)))
+            line = np.asarray(want.flatten()).astype(np.int64)
+            a, n = lw[first[doc] + line], lw[first[doc] + line + 1] - lw[first[doc] + line]
+            at = np.concatenate([[0], np.cumsum(n)])
+            text, ends = W.spaced(w, np.repeat(a - at[:-1], n) + np.arange(at[-1]), at)
+            text = pa.StringArray.from_buffers(len(n), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + doc)), pa.array(line.astype(np.int32)), text, pa.array(n.astype(np.int32))], ["doc_id", "line", "text", "n"])
 
 
 def _spans(col: pa.Array, least_edit: int, min_chars: int | None):
