@@ -137,6 +137,23 @@ class Scratch:
         big = big.join(cold, [key, "_salt"], "left").withColumn("_v", F.coalesce("_hot", "_cold"))
         return big.select("*", "_v.*").drop("_v", "_hot", "_cold", "_salt")
 
+    def numbered(self, df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+        """The written rows of df with ``place``: 0, 1, 2, ... in the order given.
+
+        Rows are dealt in ranges of the order and numbered within them; a range's first place is the number of rows before it, one
+        number for each task. So the order should tell all rows apart: what it holds equal meets in one task. df should be a written
+        table or cheap to make: ranges are found by a pass over it.
+        """
+        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        out = self.save(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
+        block = F.shiftright("_at", 33)
+        start, first = 0, []
+        for r in sorted(out.groupBy(block.alias("b")).count().collect()):
+            first.append((r[0], start - (r[0] << 33)))
+            start += r[1]
+        shift = F.broadcast(self.spark.createDataFrame(first, "_block bigint, _shift bigint"))
+        return out.withColumn("_block", block).join(shift, "_block").withColumn("place", F.col("_at") + F.col("_shift")).drop("_block", "_shift", "_at")
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for df in frames:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chosen_path, decontaminate, ego_join, recompress, url_filter
+from . import chosen_path, decontaminate, divergence, ego_join, recompress, resample, sharding, url_filter
 from .queries import RULES
 
 _UP, _LOW = url_filter.UPPER, url_filter.LOWER
@@ -92,5 +92,62 @@ lk AS (SELECT u, v FROM c JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHER
 SELECT dw.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, dw.doc_id) AS component_id, coalesce(component_id, dw.doc_id) = dw.doc_id AS kept FROM dw LEFT JOIN n ON n.doc_id = dw.doc_id LEFT JOIN comp ON id = dw.doc_id"""
 
 
+def _crc32(x: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes: a table by the rule of its polynomial, then byte by byte."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    octets = f"list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda b: CAST('0x' || b AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(CAST({table} AS BIGINT[])[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+def op11() -> str:
+    r = resample
+    words = lambda t, k: f"SELECT {k}, unnest(regexp_extract_all({_lower('text')}, '{_ALNUM}')) AS w FROM {t}"
+    n = r.BUCKETS
+    return f"""WITH dw AS ({words('documents', 'doc_id')}), bw AS ({words('benchmark', 'item_id')}),
+v AS (SELECT w, {_crc32('w')} % {n} AS b FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+s AS (SELECT b, count(*) AS s FROM dw JOIN v USING (w) GROUP BY b), t AS (SELECT b, count(*) AS t FROM bw JOIN v USING (w) GROUP BY b),
+g AS (SELECT v.b, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + {n}) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + {n})))) AS BIGINT) AS gain FROM (SELECT DISTINCT b FROM v) v LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+d AS (SELECT doc_id, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM dw JOIN v USING (w) JOIN g USING (b) GROUP BY doc_id),
+x AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('{r.SEED}:' || doc_id), 1, 8) AS BIGINT) AS h FROM documents LEFT JOIN d USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM y WHERE n_features >= {r.LEAST_FEATURES})
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= (SELECT {r.PERCENT} * count(*) // 100 FROM z) THEN k END AS rank FROM y LEFT JOIN z USING (doc_id)"""
+
+
+def op12() -> str:
+    d = divergence
+    p = lambda c, n, v: f"CAST(1 + (CAST(1000000000 AS HUGEINT) * ({c} + {d.PRIOR})) // ({n} + {d.PRIOR} * {v}) AS BIGINT)"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_lower('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM docs), tw AS (SELECT doc_id, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, CAST(count(*) AS BIGINT) AS ln FROM tw GROUP BY lang, term HAVING count(DISTINCT doc_id) >= {d.LEAST_DOCS}),
+lg AS (SELECT lang, CAST(count(*) AS BIGINT) AS v, CAST(sum(ln) AS BIGINT) AS lt FROM kept GROUP BY lang),
+c AS (SELECT tw.lang, source, tw.term, CAST(count(*) AS BIGINT) AS n FROM tw JOIN kept ON tw.lang = kept.lang AND tw.term = kept.term GROUP BY ALL),
+gt AS (SELECT grp.lang, grp.source, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM grp LEFT JOIN c ON c.lang = grp.lang AND c.source = grp.source GROUP BY ALL),
+f AS (SELECT gt.lang, gt.source, kept.term, coalesce(n, 0) AS n, {p('coalesce(n, 0)', 'total', 'v')} AS p, {p('ln', 'lt', 'v')} AS q FROM gt JOIN kept ON kept.lang = gt.lang JOIN lg ON lg.lang = gt.lang LEFT JOIN c ON c.lang = gt.lang AND c.source = gt.source AND c.term = kept.term),
+dist AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN dist ON dist.lang = a.lang AND dist.source = a.source AND dist.item = b.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pr UNION ALL SELECT lang, source, 'term', term, p - q FROM f WHERE n > 0 AND p > q))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= {d.TOP}"""
+
+
+def op13() -> str:
+    k, most = sharding.SHARDS, "(SELECT hi FROM cap)"
+    end = lambda place: f"(SELECT max(i) FROM e WHERE s <= {place})"  # noqa: E731  the last boundary not beyond a place
+    return f"""WITH RECURSIVE r AS (SELECT doc_id, strlen(coalesce(text, '')) + {sharding.ROW_BYTES} AS size, {_crc32("coalesce(text, '')")} AS text_crc32, md5(coalesce(text, '')) AS d FROM documents),
+g AS (SELECT d, row_number() OVER (ORDER BY d) AS i, CAST(sum(sum(size)) OVER (ORDER BY d) AS BIGINT) AS s FROM r GROUP BY d), e AS (SELECT 0 AS i, 0 AS s UNION ALL SELECT i, s FROM g),
+n AS (SELECT max(i) AS n, max(s) AS total FROM e),
+b(lo, hi, step, i, s) AS (SELECT CAST(ceil(total / {k}) AS BIGINT), total, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM n UNION ALL
+SELECT CASE WHEN step = {k} AND s < total THEN (lo + hi) // 2 + 1 ELSE lo END, CASE WHEN step = {k} AND s >= total THEN (lo + hi) // 2 ELSE hi END, CASE WHEN step = {k} THEN 0 ELSE step + 1 END, CASE WHEN step = {k} THEN 0 ELSE {end('b.s + (lo + hi) // 2')} END, CASE WHEN step = {k} THEN 0 ELSE (SELECT max(s) FROM e WHERE s <= b.s + (lo + hi) // 2) END FROM b, n WHERE lo < hi),
+cap AS (SELECT min(hi) AS hi FROM b),
+late(m, i, s) AS (SELECT 0, n, total FROM n UNION ALL SELECT m + 1, (SELECT min(i) FROM e WHERE s >= late.s - {most}), (SELECT min(s) FROM e WHERE s >= late.s - {most}) FROM late WHERE m < {k}),
+cut(m, i, s) AS (SELECT {k}, CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT z.m - 1, z.j, (SELECT s FROM e WHERE e.i = z.j) FROM (SELECT y.m, greatest(y.i, least({end(f'y.s + {most}')}, greatest((SELECT min(i) FROM late WHERE late.m = y.m - 1), (SELECT e.i FROM e ORDER BY abs(y.m * (e.s - y.s) - (n.total - y.s)), e.i LIMIT 1)))) AS j FROM cut y, n WHERE y.m > 0) z),
+x AS (SELECT doc_id, size, text_crc32, r.d, CAST((SELECT count(*) FROM cut WHERE cut.m BETWEEN 1 AND {k - 1} AND cut.i < g.i) AS INTEGER) AS shard FROM r JOIN g ON r.d = g.d)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY d, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": op2(), "op4_warc": op4(), "op5_url_filter": op5(), "op6_embedding_dedup": op6(), "op9_decontamination": op9(), "op10_minhash_dedup": op10()}
+    return {"op2_substring_dedup": op2(), "op4_warc": op4(), "op5_url_filter": op5(), "op6_embedding_dedup": op6(), "op9_decontamination": op9(), "op10_minhash_dedup": op10(), "op11_importance_resampling": op11(), "op12_source_divergence": op12(), "op13_sharding": op13()}

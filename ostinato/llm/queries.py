@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, ego_join, lines, packing, quality, recompress, spm, url_filter, warc
+from . import chosen_path, decontaminate, divergence, ego_join, lines, packing, quality, recompress, resample, sharding, spm, url_filter, warc
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Files of public tokenizers, by their names in the package that holds them.
@@ -70,5 +70,17 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_line_dedup, op4_warc, op5_url_filter, op6_embedding_dedup, op7_sentencepiece, op8_quality, op9_decontamination, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_line_dedup, op4_warc, op5_url_filter, op6_embedding_dedup, op7_sentencepiece, op8_quality, op9_decontamination, op10_minhash_dedup, op11_importance_resampling, op12_source_divergence, op13_sharding)}
