@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions import sampling
 from ..functions import stats as S
 from . import detect, per_series
 
@@ -27,7 +28,7 @@ def model_numbers(t: np.ndarray, y: np.ndarray, base: float, k: int = 3) -> dict
     three = [base, base / 2, base / 3]
     beta0, rss0 = K.fit(t, y, [base / i for i in range(1, k + 1)])
     beta, rss1 = K.fit(t, y, three)
-    free, rss_free = K.free_periods(t, y, three)
+    free, rss_free = K.nearest_periods(t, y, three) if n >= K.LATTICE_POINTS else K.free_periods(t, y, three)
     free = free[0]
     bf, _ = K.fit(t, y, free.tolist())
     crit = lambda rss, p: _criteria(float(rss), n, p)
@@ -269,15 +270,32 @@ def bispectral_score(p: Column) -> Column:
     return ladder(p, ("<", 0.01, -3), ("<", 0.05, -2), (">", 0.5, 2), (">", 0.2, 1))
 
 
-def bootstrap_lrt(df: DataFrame, base: float = 24.0, n: int = 999, k: int = 3) -> DataFrame:
-    """Adds lrt, p_lrt and lrt_label: free periods against harmonics, simulated under the harmonics."""
-    three = [base, base / 2, base / 3]
-
-    def fn(t, y, s):
-        lrt, p = K.bootstrap_lrt(t, y, base, k, three, n, s)
-        return {"lrt": lrt, "p_lrt": p}
+def bootstrap_lrt(df: DataFrame, base: float = 24.0, n: int = 999, k: int = 3, blocks: int = 1) -> DataFrame:
+    """Adds lrt, p_lrt and lrt_label: free periods against harmonics, simulated under the harmonics.
 
-    df = per_series.apply(df, fn, "lrt double, p_lrt double")
+    With several blocks a series' simulations are dealt over tasks in so many parts and their counts added: for fewer series than
+    cores. The result is the same for any number of blocks. Rows of one series_id are told apart by their place in the table.
+    """
+    three = [base, base / 2, base / 3]
+    cuts = [n * i // blocks for i in range(blocks + 1)]
+
+    def fn(block: int):
+        def run(t, y, s):
+            lrt, more = K.exceeding_lrt(t, y, base, k, three, n, s, slice(cuts[block], cuts[block + 1]))
+            return {"lrt": lrt, "_more": more}
+
+        return run
+
+    if blocks == 1:
+        df = per_series.apply(df, fn(0), "lrt double, _more bigint")
+    else:
+        row = df.select(F.monotonically_increasing_id().alias("_row"), *[c for c in df.columns if c not in ("lrt", "_more", "p_lrt", "lrt_label", "error")])
+        rest = [c for c in row.columns if c != "_row"]
+        dealt = row.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        dealt = dealt.repartition(F.xxhash64("_row", "_block"))
+        dealt = per_series.apply(dealt, lambda t, y, s, block: fn(block)(t, y, s), "lrt double, _more bigint", extra="_block")
+        df = dealt.groupBy("_row").agg(*[F.first(c).alias(c) for c in rest], F.first("lrt").alias("lrt"), F.sum("_more").alias("_more"), F.first("error").alias("error")).drop("_row")
+    df = df.withColumn("p_lrt", (F.col("_more") + 1) / (n + 1)).drop("_more")
     return df.withColumn("lrt_label", lrt_label(F.col("p_lrt")))
 
 
@@ -285,14 +303,26 @@ def lrt_label(p: Column) -> Column:
     return F.when(p < 0.01, "independent_ultradian").when(p < 0.05, "likely_independent_ultradian").when(p > 0.2, "harmonic").otherwise("ambiguous")
 
 
-def savage_dickey(df: DataFrame, base: float = 24.0, n: int = 200, warm: int = 100) -> DataFrame:
-    """Adds sd_log_bf (positive: the half period is the harmonic's), sd_mean, sd_sd and sd_score."""
+def savage_dickey(df: DataFrame, base: float = 24.0, method: str = "walk") -> DataFrame:
+    """Adds sd_log_bf (positive: the half period is the harmonic's), sd_mean, sd_sd, sd_score, and with the walk sd_rhat and sd_ess.
 
-    def fn(t, y, s):
-        r = K.savage_dickey(t, y, base, n, warm, s)
-        return {"sd_log_bf": r["log_bf"], "sd_mean": r["mean"], "sd_sd": r["sd"]}
+    ``walk`` samples all eight parameters of two waves (mean, amplitudes, periods, phases, noise); ``period`` samples the half period alone,
+    the base period fixed and the rest integrated: some ten times cheaper, and another model.
+    """
+    if method == "period":
+
+        def fn(t, y, s):
+            r = K.savage_dickey(t, y, base, 200, 100, s)
+            return {"sd_log_bf": r["log_bf"], "sd_mean": r["mean"], "sd_sd": r["sd"]}
+
+        df = per_series.apply(df, fn, "sd_log_bf double, sd_mean double, sd_sd double")
+    else:
+
+        def many(t, y, seeds):
+            at, _ = K.nearest_periods(t, y, [base, base / 2])
+            return [{f"sd_{k}": r[k] for k in ("log_bf", "mean", "sd", "rhat", "ess")} for r in sampling.savage_dickey(t, y, seeds, at, base)]
 
-    df = per_series.apply(df, fn, "sd_log_bf double, sd_mean double, sd_sd double")
+        df = per_series.apply_many(df, many, "sd_log_bf double, sd_mean double, sd_sd double, sd_rhat double, sd_ess double", least=K.LATTICE_POINTS)
     return df.withColumn("sd_score", ladder(F.col("sd_log_bf"), (">", 3, -2), (">", 1, -1), ("<", -3, 2), ("<", -1, 1)))
 
 
@@ -308,18 +338,53 @@ def amplitude_ratio_test(df: DataFrame, base: float = 24.0, n: int = 999) -> Dat
     return df.withColumn("ar_label", label)
 
 
-def model_comparison(df: DataFrame, base: float = 24.0) -> DataFrame:
-    """Adds delta_waic, waic_se and waic_label, from posterior draws of tied and free periods."""
+_COMPARED = "waic_tied double, waic_free double, p_waic_tied double, p_waic_free double, delta_waic double, waic_se double, base_mean double, base_sd double, period_mean array<double>, period_sd array<double>, amp_mean array<double>, rhat double, ess double, accepted double, p_24 double, p_12 double"
 
-    def fn(t, y, s):
-        r = K.waic_of_periods(t, y, base, s)
-        return {"delta_waic": r["delta_waic"], "waic_se": r["se"]}
 
-    df = per_series.apply(df, fn, "delta_waic double, waic_se double", least=12)
+def model_comparison(df: DataFrame, base: float = 24.0, method: str = "hamiltonian") -> DataFrame:
+    """Adds delta_waic, waic_se and waic_label, from posterior draws of tied and of free periods.
+
+    ``hamiltonian`` samples both models whole, and adds their criteria, moments of the periods, the largest split R-hat, the smallest effective size,
+    p-values of both periods and posterior_label; ``importance`` weighs draws of periods and integrates the rest, some hundred times cheaper.
+    """
+    if method == "importance":
+
+        def fn(t, y, s):
+            r = K.waic_of_periods(t, y, base, s)
+            return {"delta_waic": r["delta_waic"], "waic_se": r["se"]}
+
+        df = per_series.apply(df, fn, "delta_waic double, waic_se double", least=12)
+    else:
+
+        def many(t, y, seeds):
+            three = [base, base / 2, base / 3]
+            return [{**r, "p_24": K.component_p(t, z, three, 0), "p_12": K.component_p(t, z, three, 1)} for z, r in zip(y, sampling.compare(t, y, seeds, base), strict=True)]
+
+        df = per_series.apply_many(df, many, _COMPARED, least=12)
+        df = df.withColumn("posterior_label", posterior_label())
     z = F.col("delta_waic") / F.greatest(F.col("waic_se"), F.lit(1e-10))
     return df.withColumn("waic_label", F.when(z > 2, "independent_ultradian").when(z > 1, "likely_independent_ultradian").when(z < -1, "harmonic").otherwise("ambiguous"))
 
 
+def posterior_label(alpha: float = 0.05) -> Column:
+    """The label of delta_waic in its standard errors where both periods are significant; in doubt, of how far the half period's posterior is from half
+    the base period's. Null where a number is."""
+    z = F.when(F.col("waic_se") < 1e-6, 0.0).otherwise(F.col("delta_waic") / F.col("waic_se"))
+    s24, s12 = F.col("p_24") < alpha, F.col("p_12") < alpha
+    off = F.abs(F.col("period_mean")[1] - F.col("period_mean")[0] / 2) / F.greatest(F.col("period_sd")[1], F.lit(0.01))
+    return (
+        F.when(z.isNull() | s24.isNull() | s12.isNull(), F.lit(None).cast("string"))
+        .when(~s24 & ~s12, "non_rhythmic")
+        .when(~s12, "circadian_only")
+        .when(~s24, "independent_ultradian")
+        .when(z > 2, "independent_ultradian")
+        .when(z > 1, "likely_independent_ultradian")
+        .when(z < -1, "harmonic")
+        .when(off > 2, "likely_independent_ultradian")
+        .otherwise("ambiguous")
+    )
+
+
 def goodwin(df: DataFrame, base: float = 24.0) -> DataFrame:
     """Adds gw_coupling, gw_r2 and gw_score: a half-period loop that the base oscillator drives, or that runs on its own."""
 

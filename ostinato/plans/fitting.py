@@ -360,7 +360,7 @@ def divergence_test(spark, d):
 
 @query()
 def savage_dickey(spark, d):
-    return evidence.savage_dickey(I.spread(spark, d)).select("series_id", "sd_log_bf", "sd_mean", "sd_sd", "sd_score")
+    return evidence.savage_dickey(I.spread(spark, d)).select("series_id", "sd_log_bf", "sd_mean", "sd_sd", "sd_rhat", "sd_ess", "sd_score")
 
 
 @query()
@@ -370,7 +370,7 @@ def amplitude_ratio_test(spark, d):
 
 @query()
 def waic_comparison(spark, d):
-    return evidence.model_comparison(I.spread(spark, d)).select("series_id", "delta_waic", "waic_se", "waic_label")
+    return evidence.model_comparison(I.spread(spark, d)).select("series_id", "waic_tied", "waic_free", "p_waic_tied", "p_waic_free", "delta_waic", "waic_se", "base_mean", "base_sd", "period_mean", "period_sd", "amp_mean", "rhat", "ess", "waic_label", "posterior_label")
 
 
 @query()

@@ -335,3 +335,58 @@ def test_refinement_of_ambiguous_series(spark):
     assert got["5"] in ("likely_independent_ultradian", "ambiguous") and got["0"] == "independent_ultradian" and len(got) == 12
     h = {r.series_id: r.hierarchical_classification for r in network.hierarchical(df.drop("module_id"), 2, least=3, method="bisecting").collect()}
     assert h["5"] == "likely_independent" and h["15"] == "likely_harmonic"
+
+
+def test_lattice_finds_what_the_search_finds():
+    """On 50 vectors of the test tables: the same periods, residual sums and p of the bootstrap."""
+    import pyarrow.parquet as pq
+
+    t, three = np.arange(64.0), [24.0, 12.0, 8.0]
+    y = np.array(pq.read_table("/root/testdata/sf0.001/embeddings.parquet").column("embedding").to_pylist()[:50], float)
+    found, rss_found = K.nearest_periods(t, y, three)
+    want, rss_want = K.free_periods(t, y, three)
+    assert np.abs(found - want).max() < 1e-2 and rss_found == pytest.approx(rss_want, rel=1e-6)
+    x = columns(t, three)
+    proj = x @ np.linalg.pinv(x)
+    for i, z in enumerate(y):
+        lrt, p = K.bootstrap_lrt(t, z, 24.0, 3, three, 9, i)
+        fitted = proj @ z
+        sims = np.vstack([z, fitted + np.random.RandomState(i).normal(0, math.sqrt(((z - fitted) ** 2).mean()), (9, 64))])
+        ratio = 64 * np.log(((sims - sims @ proj.T) ** 2).sum(axis=1) / K.free_periods(t, sims, three)[1])
+        assert lrt == pytest.approx(ratio[0], rel=1e-5, abs=1e-6) and p == pytest.approx(((ratio[1:] >= ratio[0]).sum() + 1) / 10)
+
+
+@pytest.mark.parametrize("t", [np.arange(12.0) * 4, np.sort(np.random.RandomState(2).uniform(0, 72, 30)), np.arange(200.0) / 2])
+def test_lattice_on_other_times(t):
+    """Few points, irregular and long series: no worse than the search, whose cells it shares."""
+    rng = np.random.RandomState(3)
+    y = np.stack([np.cos(2 * np.pi * t / 23.3 + i) + 0.6 * np.cos(2 * np.pi * t / 12.4) + 0.3 * rng.normal(size=len(t)) for i in range(8)])
+    found, got = K.nearest_periods(t, y, [24.0, 12.0])
+    _, want = K.free_periods(t, y, [24.0, 12.0])
+    assert (got <= want * (1 + 1e-6) + 1e-9).all()
+    for p, z, r in zip(found, y, got, strict=True):
+        assert rss(columns(t, p), z) == pytest.approx(r, rel=1e-6, abs=1e-9)
+
+
+def test_blocks_of_simulations_add_up(spark):
+    from ostinato.operators import evidence
+
+    rows = [(str(i), [float(x) for x in T], [float(v) for v in noisy(i, 2 * wave(24), wave(11.6, 0.7), sd=0.4)]) for i in range(3)] + [("2", None, None)]
+    df = spark.createDataFrame(rows, "series_id string, t array<double>, y array<double>")
+    plain = lambda d: sorted(((r.series_id, r.lrt, r.p_lrt, r.lrt_label, r.error) for r in d.collect()), key=str)
+    assert plain(evidence.bootstrap_lrt(df, n=99)) == plain(evidence.bootstrap_lrt(df, n=99, blocks=4))
+
+
+def test_samplers_as_operators(spark):
+    from ostinato.operators import evidence
+
+    rows = [(str(i), [float(x) for x in T], [float(v) for v in noisy(i + 20, 2 * wave(24), wave(p, 1.2), sd=0.4)]) for i, p in enumerate((12.0, 13.2))] + [("short", [0.0, 1.0], [1.0, 2.0]), ("none", None, None)]
+    df = spark.createDataFrame(rows, "series_id string, t array<double>, y array<double>")
+    m = {r.series_id: r for r in evidence.model_comparison(df).collect()}
+    assert m["0"].delta_waic < 2 < 6 < m["1"].delta_waic and m["1"].posterior_label == "independent_ultradian" and m["0"].rhat < 1.2
+    assert m["short"].error == "fewer than 12 points" and m["none"].error == "no series" and m["none"].posterior_label is None
+    s = {r.series_id: r for r in evidence.savage_dickey(df).collect()}
+    assert s["0"].sd_log_bf > 0 > s["1"].sd_log_bf and s["0"].sd_score == -1 - (s["0"].sd_log_bf > 3) + (s["0"].sd_log_bf <= 1) and s["short"].error
+    assert evidence.savage_dickey(df, method="period").where("sd_log_bf is not null").count() == 2
+    assert evidence.model_comparison(df, method="importance").where("waic_label is not null").count() >= 2
+    assert evidence.model_comparison(df.limit(0)).count() == 0
