@@ -76,6 +76,11 @@ def damped_decomposition(spark, d):
     return decompose.decompose(I.spread(spark, d)).drop("t", "y")
 
 
+@query
+def trained_decomposition(spark, d):
+    return decompose.trained(I.spread(spark, d)).drop("t", "y")
+
+
 @query
 def damping_of_oscillators(spark, d):
     o = decompose.long_oscillators(decompose.decompose(I.spread(spark, d)))
