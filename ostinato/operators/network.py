@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +38,28 @@ def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.join(F.broadcast(m), F.lit(True)).select(*[c for c in df.columns if c not in cols], *[z(c).alias(c) for c in cols])
 
 
-def ward(x: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges of Ward's method by the nearest-neighbour chain: (cluster, cluster, distance), clusters by their first row."""
+def squared_distances(x: np.ndarray) -> np.ndarray:
+    own = (x * x).sum(axis=1)
+    d = np.maximum(own[:, None] + own - 2 * (x @ x.T), 0)
+    d[d < 1e-14 * (own[:, None] + own)] = 0
+    return d
+
+
+def ward_distances(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Squared distances of Ward's method between clusters of given centres and sizes; for single rows the squared distances."""
+    return squared_distances(x) * (2 * size[:, None] * size / (size[:, None] + size))
+
+
+def ward(x: np.ndarray, size: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Merges of Ward's method by the nearest-neighbour chain: (cluster, cluster, distance), clusters by their first row.
+
+    Rows with a size are centres of clusters of so many rows.
+    """
     n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    size = np.ones(n) if size is None else size.astype(float)
+    d = ward_distances(x, size)
     np.fill_diagonal(d, np.inf)
-    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    alive, chain, merges = np.ones(n, bool), [], []
     while len(merges) < n - 1:
         if not chain:
             chain.append(int(np.flatnonzero(alive)[0]))
@@ -80,56 +99,201 @@ def cut(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray:
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
-def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
+def silhouette(d: np.ndarray, labels: np.ndarray, size: np.ndarray | None = None, within: np.ndarray | None = None) -> float:
+    """The mean silhouette of labels from distances; rows with a size count as so many, ``within`` apart from each other on average."""
     k = int(labels.max()) + 1
+    weight = np.ones(len(d)) if size is None else size
     one = np.eye(k)[labels]
-    size = one.sum(axis=0)
-    total = d @ one
-    own = total[np.arange(len(d)), labels] / np.maximum(size[labels] - 1, 1)
-    other = np.where(one > 0, np.inf, total / size).min(axis=1)
-    return float(np.where(size[labels] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0).mean())
-
-
-def spectral(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
-    """k-means on the leading vectors of the normalised affinity (r + 1) / 2, r the correlation of rows."""
-    a = (np.nan_to_num(np.corrcoef(x)) + 1) / 2
-    s = 1 / np.sqrt(np.maximum(a.sum(axis=1), 1e-12))
-    _, v = np.linalg.eigh(a * s[:, None] * s[None])
-    v = v[:, -k:]
-    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    rng = np.random.RandomState(seed)
-    centre = v[[rng.randint(len(v))]]
-    while len(centre) < k:
-        d = ((v[:, None] - centre[None]) ** 2).sum(axis=2).min(axis=1)
-        centre = np.vstack([centre, v[int(np.argmax(d))]])
-    for _ in range(100):
-        label = ((v[:, None] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
-        new = np.vstack([v[label == i].mean(axis=0) if (label == i).any() else centre[i] for i in range(k)])
-        if np.allclose(new, centre):
-            break
-        centre = new
-    return np.unique(label, return_inverse=True)[1]
+    of = one.T @ weight
+    total = d @ (one * weight[:, None])
+    own = total[np.arange(len(d)), labels] + (0 if within is None else (weight - 1) * within)
+    own = own / np.maximum(of[labels] - 1, 1)
+    other = np.where(one > 0, np.inf, total / of).min(axis=1)
+    value = np.where(of[labels] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0)
+    return float((value * weight).sum() / weight.sum())
+
+
+# --- leaves: clusters of rows as sums ------------------------------------------------------------------------------
+
 
+def condense(n: np.ndarray, total: np.ndarray, squares: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves (rows, their sum, their sum of squares) merged by Ward's distance until there are at most so many.
 
-def merge_small(x: np.ndarray, labels: np.ndarray, least: int) -> np.ndarray:
-    """Clusters below a size join the nearest centroid of the others, smallest first; numbers become 0.. again."""
-    labels = labels.copy()
+    Equal centres merge first. Then, in rounds, pairs of leaves that are each other's nearest do: those are merges that Ward's method makes.
+    """
+    if len(n) > 1:
+        _, first, same = np.unique(np.round(total / n[:, None], 12), axis=0, return_index=True, return_inverse=True)
+        if len(first) < len(n):
+            same = same.ravel()
+            n, total, squares = (np.stack([np.bincount(same, c) for c in np.atleast_2d(v.T)], axis=-1).reshape(len(first), *v.shape[1:]) for v in (n.astype(float), total, squares))
+    while len(n) > most:
+        d = ward_distances(total / n[:, None], n)
+        np.fill_diagonal(d, np.inf)
+        near = d.argmin(axis=1)
+        i = np.flatnonzero((near[near] == np.arange(len(n))) & (near > np.arange(len(n))))
+        i = i[np.argsort(d[i, near[i]], kind="stable")][: len(n) - most]
+        j = near[i]
+        n, total, squares = n.copy(), total.copy(), squares.copy()
+        n[i], total[i], squares[i] = n[i] + n[j], total[i] + total[j], squares[i] + squares[j]
+        keep = np.ones(len(n), bool)
+        keep[j] = False
+        n, total, squares = n[keep], total[keep], squares[keep]
+    return n, total, squares
+
+
+def leaves(df: DataFrame, cols: list[str], most: int = 2000, fan_in: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most so many leaves of all rows: every task condenses its rows, then ``fan_in`` tasks' leaves meet in one, until one is left."""
+    import pyarrow as pa
+
+    def run(batches):
+        held, rows = None, []
+
+        def gather():
+            parts = rows if held is None else [held, *rows]
+            return condense(*(np.concatenate(c) for c in zip(*parts, strict=True)), most)
+
+        waiting = 0
+        for batch in batches:
+            n, squares = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1))
+            total = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(cols))], axis=1).astype(float)
+            for lo in range(0, len(n), most):
+                rows.append((n[lo : lo + most], total[lo : lo + most], squares[lo : lo + most]))
+                waiting += len(rows[-1][0])
+                if waiting >= most:
+                    held, rows, waiting = gather(), [], 0
+        if rows:
+            held = gather()
+        if held is not None and len(held[0]):
+            n, total, squares = held
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(squares), *[pa.array(total[:, i]) for i in range(len(cols))]], names)
+
+    names = ["n", "squares", *[f"x{i}" for i in range(len(cols))]]
+    out = df.select(F.lit(1.0).alias("n"), sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0)).alias("squares"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    kind = ", ".join(f"{c} double" for c in names)
+    out = out.mapInArrow(run, kind)
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        out = out.repartition(parts).mapInArrow(run, kind)
+    rows = out.toArrow()
+    x = np.stack([rows[c].to_numpy() for c in names], axis=1).reshape(rows.num_rows, len(names))
+    x = x[np.lexsort(x.T[::-1])]
+    return x[:, 0], x[:, 2:], x[:, 1]
+
+
+def nearest(cols: list[str], centres: np.ndarray) -> Column:
+    """The number of the centre nearest to a row, the first of equals."""
+
+    @F.pandas_udf("int")
+    def number(*x: pd.Series) -> pd.Series:
+        v = np.stack([c.to_numpy(float) for c in x], axis=1)
+        out = np.empty(len(v), np.int32)
+        own = (centres * centres).sum(axis=1)
+        for lo in range(0, len(v), 1024):
+            out[lo : lo + 1024] = (own - 2 * v[lo : lo + 1024] @ centres.T).argmin(axis=1)
+        return pd.Series(out)
+
+    return number(*[F.col(c) for c in cols])
+
+
+# --- modules -------------------------------------------------------------------------------------------------------
+
+
+def ward_labels(n: np.ndarray, total: np.ndarray, squares: np.ndarray, k: int | None) -> np.ndarray:
+    """Labels of leaves by Ward's method, of k clusters or of the best silhouette of 2 to 20."""
+    x = total / n[:, None]
+    if n.sum() < 3 or len(n) < 2:
+        return np.zeros(len(n), int)
+    merges = ward(x, n)
+    if k is None:
+        radius2 = np.maximum(squares / n - (x * x).sum(axis=1), 0)
+        within = np.sqrt(2 * radius2 * n / np.maximum(n - 1, 1))
+        d = np.sqrt(squared_distances(x))
+        k = max(range(2, min(20, len(n) - 1, int(n.sum()) - 1) + 1), key=lambda i: (round(silhouette(d, cut(merges, len(n), i), n, within), 12), -i), default=1)
+    return cut(merges, len(n), min(k, len(n)))
+
+
+def merged(size: np.ndarray, total: np.ndarray, first: list, least: int) -> np.ndarray:
+    """For each cluster the one it ends in: those below a size join the nearest centre of the others, smallest first; numbers go by first members."""
+    of = np.arange(len(size))
+    size, total, first = size.astype(float).copy(), total.copy(), list(first)
     while True:
-        ids, size = np.unique(labels, return_counts=True)
-        if len(ids) < 2 or size.min() >= least:
-            return np.unique(labels, return_inverse=True)[1]
-        small = ids[int(np.argmin(size))]
+        ids = np.unique(of)
+        if len(ids) < 2 or size[ids].min() >= least:
+            break
+        small = min(ids, key=lambda i: (size[i], first[i]))
         rest = ids[ids != small]
-        c = np.vstack([x[labels == i].mean(axis=0) for i in rest])
-        labels[labels == small] = rest[int(np.argmin(((c - x[labels == small].mean(axis=0)) ** 2).sum(axis=1)))]
+        c = total[rest] / size[rest, None] - total[small] / size[small]
+        to = rest[int(np.argmin((c * c).sum(axis=1)))]
+        size[to], total[to], first[to] = size[to] + size[small], total[to] + total[small], min(first[to], first[small])
+        of[of == small] = to
+    order = sorted(np.unique(of), key=lambda i: first[i])
+    return np.array([order.index(i) for i in of], int)
+
+
+def spectral_coordinates(z: DataFrame, cols: list[str], k: int) -> tuple[DataFrame, list[str]]:
+    """z with the rows of the leading k vectors of its normalised affinity, each of length one, and their columns.
+
+    The affinity (r + 1) / 2, r the correlation of two rows' features, is a product of rows (1, u) with u the row less its mean at unit length
+    (zeros for a constant row). So degrees are a sum, and the vectors come from a matrix of one row and column a feature, itself a sum over rows:
+    the affinities themselves are never made.
+    """
+    mean = sum((F.col(c) for c in cols), F.lit(0.0)) / len(cols)
+    norm = F.sqrt(sum(((F.col(c) - mean) ** 2 for c in cols), F.lit(0.0)))
+    b = [F.lit(math.sqrt(0.5))] + [F.when(norm > 1e-12, (F.col(c) - mean) / norm).otherwise(0.0) * math.sqrt(0.5) for c in cols]
+    names = [f"_b{i}" for i in range(len(b))]
+    rows = z.select("*", *[v.alias(n) for n, v in zip(names, b, strict=True)])
+    total = np.array(rows.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in names]).first(), float)
+    degree = F.greatest(sum((F.col(n) * float(v) for n, v in zip(names, total, strict=True)), F.lit(0.0)), F.lit(1e-12))
+    pairs = [(i, j) for i in range(len(b)) for j in range(i, len(b))]
+    sums = rows.agg(*[F.coalesce(F.sum(F.col(names[i]) * F.col(names[j]) / degree), F.lit(0.0)) for i, j in pairs]).first()
+    gram = np.zeros((len(b), len(b)))
+    for (i, j), v in zip(pairs, sums, strict=True):
+        gram[i, j] = gram[j, i] = v
+    value, vector = np.linalg.eigh(gram)
+    on = [i for i in range(len(b) - 1, -1, -1) if value[i] > 1e-10][:k]
+    axes = [vector[:, i] / math.sqrt(value[i]) for i in on]
+    raw = [sum((F.col(n) * float(w) for n, w in zip(names, a, strict=True)), F.lit(0.0)) / F.sqrt(degree) for a in axes]
+    found = [f"_v{i}" for i in range(len(axes))]
+    out = rows.select(*z.columns, *[r.alias(f) for r, f in zip(raw, found, strict=True)])
+    length = F.greatest(F.sqrt(sum((F.col(f) ** 2 for f in found), F.lit(0.0))), F.lit(1e-12))
+    return out.select(*z.columns, *[(F.col(f) / length).alias(f) for f in found]), found
+
+
+def k_means(df: DataFrame, cols: list[str], k: int, seed: int = 42, rounds: int = 100) -> np.ndarray:
+    """Centres: the first is the row of the least hash of its series_id, each further one the row farthest from all before; then rounds of means.
+
+    A round is one sum by the nearest centre; rows equal to a centre are no further ones, so there may be fewer than k.
+    """
+    point = F.array(*[F.col(c) for c in cols])
+    start = df.agg(F.min_by(point, F.struct(F.xxhash64("series_id", F.lit(seed)), "series_id"))).first()[0]
+    if start is None:
+        return np.zeros((0, len(cols)))
+    centres = np.array([start], float)
+    far = lambda c: sum(((F.col(n) - float(v)) ** 2 for n, v in zip(cols, c, strict=True)), F.lit(0.0))
+    while len(centres) < k:
+        d = F.least(*[far(c) for c in centres]) if len(centres) > 1 else far(centres[0])
+        best = df.select(point.alias("p"), d.alias("d"), "series_id").agg(F.max(F.struct(F.round("d", 12).alias("d"), "series_id", "p"))).first()[0]
+        if best.d <= 0:
+            break
+        centres = np.vstack([centres, best.p])
+    for _ in range(rounds):
+        got = df.groupBy(nearest(cols, centres).alias("c")).agg(*[F.avg(c) for c in cols]).collect()
+        new = centres.copy()
+        for r in got:
+            new[r[0]] = r[1:]
+        if np.allclose(new, centres):
+            break
+        centres = new
+    return centres
 
 
-def modules(feature_table: DataFrame, k: int | None = None, method: str = "ward", least: int = 5, most_rows: int = 5000) -> DataFrame:
-    """series_id, module_id of a feature table.
+def modules(feature_table: DataFrame, k: int | None = None, method: str = "ward", least: int = 5, most_leaves: int = 2000) -> DataFrame:
+    """series_id, module_id of a feature table of any number of rows; modules of fewer than ``least`` join the nearest, and are numbered by their first series.
 
-    ward and spectral need all distances, so they take at most ``most_rows`` rows, on the driver; k comes from the best silhouette
-    of 2 to 20 cuts of one linkage. Larger tables need method="bisecting", whose modules differ: bisecting k-means on the cluster,
-    with k given (default 20).
+    ward: rows are condensed to at most ``most_leaves`` leaves over the cluster, Ward's method links the leaves, and a row is where its nearest leaf is;
+    up to that number of different rows it is Ward's method of the rows. k comes from the best silhouette of 2 to 20 cuts of the linkage.
+    spectral: exact for any number of rows (default k: 8). bisecting: bisecting k-means (default k: 20), without the merge of small modules.
     """
     cols = [c for c in feature_table.columns if c != "series_id"]
     z = standardise(feature_table, cols)
@@ -140,23 +304,23 @@ def modules(feature_table: DataFrame, k: int | None = None, method: str = "ward"
         # a cluster is split at its centre times 1 -/+ 1e-4: standardised rows, whose centre is 0, would stay whole
         v = VectorAssembler(inputCols=cols, outputCol="_v").transform(z.select("series_id", *[(F.col(c) + 1).alias(c) for c in cols]))
         return BisectingKMeans(k=k or 20, seed=42, featuresCol="_v", predictionCol="module_id").fit(v).transform(v).select("series_id", "module_id")
-    if z.limit(most_rows + 1).count() > most_rows:
-        raise ValueError(f"more than {most_rows} series: use method='bisecting'")
-    rows = z.orderBy("series_id").collect()
-    x = np.array([[float(r[c]) for c in cols] for r in rows]).reshape(len(rows), len(cols))
-    n = len(x)
-    if n < 3:
-        labels = np.zeros(n, int)
-    elif method == "spectral":
-        labels = spectral(x, min(k or 8, n - 1))
+    if method == "spectral":
+        n = z.count()
+        v, axes = spectral_coordinates(z, cols, min(k or 8, max(n - 1, 1)))
+        centres = k_means(v, axes, min(k or 8, max(n - 1, 1))) if n > 2 else np.zeros((1, len(axes)))
+        labelled = v.withColumn("_label", nearest(axes, centres) if axes and len(centres) else F.lit(0))
     else:
-        merges = ward(x)
-        if k is None:
-            d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
-            k = max(range(2, min(20, n - 1) + 1), key=lambda i: (round(silhouette(d, cut(merges, n, i)), 12), -i))
-        labels = cut(merges, n, min(k, n))
-    labels = merge_small(x, labels, least) if n else labels
-    return feature_table.sparkSession.createDataFrame([(r["series_id"], int(m)) for r, m in zip(rows, labels, strict=True)], "series_id string, module_id int")
+        n, total, squares = leaves(z, cols, most_leaves)
+        label = ward_labels(n, total, squares, k)
+        labelled = z.withColumn("_leaf", nearest(cols, total / n[:, None]) if len(n) else F.lit(0))
+        labelled = labelled.withColumn("_label", F.element_at(F.lit(label.tolist() or [0]), F.col("_leaf") + 1))
+    of = labelled.groupBy("_label").agg(F.count("*").alias("_n"), F.min("series_id").alias("_first"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)]).collect()
+    if not of:
+        return labelled.select("series_id", F.lit(0).alias("module_id"))
+    to = merged(np.array([r["_n"] for r in of]), np.array([r[3:] for r in of], float).reshape(len(of), len(cols)), [(r["_first"] is not None, r["_first"]) for r in of], least)
+    number = {r["_label"]: int(m) for r, m in zip(of, to, strict=True)}
+    named = F.element_at(F.lit([number.get(i, 0) for i in range(max(number) + 1)]), F.col("_label") + 1)
+    return labelled.select("series_id", named.alias("module_id"))
 
 
 def phase_coherence(df: DataFrame, published: bool = True) -> DataFrame:

@@ -323,8 +323,8 @@ def test_modules_by_bisecting(spark):
         m = {r.series_id: r.module_id for r in network.modules(df, k, method, least=2).collect()}
         parts = [{m[str(i)] for i in range(j, j + 10)} for j in (0, 10, 20)]
         assert len(m) == 30 and [len(p) for p in parts] == [1, 1, 1] and len(set.union(*parts)) == 3, method
-    with pytest.raises(ValueError):
-        network.modules(df, 3, "ward", most_rows=29)
+    few = {r.series_id: r.module_id for r in network.modules(df, 3, "ward", least=2, most_leaves=9).collect()}
+    assert [len({few[str(i)] for i in range(j, j + 10)}) for j in (0, 10, 20)] == [1, 1, 1] and len(set(few.values())) == 3
 
 
 def test_refinement_of_ambiguous_series(spark):
