@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,31 +261,38 @@ def spectral_coordinates(z: DataFrame, cols: list[str], k: int) -> tuple[DataFra
     return out.select(*z.columns, *[(F.col(f) / length).alias(f) for f in found]), found
 
 
-def k_means(df: DataFrame, cols: list[str], k: int, seed: int = 42, rounds: int = 100) -> np.ndarray:
-    """Centres: the first is the row of the least hash of its series_id, each further one the row farthest from all before; then rounds of means.
+def k_means(df: DataFrame, cols: list[str], k: int, rounds: int = 100, most_leaves: int = 2000) -> np.ndarray:
+    """Centres of at most k clusters: found among the leaves of all rows, then moved to the means of their rows until they stay.
 
-    A round is one sum by the nearest centre; rows equal to a centre are no further ones, so there may be fewer than k.
+    The first centre is the leaf of most rows, each further one the leaf farthest from all before. Up to ``most_leaves`` different rows the leaves
+    are the rows, and one round over the table tells that nothing moves.
     """
-    point = F.array(*[F.col(c) for c in cols])
-    start = df.agg(F.min_by(point, F.struct(F.xxhash64("series_id", F.lit(seed)), "series_id"))).first()[0]
-    if start is None:
+    n, total, _ = leaves(df, cols, most_leaves)
+    if not len(n):
         return np.zeros((0, len(cols)))
-    centres = np.array([start], float)
-    far = lambda c: sum(((F.col(n) - float(v)) ** 2 for n, v in zip(cols, c, strict=True)), F.lit(0.0))
+    x = total / n[:, None]
+    centres = x[[int(np.argmax(n))]]
+    apart = lambda c: ((x[:, None] - c[None]) ** 2).sum(axis=2)
     while len(centres) < k:
-        d = F.least(*[far(c) for c in centres]) if len(centres) > 1 else far(centres[0])
-        best = df.select(point.alias("p"), d.alias("d"), "series_id").agg(F.max(F.struct(F.round("d", 12).alias("d"), "series_id", "p"))).first()[0]
-        if best.d <= 0:
+        d = np.round(apart(centres).min(axis=1), 12)
+        if d.max() <= 0:
+            break
+        centres = np.vstack([centres, x[int(np.argmax(d))]])
+
+    def moved(means: dict[int, np.ndarray]) -> np.ndarray:
+        return np.stack([means.get(i, c) for i, c in enumerate(centres)])
+
+    for _ in range(rounds):
+        label = apart(centres).argmin(axis=1)
+        new = moved({i: np.average(x[label == i], axis=0, weights=n[label == i]) for i in np.unique(label)})
+        still, centres = np.allclose(new, centres), new
+        if still:
             break
-        centres = np.vstack([centres, best.p])
     for _ in range(rounds):
-        got = df.groupBy(nearest(cols, centres).alias("c")).agg(*[F.avg(c) for c in cols]).collect()
-        new = centres.copy()
-        for r in got:
-            new[r[0]] = r[1:]
-        if np.allclose(new, centres):
+        new = moved({r[0]: np.array(r[1:], float) for r in df.groupBy(nearest(cols, centres).alias("c")).agg(*[F.avg(c) for c in cols]).collect()})
+        still, centres = np.allclose(new, centres), new
+        if still:
             break
-        centres = new
     return centres
 
 
@@ -305,6 +313,7 @@ def modules(feature_table: DataFrame, k: int | None = None, method: str = "ward"
         v = VectorAssembler(inputCols=cols, outputCol="_v").transform(z.select("series_id", *[(F.col(c) + 1).alias(c) for c in cols]))
         return BisectingKMeans(k=k or 20, seed=42, featuresCol="_v", predictionCol="module_id").fit(v).transform(v).select("series_id", "module_id")
     if method == "spectral":
+        z = z.persist(StorageLevel.MEMORY_AND_DISK)  # for the passes until labels are known
         n = z.count()
         v, axes = spectral_coordinates(z, cols, min(k or 8, max(n - 1, 1)))
         centres = k_means(v, axes, min(k or 8, max(n - 1, 1))) if n > 2 else np.zeros((1, len(axes)))
@@ -315,6 +324,7 @@ def modules(feature_table: DataFrame, k: int | None = None, method: str = "ward"
         labelled = z.withColumn("_leaf", nearest(cols, total / n[:, None]) if len(n) else F.lit(0))
         labelled = labelled.withColumn("_label", F.element_at(F.lit(label.tolist() or [0]), F.col("_leaf") + 1))
     of = labelled.groupBy("_label").agg(F.count("*").alias("_n"), F.min("series_id").alias("_first"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)]).collect()
+    z.unpersist()
     if not of:
         return labelled.select("series_id", F.lit(0).alias("module_id"))
     to = merged(np.array([r["_n"] for r in of]), np.array([r[3:] for r in of], float).reshape(len(of), len(cols)), [(r["_first"] is not None, r["_first"]) for r in of], least)

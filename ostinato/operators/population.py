@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from . import ranks
+from . import ranks, resampling
 from .evidence import ladder
 
 
@@ -58,42 +57,26 @@ def circular_correlation(df: DataFrame, a: Column, b: Column, keys: list[str] |
     return g.select(*(keys or []), "n", F.when(den < 1e-10, 0.0).otherwise(num / den).alias("rho"))
 
 
-def circular_permutation(df: DataFrame, a: str, b: str, n: int = 9999, seed: int = 42, blocks: int = 32, most: int = 5_000_000) -> DataFrame:
-    """One row: n, rho, p_value and evidence of the circular correlation against shuffled partners.
+def circular_permutation(df: DataFrame, a: str, b: str, n: int = 9999, seed: int = 42) -> DataFrame:
+    """One row: n, rho, p_value and evidence of the circular correlation against n permutations of the partners.
 
-    The angles, two numbers a series, are one column pair in each task: a table of more than ``most`` series is refused. Permutations
-    are dealt over tasks in blocks with seeds of their own.
+    Rows of any number: permutations are keyed bijections of row numbers, and only sums of each leave a task. Rows with a null angle don't
+    count; without rows p is 1.
     """
-    spark = df.sparkSession
-    if (size := df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).count()) > most:
-        raise ValueError(f"{size} series are too many to permute in a task: the limit is {most}")
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).orderBy("a", "b").toArrow()
-    x, y = np.asarray(rows["a"].combine_chunks() if rows.num_rows else []), np.asarray(rows["b"].combine_chunks() if rows.num_rows else [])
-    shared = spark.sparkContext.broadcast((np.exp(1j * x), np.exp(1j * y)))
-
-    def rho(u: np.ndarray, v: np.ndarray) -> float:
-        m = len(u)
-        den = math.sqrt(max((m * m - abs((u * u).sum()) ** 2) / 2 * ((m * m - abs((v * v).sum()) ** 2) / 2), 0.0))
-        return 0.0 if den < 1e-10 else float((abs((u * v.conj()).sum()) ** 2 - abs((u * v).sum()) ** 2) / 2 / den)
-
-    seen = rho(*shared.value) if len(x) else 0.0
-    per = -(-n // blocks)
-
-    def count(batches):
-        import pyarrow as pa
-
-        u, v = shared.value
-        for batch in batches:
-            out = []
-            for k in batch.column(0).to_pylist():
-                rng = np.random.RandomState(seed + k)
-                out.append(sum(abs(rho(u, rng.permutation(v))) >= abs(seen) for _ in range(min(per, n - k * per))))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["hits"])
-
-    hits = spark.range(-(-n // per), numPartitions=blocks).mapInArrow(count, "hits bigint").agg(F.sum("hits").alias("h"))
-    p = (F.col("h") + 1) / (n + 1)
+    sums, size = resampling.permuted_resultants(df, a, b, n, seed)
+    seen = circular_correlation(df, F.col(a).cast("double"), F.col(b).cast("double")).select("n", F.col("rho").alias("rho"))
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    both = df.where(x.isNotNull() & y.isNotNull()).agg(F.count("*").alias("m"), *[F.sum(f(2 * c)).alias(k) for k, f, c in (("ca", F.cos, x), ("sa", F.sin, x), ("cb", F.cos, y), ("sb", F.sin, y))])
+    m2 = (F.col("m") * F.col("m")).cast("double")
+    den = F.sqrt(F.greatest((m2 - F.col("ca") ** 2 - F.col("sa") ** 2) / 2 * ((m2 - F.col("cb") ** 2 - F.col("sb") ** 2) / 2), F.lit(0.0)))
+    both = both.select(den.alias("den"))
+    num = (F.col("c1") ** 2 + F.col("s1") ** 2 - F.col("c2") ** 2 - F.col("s2") ** 2) / 2
+    one = seen.join(both, F.lit(True))  # one row each
+    rho = F.when(F.col("den") < 1e-10, 0.0).otherwise(num / F.col("den"))
+    hits = sums.join(F.broadcast(one), F.lit(True)).agg(F.count_if(F.abs(rho) >= F.abs("rho") - 1e-12).alias("h"))
+    p = F.when(F.col("n") == 0, 1.0).otherwise((F.col("h") + 1) / (n + 1))
     label = F.when(p < 0.01, "phases_correlated_harmonic").when(p < 0.05, "phases_weakly_correlated").otherwise("phases_independent")
-    return hits.select(F.lit(len(x)).alias("n"), F.lit(seen).alias("rho"), p.alias("p_value"), label.alias("evidence"))
+    return hits.join(F.broadcast(one), F.lit(True)).select("n", F.coalesce("rho", F.lit(0.0)).alias("rho"), p.alias("p_value"), label.alias("evidence"))
 
 
 def population_phases(df: DataFrame, values: str = "y") -> DataFrame:

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels as K
 from ..functions import stats as S
-from . import metrics
+from . import metrics, resampling
 
 INDEPENDENT = ("independent_ultradian", "likely_independent_ultradian")
 
@@ -67,14 +65,13 @@ def knockout_validation(df: DataFrame) -> DataFrame:
 
 
 def mean_intervals(df: DataFrame, value: Column, keys: list[str], n: int = 2000, seed: int = 0) -> DataFrame:
-    """Keys to the mean of a value and its 95% percentile interval over resamples; null and NaN are left out. A group is a report's
-    column of numbers: one task holds it."""
-    rows = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def one(group: pa.Table) -> pa.Table:
-        v = group["_v"].to_numpy()
-        lo, hi = K.bootstrap_interval(v, n, seed)
-        return pa.table({**{k: group[k][:1] for k in keys}, "mean": [float(v.mean())], "lo": [lo], "hi": [hi]})
-
-    return rows.groupBy(*keys).applyInArrow(one, f"{kinds}, mean double, lo double, hi double")
+    """Keys to the mean of a value and its 95% percentile interval over n resamples; null and NaN are left out.
+
+    Groups of any size: see ``resampling.mean_replicates``. What meets in one task is a group's n means.
+    """
+    v = value.cast("double")
+    means = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys).agg(F.avg("_v").alias("mean"))
+    r = resampling.mean_replicates(df, value, keys, n, seed)
+    ends = r.groupBy(*keys).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("_e"))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] or [F.lit(True)]
+    return means.alias("l").join(ends.alias("r"), on).select(*[F.col(f"l.{k}").alias(k) for k in keys], "l.mean", F.col("r._e")[0].alias("lo"), F.col("r._e")[1].alias("hi"))
