@@ -160,9 +160,19 @@ def divergence_test(df: DataFrame, base: float = 24.0, n: int = 499) -> DataFram
     return per_series.apply(df, fn, "sid double, p_sid double")
 
 
+def _of_modes(name: str, measure, periods: list[float], base: float):
+    """A field from the modes of a block of series, which are found together."""
+
+    def fn(t, y, _):
+        m = K.variational_modes(t, y, periods)
+        return [{name: measure(t, z, base, {k: v[i] for k, v in m.items()})} for i, z in enumerate(y)]
+
+    return fn
+
+
 def vmd(df: DataFrame, base: float = 24.0) -> DataFrame:
     """Adds vmd (a struct of the two modes' periods, their energy ratio, deviation and lock) and vmd_score."""
-    df = per_series.apply(df, lambda t, y, _: {"vmd": K.vmd_summary(t, y, base)}, "vmd struct<period_base:double,period_half:double,energy_ratio:double,deviation:double,lock:double>")
+    df = per_series.apply_many(df, _of_modes("vmd", K.vmd_summary, [base, base / 2, base / 3], base), "vmd struct<period_base:double,period_half:double,energy_ratio:double,deviation:double,lock:double>")
     return df.withColumn("vmd_score", vmd_score(F.col("vmd")))
 
 
@@ -232,7 +242,7 @@ VMD_HILBERT = "struct<slow:array<double>,fast:array<double>,converged:boolean,am
 
 def vmd_hilbert(df: DataFrame, base: float = 24.0) -> DataFrame:
     """Adds vh (frequencies' coupling of the two modes) and vh_score: a harmonic score is turned where the fast mode's period is off."""
-    df = per_series.apply(df, lambda t, y, _: {"vh": K.vmd_hilbert(t, y, base)}, f"vh {VMD_HILBERT}")
+    df = per_series.apply_many(df, _of_modes("vh", K.vmd_hilbert, [base, base / 2], base), f"vh {VMD_HILBERT}")
     df = df.withColumn("vh", coupled(F.col("vh")))
     return df.withColumn("vh_score", vmd_hilbert_score(F.col("vh")))
 

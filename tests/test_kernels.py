@@ -165,6 +165,33 @@ def test_modes_part_two_waves():
     assert i != j and s["energy_ratio"] == pytest.approx(three["energy"][j] / three["energy"][i]) and s["deviation"] == pytest.approx(abs(three["periods"][j] - 12) / 12)
 
 
+def test_modes_are_the_least_of_their_definition():
+    """Modes minimise the sum of weighted powers for their centres, and centres are the means of their modes' power."""
+    rng = np.random.RandomState(4)
+    t = np.arange(0, 60.0)
+    y = np.stack([2 * wave(24, 0.3, t) + wave(12, i, t) + 0.3 * rng.normal(size=60) for i in range(5)])
+    m = K.variational_modes(t, y, [24.0, 12.0])
+    f = np.arange(61) / 120
+    for i in range(5):
+        whole = np.fft.rfft(np.concatenate([y[i, :30][::-1], y[i], y[i, 30:][::-1]]))
+        c = 1 / m["periods"][i]
+
+        def cost(u, whole=whole, c=c):
+            return sum(2000 * (f - k) ** 2 * abs(x) ** 2 for k, x in zip(c, u)).sum() + (abs(whole - sum(u)) ** 2).sum()
+
+        ease = [1 / (2000 * (f - k) ** 2) for k in c]
+        u = [whole * e / (1 + sum(ease)) for e in ease]
+        for x, want in zip(m["modes"][i], u):
+            assert x == pytest.approx(np.fft.irfft(want, 120)[30:90], abs=1e-9)
+        least = cost(u)
+        for _ in range(20):
+            assert cost([x + 1e-3 * abs(whole) * (rng.normal(size=61) + 1j * rng.normal(size=61)) for x in u]) > least
+        for k, x in zip(c, u):
+            assert (f[1:] * abs(x[1:]) ** 2).sum() / (abs(x[1:]) ** 2).sum() == pytest.approx(k, abs=1e-6)
+    alone = K.vmd(t, y[3], [24.0, 12.0])
+    assert alone["periods"] == pytest.approx(m["periods"][3]) and alone["steps"] == m["steps"][3]
+
+
 def test_instantaneous_frequency_of_a_chirp():
     t = np.arange(0, 200.0)
     y = np.cos(2 * np.pi * (t / 20 + 0.0001 * t**2))
