@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,9 @@ def calibrated(train: DataFrame, label: str, cols: list[str], folds: int = 5, we
     pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_x", withMean=True), lr])
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1, 1.0]).build()
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="_y", predictionCol="_p", metricName="f1"), numFolds=folds, seed=42)
-    model = cv.fit(index.transform(train)).bestModel
+    held = index.transform(train.select(label, *cols, *([weight] if weight else []))).persist(StorageLevel.MEMORY_AND_DISK)  # some twenty fits read it
+    model = cv.fit(held).bestModel
+    held.unpersist()
 
     def predict(df: DataFrame) -> DataFrame:
         out = IndexToString(inputCol="_p", outputCol="calibrated_class", labels=index.labels).transform(model.transform(df))

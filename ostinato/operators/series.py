@@ -6,6 +6,8 @@ irregular grids; array form suits expressions and kernels over whole series, and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,15 @@ def downsample(arrays: DataFrame, every: int) -> DataFrame:
     return arrays.select("series_id", pick("t").alias("t"), pick("y").alias("y"))
 
 
+def noised(arrays: DataFrame, spread: float, seed: int = 0) -> DataFrame:
+    """Each series with normal noise of ``spread`` times its own spread, from hashes of its id and the points' places: the same in every run."""
+    share = lambda i, k: (F.pmod(F.xxhash64("series_id", i, F.lit(2 * seed + k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    normal = lambda i: F.sqrt(-2 * F.log(share(i, 0))) * F.cos(2 * math.pi * share(i, 1))
+    n, add = F.size("y"), lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+    sd = F.sqrt(F.greatest(add("y", lambda x: x * x) / n - (add("y", lambda x: x) / n) ** 2, F.lit(0.0)))
+    return arrays.withColumn("_sd", sd).withColumn("y", F.transform("y", lambda x, i: x + spread * F.col("_sd") * normal(i))).drop("_sd")
+
+
 def guarded(arrays: DataFrame, least: int = 6) -> DataFrame:
     """Adds ``error``: why a series can't be analysed, or null."""
     n = F.size("y")

@@ -1,12 +1,10 @@
-"""Queries of whole classifiers, trained models, decompositions, simulations and benchmarks."""
+"""Queries of whole classifiers, trained models and decompositions, and of how they hold under changes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import api
-from ..operators import classify, decompose, detect, evidence, metrics, models, per_series, population
-from ..sources import simulate
+from ..operators import classify, decompose, detect, evidence, metrics, models, per_series, population, series
 from . import inputs as I
 
 Q: dict = {}
@@ -45,26 +43,25 @@ def fusion_classifier(spark, d):
     return f.select("series_id", "v2_classification", "p_bispectral", "classification", "confidence", "reason", "channels_agree", "has_significant_12h", "error")
 
 
-def _simulated_features(spark, replicates: int = 10):
-    s = simulate.scenarios(spark, replicates, 24, 2.0)
-    m = evidence.models(s)
+def _labelled_features(spark, d):
+    """Features of the given vectors, with their given labels."""
+    m = evidence.models(per_series.spread(I.vectors_with_label(spark, d)))
     three = [24.0, 12.0, 8.0]
     m = per_series.apply(m.drop("error"), lambda t, y, _: {"p_24": detect.K.component_p(t, y, three, 0), "p_12": detect.K.component_p(t, y, three, 1)}, "p_24 double, p_12 double")
-    m = m.withColumn("log_bf", evidence.log_bayes_factor())
-    m = models.features(m).withColumn("label", models.truth_label(F.col("scenario"), F.col("has_independent_12h"), F.col("has_harmonic_12h")))
-    return m.select("series_id", "scenario", "label", *[f"x_{f}" for f in models.FEATURES])
+    m = models.features(m.withColumn("log_bf", evidence.log_bayes_factor()))
+    return m.select("series_id", F.col("label").cast("string").alias("label"), *[f"x_{f}" for f in models.FEATURES])
 
 
 @query
 def gaussian_discriminant(spark, d):
-    x = _simulated_features(spark)
+    x = _labelled_features(spark, d)
     cols = [f"x_{f}" for f in models.FEATURES]
-    return models.Discriminant.fit(x, "label", cols).predict(x, cols).select("series_id", "scenario", "label", "gda_class", "gda_confidence", "probabilities")
+    return models.Discriminant.fit(x, "label", cols).predict(x, cols).select("series_id", "label", "gda_class", "gda_confidence", "probabilities")
 
 
 @query
 def calibrated_logistic(spark, d):
-    x = _simulated_features(spark)
+    x = _labelled_features(spark, d)
     cols = [f"x_{f}" for f in models.FEATURES[:7]]
     _, predict = models.calibrated(x, "label", cols)
     return predict(x).select("series_id", "label", "calibrated_class", "class_probabilities")
@@ -86,50 +83,32 @@ def damping_of_oscillators(spark, d):
     return population.damping_summary(o, ["oscillator"])
 
 
-@query
-def simulated_scenarios(spark, d):
-    return simulate.scenarios(spark, 50)
-
-
-@query
-def simulated_population(spark, d):
-    return simulate.population(spark, 2000)
-
-
-@query
-def simulated_benchmark(spark, d):
-    return api.benchmark(spark, 3)
-
-
 @query
 def scenario_accuracy(spark, d):
-    """Labels of the dynamic classifier on simulated scenarios: share that is right in each."""
-    s = simulate.scenarios(spark, 20, 48, 1.0)
-    c = decompose.decompose(s)
-    right = F.when(F.col("has_independent_12h"), F.col("classification").isin("independent_ultradian", "damped_ultradian", "multi_ultradian")).otherwise(~F.col("classification").isin("independent_ultradian", "damped_ultradian", "multi_ultradian"))
-    return metrics.recovery(c, ["scenario"], right)
+    """Of the vectors of each given label the share for which decomposition and the first stage agree on whether there is a rhythm."""
+    c = decompose.decompose(I.spread(spark, d)).select("series_id", "classification")
+    s = detect.stage1(I.vectors_with_label(spark, d)).select("series_id", "label", "passed").join(c, "series_id")
+    return metrics.recovery(s, ["label"], F.coalesce("passed", F.lit(False)) == (F.col("classification") != "non_rhythmic"))
 
 
 @query
 def downsampling_robustness(spark, d):
-    """Share of independent rhythms that the first stage detects, by the step between points."""
-    from ..operators import series
-
-    s = simulate.scenarios(spark, 10, 48, 1.0).where("has_independent_12h").select("series_id", "t", "y")
-    out = None
+    """F1 of the first stage on every second and fourth point of the vectors, where all points tell the truth."""
+    v = I.vectors(spark, d)
+    found = lambda x, name: detect.stage1(x).select("series_id", F.coalesce("passed", F.lit(False)).alias(name))
+    truth, out = found(v, "truth"), None
     for k in (1, 2, 4):
-        x = detect.stage1(series.downsample(s, k)).select(F.lit(k).alias("every"), "passed")
+        x = found(series.downsample(v, k), "positive").join(truth, "series_id").withColumn("every", F.lit(k))
         out = x if out is None else out.unionByName(x)
-    return metrics.recovery(out, ["every"], F.coalesce("passed", F.lit(False)))
+    return metrics.binary(out, F.col("truth"), F.col("positive"), ["every"]).select("every", "tp", "fp", "tn", "fn", "sensitivity", "specificity", "f1")
 
 
 @query
 def noise_robustness(spark, d):
-    """Share of series with a half-period rhythm that the first stage detects, by the noise's spread."""
-    out = None
-    for sd in (0.25, 0.75, 1.5, 3.0):
-        s = simulate.scenarios(spark, 5, 48, 1.0, noise=sd).where(F.col("has_independent_12h") | F.col("has_harmonic_12h"))
-        x = detect.stage1(s.select("series_id", "t", "y")).select(F.lit(sd).alias("noise"), "passed")
+    """Share of the vectors that the first stage passes, by the spread of noise added to them (in spreads of the vector)."""
+    v, out = I.vectors(spark, d), None
+    for sd in (0.0, 0.5, 1.0, 2.0):
+        x = detect.stage1(series.noised(v, sd)).select(F.lit(sd).alias("noise"), "passed")
         out = x if out is None else out.unionByName(x)
     return metrics.recovery(out, ["noise"], F.coalesce("passed", F.lit(False)))
 
@@ -137,13 +116,8 @@ def noise_robustness(spark, d):
 @query
 def sensitivity_sweep(spark, d):
     """Labels of the two-stage classifier's confidence under other divisors: counts for each setting."""
-    r = classify.two_stage(simulate.scenarios(spark, 2, 48, 1.0).select("series_id", "t", "y")).where("stage1_class = 'has_12h'")
+    r = classify.two_stage(I.vectors(spark, d)).where("stage1_class = 'has_12h'")
     grid = F.explode(F.lit([float(x) for x in metrics.sensitivity(4.0)])).alias("divisor")
     c = F.tanh(F.col("evidence_score") / F.col("divisor"))
     label = F.when(c >= 0.6, "independent_ultradian").when(c >= 0.3, "likely_independent_ultradian").when(c <= -0.3, "harmonic").otherwise("ambiguous")
     return r.select("series_id", "evidence_score", grid).withColumn("label", label).groupBy("divisor", "label").agg(F.count("*").alias("n"))
-
-
-@query
-def run_both(spark, d):
-    return api.run(I.spread(spark, d), "both").select("series_id", "classification", "confidence", "agreement", "review_flag")

@@ -381,12 +381,12 @@ def _two_tables(spark, d):
     o = I.table(spark, d, "orders")
     pick = lambda c: F.get(F.lit(list(_NAMES)), c.cast("int"))
     key = F.col("o_orderkey").cast("string").alias("series_id")
-    a = o.where(F.col("o_orderkey") % 5 != 0).select(key, pick(F.col("o_orderkey") % 7).alias("classification"), (F.col("o_orderkey") % 50 / 10).alias("log_bf"))
-    b = o.where(F.col("o_orderkey") % 3 != 0).select(key, pick(F.col("o_custkey") % 7).alias("classification"), (F.col("o_custkey") % 100 / 100).alias("confidence"))
+    a = o.where("o_orderstatus <> 'F'").select(key, pick(F.col("o_orderkey") % 7).alias("classification"), (F.col("o_orderkey") % 50 / 10).alias("log_bf"))
+    b = o.where("o_orderpriority <> '1-URGENT'").select(key, pick(F.col("o_custkey") % 7).alias("classification"), (F.col("o_custkey") % 100 / 100).alias("confidence"))
     return a, b
 
 
-@query(f"WITH a AS (SELECT o_orderkey, {_pick('o_orderkey % 7')} AS la, 1 / (1 + exp(-(o_orderkey % 50) / 10.0)) AS ca FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey, {_pick('o_custkey % 7')} AS lb, (o_custkey % 100) / 100.0 AS cb FROM orders WHERE o_orderkey % 3 <> 0), v AS (SELECT CAST(coalesce(a.o_orderkey, b.o_orderkey) AS VARCHAR) AS series_id, la, lb, ca, cb FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey), w AS (SELECT *, {_canon('la')} AS a, {_canon('lb')} AS b FROM v) SELECT series_id, {_ladder(1)} AS consensus_classification, {_ladder(3, lambda x: 'TRUE' if x else 'FALSE')} AS agreement FROM w")
+@query(f"WITH a AS (SELECT o_orderkey, {_pick('o_orderkey % 7')} AS la, 1 / (1 + exp(-(o_orderkey % 50) / 10.0)) AS ca FROM orders WHERE o_orderstatus <> 'F'), b AS (SELECT o_orderkey, {_pick('o_custkey % 7')} AS lb, (o_custkey % 100) / 100.0 AS cb FROM orders WHERE o_orderpriority <> '1-URGENT'), v AS (SELECT CAST(coalesce(a.o_orderkey, b.o_orderkey) AS VARCHAR) AS series_id, la, lb, ca, cb FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey), w AS (SELECT *, {_canon('la')} AS a, {_canon('lb')} AS b FROM v) SELECT series_id, {_ladder(1)} AS consensus_classification, {_ladder(3, lambda x: 'TRUE' if x else 'FALSE')} AS agreement FROM w")
 def integrate_results(spark, d):
     return ensemble.integrate(*_two_tables(spark, d)).select("series_id", "consensus_classification", "agreement")
 
@@ -423,10 +423,10 @@ def prescreened(spark, d):
     return relational.screened(o, F.col("o_totalprice") > 100000, lambda x: x.withColumn("classification", F.lit("screened_in"))).select("o_orderkey", "classification")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.n AS n_orders, b.acct FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT c_custkey AS k, " + I.q6("c_acctbal", "acct") + " FROM customer WHERE c_custkey % 2 = 0) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS n_orders, b.acct FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT c_custkey AS k, " + I.q6("c_acctbal", "acct") + " FROM customer WHERE c_acctbal > 0) b ON a.k = b.k")
 def full_join(spark, d):
     a = I.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n_orders"))
-    b = I.table(spark, d, "customer").where(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").alias("k"), I.r6(F.col("c_acctbal"), "acct"))
+    b = I.table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), I.r6(F.col("c_acctbal"), "acct"))
     return a.join(b, "k", "full")
 
 
@@ -442,10 +442,10 @@ def semi_join(spark, d):
     return I.table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("WITH m AS (SELECT n_name, 'circadian' AS c, 1 AS r FROM nation WHERE n_regionkey < 3 UNION ALL SELECT n_name, 'known_12h', 0 FROM nation WHERE n_nationkey % 2 = 0), b AS (SELECT upper(n_name) AS s, arg_min(c, r) AS truth FROM m GROUP BY 1) SELECT n_nationkey, truth FROM nation LEFT JOIN b ON upper(n_name) = s")
+@query("WITH m AS (SELECT n_name, 'circadian' AS c, 1 AS r FROM nation WHERE n_regionkey < 3 UNION ALL SELECT n_name, 'known_12h', 0 FROM nation WHERE n_name > 'I'), b AS (SELECT upper(n_name) AS s, arg_min(c, r) AS truth FROM m GROUP BY 1) SELECT n_nationkey, truth FROM nation LEFT JOIN b ON upper(n_name) = s")
 def ground_truth(spark, d):
     n = I.table(spark, d, "nation")
-    lists = n.where("n_regionkey < 3").select(F.lower("n_name").alias("symbol"), F.lit("circadian").alias("category")).unionByName(n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("symbol"), F.lit("known_12h").alias("category")))
+    lists = n.where("n_regionkey < 3").select(F.lower("n_name").alias("symbol"), F.lit("circadian").alias("category")).unionByName(n.where("n_name > 'I'").select(F.col("n_name").alias("symbol"), F.lit("known_12h").alias("category")))
     return relational.truth_of(n.withColumnRenamed("n_name", "symbol"), lists).select("n_nationkey", "truth")
 
 
@@ -527,11 +527,11 @@ def knockout_table(spark, d):
     return relational.knockout_table(a, b).select("series_id", "circadian_disrupted", "persists_12h")
 
 
-@query("WITH t AS (SELECT l_returnflag AS tissue, l_partkey AS symbol, CASE WHEN l_suppkey % 4 = 0 THEN 'harmonic' ELSE 'circadian_only' END AS classification FROM lineitem), c AS (SELECT symbol FROM t WHERE classification = 'harmonic' GROUP BY 1 HAVING count(DISTINCT tissue) >= 3) SELECT tissue, count(*) AS n, count_if(classification = 'harmonic') AS n_12h, count_if(symbol IN (SELECT symbol FROM c)) AS n_conserved, count_if(symbol % 10 = 0) AS n_marked FROM t GROUP BY 1")
+@query("WITH t AS (SELECT l_returnflag AS tissue, l_partkey AS symbol, CASE WHEN l_suppkey % 4 = 0 THEN 'harmonic' ELSE 'circadian_only' END AS classification FROM lineitem), c AS (SELECT symbol FROM t WHERE classification = 'harmonic' GROUP BY 1 HAVING count(DISTINCT tissue) >= 3) SELECT tissue, count(*) AS n, count_if(classification = 'harmonic') AS n_12h, count_if(symbol IN (SELECT symbol FROM c)) AS n_conserved, count_if(symbol IN (SELECT p_partkey FROM part WHERE p_size < 10)) AS n_marked FROM t GROUP BY 1")
 def tissue_atlas(spark, d):
     li = I.table(spark, d, "lineitem").select("l_returnflag", F.col("l_partkey").alias("symbol"), F.when(F.col("l_suppkey") % 4 == 0, "harmonic").otherwise("circadian_only").alias("classification"))
     tables = {x: li.where(F.col("l_returnflag") == x).drop("l_returnflag") for x in ("A", "N", "R")}
-    marks = I.table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("symbol"))
+    marks = I.table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("symbol"))
     return relational.atlas(tables, marks).groupBy("tissue").agg(F.count("*").alias("n"), F.count_if("is_12h").alias("n_12h"), F.count_if("is_conserved").alias("n_conserved"), F.count_if("is_marked").alias("n_marked"))
 
 

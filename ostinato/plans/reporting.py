@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classify, detect, ensemble, evidence, reports
-from ..sources import readers, simulate
+from ..sources import readers
 from . import inputs as I
 
 Q: dict = {}
@@ -202,13 +202,3 @@ def knockout_validation(spark, d):
 @query()
 def mean_intervals(spark, d):
     return reports.mean_intervals(I.table(spark, d, "customer"), F.col("c_acctbal"), ["c_mktsegment"])
-
-
-@query()
-def simulated_tiers(spark, d):
-    """Both tiers of the two-stage classifier on simulated scenarios."""
-    s = simulate.scenarios(spark, 3, 48, 1.0)
-    c = classify.two_stage(s.select("series_id", "t", "y")).select("series_id", "classification", F.abs("confidence").alias("confidence"), "passed")
-    j = s.select("series_id", "scenario", F.col("has_independent_12h").alias("independent"), F.col("has_harmonic_12h").alias("harmonic")).join(c, "series_id").withColumn("method", F.lit("two_stage"))
-    one = reports.tier_one(j.withColumns({"truth": F.col("independent") | F.col("harmonic"), "positive": F.coalesce("passed", F.lit(False))})).withColumn("tier", F.lit("detection"))
-    return one.unionByName(reports.tier_two(j).drop("roc_auc").withColumn("tier", F.lit("disentangling")))
