@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,21 +89,23 @@ def nonparametric(df: DataFrame, f_test: str | None = None) -> DataFrame:
 def bh_fdr(df: DataFrame, p: str, name: str, within: list[str] | None = None, buckets: int = ranks.BUCKETS) -> DataFrame:
     """Adds Benjamini and Hochberg's adjusted p-values; null and NaN stay null and don't count.
 
-    Equal values are counted first, ranges of values are cut at approximate quantiles of the counts, and each range (of each group) is
-    scanned on its own with the totals of the ranges below and the least of those above: no task holds all rows. Equal p-values
-    get equal results. The input is kept while it is read twice.
+    Equal values are counted first, ranges of values are cut at points that sketches of each group give, and each range is scanned on its own with
+    the totals of the ranges below and the least of those above: no task holds all rows. Equal p-values get equal results. The rows are
+    shuffled once, and both they and the values to adjust are read from that shuffle.
     """
     keys = within or []
     ok = F.col(p).isNotNull() & ~F.isnan(p)
-    df = df.withColumn("_p", F.when(ok, F.col(p))).persist(StorageLevel.MEMORY_AND_DISK)
-    return df.join(_adjusted(df, "_p", name, keys, buckets), [*keys, "_p"], "left").drop("_p")
+    df = df.withColumn("_p", F.when(ok, F.col(p)))
+    shared = df.repartition(*[F.col(c) for c in keys], "_p") if keys else df.repartition("_p")
+    return ranks.meet(shared, _adjusted(shared, "_p", name, keys, buckets), [*keys, "_p"], name, how="left").drop("_p")
 
 
 def _adjusted(df: DataFrame, p: str, name: str, keys: list[str], buckets: int = ranks.BUCKETS) -> DataFrame:
     """keys and _p, each distinct p-value, to its adjusted value."""
-    ok = F.col(p).isNotNull() & ~F.isnan(p)
-    counts = df.where(ok).groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
-    r = ranks.running(counts, "_p", {"_r": F.col("_c")}, keys, buckets).withColumn("_q", F.col("_p") * F.col("_r_all") / (F.col("_r") + F.col("_c")))
+    # the largest hash of whole rows makes this read what the rows themselves are read from; a condition on counts isn't moved below the shuffle
+    counts = df.groupBy(*keys, F.col(p).alias("_p")).agg(F.count_if(F.col(p).isNotNull() & ~F.isnan(p)).alias("_c"), F.max(F.xxhash64(*df.columns)).alias("_h"))
+    counts = counts.where((F.col("_c") > 0) & F.col("_h").isNotNull()).drop("_h")
+    r = ranks.running(counts, "_p", {"_r": F.col("_c")}, keys, buckets, keep=True).withColumn("_q", F.col("_p") * F.col("_r_all") / (F.col("_r") + F.col("_c")))
     return ranks.least_above(r, "_p", "_q", keys, buckets).select(*keys, "_p", F.least(F.lit(1.0), "_least").alias(name))
 
 
@@ -280,11 +281,14 @@ def detect(df: DataFrame, t: np.ndarray, periods: list[float], alpha: float = 0.
     df = _partial(df, t, periods, {i: f"p_{n}" for i, n in enumerate(names)})
     c = F.col("_full.components")
     new = {"mesor": F.col("_full.mesor")} | {f"{k}_{n}": c[i][x] for i, n in enumerate(names) for k, x in (("A", "amplitude"), ("phi", "phase"))}
-    base = out = df.withColumns(new).drop("_full", "t", "y").persist(StorageLevel.MEMORY_AND_DISK)  # a few numbers a series, read for each period
-    for n in names:  # all from one base, so that the plan grows by a term for each period
-        adjusted = _adjusted(base.select(f"p_{n}"), f"p_{n}", f"fdr_{n}", []).withColumnRenamed("_p", f"p_{n}")
-        out = out.join(adjusted, f"p_{n}", "left").withColumn(f"sig_{n}", F.col(f"fdr_{n}") < alpha)
-    return out
+    base = df.withColumns(new).drop("_full", "t", "y")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"p_{n}").alias("p")) for n in names]))
+    long = base.withColumn("_row", F.monotonically_increasing_id()).withColumn("_x", each).withColumns({"_k": F.col("_x.k"), "_p": F.col("_x.p")}).drop("_x")
+    adjusted = _adjusted(long.select("_k", "_p"), "_p", "_q", ["_k"])
+    met = ranks.meet(long, adjusted, ["_k", "_p"], "_q", how="left")
+    fdr = [F.max(F.when(F.col("_k") == n, F.col("_q"))).alias(f"fdr_{n}") for n in names]
+    out = met.groupBy("_row").agg(*[F.first(c).alias(c) for c in base.columns], *fdr).drop("_row")
+    return out.withColumns({f"sig_{n}": F.col(f"fdr_{n}") < alpha for n in names})
 
 
 def has_12h(p: Column, period: Column, alpha: float = 0.05) -> Column:

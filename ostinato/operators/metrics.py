@@ -53,7 +53,9 @@ def parameter_errors(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     columns period, amplitude, phase and the same with true_."""
     amp = F.abs(F.col("amplitude") - F.col("true_amplitude")) / F.when(F.col("true_amplitude") == 0, 1.0).otherwise(F.abs("true_amplitude"))
     err = {"period": F.abs(F.col("period") - F.col("true_period")), "amplitude": amp, "phase": F.abs(S.angle_between(F.col("phase"), F.col("true_phase")))}
-    return df.groupBy(*(keys or [])).agg(F.count("*").alias("n"), *[f(e).alias(f"{k}_{n}") for k, e in err.items() for n, f in (("mean", F.avg), ("median", lambda x: F.percentile(x, 0.5)), ("sd", F.stddev_pop))])
+    g = df.groupBy(*(keys or [])).agg(F.count("*").alias("n"), *[f(e).alias(f"{k}_{n}") for k, e in err.items() for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    g = ranks.meet(g, ranks.percentiles(df, {f"{k}_median": (e, 0.5) for k, e in err.items()}, keys), keys or [], *[f"{k}_median" for k in err], how="left")
+    return g.select(*(keys or []), "n", *[f"{k}_{n}" for k in err for n in ("mean", "median", "sd")])
 
 
 def roc_points(df: DataFrame, score: Column, truth: Column, keys: list[str] | None = None) -> DataFrame:
@@ -201,7 +203,9 @@ def markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
 def latency(df: DataFrame, ms: Column, keys: list[str]) -> DataFrame:
     """Mean, median, spread, 95th percentile and number of the positive latencies."""
     ok = F.when(ms > 0, ms)
-    return df.groupBy(*keys).agg(F.avg(ok).alias("mean_ms"), F.percentile(ok, 0.5).alias("median_ms"), F.stddev_pop(ok).alias("sd_ms"), F.percentile(ok, 0.95).alias("p95_ms"), F.count(ok).alias("n"))
+    g = df.groupBy(*keys).agg(F.avg(ok).alias("mean_ms"), F.stddev_pop(ok).alias("sd_ms"), F.count(ok).alias("n"))
+    g = ranks.meet(g, ranks.percentiles(df, {"median_ms": (ok, 0.5), "p95_ms": (ok, 0.95)}, keys), keys, "median_ms", "p95_ms", how="left")
+    return g.select(*keys, "mean_ms", "median_ms", "sd_ms", "p95_ms", "n")
 
 
 def recovery(df: DataFrame, keys: list[str], detected: Column) -> DataFrame:

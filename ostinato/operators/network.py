@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from . import population
+from . import population, ranks
 
 FEATURES = ("A_12", "A_24", "amp_ratio", "cos_12", "sin_12", "cos_24", "sin_24", "log_bf")
 INDEPENDENT = ("independent_ultradian", "likely_independent_ultradian")
@@ -28,7 +28,7 @@ def features(df: DataFrame) -> DataFrame:
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """Nulls and NaN replaced by the exact median of their column; 0 where a column has no value."""
     clean = df.select(*[c for c in df.columns if c not in cols], *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
-    med = clean.agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in cols])  # one row
+    med = ranks.percentiles(clean, {f"_m_{c}": (F.col(c), 0.5) for c in cols})  # one row
     return clean.join(F.broadcast(med), F.lit(True)).select(*[c for c in df.columns if c not in cols], *[F.coalesce(c, f"_m_{c}", F.lit(0.0)).alias(c) for c in cols])
 
 
@@ -388,7 +388,7 @@ def shrink(df: DataFrame, hyper: DataFrame, strength: float = 1.0) -> DataFrame:
     hyperparameters, or without finite amplitudes, stay as they are.
     """
     own = F.when(F.col("T_12_deviation") > 0, F.col("T_12_deviation"))
-    mid = df.agg(F.percentile(own, 0.5)).scalar()
+    mid = ranks.percentile(df, own, 0.5).scalar()
     h = hyper.select("module_id", *[c for c in hyper.columns if c.startswith(("mu_", "sigma_", "kappa_"))])
     j = df.join(h, "module_id", "left").withColumn("_sg", F.coalesce(own, mid, F.lit(1.0)))
     on = F.col("mu_A_12").isNotNull() & F.col("A_12").isNotNull() & F.col("A_24").isNotNull()

@@ -141,8 +141,11 @@ def damping_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """Of rows with gamma and period: medians, mean, spread, half-life and quality factor, share of underdamped oscillators."""
     half = F.when(F.col("gamma") > 0, math.log(2) / F.col("gamma"))
     q = (2 * math.pi / F.col("period")) / (2 * F.col("gamma") + 1e-10)
-    med = lambda c: F.percentile(c, 0.5)
-    return df.groupBy(*keys).agg(med(F.col("period")).alias("median_period"), med(F.col("gamma")).alias("median_gamma"), F.avg("gamma").alias("mean_gamma"), F.stddev_pop("gamma").alias("sd_gamma"), F.coalesce(med(half), F.lit(float("inf"))).alias("median_half_life"), med(q).alias("median_q"), F.avg((q > 0.5).cast("double")).alias("share_underdamped"))
+    g = df.groupBy(*keys).agg(F.avg("gamma").alias("mean_gamma"), F.stddev_pop("gamma").alias("sd_gamma"), F.avg((q > 0.5).cast("double")).alias("share_underdamped"))
+    med = ranks.percentiles(df, {k: (c, 0.5) for k, c in (("median_period", F.col("period")), ("median_gamma", F.col("gamma")), ("median_half_life", half), ("median_q", q))}, keys)
+    names = ["median_period", "median_gamma", "median_half_life", "median_q"]
+    g = ranks.meet(g, med, keys, *names, how="left")
+    return g.select(*keys, "median_period", "median_gamma", "mean_gamma", "sd_gamma", F.coalesce("median_half_life", F.lit(float("inf"))).alias("median_half_life"), "median_q", "share_underdamped")
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:

@@ -1,53 +1,67 @@
 """Running sums and quantiles in the order of a value, without a task that holds all values of a group.
 
-Values are counted first; the counts are cut in ranges at approximate quantiles of the values, every range of every group is
-scanned on its own, and starts from the totals of the ranges below.
+Values are counted first. Mergeable sketches of each group's values, part of the same plan, give the points at which the counts are cut in ranges; every
+range of every group is scanned on its own, and starts from the totals of the ranges below. Nothing runs or is kept before the result is asked for.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the values are cut in.
-BUCKETS = 64
+#: Ranges that the values of a group are cut in, and the accuracy of the sketch that cuts them.
+BUCKETS, ACCURACY = 64, 1000
 
 
-def cut(counts: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
-    """The counts with a range number _b, rising with the value; kept, as they are read again. Null values are in the first range."""
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-    finite = counts.where(F.abs(F.col(value)) < float("inf"))
-    cuts = sorted(set(finite.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.005))) if buckets > 1 else []
-    return counts.withColumn("_b", F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(value))))
+def meet(left: DataFrame, right: DataFrame, keys: list[str], *cols: str, how: str = "inner") -> DataFrame:
+    """left with columns of right, whose keys are unique; null keys meet. Without keys right is one row."""
+    if not keys:
+        return left.join(F.broadcast(right.select(*cols)), F.lit(True))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return left.alias("l").join(right.alias("r"), on, how).select("l.*", *[F.col(f"r.{c}") for c in cols])
 
 
-def running(counts: DataFrame, value: str, sums: dict[str, Column], keys: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def cut(counts: DataFrame, value: str, keys: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The counts with a range number _b, rising with the value within a group. Null values are in the first range.
+
+    The sketch reads all columns of the counts, so that it shares their shuffle with those who read the ranges.
+    """
+    v = F.col(value).cast("double")
+    points = F.approx_percentile(F.when(F.abs(v) < float("inf"), v), F.lit([i / buckets for i in range(1, buckets)] or [0.0]), F.lit(ACCURACY))
+    cuts = counts.groupBy(*(keys or [])).agg(points.alias("_cuts"), F.max(F.xxhash64(*counts.columns)).alias("_read"))
+    below = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < v)) if buckets > 1 else F.lit(0)
+    number = F.when(F.col("_read").isNotNull() & F.col("_cuts").isNotNull(), below).otherwise(0)
+    return meet(counts, cuts, keys or [], "_cuts", "_read").withColumn("_b", number).drop("_cuts", "_read")
+
+
+def running(counts: DataFrame, value: str, sums: dict[str, Column], keys: list[str] | None = None, buckets: int = BUCKETS, keep: bool = False) -> DataFrame:
     """Rows of one value of a group each, with the sums of some columns over the group's rows of smaller values, and over all its rows
-    as ``{name}_all``; 0 at the least value."""
+    as ``{name}_all``; 0 at the least value. ``keep``: with the range, _b."""
     keys = keys or []
-    counts = cut(counts, value, buckets)
+    cols = counts.columns
+    counts = cut(counts, value, keys, buckets)
     within = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     total = counts.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])  # a row for each range of a group
     below, whole = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     zero = lambda c: F.coalesce(c, F.lit(0))
     total = total.select(*keys, "_b", *[zero(F.sum(f"_t_{n}").over(below)).alias(f"_u_{n}") for n in sums], *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_all") for n in sums])
     scanned = counts.select("*", *[zero(F.sum(c).over(within)).alias(f"_w_{n}") for n, c in sums.items()])
-    out = scanned.join(total, [*keys, "_b"])
-    return out.select(*counts.columns[:-1], *[(F.col(f"_u_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums], *[f"{n}_all" for n in sums])
+    out = meet(scanned, total, [*keys, "_b"], *[f"_u_{n}" for n in sums], *[f"{n}_all" for n in sums])
+    return out.select(*cols, *(["_b"] if keep else []), *[(F.col(f"_u_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums], *[f"{n}_all" for n in sums])
 
 
 def least_above(rows: DataFrame, value: str, measure: str, keys: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Rows of one value of a group each, with the least of a measure over the group's rows of this value or a larger one, _least."""
+    """Rows of one value of a group each, with the least of a measure over the group's rows of this value or a larger one, _least.
+    Rows that have their range, _b, aren't cut again."""
     keys = keys or []
-    rows = cut(rows, value, buckets)
+    rows = rows if "_b" in rows.columns else cut(rows, value, keys, buckets)
     within = Window.partitionBy(*keys, "_b").orderBy(F.desc(value))
     above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     total = rows.groupBy(*keys, "_b").agg(F.min(measure).alias("_m")).select(*keys, "_b", F.min("_m").over(above).alias("_above"))
-    return rows.withColumn("_w", F.min(measure).over(within)).join(total, [*keys, "_b"]).withColumn("_least", F.least("_w", "_above")).drop("_b", "_w", "_above")
+    return meet(rows.withColumn("_w", F.min(measure).over(within)), total, [*keys, "_b"], "_above").withColumn("_least", F.least("_w", "_above")).drop("_b", "_w", "_above")
 
 
-def quantile(below: str, count: Column, total: Column, value: str, q: float) -> Column:
+def quantile(below: str, count: Column, total: Column, value: str, q: float | Column) -> Column:
     """Over a group of rows of ``running``: the value at a share of the way through, between two values in proportion. An aggregate."""
     at = (total - 1) * q
     lo, hi = F.floor(at), F.ceil(at)
@@ -64,3 +78,19 @@ def percentile(df: DataFrame, value: Column, q: float, keys: list[str] | None =
     r = running(counts, "_v", {"_n": F.col("_c")}, keys)
     return r.groupBy(*keys).agg(quantile("_n", F.col("_c"), F.col("_n_all"), "_v", q).alias("percentile"))
 
+
+def percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], keys: list[str] | None = None) -> DataFrame:
+    """Keys (or one row) and a column for each (value, share) of ``wanted``: exact percentiles, null and NaN left out; all from one scan.
+
+    Groups without a value of any of them have no row.
+    """
+    keys = keys or []
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("double").alias("v")) for k, (v, _) in wanted.items()]))
+    long = df.select(*keys, each.alias("_x")).select(*keys, F.col("_x.k").alias("_k"), F.col("_x.v").alias("_v"))
+    counts = long.where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_k", "_v").agg(F.count("*").alias("_c"))
+    r = running(counts, "_v", {"_n": F.col("_c")}, [*keys, "_k"])
+    share = F.lit(0.0)
+    for k, (_, q) in wanted.items():
+        share = F.when(F.col("_k") == k, float(q)).otherwise(share)
+    found = r.withColumn("_q", share).groupBy(*keys, "_k").agg(quantile("_n", F.col("_c"), F.col("_n_all"), "_v", F.col("_q")).alias("_p"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, F.col("_p"))).alias(k) for k in wanted])
