@@ -88,16 +88,26 @@ def _damped(x: Column) -> Column:
 EVIDENCE = ("phase_freedom", "period_deviation", "amplitude_ratio", "residual_improvement", "vmd_hilbert", "bispectral", "phase_coupling", "bootstrap_lrt", "waveform_asymmetry", "harmonic_coherence", "h24_dominance", "waveform_fit")
 
 
+def _inputs(c: Config) -> dict[str, Column]:
+    """What several lines read, from the fits alone: columns of their own before the modes are found, so that no line repeats another's terms."""
+    ratio = evidence.amplitude_ratio()
+    return {"amp_ratio": ratio, "rel_dev": evidence.period_deviation(c.base), "r2_m0": evidence.harmonic_r2(), "_gain": evidence.residual_improvement(), "_coupling": evidence.phase_coupling(c.base), "_coherence": evidence.harmonic_coherence(), "_asymmetry": F.when(ratio < c.asymmetry_gate, evidence.waveform_asymmetry()).otherwise(0.0)}
+
+
+def _none_above_0(x: Column, where: Column) -> Column:
+    """x, or 0 where the condition holds and it is above 0."""
+    return F.least(x, F.when(where, 0.0).otherwise(float("inf")))
+
+
 def _evidence(c: Config) -> dict[str, Column]:
-    """The twelve lines, from the columns of the first stage, the fits and the simulations."""
+    """The twelve lines, from the columns of the first stage, the fits, their inputs and the simulations."""
     ratio, dev, r2k4, r2 = F.col("amp_ratio"), F.col("rel_dev"), F.col("r2_tied4"), F.col("r2_m0")
     e: dict[str, Column] = {}
     e["phase_freedom"] = F.when(F.col("p_gate_b").isNull(), 0.0).otherwise(ladder(F.col("p_gate_b"), (">", 0.5, -2.5), (">", 0.3, -1.5), (">", 0.1, -0.5)))
     e["period_deviation"] = F.when(dev > 0.05, 1.0).when((dev > 0.02) & (r2k4 < 0.85), 0.5).otherwise(0.0)
     e["amplitude_ratio"] = F.when(ratio > 0.8, F.when(r2k4 > 0.6, 0.0).otherwise(3.0)).when(ratio > 0.5, F.when(r2k4 > 0.7, 0.0).otherwise(1.0)).otherwise(ladder(ratio, ("<", 0.25, -2), ("<", 0.4, -1)))
-    e["residual_improvement"] = _damped(evidence.residual_improvement())
-    s = evidence.vmd_hilbert_score(F.col("vh"))
-    s = F.when(s >= 2, 2.0).otherwise(s)
+    e["residual_improvement"] = _damped(F.col("_gain"))
+    s = F.least(F.col("vh_score"), F.lit(2.0))
     modes = F.col("vh.amp_half") / F.greatest(F.col("vh.amp_base"), F.lit(1e-10))
     gate = F.when(F.col("detection_strength") > 2, c.vmd_gate_strong).otherwise(c.vmd_gate)
     fade = F.greatest(F.lit(0.0), 1 - (r2k4 - 0.5) / 0.3)
@@ -107,21 +117,21 @@ def _evidence(c: Config) -> dict[str, Column]:
     b = ladder(F.col("bic_value"), (">", 0.7, -2), (">", 0.5, -1), ("<", 0.3, 1))
     b = F.when((F.col("waveform_hint") == "non_sinusoidal") & (b < 0), b * c.bispectral_nonsin).otherwise(b)
     e["bispectral"] = F.when(long & F.col("bic_value").isNotNull(), F.when(F.col("n") < 96, b * 0.5).otherwise(b)).otherwise(0.0)
-    e["phase_coupling"] = evidence.phase_coupling(c.base)
+    e["phase_coupling"] = F.col("_coupling")
     e["bootstrap_lrt"] = F.when(F.col("p_lrt").isNull(), 0.0).otherwise(_damped(ladder(F.col("p_lrt"), ("<", 0.01, 2), ("<", 0.05, 1), (">", 0.5, -1))))
-    e["waveform_asymmetry"] = F.when(ratio < c.asymmetry_gate, evidence.waveform_asymmetry()).otherwise(0.0)
+    e["waveform_asymmetry"] = F.col("_asymmetry")
     # a skewed waveform explains a deviating period
     explained = (e["waveform_asymmetry"] < 0) & (r2 > c.r2_discount)
-    e["period_deviation"] = F.when(explained & (e["period_deviation"] > 0), 0.0).otherwise(e["period_deviation"])
-    e["harmonic_coherence"] = evidence.harmonic_coherence()
+    e["period_deviation"] = _none_above_0(e["period_deviation"], explained)
+    e["harmonic_coherence"] = F.col("_coherence")
     coherent = e["harmonic_coherence"] <= -1
     for k in ("vmd_hilbert", "bootstrap_lrt", "period_deviation", "residual_improvement", "amplitude_ratio"):
-        e[k] = F.when(coherent & (e[k] > 0), 0.0).otherwise(e[k])
+        e[k] = _none_above_0(e[k], coherent)
     fall = F.when(ratio <= 0.2, c.dominance).when(ratio < 0.5, c.dominance * (0.5 - ratio) / 0.3).otherwise(0.0)
     e["h24_dominance"] = F.when((F.col("p_24") < c.dominance_p) & (r2 > c.dominance_r2), fall).otherwise(0.0)
     floor = F.sqrt(2 * F.col("rss_base") / F.col("n") / F.col("n"))
     w = F.when(F.col("amp_base_alone") < 2 * floor, 1.0).otherwise(ladder(F.col("p_tied_12"), ("<", 0.01, 2), ("<", 0.05, 1), (">", 0.5, -3), (">", 0.3, -1.5)))
-    e["waveform_fit"] = F.when(coherent & (w > 0), 0.0).otherwise(w)
+    e["waveform_fit"] = _none_above_0(w, coherent)
     return e
 
 
@@ -151,16 +161,16 @@ def two_stage(df: DataFrame, config: Config | None = None, partitions: int | Non
     rest = first.where((F.col("stage1_class") == "has_12h") & F.col("error").isNull())
     rest = per_series.spread(rest, partitions)
     m = evidence.models(rest, c.base, c.k)
-    m = per_series.apply(m, _stage2_modes(c.base), f"vh {evidence.VMD_HILBERT}, bic_value double").withColumn("vh", evidence.coupled(F.col("vh")))
-    m = m.withColumn("amp_ratio", evidence.amplitude_ratio()).withColumn("rel_dev", evidence.period_deviation(c.base)).withColumn("r2_m0", evidence.harmonic_r2())
-    m = m.withColumn("simulate", (F.col("rel_dev") > 0.01) | F.coalesce(F.col("p_gate_b").between(0.05, 0.2), F.lit(False)))
+    m = per_series.apply(m.withColumns(_inputs(c)), _stage2_modes(c.base), f"vh {evidence.VMD_HILBERT}, bic_value double").withColumn("vh", evidence.coupled(F.col("vh")))
+    m = m.withColumn("vh_score", evidence.vmd_hilbert_score(F.col("vh"))).withColumn("simulate", (F.col("rel_dev") > 0.01) | F.coalesce(F.col("p_gate_b").between(0.05, 0.2), F.lit(False)))
     three = [c.base, c.base / 2, c.base / 3]
     # the flag travels with the series, so that one pass serves both kinds
     m = m.withColumn("_y", F.col("y")).withColumn("y", F.when(F.col("simulate"), F.col("y")))
     m = per_series.apply(m.withColumnRenamed("error", "_error"), lambda t, y, s: {"p_lrt": K.bootstrap_lrt(t, y, c.base, c.k, three, c.n_bootstrap, s)[1]}, "p_lrt double")
     lines = _evidence(c)
-    m = m.withColumn("evidence", F.struct(*[lines[k].cast("double").alias(k) for k in EVIDENCE]))
-    m = m.withColumn("evidence_score", sum((F.col(f"evidence.{k}") for k in EVIDENCE), F.lit(0.0))).withColumn("confidence", F.tanh(F.col("evidence_score") / c.divisor))
+    m = m.select(*keep, F.struct(*[lines[k].cast("double").alias(k) for k in EVIDENCE]).alias("evidence"))
+    m = m.withColumn("evidence_score", F.aggregate(F.array(*[F.col(f"evidence.{k}") for k in EVIDENCE]), F.lit(0.0), lambda s, x: s + x))
+    m = m.withColumn("confidence", F.tanh(F.col("evidence_score") / c.divisor))
     conf = F.col("confidence")
     label = F.when(conf >= c.independent, "independent_ultradian").when(conf >= c.likely, "likely_independent_ultradian").when(conf <= c.likely_harmonic, "harmonic").otherwise("ambiguous")
     done = m.select(*keep, "evidence", "evidence_score", "confidence", label.alias("classification"), F.lit(None).cast("string").alias("error"))
