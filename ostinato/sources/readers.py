@@ -73,7 +73,7 @@ def first_symbol(symbols: Column) -> Column:
 def series_matrix(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], DataFrame]:
     """A series-matrix text: the values of its !Sample_ lines, and the table as probe and samples.
 
-    The header, a line for each attribute, is read on the driver; the table in parallel.
+    The header, a line for each attribute, is read on the driver; the table in parallel. ``sheets`` has both as data sources.
     """
     text = spark.read.text(path)
     unquote = lambda s: s.strip().strip('"')
@@ -112,12 +112,17 @@ def array_study(table: DataFrame, titles: dict[str, str], annotation: DataFrame,
     return relational.expressed(rows, least, floor_percentile)
 
 
-def condition_pair(first: DataFrame, second: DataFrame, pattern: str = r"CT(\d+)_([A-Z])", name: str = "gene", floor_percentile: float = 0.1) -> DataFrame:
+#: Columns of hours and replicates, normalised and raw.
+NORMALISED, RAW = r"CT(\d+)_([A-Z])\.normalized", r"CT(\d+)_([A-Z])\.raw"
+
+
+def condition_pair(first: DataFrame, second: DataFrame, pattern: str = r"CT(\d+)_([A-Z])", name: str = "gene", floor_percentile: float = 0.1, second_pattern: str | None = None) -> DataFrame:
     """Series that both tables have: series_id, t and y of each condition (columns named by hour and replicate), averaged over replicates,
-    without those of low mean over both. Each condition keeps its own times."""
+    without those of low mean over both. Each condition keeps its own times. Patterns say which columns count, of each table its own where they differ:
+    NORMALISED and RAW are the two kinds of columns that such tables have side by side."""
     import re
 
-    def one(df: DataFrame, tag: str) -> DataFrame:
+    def one(df: DataFrame, tag: str, pattern: str) -> DataFrame:
         by_hour: dict[float, list[str]] = {}
         for c in df.columns:
             if m := re.search(pattern, c):
@@ -126,7 +131,7 @@ def condition_pair(first: DataFrame, second: DataFrame, pattern: str = r"CT(\d+)
         y = F.array(*[sum((F.col(f"`{c}`").cast("double") for c in by_hour[t]), F.lit(0.0)) / len(by_hour[t]) for t in times])
         return df.select(F.col(name).alias("series_id"), F.lit(times).alias(f"t_{tag}"), y.alias(f"y_{tag}"))
 
-    j = one(first, "wt").join(one(second, "ko"), "series_id")
+    j = one(first, "wt", pattern).join(one(second, "ko", second_pattern or pattern), "series_id")
     m = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c)
     j = j.withColumn("_mean", (m("y_wt") + m("y_ko")) / 2)
     return j.where(F.col("_mean") >= ranks.percentile(j, F.col("_mean"), floor_percentile).scalar()).drop("_mean")
@@ -153,11 +158,12 @@ def subjects(long: DataFrame, subject: str = "all", floor_percentile: float | No
     return out.join(means.where(F.col("m") >= low).select("series_id"), "series_id", "left_semi")
 
 
-def workbook(spark: SparkSession, path: str) -> DataFrame:
-    """A sheet of a workbook, read on the driver: it has to fit there, and needs a reader of that format installed."""
-    import pandas as pd
+def workbook(spark: SparkSession, path: str, sheet: str = "1") -> DataFrame:
+    """A sheet of a workbook, streamed by tasks; see ``sheets``."""
+    from . import sheets
 
-    return spark.createDataFrame(pd.read_excel(path))
+    sheets.register(spark)
+    return spark.read.format("sheet").option("sheet", sheet).load(path)
 
 
 # --- caches, sinks, registry -----------------------------------------------------------------------------------------
