@@ -1,4 +1,4 @@
-"""Command line: detect rhythms in a table, score the classifier on simulated series, show the version."""
+"""Command line: detect rhythms in a table, score methods on simulated series or on tables with known symbols, show the version."""
 
 from __future__ import annotations
 
@@ -19,6 +19,10 @@ def main(argv: list[str] | None = None) -> int:
     b = sub.add_parser("benchmark")
     b.add_argument("output")
     b.add_argument("--replicates", type=int, default=5)
+    r = sub.add_parser("benchmark-real")
+    r.add_argument("output")
+    r.add_argument("--lists", required=True, help="a table with the columns symbol and category (known_12h, core_circadian, housekeeping)")
+    r.add_argument("--dataset", action="append", required=True, metavar="NAME=PATH", help="a table of series by times; several are allowed")
     sub.add_parser("version")
     a = p.parse_args(argv)
     if a.command == "version":
@@ -30,6 +34,23 @@ def main(argv: list[str] | None = None) -> int:
     from .sources import readers
 
     spark = SparkSession.builder.appName("ostinato").getOrCreate()
+    if a.command == "benchmark-real":
+        from . import validation
+        from .operators import series
+
+        try:
+            pairs = [d.partition("=")[::2] for d in a.dataset]
+            data = {name: series.to_array(readers.matrix_csv(spark, path)) for name, path in pairs}
+            rows = validation.benchmark(data, readers.delimited(spark, a.lists, ["symbol", "category"], ","))
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 1
+        rows = rows.persist()  # written, and read for each summary
+        readers.write_csv(rows, f"{a.output}/rows")
+        for name, table in validation.summary(rows).items():
+            readers.write_csv(table, f"{a.output}/{name}")
+        rows.unpersist()
+        return 0
     if a.command == "detect":
         try:
             long = readers.matrix_csv(spark, a.input, [float(x) for x in a.timepoints.split(",")] if a.timepoints else None)

@@ -200,6 +200,16 @@ def markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
     return "\n".join([head, *("| " + " | ".join(show(v) for v in r) + " |" for r in df.limit(most).collect())])
 
 
+def latex(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
+    """A report table as LaTeX, of at most ``most`` rows: numbers to the right, null as a dash, special characters escaped."""
+    special = {c: "\\" + c for c in "&%$#_{}"} | {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+    text = lambda v: "".join(special.get(c, c) for c in str(v))
+    show = lambda v: "---" if v is None or v != v else f"{v:.{digits}f}" if isinstance(v, float) else text(v)
+    align = "".join("l" if f.dataType.typeName() in ("string", "boolean") else "r" for f in df.schema)
+    rows = [" & ".join(show(v) for v in r) + r" \\" for r in df.limit(most).collect()]
+    return "\n".join([rf"\begin{{tabular}}{{{align}}}", r"\toprule", " & ".join(text(c) for c in df.columns) + r" \\", r"\midrule", *rows, r"\bottomrule", r"\end{tabular}"])
+
+
 def latency(df: DataFrame, ms: Column, keys: list[str]) -> DataFrame:
     """Mean, median, spread, 95th percentile and number of the positive latencies."""
     ok = F.when(ms > 0, ms)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import validation
 from ..operators import classify, detect, ensemble, evidence, reports
 from ..sources import readers
 from . import inputs as I
@@ -202,3 +203,42 @@ def knockout_validation(spark, d):
 @query()
 def mean_intervals(spark, d):
     return reports.mean_intervals(I.table(spark, d, "customer"), F.col("c_acctbal"), ["c_mktsegment"])
+
+
+_LABELS = "CASE c_mktsegment WHEN 'BUILDING' THEN 'harmonic' WHEN 'AUTOMOBILE' THEN 'independent_ultradian' WHEN 'MACHINERY' THEN 'likely_independent_ultradian' WHEN 'FURNITURE' THEN 'circadian_only' ELSE 'non_rhythmic' END"
+_CATEGORY = "CASE WHEN o_orderpriority < '2' THEN 'known_12h' WHEN o_orderpriority < '4' THEN 'core_circadian' ELSE 'housekeeping' END"
+_FLAGS = f"SELECT o_custkey AS k, max(CASE WHEN c = 'known_12h' THEN 1 ELSE 0 END) = 1 AS kn, max(CASE WHEN c = 'core_circadian' THEN 1 ELSE 0 END) = 1 AS co, max(CASE WHEN c = 'housekeeping' THEN 1 ELSE 0 END) = 1 AS no FROM (SELECT o_custkey, {_CATEGORY} AS c FROM orders WHERE o_totalprice > 250000) GROUP BY 1"
+
+
+def _validated(spark, d):
+    """Customers as labelled symbols, and the lists that their large orders put them in."""
+    c = I.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("symbol"), F.expr(_LABELS).alias("classification"), "c_acctbal")
+    lists = I.table(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").cast("string").alias("symbol"), F.expr(_CATEGORY).alias("category"))
+    return c, lists
+
+
+@query(f"WITH x AS (SELECT {_LABELS} AS c, c_acctbal > 0 AS o, coalesce(kn, false) AS kn, coalesce(co, false) AS co, coalesce(no, false) AS no FROM customer LEFT JOIN ({_FLAGS}) f ON f.k = c_custkey), g AS (SELECT count(*) AS n, count(*) FILTER (kn) AS known_found, count(*) FILTER (kn AND (c LIKE '%ultradian' OR c = 'harmonic')) AS known_detected, count(*) FILTER (kn AND c LIKE '%ultradian') AS known_independent, count(*) FILTER (kn AND c = 'harmonic') AS known_harmonic, count(*) FILTER (co) AS core_found, count(*) FILTER (co AND c = 'circadian_only') AS core_right, count(*) FILTER (no) AS none_found, count(*) FILTER (no AND c <> 'non_rhythmic') AS none_rhythmic, count(*) FILTER (c LIKE '%ultradian' OR c = 'harmonic') AS half_period, count(*) FILTER (o AND (c LIKE '%ultradian' OR c = 'harmonic')) AS overlap FROM x) SELECT *, {I.q6('known_detected / greatest(known_found, 1)', 'known_rate')}, {I.q6('core_right / greatest(core_found, 1)', 'core_rate')}, {I.q6('none_rhythmic / greatest(none_found, 1)', 'false_rate')}, {I.q6('half_period / greatest(n, 1)', 'half_period_rate')} FROM g")
+def list_validation(spark, d):
+    c, lists = _validated(spark, d)
+    r = validation.list_report(c, lists, c.where("c_acctbal > 0").select("symbol"))
+    rates = ("known_rate", "core_rate", "false_rate", "half_period_rate")
+    return r.select(*[x for x in r.columns if x not in rates], *[I.r6(F.col(x), x) for x in rates])
+
+
+_CONDITION = lambda name, label, right: f"SELECT '{name}' AS condition, count(*) FILTER (kn) AS known_found, count(*) FILTER (co) AS core_found, {I.q6(f'count(*) FILTER (kn AND ({label} LIKE {chr(39)}%ultradian{chr(39)} OR {label} = {chr(39)}harmonic{chr(39)})) / greatest(count(*) FILTER (kn), 1)', 'detected_rate')}, {I.q6(f'count(*) FILTER (kn AND {label} LIKE {chr(39)}%ultradian{chr(39)}) / greatest(count(*) FILTER (kn), 1)', 'independent_rate')}, {I.q6(f'count(*) FILTER (kn AND {label} = {chr(39)}harmonic{chr(39)}) / greatest(count(*) FILTER (kn), 1)', 'harmonic_rate')}, {I.q6(f'count(*) FILTER (co AND {label} = {chr(39)}{right}{chr(39)}) / greatest(count(*) FILTER (co), 1)', 'core_rate')} FROM x"
+
+
+@query(f"WITH x AS (SELECT {_LABELS} AS w, CASE WHEN c_acctbal > 4500 THEN {_LABELS} ELSE 'non_rhythmic' END AS k, coalesce(kn, false) AS kn, coalesce(co, false) AS co FROM customer LEFT JOIN ({_FLAGS}) f ON f.k = c_custkey) {_CONDITION('wt', 'w', 'circadian_only')} UNION ALL {_CONDITION('ko', 'k', 'non_rhythmic')}")
+def condition_validation(spark, d):
+    c, lists = _validated(spark, d)
+    ko = c.withColumn("classification", F.when(F.col("c_acctbal") > 4500, F.col("classification")).otherwise("non_rhythmic"))
+    r = validation.condition_report(c, ko, lists)
+    return r.select("condition", "known_found", "core_found", *[I.r6(F.col(x), x) for x in ("detected_rate", "independent_rate", "harmonic_rate", "core_rate")])
+
+
+@query()
+def labelled_benchmark(spark, d):
+    """All methods on the given vectors, whose labels are the lists: scores by method."""
+    v = I.vectors_with_label(spark, d)
+    lists = v.select(F.col("series_id").alias("symbol"), F.when(F.col("label") < 4, "known_12h").when(F.col("label") < 7, "core_circadian").otherwise("housekeeping").alias("category"))
+    return validation.summary(validation.benchmark({"vectors": v.select("series_id", "t", "y")}, lists))["by_dataset"]
