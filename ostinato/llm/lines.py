@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -390,9 +390,11 @@ def _near_long(texts: DataFrame, least_edit: int, every: int, min_chars: int | N
 def _near_lines(docs: DataFrame, rows: DataFrame, distinct: DataFrame, least_edit: int, every: int | None, min_chars: int | None, scratch: Scratch) -> DataFrame:
     """(doc_id, line) of first lines that have an earlier one within the edit bound, verified."""
     keys = rows.select(F.explode("keys").alias("key"), "name")
-    of = Window.partitionBy("key")
     keys = keys.select(F.expr("key & -2").alias("key"), F.expr("key & 1").alias("own"), "name")
-    names = keys.select("name", "own", F.min("name").over(of).alias("lo"), F.max("name").over(of).alias("hi")).where("lo < hi and own = 1").select("name").distinct()
+    # keys of more than one line, from sums of fixed size; the lines of a key that many share are dealt over tasks
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi")
+    shared = scratch.save(shared.select("key", "n", F.lit(True).alias("shared")), "shared")
+    names = scratch.spread_join(keys.where("own = 1").select("key", "name"), shared, "key", F.col("name")).where("shared").select("name").distinct()
     chosen = distinct.where(F.col("n") >= (least_edit if min_chars is None else 1)).join(names, "name", "left_semi")
     chosen = scratch.save(chosen.groupBy("doc_id").agg(F.collect_list("line").alias("want")), "chosen")
     texts = docs.join(scratch.small(chosen), "doc_id").select("doc_id", "text", "want").mapInArrow(_picker, f"doc_id {_kind(docs)}, line int, text string, n int")
