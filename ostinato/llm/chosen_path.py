@@ -300,7 +300,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of their sets of ``shingle``-word shingles; a shorter text is one shingle. Texts that are null or without words link with
     nothing. Equal sets are joined by their digest and enter the trees once; every other link is confirmed on full sets.
     Rows with a null id link with nothing and keep their row, with a null component. Rows of one id are one document, which links
-    as any of its texts does: all stay, with its component. An empty table gives an empty one; other columns are not read.
+    as any of its texts does: all stay, with its component. Ids are whole numbers, also as texts; any other text is an error. An empty
+    table gives an empty one; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "chosen-path")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -230,7 +230,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     Cosines are in double precision. Vectors that are null, empty, zero or hold a null or a non-finite component link with
     nothing. Vectors of unlike lengths are compared as if the shorter ended in zeros. Equal vectors link like any others.
     Rows that repeat an id are vectors of their own, linked as such; each keeps its row with its own links. Rows with a null id
-    link with nothing and keep their row, with a null component. An empty table gives an empty one; other columns are not read.
+    link with nothing and keep their row, with a null component. Ids are whole numbers, also as texts; any other text is an error. An empty
+    table gives an empty one; other columns are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ego")

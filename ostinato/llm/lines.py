@@ -459,7 +459,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     Lines of fewer than ``min_words`` words, empty ones among them, stay. White space between words doesn't count.
     Null texts stay null and have no lines; an empty table gives an empty one. Rows with a null id keep all their lines. Rows
     equal in id and text are in one place: neither is earlier, and both are cut alike. Of rows that repeat an id with another
-    text that with the smaller digest is earlier. Columns of the new names are replaced; all others stay.
+    text that with the smaller digest is earlier. Ids are whole numbers, also as texts; any other text is an error. Columns of the new
+    names are replaced; all others stay.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_sha256")])

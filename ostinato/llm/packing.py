@@ -133,7 +133,8 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, length: in
     (document of each piece and the place of its first token in it), n_tokens (the rest is filled with end_id).
 
     Every document ends in end_id; a null or empty text is that id alone. Pieces of one document, put together by their
-    offsets, are its ids again. A null doc_id stays null; repeated rows are packed each. An empty table gives no row.
+    offsets, are its ids again. A null doc_id stays null; repeated rows are packed each; an id that isn't a whole number is an error. An
+    empty table gives no row.
     The file of ranks has to be readable on every executor.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -162,7 +162,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled rows that aren't held out, those least by a hash of their id.
 
-    Labels other than 0 and 1, null ids, and ids with labels of both kinds are left out.
+    Labels other than 0 and 1, null ids, and ids with labels of both kinds are left out. An id that isn't a whole number is an error.
     """
     own = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other")).where("label = other")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))

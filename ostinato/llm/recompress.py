@@ -273,7 +273,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     Null and empty texts have no words; an empty table gives an empty one. A document equal, as a text, to one of a smaller id
     goes whole without a comparison of its windows. Rows equal in id and text are one document: they are judged alike, and
     none repeats the other. Of rows that repeat an id with another text that with the smaller digest is earlier. Rows with a
-    null id can't be ordered: they keep all their words and their row. Names and windows are compared by 95 bits of fingerprint.
+    null id can't be ordered: they keep all their words and their row. Ids are whole numbers, also as texts; any other text is an error.
+    Names and windows are compared by 95 bits of fingerprint.
     """
     if window < max(UNITS) or window > LONG:
         raise ValueError(f"window must be from {max(UNITS)} to {LONG}")
