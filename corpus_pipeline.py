@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), writes its result to the shared folder and returns it as read again, so a lost
 executor costs tasks of one stage. Settings of the session are as they were when a stage returns. All columns of docs stay, whatever
-their names; n_chars, where there is one, is the length of the text as it is now. No stage but the first reads a doc_id as a number:
-ids may be null or repeat, as each stage says. An empty docs gives an empty result.
+their names; n_chars, where there is one, is the length of the text as it is now. The first three stages read
+doc_id as a whole number (another text is an error), the others as it is; ids may be null or repeat, as each stage says. An empty docs gives an empty result.
 """
 
 from __future__ import annotations
