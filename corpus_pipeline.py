@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.llm import chosen_path, decontaminate, lines, quality, spm
-from ostinato.llm._scratch import Scratch
+from ostinato.llm._scratch import Scratch, passing
 from ostinato.llm.queries import ACCEPT, PIECES, table, tokenizer_path
 
 #: Rows of an Arrow batch: texts pass through Python in most stages, so a batch is some megabytes.
@@ -24,11 +24,11 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("rest"))
 
 
-def _kept(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of docs again, written and read."""
+def _kept(own: Scratch, out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, written and read; what the operator wrote on the way goes then."""
     now = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     out = out.select(*[now.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
-    return Scratch(docs.sparkSession, "pipeline").save(out, "stage", ROWS_PER_BATCH)
+    return own.save(out, "stage", ROWS_PER_BATCH)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     each for itself. Without labels of both kinds the score is the share of label 1, the same for all.
     """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _kept(quality.score(_packed(docs), model, keep_text=True).where(F.col("score") >= ACCEPT), docs)
+    with passing(spark, "pipeline") as own:
+        return _kept(own, quality.score(_packed(docs), model, keep_text=True).where(F.col("score") >= ACCEPT), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts stay as they are. Rows of a null id keep all lines; rows equal in id and text are cut alike, and
     neither repeats the other; of rows that repeat an id with another text that with the smaller digest is earlier.
     """
-    out = lines.deduplicate(_packed(docs), min_words=1, edit_every=lines.EDIT_EVERY, min_chars=lines.MIN_CHARS)
-    return _kept(out.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)), docs)
+    with passing(spark, "pipeline") as own:
+        out = lines.deduplicate(_packed(docs), min_words=1, edit_every=lines.EDIT_EVERY, min_chars=lines.MIN_CHARS)
+        return _kept(own, out.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)), docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,8 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Texts that are null or without words, and rows of a null id, stay. Rows of one id are one document and stay or go together.
     """
-    return _kept(chosen_path.deduplicate(_packed(docs)), docs)
+    with passing(spark, "pipeline") as own:
+        return _kept(own, chosen_path.deduplicate(_packed(docs)), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +67,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     Null, empty and blank texts stay as they are. Ids aren't read: repeated rows are cut alike. Without items nothing is cut.
     """
-    return _kept(decontaminate.decontaminate(_packed(docs), table(spark, sf_dir, "benchmark")), docs)
+    with passing(spark, "pipeline") as own:
+        return _kept(own, decontaminate.decontaminate(_packed(docs), table(spark, sf_dir, "benchmark")), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
