@@ -96,15 +96,14 @@ def bh_fdr(df: DataFrame, p: str, name: str, within: list[str] | None = None, bu
     keys = within or []
     ok = F.col(p).isNotNull() & ~F.isnan(p)
     df = df.withColumn("_p", F.when(ok, F.col(p)))
-    shared = df.repartition(*[F.col(c) for c in keys], "_p") if keys else df.repartition("_p")
+    shared = ranks.once(df, *keys, "_p")
     return ranks.meet(shared, _adjusted(shared, "_p", name, keys, buckets), [*keys, "_p"], name, how="left").drop("_p")
 
 
 def _adjusted(df: DataFrame, p: str, name: str, keys: list[str], buckets: int = ranks.BUCKETS) -> DataFrame:
     """keys and _p, each distinct p-value, to its adjusted value."""
-    # the largest hash of whole rows makes this read what the rows themselves are read from; a condition on counts isn't moved below the shuffle
-    counts = df.groupBy(*keys, F.col(p).alias("_p")).agg(F.count_if(F.col(p).isNotNull() & ~F.isnan(p)).alias("_c"), F.max(F.xxhash64(*df.columns)).alias("_h"))
-    counts = counts.where((F.col("_c") > 0) & F.col("_h").isNotNull()).drop("_h")
+    # a condition on counts isn't moved below the shuffle that the rows themselves are read from
+    counts = df.groupBy(*keys, F.col(p).alias("_p")).agg(F.count_if(F.col(p).isNotNull() & ~F.isnan(p)).alias("_c")).where("_c > 0")
     r = ranks.running(counts, "_p", {"_r": F.col("_c")}, keys, buckets, keep=True).withColumn("_q", F.col("_p") * F.col("_r_all") / (F.col("_r") + F.col("_c")))
     return ranks.least_above(r, "_p", "_q", keys, buckets).select(*keys, "_p", F.least(F.lit(1.0), "_least").alias(name))
 

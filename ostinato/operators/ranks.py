@@ -21,6 +21,15 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], *cols: str, how: st
     return left.alias("l").join(right.alias("r"), on, how).select("l.*", *[F.col(f"r.{c}") for c in cols])
 
 
+def once(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt by some columns in one shuffle, from which all who read them get the same values.
+
+    Readers of fewer columns would else have a narrower shuffle made, and what lies below it, sums of floats or kernels, computed anew and perhaps
+    otherwise in the last digits. Passing whole batches on keeps all columns in it.
+    """
+    return df.repartition(*[F.col(c) for c in by]).mapInArrow(lambda batches: batches, df.schema)
+
+
 def cut(counts: DataFrame, value: str, keys: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The counts with a range number _b, rising with the value within a group. Null values are in the first range.
 

@@ -417,3 +417,17 @@ def test_samplers_as_operators(spark):
     assert evidence.savage_dickey(df, method="period").where("sd_log_bf is not null").count() == 2
     assert evidence.model_comparison(df, method="importance").where("waic_label is not null").count() >= 2
     assert evidence.model_comparison(df.limit(0)).count() == 0
+
+
+def test_adjusted_p_values_meet_rows_whose_values_differ_in_every_run(spark):
+    """As sums of floats do in their last digits: rows and values to adjust must come from one evaluation."""
+    import random
+
+    draw = F.udf(lambda i: random.random() if i % 7 else None, "double").asNondeterministic()
+    df = spark.range(200).withColumn("x", F.col("id") * 2).withColumn("p", draw("id"))
+    got = detect.bh_fdr(df, "p", "q").select("id", "p", "q").toPandas()
+    assert got.q.isna().equals(got.p.isna()) and got.p.notna().sum() == 171
+    p = got.dropna().sort_values("p")
+    want = (p.p * len(p) / np.arange(1, len(p) + 1))[::-1].cummin()[::-1]
+    assert np.allclose(p.q, np.minimum(want, 1))
+    assert detect.bh_fdr(df, "p", "q").select("id", "q").where("q is null").count() == 29
