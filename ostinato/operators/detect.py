@@ -121,8 +121,12 @@ def phase_freedom_p(t: np.ndarray, y: np.ndarray, base: float, phase: float | No
     """P of one degree of freedom: free phase at the half period against a phase tied to that of the base period."""
     beta, free = K.fit(t, y, [base, base / 2])
     phase = math.atan2(beta[2], beta[1]) if phase is None else phase
-    x = np.column_stack([K.design(t, np.array([base])), np.cos(4 * math.pi * t / base - 2 * phase)])
-    tied = float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum())
+    # the tied wave is a sum of the half period's cosine and sine; of both, and of y, what the base period leaves
+    x, inverse = K.solver(t, [base])
+    half = K.solver(t, [base / 2])[0][:, 1:] @ np.array([math.cos(2 * phase), math.sin(2 * phase)])
+    rest, wave = y - x @ (inverse @ y), half - x @ (inverse @ half)
+    size = float(wave @ wave)
+    tied = float(rest @ rest) - (float(rest @ wave) ** 2 / size if size > 1e-20 * len(y) else 0.0)
     df = len(y) - 5
     return K.f1_p((tied - free) / (free / df), df) if df > 0 and free > 0 and tied >= free else 1.0
 

@@ -431,3 +431,42 @@ def test_adjusted_p_values_meet_rows_whose_values_differ_in_every_run(spark):
     want = (p.p * len(p) / np.arange(1, len(p) + 1))[::-1].cummin()[::-1]
     assert np.allclose(p.q, np.minimum(want, 1))
     assert detect.bh_fdr(df, "p", "q").select("id", "q").where("q is null").count() == 29
+
+
+def test_rank_tests_find_p_of_the_largest_alone(monkeypatch):
+    """Cost of a series: one p, not one for each candidate; the order of pairs once, not for each fraction."""
+    y = noisy(4, 0.4 * wave(12), t=np.arange(64.0))
+    calls = []
+    normal = K.kendall
+    monkeypatch.setattr(K, "kendall", lambda a, b: (calls.append(len(np.atleast_2d(b))), normal(a, b))[1])
+    r = K.jtk(np.arange(64.0), y, np.arange(10, 14.25, 0.5), 24)
+    u = K.rain(np.arange(64.0), y, 12.0, np.linspace(0.1, 0.9, 17))
+    assert r["n_tests"] == 216 and calls == [1] and 0 < r["p"] <= 1 and 0 < u["p"] <= 1
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_umbrella_of_many_points_by_all_splits(ties):
+    rng = np.random.RandomState(11)
+    y = rng.normal(size=70)
+    y, t = (np.round(y) if ties else y), np.arange(70.0)
+    phase = np.round(np.mod(t, 12) / 12, 12)
+    z, f = y[np.lexsort((t, phase))], np.sort(phase)
+    best = 1.0
+    for share in np.linspace(0.1, 0.9, 9):
+        n = int((f <= share).sum())
+        sides = [[float(v[0]) for v in K.kendall(part, np.arange(len(part), dtype=float))] for part in (z[:n], z[n:])]
+        for sign in (1, -1):
+            tails = [p / 2 if s * tau > 0 else 1 - p / 2 for (tau, p), s in zip(sides, (sign, -sign))]
+            chi = -2 * sum(math.log(max(q, 1e-20)) for q in tails)
+            best = min(best, math.exp(-chi / 2) * (1 + chi / 2))
+    assert K.rain(t, y, 12.0, np.linspace(0.1, 0.9, 9))["p"] == pytest.approx(min(1, best * 18), rel=1e-10)
+
+
+def test_shared_periods_are_solved_once(monkeypatch):
+    """Partial F, tied phases and permutations of further series of the same times make no new decomposition."""
+    y, z = noisy(5, wave(24)), noisy(6, wave(12))
+    first = detect.stage1_numbers(T, y, 24.0), K.permutation_p(T, y, [24.0, 12.0, 8.0], 1, 9, 1)
+    for name in ("lstsq", "pinv", "svd", "qr"):
+        monkeypatch.setattr(np.linalg, name, None)
+    assert (detect.stage1_numbers(T, y, 24.0), K.permutation_p(T, y, [24.0, 12.0, 8.0], 1, 9, 1)) == first
+    assert detect.stage1_numbers(T, z, 24.0)["p_ftest"] < 1e-6
