@@ -435,7 +435,7 @@ def test_adjusted_p_values_meet_rows_whose_values_differ_in_every_run(spark):
 
 def test_rank_tests_find_p_of_the_largest_alone(monkeypatch):
     """Cost of a series: one p, not one for each candidate; the order of pairs once, not for each fraction."""
-    y = noisy(4, 0.4 * wave(12), t=np.arange(64.0))
+    y = noisy(4, 0.4 * wave(12, t=np.arange(64.0)), t=np.arange(64.0))
     calls = []
     normal = K.kendall
     monkeypatch.setattr(K, "kendall", lambda a, b: (calls.append(len(np.atleast_2d(b))), normal(a, b))[1])
@@ -470,3 +470,13 @@ def test_shared_periods_are_solved_once(monkeypatch):
         monkeypatch.setattr(np.linalg, name, None)
     assert (detect.stage1_numbers(T, y, 24.0), K.permutation_p(T, y, [24.0, 12.0, 8.0], 1, 9, 1)) == first
     assert detect.stage1_numbers(T, z, 24.0)["p_ftest"] < 1e-6
+
+
+def test_goodwin_loops_of_a_block(monkeypatch):
+    """A series has the same loops alone and in a block, and a block takes no more steps of the integration than a series does."""
+    ys = np.array([noisy(i, wave(24), 0.3 * wave(12)) for i in range(5)])
+    alone = [K.goodwin(T, y, 24.0, i, generations=2) for i, y in enumerate(ys)]
+    steps, clip = [], np.clip
+    monkeypatch.setattr(np, "clip", lambda *a, **k: (steps.append(1), clip(*a, **k))[1])
+    one = (K.goodwin(T, ys[0], 24.0, 0, generations=2), len(steps))[1]
+    assert K.goodwins(T, ys, 24.0, list(range(5)), generations=2) == alone and len(steps) == 2 * one
