@@ -138,7 +138,9 @@ def oscillator_fate(first: DataFrame, second: DataFrame, bound: float = 0.05) ->
 
 
 def damping_summary(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Of rows with gamma and period: medians, mean, spread, half-life and quality factor, share of underdamped oscillators."""
+    """Of rows with gamma and period: medians, mean, spread, half-life and quality factor, share of underdamped oscillators. What makes the rows
+    runs once: moments and medians read them from one shuffle."""
+    df = ranks.once(df.select(*keys, "gamma", "period"), "gamma", "period")
     half = F.when(F.col("gamma") > 0, math.log(2) / F.col("gamma"))
     q = (2 * math.pi / F.col("period")) / (2 * F.col("gamma") + 1e-10)
     g = df.groupBy(*keys).agg(F.avg("gamma").alias("mean_gamma"), F.stddev_pop("gamma").alias("sd_gamma"), F.avg((q > 0.5).cast("double")).alias("share_underdamped"))

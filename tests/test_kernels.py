@@ -480,3 +480,37 @@ def test_goodwin_loops_of_a_block(monkeypatch):
     monkeypatch.setattr(np, "clip", lambda *a, **k: (steps.append(1), clip(*a, **k))[1])
     one = (K.goodwin(T, ys[0], 24.0, 0, generations=2), len(steps))[1]
     assert K.goodwins(T, ys, 24.0, list(range(5)), generations=2) == alone and len(steps) == 2 * one
+
+
+def test_damped_sums_of_a_block_take_one_decomposition_a_round(monkeypatch):
+    """The slopes are those of differences: at the end no small step of a period or damping leaves less."""
+    ys = np.array([noisy(i, np.exp(-0.01 * T) * wave(23.4, i), 0.5 * wave(12.3)) for i in range(5)])
+    alone = [K.damped(T, y, [24.0, 12.0, 8.0]) for y in ys]
+    calls, svd = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda *a, **k: (calls.append(1), svd(*a, **k))[1])
+    block = K.damped_sums(T, ys, [24.0, 12.0, 8.0])
+    assert len(calls) <= 31
+    for y, a, b in zip(ys, alone, block, strict=True):
+        assert all(np.array_equal(a[k], b[k]) for k in a) and abs(b["periods"][0] - 23.4) < 0.5
+
+        def left(p, g, y=y):
+            w, fall = 2 * np.pi * T[:, None] / p, np.exp(-T[:, None] * g)
+            return rss(np.hstack([np.ones((48, 1)), fall * np.cos(w), fall * np.sin(w)]), y)
+
+        least = left(b["periods"], b["gamma"])
+        assert 1 - least / ((y - y.mean()) ** 2).sum() == pytest.approx(b["r2"], abs=1e-9)
+        for i in range(3):
+            for step in (-1e-2, 1e-2):
+                assert left(b["periods"] + step * (np.arange(3) == i), b["gamma"]) > least - 1e-3
+
+
+def test_damping_summary_reads_its_rows_once(spark):
+    """What makes the rows runs once: of one row a group with a new damping in each run, mean and median are the same."""
+    import random
+
+    from ostinato.operators import population
+
+    draw = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    rows = spark.range(20).select("id", draw("id").alias("gamma"), (F.lit(10.0) + draw("id")).alias("period"), F.lit("x").alias("other"))
+    got = population.damping_summary(rows, ["id"]).toPandas()
+    assert len(got) == 20 and np.allclose(got.mean_gamma, got.median_gamma)
