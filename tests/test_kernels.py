@@ -514,3 +514,34 @@ def test_damping_summary_reads_its_rows_once(spark):
     rows = spark.range(20).select("id", draw("id").alias("gamma"), (F.lit(10.0) + draw("id")).alias("period"), F.lit("x").alias("other"))
     got = population.damping_summary(rows, ["id"]).toPandas()
     assert len(got) == 20 and np.allclose(got.mean_gamma, got.median_gamma)
+
+
+def test_lattice_work_of_a_bootstrap(monkeypatch):
+    """The search meets the coarse periods alone, in single precision where times span two turns, and finds what all digits find."""
+    t = np.arange(64.0)
+    lat = K.Lattice(t, (24.0, 12.0, 8.0), 0.17)
+    assert all(p["search"].shape[1] == 2 * len(p["coarse"]) < 2 * len(p["periods"]) and p["search"].dtype == np.float32 for p in lat.parts)
+    ys = np.array([noisy(i, wave(23.1, t=t), 10.0 ** -(i % 5) * wave(12.4, i, t), sd=10.0 ** -(i % 3 + 1), t=t) for i in range(20)])
+    at, left = K.nearest_periods(t, ys, [24.0, 12.0, 8.0])
+    monkeypatch.setattr(K, "_lattice", lambda *a: exact)
+    exact = K.Lattice(t, (24.0, 12.0, 8.0), 0.17)
+    exact.kind, exact.least = np.float64, 1e-10
+    for p in exact.parts:
+        b = p["b"][:, p["coarse"]]
+        p["search"] = b.reshape(-1, b.shape[-1]).T
+    at2, left2 = K.nearest_periods(t, ys, [24.0, 12.0, 8.0])
+    assert np.allclose(at, at2, atol=1e-6) and np.allclose(left, left2, rtol=1e-6)
+    one = [K.nearest_periods(t, y, [24.0, 12.0, 8.0]) for y in ys]
+    assert np.allclose(np.concatenate([p for p, _ in one]), at2, atol=1e-6)
+
+
+def test_fits_of_a_block_find_free_periods_together(monkeypatch):
+    calls = []
+    found = K.nearest_periods
+    monkeypatch.setattr(K, "nearest_periods", lambda t, y, *a: (calls.append(len(y)), found(t, y, *a))[1])
+    ys = np.array([noisy(i, wave(24), 0.3 * wave(12)) for i in range(4)])
+    free = evidence._free(T, ys, 24.0)
+    assert calls == [4]
+    for i, y in enumerate(ys):
+        a, b = evidence.model_numbers(T, y, 24.0), evidence.model_numbers(T, y, 24.0, found=(free[0][i], free[1][i]))
+        assert all(np.allclose(a[k], b[k]) for k in a)
