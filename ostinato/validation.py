@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import classify, detect, metrics
+from .operators import classify, detect, metrics, per_series
 
 INDEPENDENT = ("independent_ultradian", "likely_independent_ultradian")
 HALF_PERIOD = (*INDEPENDENT, "harmonic")
@@ -74,12 +74,14 @@ def benchmark(datasets: dict[str, DataFrame], lists: DataFrame) -> DataFrame:
     first = lists.where(order.isNotNull() & F.col("symbol").isNotNull()).groupBy(F.upper("symbol").alias("_s")).agg(F.min_by("category", order).alias("category"))
     out = None
     for name, df in datasets.items():
-        mine = df.join(first, F.upper("series_id") == F.col("_s")).select("series_id", "t", "y", "category")
+        mine = per_series.spread(df.join(first, F.upper("series_id") == F.col("_s")).select("series_id", "t", "y", "category"))
         grid = mine.select("t").where("t is not null").first()
         if grid is None:
             continue
         classical = detect.all_methods(mine, np.array(grid[0], float)).select("series_id", "method", "p", F.coalesce(detect.has_12h(F.col("p"), F.col("period")), F.lit(False)).alias("predicted"))
-        ours = classify.two_stage(mine.select("series_id", "t", "y")).select("series_id", F.lit("two_stage").alias("method"), F.col("p_detect").alias("p"), F.coalesce("passed", F.lit(False)).alias("predicted"))
+        c = classify.Config()  # whether there is a rhythm is for its first stage to say: the second only names its kind
+        first_stage = detect.stage1(mine.select("series_id", "t", "y"), c.base, c.alpha, c.min_methods, c.gate_b)
+        ours = first_stage.select("series_id", F.lit("two_stage").alias("method"), F.col("p_detect").alias("p"), F.coalesce("passed", F.lit(False)).alias("predicted"))
         rows = classical.unionByName(ours).join(mine.select("series_id", "category"), "series_id")
         rows = rows.select(F.lit(name).alias("dataset"), F.col("series_id").alias("symbol"), "method", "p", "predicted", (F.col("category") == KNOWN).alias("truth"), "category")
         out = rows if out is None else out.unionByName(rows)

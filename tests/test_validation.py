@@ -63,6 +63,19 @@ def test_benchmark_of_labelled_datasets(spark, tmp_path):
         validation.benchmark({"a": df}, lists.limit(0))
 
 
+def test_benchmark_asks_the_first_stage_alone(spark, monkeypatch):
+    """Its answers are those of the whole classifier, whose simulations aren't run, and the series are dealt over tasks."""
+    rng = np.random.RandomState(1)
+    y = {f"s{i}": (i % 3) * wave(12) + (i % 2) * wave(24) + rng.normal(size=48) for i in range(12)}
+    df = spark.createDataFrame([(k, [float(x) for x in T], [float(x) for x in v]) for k, v in y.items()] + [("bad", [float(x) for x in T], [float("nan")] * 48)], "series_id string, t array<double>, y array<double>").coalesce(1)
+    lists = df.select(F.col("series_id").alias("symbol"), F.lit("known_12h").alias("category"))
+    want = {r.series_id: (r.p_detect, bool(r.passed)) for r in classify.two_stage(df).collect()}
+    monkeypatch.setattr(classify, "two_stage", None)
+    out = validation.benchmark({"a": df}, lists).where("method = 'two_stage'")
+    assert {r.symbol: (r.p, r.predicted) for r in out.collect()} == want and any(v[1] for v in want.values()) and not all(v[1] for v in want.values())
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_command_of_labelled_benchmark(spark, tmp_path):
     rng = np.random.RandomState(1)
     lines = ["gene," + ",".join(f"{t:g}" for t in T)] + [f"{k}{i}," + ",".join(f"{v:.4f}" for v in y + 0.4 * rng.normal(size=48)) for k, y in (("k", 2 * wave(12)), ("n", 0 * T)) for i in range(3)]
