@@ -117,6 +117,34 @@ def silhouette(d: np.ndarray, labels: np.ndarray, size: np.ndarray | None = None
 # --- leaves: clusters of rows as sums ------------------------------------------------------------------------------
 
 
+#: Rows whose distances to all are held at once when leaves look for their nearest.
+STRIP = 128
+
+
+def nearest_others(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cluster the nearest other one by Ward's distance, the first of equals, and that distance; a strip of the distances is held at a time.
+
+    A distance is the same both ways to the last bit, so the two nearest of all are each other's nearest.
+    """
+    near, far = np.empty(len(x), np.int64), np.empty(len(x))
+    cols = np.ascontiguousarray(x.T)
+    for lo in range(0, len(x), STRIP):
+        hi = min(lo + STRIP, len(x))
+        d, diff = np.zeros((hi - lo, len(x))), np.empty((hi - lo, len(x)))
+        for c in cols:
+            np.subtract(c[lo:hi, None], c, out=diff)
+            np.multiply(diff, diff, out=diff)
+            d += diff
+        np.add(size[lo:hi, None], size, out=diff)
+        np.divide(size[lo:hi, None] * size, diff, out=diff)
+        d *= diff
+        d *= 2
+        d[np.arange(hi - lo), np.arange(lo, hi)] = np.inf
+        near[lo:hi] = d.argmin(axis=1)
+        far[lo:hi] = d[np.arange(hi - lo), near[lo:hi]]
+    return near, far
+
+
 def condense(n: np.ndarray, total: np.ndarray, squares: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaves (rows, their sum, their sum of squares) merged by Ward's distance until there are at most so many.
 
@@ -128,11 +156,9 @@ def condense(n: np.ndarray, total: np.ndarray, squares: np.ndarray, most: int) -
             same = same.ravel()
             n, total, squares = (np.stack([np.bincount(same, c) for c in np.atleast_2d(v.T)], axis=-1).reshape(len(first), *v.shape[1:]) for v in (n.astype(float), total, squares))
     while len(n) > most:
-        d = ward_distances(total / n[:, None], n)
-        np.fill_diagonal(d, np.inf)
-        near = d.argmin(axis=1)
+        near, far = nearest_others(total / n[:, None], n)
         i = np.flatnonzero((near[near] == np.arange(len(n))) & (near > np.arange(len(n))))
-        i = i[np.argsort(d[i, near[i]], kind="stable")][: len(n) - most]
+        i = i[np.argsort(far[i], kind="stable")][: len(n) - most]
         j = near[i]
         n, total, squares = n.copy(), total.copy(), squares.copy()
         n[i], total[i], squares[i] = n[i] + n[j], total[i] + total[j], squares[i] + squares[j]

@@ -119,3 +119,22 @@ def test_modules_of_odd_tables(spark):
         assert [r.module_id for r in network.modules(one, None, method).collect()] == [0]
         same = network.modules(table(spark, np.ones((50, 3))), None, method).collect()
         assert len(same) == 50 and {r.module_id for r in same} == {0}
+
+
+def test_nearest_leaves_are_held_a_strip_at_a_time():
+    """The same nearest and distances as the whole matrix has, in a fraction of its memory; the same leaves as rounds of plain merges."""
+    import tracemalloc
+
+    rng = np.random.RandomState(5)
+    x, size = rng.normal(size=(1500, 6)), rng.randint(1, 9, 1500).astype(float)
+    x[7] = x[900]
+    d = network.ward_distances(x, size)
+    np.fill_diagonal(d, np.inf)
+    near, far = network.nearest_others(x, size)
+    assert (near == d.argmin(axis=1)).all() and far == pytest.approx(d.min(axis=1), abs=1e-12) and near[7] == 900 and far[7] == 0
+    tracemalloc.start()
+    n, total, squares = network.condense(size, x * size[:, None], (x * x).sum(axis=1) * size, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(n) == 400 and n.sum() == size.sum() and total.sum(axis=0) == pytest.approx((x * size[:, None]).sum(axis=0))
+    assert peak < 1500 * 1500 * 8 / 2  # half of one whole matrix of distances
