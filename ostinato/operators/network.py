@@ -116,7 +116,6 @@ def silhouette(d: np.ndarray, labels: np.ndarray, size: np.ndarray | None = None
 
 # --- leaves: clusters of rows as sums ------------------------------------------------------------------------------
 
-
 #: Rows whose distances to all are held at once when leaves look for their nearest.
 STRIP = 128
 
@@ -223,6 +222,29 @@ def nearest(cols: list[str], centres: np.ndarray) -> Column:
     return number(*[F.col(c) for c in cols])
 
 
+def means_of_nearest(rows: DataFrame, cols: list[str], centres: np.ndarray) -> dict[int, np.ndarray]:
+    """For each centre that is the nearest of some rows the mean of those: a task adds up its rows, and only its sums, one for each centre, leave it."""
+    import pyarrow as pa
+
+    k, names = len(centres), ["c", "n", *[f"x{i}" for i in range(len(cols))]]
+    own = (centres * centres).sum(axis=1)
+
+    def run(batches):
+        size, total = np.zeros(k), np.zeros((len(cols), k))
+        for batch in batches:
+            v = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(cols))], axis=1)
+            label = (own - 2 * v @ centres.T).argmin(axis=1)
+            size += np.bincount(label, minlength=k)
+            for i in range(len(cols)):
+                total[i] += np.bincount(label, v[:, i], k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(size), *[pa.array(t) for t in total]], names)
+
+    sums = rows.select(*cols).mapInArrow(run, "c bigint, n double, " + ", ".join(f"{x} double" for x in names[2:])).toArrow()
+    c, n, *x = (sums[name].to_numpy() for name in names)
+    n, x = np.bincount(c, n, k), np.stack([np.bincount(c, v, k) for v in x], axis=1)
+    return {i: x[i] / n[i] for i in np.flatnonzero(n).tolist()}
+
+
 # --- modules -------------------------------------------------------------------------------------------------------
 
 
@@ -293,8 +315,11 @@ def k_means(df: DataFrame, cols: list[str], k: int, rounds: int = 100, most_leav
     The first centre is the leaf of most rows, each further one the leaf farthest from all before. Up to ``most_leaves`` different rows the leaves
     are the rows, and one round over the table tells that nothing moves.
     """
-    n, total, _ = leaves(df, cols, most_leaves)
+    # as many parts as cores, held for the rounds
+    held = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).coalesce(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    n, total, _ = leaves(held, cols, most_leaves)
     if not len(n):
+        held.unpersist()
         return np.zeros((0, len(cols)))
     x = total / n[:, None]
     centres = x[[int(np.argmax(n))]]
@@ -315,10 +340,11 @@ def k_means(df: DataFrame, cols: list[str], k: int, rounds: int = 100, most_leav
         if still:
             break
     for _ in range(rounds):
-        new = moved({r[0]: np.array(r[1:], float) for r in df.groupBy(nearest(cols, centres).alias("c")).agg(*[F.avg(c) for c in cols]).collect()})
+        new = moved(means_of_nearest(held, cols, centres))
         still, centres = np.allclose(new, centres), new
         if still:
             break
+    held.unpersist()
     return centres
 
 

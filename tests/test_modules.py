@@ -138,3 +138,15 @@ def test_nearest_leaves_are_held_a_strip_at_a_time():
     tracemalloc.stop()
     assert len(n) == 400 and n.sum() == size.sum() and total.sum(axis=0) == pytest.approx((x * size[:, None]).sum(axis=0))
     assert peak < 1500 * 1500 * 8 / 2  # half of one whole matrix of distances
+
+
+def test_means_of_nearest_leave_tasks_as_sums(spark):
+    """Against plain numpy, with a centre that is nobody's nearest; a round is one stage: no rows are dealt anew."""
+    x = np.random.RandomState(6).normal(size=(300, 3))
+    df, centres = table(spark, x), np.vstack([np.random.RandomState(7).normal(size=(5, 3)), np.full(3, 99.0)])
+    cols = df.columns[1:]
+    label = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+    got = network.means_of_nearest(df, cols, centres)
+    assert sorted(got) == sorted(set(label)) and 5 not in got
+    assert all(m == pytest.approx(x[label == i].mean(axis=0)) for i, m in got.items())
+    assert network.means_of_nearest(df.limit(0), cols, centres) == {}
