@@ -37,8 +37,8 @@ def cut(counts: DataFrame, value: str, keys: list[str] | None = None, buckets: i
     """
     v = F.col(value).cast("double")
     points = F.approx_percentile(F.when(F.abs(v) < float("inf"), v), F.lit([i / buckets for i in range(1, buckets)] or [0.0]), F.lit(ACCURACY))
-    cuts = counts.groupBy(*(keys or [])).agg(points.alias("_cuts"), F.max(F.xxhash64(*counts.columns)).alias("_read"))
-    below = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < v)) if buckets > 1 else F.lit(0)
+    cuts = counts.groupBy(*(keys or [])).agg(F.array_distinct(points).alias("_cuts"), F.max(F.xxhash64(*counts.columns)).alias("_read"))
+    below = F.size(F.filter("_cuts", lambda c: c < v)) if buckets > 1 else F.lit(0)
     number = F.when(F.col("_read").isNotNull() & F.col("_cuts").isNotNull(), below).otherwise(0)
     return meet(counts, cuts, keys or [], "_cuts", "_read").withColumn("_b", number).drop("_cuts", "_read")
 

@@ -155,3 +155,16 @@ def test_intervals_of_any_number_of_rows(spark):
     assert r.value == 0.75 and abs(r.lo - 0.75 + 1.96 * sd) < 0.2 * sd and abs(r.hi - 0.75 - 1.96 * sd) < 0.2 * sd
     p = metrics.permutation_metric(rows, share, "y_pred", "y_b", n=500).first()
     assert p.difference == 0 and p.p_value == 1
+
+
+def test_cut_points_are_made_distinct_once_for_a_group(spark):
+    """Not at each value of the group; ranges are those of the points, of which a value that is most of a group gives several times the same."""
+    from ostinato.operators import ranks
+
+    counts = spark.createDataFrame([("a", float(i % 40)) for i in range(200)] + [("a", 7.0)] * 500 + [("b", None), ("b", 2.0)], "g string, v double")
+    out = ranks.cut(counts, "v", ["g"], 8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("Aggregate" in line for line in plan.splitlines() if "array_distinct" in line) and "array_distinct" in plan
+    rows = out.collect()
+    by = {(r.g, r.v): r["_b"] for r in rows}
+    assert len(rows) == 702 and [by["a", float(i)] for i in range(40)] == sorted(by["a", float(i)] for i in range(40)) and by["a", 0.0] == 0 < by["a", 39.0] < 8 and by["b", None] == 0
