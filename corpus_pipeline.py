@@ -17,6 +17,8 @@ from ostinato.llm.queries import ACCEPT, PIECES, table, tokenizer_path
 
 #: Rows of an Arrow batch: texts pass through Python in most stages, so a batch is some megabytes.
 ROWS_PER_BATCH = 250
+#: How stages' tables are compressed: they stay until the process ends where stages are called one by one.
+CODEC = "zstd"
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def _kept(own: Scratch, out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs again, written and read; what the operator wrote on the way goes then."""
     now = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     out = out.select(*[now.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
-    return own.save(out, "stage", ROWS_PER_BATCH)
+    return own.save(out, "stage", ROWS_PER_BATCH, CODEC)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +80,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     out = spm.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(PIECES))
     out = out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
-    return Scratch(spark, "pipeline").save(out, "pieces", ROWS_PER_BATCH)
+    return Scratch(spark, "pipeline").save(out, "pieces", ROWS_PER_BATCH, CODEC)
 
 
 STAGES = [

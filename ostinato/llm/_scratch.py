@@ -105,11 +105,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{next(self.n):03d}-{name}"
 
-    def save(self, df: DataFrame, name: str, rows_per_batch: int | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows_per_batch: int | None = None, codec: str | None = None) -> DataFrame:
         path = self.path(name)
         conf = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
         if rows_per_batch:
             conf["spark__sql__execution__arrow__maxRecordsPerBatch"] = str(rows_per_batch)
+        if codec:  # for tables that stay
+            conf["spark__sql__parquet__compression__codec"] = codec
         few = self.parts is not None and self.parts < int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         with settings(self.spark, **conf):
             (df.coalesce(self.parts) if few else df).write.parquet(path)

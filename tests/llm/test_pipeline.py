@@ -139,3 +139,16 @@ def test_first_and_last_stage_on_odd_rows(spark, sf):
     assert out.columns[-2:] == ["score", "ids"] and {(r.score, r.ids) for r in out.collect()} == {(0.5, 1)}
     last = P.sentencepiece(spark, docs, sf)
     assert sorted((r.doc_id or 0, r.n_tokens) for r in last.collect())[:4] == [(0, 4), (1, 2), (2, 2), (2, 2)] and P.sentencepiece(spark, docs.limit(0), sf).count() == 0
+
+
+def test_tables_that_stay_are_packed_tightly(spark):
+    """A stage's table is smaller than with the session's codec, holds the same rows, and the setting is as before."""
+    from ostinato.llm._scratch import Scratch
+
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * j) % 97}" for j in range(300)), "en", "s", 0) for i in range(200)], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    before = spark.conf.get("spark.sql.parquet.compression.codec")
+    own = Scratch(spark, "test")
+    out = P._kept(own, P._packed(docs), docs)
+    plain = own.save(out, "plain")
+    assert own.size(out) < 0.8 * own.size(plain) and spark.conf.get("spark.sql.parquet.compression.codec") == before == "snappy"
+    assert sorted(r[:4] for r in out.collect()) == sorted(r[:4] for r in docs.collect())
