@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import itertools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -187,6 +189,39 @@ def passing(spark: SparkSession, name: str):
         _ROOTS.discard(root)
 
 
+def tables() -> set[str]:
+    """The folders of all intermediate tables so far."""
+    return set(_ROOTS)
+
+
+def spare(spark: SparkSession, before: set[str], *results: DataFrame) -> None:
+    """Deletes the intermediate tables made since ``before`` that no result reads; a result may be unwritten."""
+    read = {tuple(f.rsplit("/", 3)[1:3]) for df in results for f in df.inputFiles()}
+    for root in sorted(_ROOTS - before):
+        p = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        left = [x.getPath() for x in fs.listStatus(p)] if fs.exists(p) else []
+        gone = [x for x in left if (p.getName(), x.getName()) not in read]
+        for x in gone:
+            fs.delete(x, True)
+        if len(gone) == len(left):
+            fs.delete(p, True)
+            _ROOTS.discard(root)
+
+
+def lean(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function of (spark, ...) to an unwritten table, of whose intermediate tables those stay that the result reads."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, *args, **kw) -> DataFrame:
+        before = tables()
+        out = stage(spark, *args, **kw)
+        spare(spark, before, out)
+        return out
+
+    return run
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) long pairs to (id, component_id): the smallest id of each component, for every id in a pair.
 

@@ -152,3 +152,24 @@ def test_tables_that_stay_are_packed_tightly(spark):
     plain = own.save(out, "plain")
     assert own.size(out) < 0.8 * own.size(plain) and spark.conf.get("spark.sql.parquet.compression.codec") == before == "snappy"
     assert sorted(r[:4] for r in out.collect()) == sorted(r[:4] for r in docs.collect())
+
+
+def test_stages_leave_no_table_of_their_own(spark, sf):
+    """Of what stages after the first write, only the small tables stay that their unwritten results read; a whole run leaves its last table."""
+    import pathlib
+
+    from ostinato.llm import _scratch
+
+    def left(before):
+        return [f for r in _scratch._ROOTS - before for f in pathlib.Path(r.removeprefix("file://")).glob("*/*.parquet")]
+
+    docs = table(spark, sf, "documents").limit(120).localCheckpoint()
+    for _, stage in P.STAGES[1:]:
+        before = set(_scratch._ROOTS)
+        out = stage(spark, docs, sf)
+        files = left(before)
+        assert {f.name for f in files} <= {f.rsplit("/", 1)[1] for f in out.inputFiles()} and sum(f.stat().st_size for f in files) < 40_000
+        assert out.count() > 0 and out.count() == out.toArrow().num_rows
+    before = set(_scratch._ROOTS)
+    out = P.run(spark, sf)
+    assert {f.name for f in left(before)} == {f.rsplit("/", 1)[1] for f in out.inputFiles()} and out.count() > 0
