@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a chunk, permutations that a task works on at once, and rounds of the bijection.
 CHUNK, TOGETHER, ROUNDS = 4096, 64, 6
+#: Permutations for which a chunk's values travel to another chunk once.
+SHARED = 1024
 _U = np.uint64
 
 
@@ -24,8 +26,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(33))
 
 
-def permuted(x: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
-    """Where numbers below n go under the permutation of each key: (keys, numbers).
+def permuted(x: np.ndarray, n: int, keys: np.ndarray, back: bool = False) -> np.ndarray:
+    """Where numbers below n go under the permutation of each key, or with ``back`` where they come from: (keys, numbers).
 
     A Feistel network over the least even number of bits that holds n; numbers that leave the range go on until they are back in it.
     """
@@ -37,9 +39,9 @@ def permuted(x: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
 
     def once(v: np.ndarray, row: np.ndarray) -> np.ndarray:
         a, b = v >> bits, v & low
-        for k in rounds:
+        for k in rounds[::-1] if back else rounds:
             with np.errstate(over="ignore"):
-                a, b = b, a ^ (_mix(b + k[row]) & low)
+                a, b = (b ^ (_mix(a + k[row]) & low), a) if back else (b, a ^ (_mix(b + k[row]) & low))
         return (a << bits) | b
 
     row, col = (i.ravel() for i in np.indices(at.shape))
@@ -72,40 +74,64 @@ def numbered_chunks(df: DataFrame, cols: list[str]) -> tuple[DataFrame, int]:
 def permuted_resultants(df: DataFrame, a: str, b: str, n: int, seed: int) -> tuple[DataFrame, int]:
     """A row for each of n permutations of the partners: permutation, and the sums of cosines and sines of a - b (c1, s1) and a + b (c2, s2); and the number of rows.
 
-    The values of a chunk go to the chunks of their new partners, packed; each task there adds up what has arrived.
+    For every SHARED permutations each value travels once to each chunk where it has a partner, however many it has there; the task that holds a chunk's
+    values and those of its partners finds who is whose by the way back. So what travels to a chunk is all values at most, and never more than a value for each of its
+    rows and permutations: a task holds SHARED * CHUNK values at most.
     """
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     chunks, size = numbered_chunks(rows, ["a", "b"])
-    blocks = -(-n // TOGETHER)
+    blocks, targets = -(-n // SHARED), -(-size // CHUNK)
+
+    def keys_of(block: int) -> Iterator[np.ndarray]:
+        for lo in range(block * SHARED, min((block + 1) * SHARED, n), TOGETHER):
+            yield np.arange(lo, min(lo + TOGETHER, (block + 1) * SHARED, n))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, values, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 v = values.values.to_numpy()
-                keys = np.arange(block * TOGETHER, min((block + 1) * TOGETHER, n))
-                to = permuted(chunk * CHUNK + np.arange(len(v)), size, keys + (seed << 20))
-                which = np.repeat(np.arange(len(keys)), len(v))
-                target, place, held = to.ravel() // CHUNK, to.ravel() % CHUNK, np.tile(v, len(keys))
-                order = np.argsort(target, kind="stable")
-                ends = np.flatnonzero(np.r_[np.diff(target[order]) != 0, True]) + 1
-                for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=True):
-                    i = order[lo:hi]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(target[i[0]])], pa.int64()), pa.array([block], pa.int64()), pa.array([which[i].astype(np.uint8).tobytes()]), pa.array([place[i].astype(np.uint16).tobytes()]), pa.array([held[i].tobytes()])], ["chunk", "block", "which", "place", "held"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = np.arange(len(v))
+                if 4 * targets <= SHARED:  # nearly every value has a partner in every chunk
+                    pairs = ((t, own) for t in range(targets))
+                else:
+                    to = [np.unique(permuted(chunk * CHUNK + own, size, k + (seed << 20)) // CHUNK * CHUNK + own) for k in keys_of(block)]
+                    met = np.unique(np.concatenate(to))
+                    at, ends = met // CHUNK, np.flatnonzero(np.diff(met // CHUNK)) + 1
+                    pairs = ((int(at[i[0]]), met[i] % CHUNK) for i in np.split(np.arange(len(met)), ends))
+                for target, place in pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([target], pa.int64()), pa.array([block], pa.int64()), pa.array([chunk], pa.int64()), pa.array([place.astype(np.uint16).tobytes() if len(place) < len(v) else b""]), pa.array([v[place].tobytes()])], ["chunk", "block", "source", "place", "held"])
+
+    def gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (chunk, block), own, number, held = (k.as_py() for k in key), None, [], []
+        for batch in batches:
+            for source, place, values in zip(batch["source"].to_pylist(), batch["place"], batch["held"], strict=True):
+                values = np.frombuffer(values.as_buffer(), float)
+                if source < 0:
+                    own = values
+                else:
+                    place = np.frombuffer(place.as_buffer(), np.uint16).astype(np.int64)
+                    number.append(source * CHUNK + (place if len(place) else np.arange(len(values))))  # none: all of the chunk
+                    held.append(values)
+        number, held = np.concatenate(number), np.concatenate(held)
+        order = np.argsort(number, kind="stable")
+        number, held = number[order], held[order]
+        for k in keys_of(block):
+            source = permuted(chunk * CHUNK + np.arange(len(own)), size, k + (seed << 20), back=True)
+            y = held[source if len(number) == size else np.searchsorted(number, source)]
+            sums = [f(z).sum(axis=1) for z in (own - y, own + y) for f in (np.cos, np.sin)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), *[pa.array(x) for x in sums]], ["permutation", "c1", "s1", "c2", "s2"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, which, place, held, own in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 5)), strict=True):
-                which = np.frombuffer(which.as_buffer(), np.uint8)
-                x, y = own.values.to_numpy()[np.frombuffer(place.as_buffer(), np.uint16)], np.frombuffer(held.as_buffer(), float)
-                sums = [np.bincount(which, f(z), TOGETHER) for z in (x - y, x + y) for f in (np.cos, np.sin)]
-                m = min(TOGETHER, n - block * TOGETHER)
-                yield pa.RecordBatch.from_arrays([pa.array(block * TOGETHER + np.arange(m)), *[pa.array(s[:m]) for s in sums]], ["permutation", "c1", "s1", "c2", "s2"])
-
-    tasks = chunks.select("chunk", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks - 1, 0)).cast("long"))).alias("block"))
+            for chunk, values, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.array([b""]), pa.array([values.values.to_numpy().tobytes()])], ["chunk", "block", "source", "place", "held"])
+
+    kind = "chunk bigint, block bigint, source bigint, place binary, held binary"
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks - 1, 0)).cast("long"))).alias("block")
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    pieces = tasks.repartition(4 * parts, "chunk", "block").mapInArrow(send, "chunk bigint, block bigint, which binary, place binary, held binary")
-    met = pieces.join(chunks.select("chunk", "a"), "chunk").select("block", "which", "place", "held", "a").repartition(4 * parts)
-    sums = met.mapInArrow(gather, "permutation bigint, c1 double, s1 double, c2 double, s2 double").groupBy("permutation")
+    pieces = chunks.select("chunk", "b", block).repartition(4 * parts, "chunk", "block").mapInArrow(send, kind)
+    met = pieces.unionByName(chunks.select("chunk", "a", block).mapInArrow(packed, kind)).repartition(4 * parts, "chunk", "block")
+    sums = met.groupBy("chunk", "block").applyInArrow(gather, "permutation bigint, c1 double, s1 double, c2 double, s2 double").groupBy("permutation")
     return sums.agg(*[F.sum(c).alias(c) for c in ("c1", "s1", "c2", "s2")]), size
 
 

@@ -95,3 +95,32 @@ def test_intervals_of_one_large_group(spark):
     assert resampling.mean_replicates(df, F.col("v"), ["g"], 20, 1).groupBy("g").count().collect() and reports.mean_intervals(df.limit(0), F.col("v"), ["g"]).count() == 0
     whole = reports.mean_intervals(df.where("g = 'cold'"), F.col("v"), [], n=200).first()
     assert whole.lo < small.mean() < whole.hi
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 500, 4097])
+def test_the_way_back_of_a_permutation(n):
+    keys = np.arange(20)
+    to = resampling.permuted(np.arange(n), n, keys)
+    back = resampling.permuted(np.arange(n), n, keys, back=True)
+    assert all((b[t] == np.arange(n)).all() for t, b in zip(to, back, strict=True))
+
+
+@pytest.mark.parametrize("shared", [4, 16, 64])
+def test_values_travel_once_for_many_permutations(spark, monkeypatch, shared):
+    """Sums are those of each permutation, where chunks get few of another's values, most, or all of them."""
+    rng = np.random.RandomState(1)
+    x, y = rng.uniform(0, 6, 90), rng.uniform(0, 6, 90)
+    monkeypatch.setattr(resampling, "CHUNK", 8)
+    monkeypatch.setattr(resampling, "SHARED", shared)
+    monkeypatch.setattr(resampling, "TOGETHER", 3)
+    df = angles(spark, x, y)
+    chunks, size = resampling.numbered_chunks(df.where("a is not null and b is not null"), ["a", "b"])
+    rows = sorted(chunks.collect())
+    a, b = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
+    sums, _ = resampling.permuted_resultants(df, "a", "b", 21, 5)
+    got = {r.permutation: r for r in sums.collect()}
+    assert set(got) == set(range(21)) and size == 90
+    for k in range(21):
+        partner = np.empty(90)
+        partner[resampling.permuted(np.arange(90), 90, np.array([k + (5 << 20)]))[0]] = b
+        assert (got[k].c1, got[k].s1, got[k].c2, got[k].s2) == pytest.approx((np.cos(a - partner).sum(), np.sin(a - partner).sum(), np.cos(a + partner).sum(), np.sin(a + partner).sum()))
