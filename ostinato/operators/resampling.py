@@ -138,6 +138,10 @@ def permuted_resultants(df: DataFrame, a: str, b: str, n: int, seed: int) -> tup
 # --- resamples of means --------------------------------------------------------------------------------------------
 
 
+#: Parts among which a group's chunks are dealt for each block of replicates.
+DEALT = 16
+
+
 def _below(counts: np.ndarray, replicate: np.random.Generator, total: int) -> np.ndarray:
     """How many of the total of a resample come from each part."""
     return replicate.multinomial(total, counts / counts.sum())
@@ -147,7 +151,7 @@ def mean_replicates(df: DataFrame, value: Column, keys: list[str], n: int, seed:
     """Keys, replicate, rows and mean of each of n resamples of a group's values; null and NaN are left out.
 
     Equal values are one with a count. A group's values are cut in about as many chunks as a chunk has values (256 at least), so a group of any size is spread over tasks. For
-    a replicate each task draws, from the same seed, how many of the resample fall in each chunk, and then which values of its own chunk.
+    a replicate each task draws, from the same seed, how many of the resample fall in each chunk, once for all its chunks of a group, and then which values of its own chunks.
     """
     rows = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     same = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
@@ -164,12 +168,14 @@ def mean_replicates(df: DataFrame, value: Column, keys: list[str], n: int, seed:
     chunks = meet(chunks, all_chunks, "_all").withColumn("_group", F.xxhash64(F.lit(seed), *keys))
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
     blocks = min(16, n)
-    work = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(4 * parts, "_group", "_chunk", "_block")
+    work = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    work = work.repartition(4 * parts, F.col("_group"), F.col("_block"), F.pmod("_chunk", F.lit(DEALT))).sortWithinPartitions("_group", "_block")
     work = work.select(*keys, "_chunk", F.col("_x._v").alias("_v"), F.col("_x._c").alias("_c"), F.col("_all._chunk").alias("_ids"), F.col("_all._t").alias("_ts"), "_group", "_block")
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     p = len(keys)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, falls = None, np.empty((0, 0), int)
         for batch in batches:
             for i in range(batch.num_rows):
                 own, v, c, ids, ts, group, block = (batch.column(p + j)[i] for j in range(7))
@@ -178,9 +184,12 @@ def mean_replicates(df: DataFrame, value: Column, keys: list[str], n: int, seed:
                 ends = np.cumsum(c)
                 mark = group.as_py() & 0xFFFFFFFFFFFFFFFF
                 replicates = np.arange(n * block.as_py() // blocks, n * (block.as_py() + 1) // blocks)
+                if last != (mark, block.as_py()):
+                    last = mark, block.as_py()
+                    falls = np.stack([_below(ts.astype(float), np.random.default_rng([mark, int(r)]), total) for r in replicates]) if len(ts) > 1 else np.full((len(replicates), 1), total)
                 sums = np.empty(len(replicates))
                 for j, r in enumerate(replicates):
-                    k = int(_below(ts.astype(float), np.random.default_rng([mark, int(r)]), total)[mine]) if len(ts) > 1 else total
+                    k = int(falls[j, mine])
                     rng = np.random.default_rng([mark, int(r), own.as_py() + 1])
                     if held > 4 * len(v):
                         sums[j] = rng.multinomial(k, c / held) @ v

@@ -124,3 +124,13 @@ def test_values_travel_once_for_many_permutations(spark, monkeypatch, shared):
         partner = np.empty(90)
         partner[resampling.permuted(np.arange(90), 90, np.array([k + (5 << 20)]))[0]] = b
         assert (got[k].c1, got[k].s1, got[k].c2, got[k].s2) == pytest.approx((np.cos(a - partner).sum(), np.sin(a - partner).sum(), np.cos(a + partner).sum(), np.sin(a + partner).sum()))
+
+
+def test_chunks_of_a_group_lie_together(spark, capsys):
+    """Chunks of one group and block of replicates come one after the other, in at most DEALT parts, so how many of a resample fall in each chunk is drawn once
+    for many (before: once for each chunk, so with the square of their number)."""
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    r = resampling.mean_replicates(df, F.col("v"), ["g"], 20, 1)
+    r.explain()
+    plan = capsys.readouterr().out
+    assert "Sort [_group" in plan and "pmod(_chunk" in plan and r.groupBy("g").count().collect() and {x.rows for x in r.collect()} == {1500}
