@@ -1,7 +1,7 @@
 """A corpus pipeline: each stage calls one operator and works on all that the stage before it kept.
 
-Every stage takes (spark, docs, sf_dir). The first writes its result to the shared folder and returns it as read again; the others return theirs
-unwritten: a pass over docs and over the small tables that it needs, which alone are left of what the stage wrote. Who calls stages one by one
+Every stage takes (spark, docs, sf_dir) and returns its result unwritten: a pass over docs and over the small tables that it needs, which alone are
+left of what the stage wrote. Who calls stages one by one
 writes a result before the next stage reads it, as ``run`` does, so a lost executor costs tasks of one stage, and no table lies there twice.
 Settings of the session are as they were when a stage returns. All columns of docs stay, whatever
 their names; n_chars, where there is one, is the length of the text as it is now. The first three stages read
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.llm import chosen_path, decontaminate, lines, quality, spm
-from ostinato.llm._scratch import Scratch, lean, passing, spare, tables
+from ostinato.llm._scratch import Scratch, lean, spare, tables
 from ostinato.llm.queries import ACCEPT, PIECES, table, tokenizer_path
 
 #: Rows of an Arrow batch: texts pass through Python in most stages, so a batch is some megabytes.
@@ -34,11 +34,12 @@ def _unpacked(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*[now.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
-def _kept(own: Scratch, out: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of docs again, written and read; what the operator wrote on the way goes then."""
-    return own.save(_unpacked(out, docs), "stage", ROWS_PER_BATCH, CODEC)
+def _kept(own: Scratch, out: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """A stage's result, written and read; with docs that of an operator on packed rows, of which the columns of docs are kept."""
+    return own.save(out if docs is None else _unpacked(out, docs), "stage", ROWS_PER_BATCH, CODEC)
 
 
+@lean
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled documents of the input, accepts: those of a score of ACCEPT or more.
 
@@ -46,8 +47,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     each for itself. Without labels of both kinds the score is the share of label 1, the same for all.
     """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    with passing(spark, "pipeline") as own:
-        return _kept(own, quality.score(_packed(docs), model, keep_text=True).where(F.col("score") >= ACCEPT), docs)
+    return _unpacked(quality.score(_packed(docs), model, keep_text=True).where(F.col("score") >= ACCEPT), docs)
 
 
 @lean
@@ -105,7 +105,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         before, made = docs, tables()
         out = stage(spark, docs, sf_dir)
-        docs = out if hasattr(out, "scratch_path") else scratch.save(out, "stage", ROWS_PER_BATCH, CODEC)
+        docs = _kept(scratch, out)
         spare(spark, made, docs)
         if i:
             scratch.drop(before)

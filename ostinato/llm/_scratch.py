@@ -178,17 +178,6 @@ def row_key(df: DataFrame, doc_id: str, text: str) -> tuple[Column, str]:
     return F.when(own.isNotNull(), F.struct(own.alias("id"), tag.alias("tag"))), "struct<id:bigint,tag:binary>"
 
 
-@contextmanager
-def passing(spark: SparkSession, name: str):
-    """A Scratch whose tables stay; all other intermediate tables that are made within the block, of which its result no longer reads any, go at its end."""
-    before, own = set(_ROOTS), Scratch(spark, name)
-    yield own
-    for root in sorted(_ROOTS - before - {own.root}):
-        p = spark._jvm.org.apache.hadoop.fs.Path(root)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        _ROOTS.discard(root)
-
-
 def tables() -> set[str]:
     """The folders of all intermediate tables so far."""
     return set(_ROOTS)

@@ -173,3 +173,15 @@ def test_stages_leave_no_table_of_their_own(spark, sf):
     before = set(_scratch._ROOTS)
     out = P.run(spark, sf)
     assert {f.name for f in left(before)} == {f.rsplit("/", 1)[1] for f in out.inputFiles()} and out.count() > 0
+
+
+def test_first_stage_leaves_no_table(spark, sf):
+    """Its result lies on the disk once, where its caller writes it, and not a second time through all later stages."""
+    import pathlib
+
+    from ostinato.llm import _scratch
+
+    before = set(_scratch._ROOTS)
+    out = P.quality_classifier(spark, table(spark, sf, "documents"), sf)
+    assert not [f for r in _scratch._ROOTS - before for f in pathlib.Path(r.removeprefix("file://")).glob("*/*.parquet")]
+    assert all(f.endswith("/documents.parquet") for f in out.inputFiles()) and out.count() > 0
