@@ -17,26 +17,29 @@ FEATURES = ("A_12", "A_24", "amp_ratio", "cos_12", "sin_12", "cos_24", "sin_24",
 INDEPENDENT = ("independent_ultradian", "likely_independent_ultradian")
 
 
-def features(df: DataFrame) -> DataFrame:
-    """series_id and eight features of a result table; missing ones take the column's median, or 0 where all are missing."""
+def features(df: DataFrame, rows: bool = False) -> DataFrame:
+    """series_id and eight features of a result table; missing ones take the column's median, or 0 where all are missing.
+    With rows, the row itself comes along as ``_row``. The medians are found at once."""
     ratio = F.col("A_12") / F.greatest("A_24", F.lit(1e-10))
     cols = {"A_12": F.col("A_12"), "A_24": F.col("A_24"), "amp_ratio": ratio, "cos_12": F.cos("phi_12"), "sin_12": F.sin("phi_12"), "cos_24": F.cos("phi_24"), "sin_24": F.sin("phi_24"), "log_bf": F.col("log_bf")}
-    raw = df.select("series_id", *[F.nanvl(c.cast("double"), F.lit(None)).alias(k) for k, c in cols.items()])
-    return impute_median(raw, list(cols))
+    raw = df.select("series_id", *[F.struct(*df.columns).alias("_row")] * rows, *[F.nanvl(c.cast("double"), F.lit(None)).alias(k) for k, c in cols.items()])
+    return impute_median(raw, list(cols), now=True)
 
 
-def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Nulls and NaN replaced by the exact median of their column; 0 where a column has no value."""
+def impute_median(df: DataFrame, cols: list[str], now: bool = False) -> DataFrame:
+    """Nulls and NaN replaced by the exact median of their column; 0 where a column has no value. ``now``: the medians are found once, by a job of
+    their own, for a table that is read many times."""
     clean = df.select(*[c for c in df.columns if c not in cols], *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
     med = ranks.percentiles(clean, {f"_m_{c}": (F.col(c), 0.5) for c in cols})  # one row
-    return clean.join(F.broadcast(med), F.lit(True)).select(*[c for c in df.columns if c not in cols], *[F.coalesce(c, f"_m_{c}", F.lit(0.0)).alias(c) for c in cols])
+    clean = clean.withColumns({k: F.lit(v).cast("double") for k, v in med.first().asDict().items()}) if now else clean.join(F.broadcast(med), F.lit(True))
+    return clean.select(*[c for c in df.columns if c not in cols], *[F.coalesce(c, f"_m_{c}", F.lit(0.0)).alias(c) for c in cols])
 
 
 def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Columns less their mean, over their population standard deviation (or over 1 where that is 0)."""
-    m = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    z = lambda c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)
-    return df.join(F.broadcast(m), F.lit(True)).select(*[c for c in df.columns if c not in cols], *[z(c).alias(c) for c in cols])
+    """Columns less their mean, over their population standard deviation (or over 1 where that is 0); both are found at once, by one job."""
+    m = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols]).first()
+    z = lambda c: (F.col(c) - F.lit(m[f"_m_{c}"]).cast("double")) / F.lit(m[f"_s_{c}"] or 1.0)
+    return df.select(*[c for c in df.columns if c not in cols], *[z(c).alias(c) for c in cols])
 
 
 def squared_distances(x: np.ndarray) -> np.ndarray:
@@ -354,16 +357,18 @@ def modules(feature_table: DataFrame, k: int | None = None, method: str = "ward"
     ward: rows are condensed to at most ``most_leaves`` leaves over the cluster, Ward's method links the leaves, and a row is where its nearest leaf is;
     up to that number of different rows it is Ward's method of the rows. k comes from the best silhouette of 2 to 20 cuts of the linkage.
     spectral: exact for any number of rows (default k: 8). bisecting: bisecting k-means (default k: 20), without the merge of small modules.
+    A column ``_row`` is no feature and stays.
     """
-    cols = [c for c in feature_table.columns if c != "series_id"]
+    cols = [c for c in feature_table.columns if c not in ("series_id", "_row")]
+    kept = [c for c in feature_table.columns if c not in cols]
     z = standardise(feature_table, cols)
     if method == "bisecting":
         from pyspark.ml.clustering import BisectingKMeans
         from pyspark.ml.feature import VectorAssembler
 
         # a cluster is split at its centre times 1 -/+ 1e-4: standardised rows, whose centre is 0, would stay whole
-        v = VectorAssembler(inputCols=cols, outputCol="_v").transform(z.select("series_id", *[(F.col(c) + 1).alias(c) for c in cols]))
-        return BisectingKMeans(k=k or 20, seed=42, featuresCol="_v", predictionCol="module_id").fit(v).transform(v).select("series_id", "module_id")
+        v = VectorAssembler(inputCols=cols, outputCol="_v").transform(z.select(*kept, *[(F.col(c) + 1).alias(c) for c in cols]))
+        return BisectingKMeans(k=k or 20, seed=42, featuresCol="_v", predictionCol="module_id").fit(v).transform(v).select(*kept, "module_id")
     if method == "spectral":
         z = z.persist(StorageLevel.MEMORY_AND_DISK)  # for the passes until labels are known
         n = z.count()
@@ -378,11 +383,11 @@ def modules(feature_table: DataFrame, k: int | None = None, method: str = "ward"
     of = labelled.groupBy("_label").agg(F.count("*").alias("_n"), F.min("series_id").alias("_first"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)]).collect()
     z.unpersist()
     if not of:
-        return labelled.select("series_id", F.lit(0).alias("module_id"))
+        return labelled.select(*kept, F.lit(0).alias("module_id"))
     to = merged(np.array([r["_n"] for r in of]), np.array([r[3:] for r in of], float).reshape(len(of), len(cols)), [(r["_first"] is not None, r["_first"]) for r in of], least)
     number = {r["_label"]: int(m) for r, m in zip(of, to, strict=True)}
     named = F.element_at(F.lit([number.get(i, 0) for i in range(max(number) + 1)]), F.col("_label") + 1)
-    return labelled.select("series_id", named.alias("module_id"))
+    return labelled.select(*kept, named.alias("module_id"))
 
 
 def phase_coherence(df: DataFrame, published: bool = True) -> DataFrame:
@@ -459,22 +464,26 @@ def shrink(df: DataFrame, hyper: DataFrame, strength: float = 1.0) -> DataFrame:
     return j.select(*df.columns, "A_12_shrunk", "A_24_shrunk", "phi_12_shrunk", "phi_24_shrunk", "shrinkage_weight_A12", "shrinkage_weight_phi12")
 
 
-def reclassify(df: DataFrame, least: int = 5, prior: float = 0.3) -> DataFrame:
-    """Adds hierarchical_classification: an ambiguous series takes its module's majority among the unambiguous ones."""
+def reclassify(df: DataFrame, least: int = 5, prior: float = 0.3, few: bool = False) -> DataFrame:
+    """Adds hierarchical_classification: an ambiguous series takes its module's majority among the unambiguous ones. ``few``: a row for each module may be broadcast."""
     c = F.col("classification")
     g = df.groupBy("module_id").agg(F.count("*").alias("_n"), F.count_if(c != "ambiguous").alias("_known"), F.count_if(c.isin(*INDEPENDENT)).alias("_ind"), F.count_if(c.isin("harmonic", "likely_harmonic")).alias("_har"))
     bound = 0.6 * (1 - prior) + 0.4 * prior
     ok = (F.col("_n") >= least) & (F.col("_known") > 0) & (c == "ambiguous")
     label = F.when(ok & (F.col("_ind") / F.col("_known") > bound), "likely_independent").when(ok & (F.col("_har") / F.col("_known") > bound), "likely_harmonic").otherwise(c)
-    return df.join(g, "module_id", "left").withColumn("hierarchical_classification", label).drop("_n", "_known", "_ind", "_har")
+    return df.join(F.broadcast(g) if few else g, "module_id", "left").withColumn("hierarchical_classification", label).drop("_n", "_known", "_ind", "_har")
 
 
 def hierarchical(results: DataFrame, k: int | None = None, least: int = 5, strength: float = 1.0, prior: float = 0.3, method: str = "ward") -> DataFrame:
-    """The whole refinement of a result table, with modules by ``method`` (bisecting for any number of series); fewer than three series come back with module_id null and their labels."""
+    """The whole refinement of a result table, with modules by ``method`` (bisecting for any number of series); fewer than three series come back with module_id null and their labels.
+
+    Results keep their rows while modules are named, so nothing that grows with the series is joined; of modules there are 20 or k at most.
+    """
     if results.limit(3).count() < 3:
         return results.withColumn("module_id", F.lit(None).cast("int")).withColumn("hierarchical_classification", F.col("classification"))
-    df = results.join(modules(features(results), k, method, least), "series_id")
-    return reclassify(shrink(df, hyperparameters(df, least), strength), least, prior)
+    row = F.col("_row")
+    df = modules(features(results, rows=True), k, method, least).select("series_id", *[row.getField(c).alias(c) for c in results.columns if c != "series_id"], "module_id")
+    return reclassify(shrink(df, F.broadcast(hyperparameters(df, least)), strength), least, prior, few=True)
 
 
 def module_lists(df: DataFrame) -> DataFrame:

@@ -30,8 +30,9 @@ def once(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(*[F.col(c) for c in by]).mapInArrow(lambda batches: batches, df.schema)
 
 
-def cut(counts: DataFrame, value: str, keys: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def cut(counts: DataFrame, value: str, keys: list[str] | None = None, buckets: int = BUCKETS, few: bool = False) -> DataFrame:
     """The counts with a range number _b, rising with the value within a group. Null values are in the first range.
+    ``few``: the groups are so few, whatever the input, that a row for each may be broadcast.
 
     The sketch reads all columns of the counts, so that it shares their shuffle with those who read the ranges.
     """
@@ -40,22 +41,23 @@ def cut(counts: DataFrame, value: str, keys: list[str] | None = None, buckets: i
     cuts = counts.groupBy(*(keys or [])).agg(F.array_distinct(points).alias("_cuts"), F.max(F.xxhash64(*counts.columns)).alias("_read"))
     below = F.size(F.filter("_cuts", lambda c: c < v)) if buckets > 1 else F.lit(0)
     number = F.when(F.col("_read").isNotNull() & F.col("_cuts").isNotNull(), below).otherwise(0)
-    return meet(counts, cuts, keys or [], "_cuts", "_read").withColumn("_b", number).drop("_cuts", "_read")
+    return meet(counts, F.broadcast(cuts) if few else cuts, keys or [], "_cuts", "_read").withColumn("_b", number).drop("_cuts", "_read")
 
 
-def running(counts: DataFrame, value: str, sums: dict[str, Column], keys: list[str] | None = None, buckets: int = BUCKETS, keep: bool = False) -> DataFrame:
+def running(counts: DataFrame, value: str, sums: dict[str, Column], keys: list[str] | None = None, buckets: int = BUCKETS, keep: bool = False, few: bool = False) -> DataFrame:
     """Rows of one value of a group each, with the sums of some columns over the group's rows of smaller values, and over all its rows
-    as ``{name}_all``; 0 at the least value. ``keep``: with the range, _b."""
+    as ``{name}_all``; 0 at the least value. ``keep``: with the range, _b. ``few``: as for ``cut``; else the join may
+    broadcast the side that grows with the input."""
     keys = keys or []
     cols = counts.columns
-    counts = cut(counts, value, keys, buckets)
+    counts = cut(counts, value, keys, buckets, few)
     within = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     total = counts.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])  # a row for each range of a group
     below, whole = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     zero = lambda c: F.coalesce(c, F.lit(0))
     total = total.select(*keys, "_b", *[zero(F.sum(f"_t_{n}").over(below)).alias(f"_u_{n}") for n in sums], *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_all") for n in sums])
     scanned = counts.select("*", *[zero(F.sum(c).over(within)).alias(f"_w_{n}") for n, c in sums.items()])
-    out = meet(scanned, total, [*keys, "_b"], *[f"_u_{n}" for n in sums], *[f"{n}_all" for n in sums])
+    out = meet(scanned, F.broadcast(total) if few else total, [*keys, "_b"], *[f"_u_{n}" for n in sums], *[f"{n}_all" for n in sums])
     return out.select(*cols, *(["_b"] if keep else []), *[(F.col(f"_u_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums], *[f"{n}_all" for n in sums])
 
 
@@ -84,7 +86,7 @@ def percentile(df: DataFrame, value: Column, q: float, keys: list[str] | None =
     keys = keys or []
     v = value.cast("double")
     counts = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    r = running(counts, "_v", {"_n": F.col("_c")}, keys)
+    r = running(counts, "_v", {"_n": F.col("_c")}, keys, few=not keys)
     return r.groupBy(*keys).agg(quantile("_n", F.col("_c"), F.col("_n_all"), "_v", q).alias("percentile"))
 
 
@@ -97,7 +99,7 @@ def percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], keys: li
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("double").alias("v")) for k, (v, _) in wanted.items()]))
     long = df.select(*keys, each.alias("_x")).select(*keys, F.col("_x.k").alias("_k"), F.col("_x.v").alias("_v"))
     counts = long.where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_k", "_v").agg(F.count("*").alias("_c"))
-    r = running(counts, "_v", {"_n": F.col("_c")}, [*keys, "_k"])
+    r = running(counts, "_v", {"_n": F.col("_c")}, [*keys, "_k"], few=not keys)
     share = F.lit(0.0)
     for k, (_, q) in wanted.items():
         share = F.when(F.col("_k") == k, float(q)).otherwise(share)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ostinato.operators import network
 
@@ -150,3 +151,22 @@ def test_means_of_nearest_leave_tasks_as_sums(spark):
     assert sorted(got) == sorted(set(label)) and 5 not in got
     assert all(m == pytest.approx(x[label == i].mean(axis=0)) for i, m in got.items())
     assert network.means_of_nearest(df.limit(0), cols, centres) == {}
+
+
+def test_refinement_joins_nothing_that_grows(spark, tmp_path):
+    """Results and modules are not joined: only rows of a module, of a range or of the whole table are broadcast, and each keeps its place."""
+    from ostinato.plans import inputs
+
+    rows = spark.range(600).select(F.col("id").cast("string").alias("series_id"), (F.col("id") % 7 + 1.0).alias("A_12"), (F.col("id") % 5 + 1.0).alias("A_24"), (F.col("id") % 6 * 1.0).alias("phi_12"), F.when(F.col("id") % 9 > 0, F.col("id") % 4 * 1.0).alias("phi_24"), (F.col("id") % 9 - 4.0).alias("log_bf"), (F.col("id") * 1.0).alias("T_12_deviation"), (F.col("id") % 2 == 0).alias("f_test_12h_significant"), F.when(F.col("id") % 3 == 0, "ambiguous").otherwise("harmonic").alias("classification"))
+    rows.write.parquet(str(tmp_path / "r"))
+    rows = spark.read.parquet(str(tmp_path / "r"))
+    got = network.hierarchical(rows, 4, method="bisecting")
+    assert {*rows.columns, "module_id"} < {*got.columns} and got.count() == 600
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and all("strategy=broadcast" in line for line in joins), joins
+    named = {r.series_id: r.module_id for r in network.modules(network.features(rows), 4, "bisecting").collect()}
+    assert {r.series_id: (r.module_id, r.T_12_deviation) for r in got.collect()} == {k: (m, float(k)) for k, m in named.items()}
+    assert network.hierarchical(rows, 3).where("module_id is not null").count() == 600
+    labelled = inputs.vectors_with_label(spark, "/root/testdata/sf0.001")
+    assert labelled.columns == ["series_id", "t", "y", "label"] and "Join" not in labelled._jdf.queryExecution().optimizedPlan().toString()
