@@ -3,10 +3,11 @@
 Equal vectors are one class and enter the join once, with their number. Classes are sorted by the cells of a grid on their
 leading principal directions; the sorted sequence is cut into blocks, and intervals of it are joined recursively: from a tree
 over the sequence, only pairs of intervals whose boxes are within reach go on to their parts. The recursion is level by level,
-as joins of tables, down to pairs of blocks. Pairs of blocks are dealt in squares of SQUARE x SQUARE, so that a block travels once
-for each square and not for each pair. In a task the recursion goes on to strips of a block, and strips that are within reach are
-compared as a product of two matrices. Of the links in a pair of blocks it returns a count for each class and a spanning
-forest, never the pairs.
+as joins of tables, down to pairs of blocks. Pairs of blocks are dealt in squares, so that a block travels once for each square and
+not for each pair. Squares grow with the table, SIDES on each side of it, until their blocks fill a task's memory: until then a block
+travels SIDES times at most, however many there are. Squares run in waves, of which only one's shuffle files are on disk. In a task
+the recursion goes on to strips of a block, and strips that are within reach are compared as a product of two matrices. Of the links
+in a square it returns a count for each class and a spanning forest, never the pairs.
 
 Boxes have the leading directions and, as one coordinate more, the length of what these leave out: the distance over those
 is never more than the real one, so no link is skipped.
@@ -14,6 +15,7 @@ is never more than the real one, so no link is skipped.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -26,8 +28,13 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch, connected_components
 
 #: Classes in a block and in a strip of it, leading directions of the grid, rows of which the directions are fitted, parts of an
-#: interval, blocks on a side of a square that one task joins.
-BLOCK, STRIP, DIRECTIONS, FIT_ROWS, FAN, SQUARE = 512, 64, 16, 20_000, 8, 8
+#: interval.
+BLOCK, STRIP, DIRECTIONS, FIT_ROWS, FAN = 512, 64, 16, 20_000, 8
+#: Squares on a side of the table while it is small; bytes of vectors on a side of a square, and of a batch of blocks on their way to
+#: a task; bytes that a wave of squares may shuffle, or so many times all vectors if that is more.
+SIDES, SIDE_BYTES, BATCH_BYTES, WAVE_BYTES, WAVE_COPIES = 12, 32 << 20, 8 << 20, 1 << 30, 4
+#: Links of a square that wait until they are folded into its forest.
+WAITING = 1 << 20
 
 
 def _unit(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,30 +177,38 @@ def _links(ua: np.ndarray, ub: np.ndarray | None, box_a: np.ndarray, box_b: np.n
 
 
 def _comparer(basis: np.ndarray, least: float, reach: float, strip: int = STRIP):
-    """A square's blocks and pairs of blocks to: place of a class, its links to the other block (or within the block), weighted by
-    copies, and a place of its component. Blocks come as matrices with the places of their classes; pairs are rows without one."""
+    """A square's blocks, each with the blocks it is compared with, to: place of a class, its links in the square, weighted by copies,
+    and a place of its component there. Blocks come as matrices with the places of their classes."""
 
     def run(t: pa.Table) -> pa.Table:
-        blocks, pairs = {}, []
-        for block, other, first, copies, units in zip(*(t[c].to_pylist() for c in ("block", "other", "first", "copies", "units")), strict=True):
-            if units is None:
-                pairs.append((block, other))
-            elif block not in blocks:
-                u = np.frombuffer(units).reshape(len(copies), -1)
-                blocks[block] = (first + np.arange(len(copies)), np.array(copies), u, _boxes(u, basis, strip))
-        out = []
-        for p, q in sorted(set(pairs)):
-            (ia, ca, ua, xa), (ib, cb, ub, xb) = blocks[p], blocks[q]
-            a, b = _links(ua, None if p == q else ub, xa, xb, least, reach, strip)
-            if not len(a):
-                continue
-            ids, copies, shift = (ia, ca, 0) if p == q else (np.concatenate([ia, ib]), np.concatenate([ca, cb]), len(ia))
-            n = np.bincount(a, copies[b + shift], len(ids)) + np.bincount(b + shift, copies[a], len(ids))
-            root = ids[_roots(len(ids), a, b + shift)]
-            hit = np.flatnonzero(n)
-            out.append((ids[hit], n[hit].astype(np.int64), root[hit]))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table([pa.array(x) for x in cols], names=["place", "n", "root"])
+        blocks = {}
+        for block, others, first, copies, units in zip(*(t[c] for c in ("block", "others", "first", "copies", "units")), strict=True):
+            n = np.asarray(copies.values)
+            u = np.frombuffer(units.as_buffer()).reshape(len(n), -1)
+            blocks[block.as_py()] = (first.as_py() + np.arange(len(n)), n, u, _boxes(u, basis, strip), sorted(others.as_py()))
+        start = dict(zip(sorted(blocks), np.cumsum([0, *(len(blocks[p][0]) for p in sorted(blocks))]).tolist(), strict=False))
+        ids = np.concatenate([blocks[p][0] for p in sorted(blocks)])
+        links, root, waiting = np.zeros(len(ids)), np.arange(len(ids)), []
+
+        def fold() -> np.ndarray:
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            return _roots(len(ids), np.concatenate([moved, *(a for a, _ in waiting)]), np.concatenate([root[moved], *(b for _, b in waiting)]))
+
+        for p in sorted(blocks):
+            _, ca, ua, xa, others = blocks[p]
+            for q in others:
+                _, cb, ub, xb, _ = blocks[q]
+                a, b = _links(ua, None if p == q else ub, xa, xb, least, reach, strip)
+                if not len(a):
+                    continue
+                links[start[p] : start[p] + len(ca)] += np.bincount(a, cb[b], len(ca))
+                links[start[q] : start[q] + len(cb)] += np.bincount(b, ca[a], len(cb))
+                waiting.append((a + start[p], b + start[q]))
+                if sum(len(x) for x, _ in waiting) >= WAITING:
+                    root, waiting = fold(), []
+        root = fold()
+        hit = np.flatnonzero(links)
+        return pa.table([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(ids[root[hit]])], names=["place", "n", "root"])
 
     return run
 
@@ -223,6 +238,11 @@ def interval_pairs(blocks: DataFrame, levels: int, reach: float, coordinates: in
     return pairs
 
 
+def _side(blocks: int, widest: int) -> int:
+    """Blocks on a side of a square, for so many blocks of at most so many bytes."""
+    return max(1, min(-(-blocks // SIDES), SIDE_BYTES // max(1, widest)))
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95, block: int = BLOCK) -> DataFrame:
     """A row for each vector: vec_id, n_links (other vectors with cosine >= least), component_id (the smallest id that
     links reach, itself included), kept (vec_id = component_id).
@@ -254,18 +274,23 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     blocks = cut.join(F.broadcast(sizes), "part").select((F.col("blocks_before") + F.col("i")).alias("block"), (F.col("rows_before") + F.col("i") * block).alias("first"), "names", "copies", "units", "lo", "hi")
     blocks = scratch.save(blocks, "blocks")
     scratch.drop(cut)
-    last = blocks.agg(F.max("block")).first()[0] or 0
+    total = blocks.agg(F.max("block"), F.max(F.length("units")), F.sum(F.length("units"))).first()
+    last, widest, size = (x or 0 for x in total)
     levels = 0
     while FAN**levels <= last:
         levels += 1
-    pairs = scratch.save(interval_pairs(blocks, levels, reach, basis.shape[1] + 1).select("a", "b", *[F.floor(F.col(c) / SQUARE).alias(f"s{c}") for c in "ab"]), "pairs")
-    # a square's pairs, and each of its blocks once
-    none = [F.lit(None).cast(x).alias(c) for c, x in (("first", "bigint"), ("copies", "array<bigint>"), ("units", "binary"))]
-    asked = pairs.select("sa", "sb", F.col("a").alias("block"), F.col("b").alias("other"), *none)
-    needed = pairs.select("sa", "sb", "a").union(pairs.select("sa", "sb", "b")).distinct().toDF("sa", "sb", "block")
-    sent = needed.join(blocks, "block").select("sa", "sb", "block", F.lit(None).cast("bigint").alias("other"), "first", "copies", "units")
-    found = asked.unionByName(sent).groupBy("sa", "sb").applyInArrow(_comparer(basis, least, reach), "place bigint, n bigint, root bigint")
-    found = scratch.save(found, "found")
+    side = _side(last + 1, widest)
+    pairs = scratch.save(interval_pairs(blocks, levels, reach, basis.shape[1] + 1).select("a", "b", *[F.floor(F.col(c) / side).alias(f"s{c}") for c in "ab"]), "pairs")
+    # a block goes to each of its squares once, with the blocks that it is compared with there
+    asked = pairs.select("sa", "sb", F.col("a").alias("block"), "b").unionByName(pairs.select("sa", "sb", F.col("b").alias("block"), F.lit(None).cast("bigint").alias("b")))
+    asked = asked.groupBy("sa", "sb", "block").agg(F.collect_list("b").alias("others"))
+    waves = max(1, -(-(last // side + 1) * size // max(WAVE_BYTES, WAVE_COPIES * size)))
+    parts = []
+    for wave in range(waves):
+        sent = asked.where((F.col("sa") + F.col("sb")) % waves == wave).join(blocks, "block").select("sa", "sb", "block", "others", "first", "copies", "units")
+        found = sent.groupBy("sa", "sb").applyInArrow(_comparer(basis, least, reach), "place bigint, n bigint, root bigint")
+        parts.append(scratch.save(found, "found", max(1, BATCH_BYTES // max(1, widest))))
+    found = functools.reduce(DataFrame.unionByName, parts)
     links = found.groupBy("place").agg(F.sum("n").alias("n_links"))
     comp = connected_components(found.select(F.col("place").alias("u"), F.col("root").alias("v")), scratch)
     linked = links.join(comp, links.place == comp.id).select("place", "n_links", "component_id")

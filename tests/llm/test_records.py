@@ -201,6 +201,40 @@ def test_many_blocks_in_a_partition(spark):
     assert [got[i] for i in range(len(x))] == s.sum(axis=1).tolist() and s.sum() > 500
 
 
+def _shuffled(spark) -> int:
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_blocks_travel_no_more_often_in_a_larger_table(spark):
+    """Four times the vectors in four times the blocks shuffle about four times the bytes."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(800, 512))
+    bytes_of = []
+    for n in (200, 800):
+        df = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(x[:n])], "vec_id bigint, embedding array<double>").repartition(4)
+        before = _shuffled(spark)
+        assert ego_join.near_duplicates(df, block=4).where("n_links = 0").count() == n
+        bytes_of.append(_shuffled(spark) - before)
+    assert bytes_of[1] < 6 * bytes_of[0], bytes_of
+
+
+def test_waves_of_small_squares(spark, monkeypatch):
+    """Squares that memory cuts, in several waves, with forests folded often: all links, as of all pairs."""
+    for name, value in (("SIDE_BYTES", 400), ("WAVE_BYTES", 1), ("WAITING", 3), ("BATCH_BYTES", 1)):
+        monkeypatch.setattr(ego_join, name, value)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(30, 4)), 8, axis=0)
+    x += np.cumsum(rng.normal(0, 0.04, x.shape), axis=0)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T >= 0.95
+    comp = np.arange(len(x))
+    for _ in comp:
+        comp = np.array([comp[near].min() for near in s])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ego_join.near_duplicates(spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(x)], "vec_id bigint, embedding array<double>"), block=3).collect()}
+    assert [got[i] for i in range(len(x))] == list(zip((s.sum(axis=1) - 1).tolist(), comp.tolist(), strict=True))
+
+
 def test_components(spark):
     r = random.Random(0)
     chain = [(i, i + 1) for i in range(100, 160)]
