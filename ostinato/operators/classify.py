@@ -223,12 +223,13 @@ def soft_gated(base: float = 24.0) -> Column:
     )
 
 
-def analytic(df: DataFrame, base: float = 24.0, version: int = 2, n_bootstrap: int = 199, n_perm: int = 499, use_savage_dickey: bool = False) -> DataFrame:
+def analytic(df: DataFrame, base: float = 24.0, version: int = 2, n_bootstrap: int = 199, n_perm: int = 499, use_savage_dickey: bool = False, every: bool = False) -> DataFrame:
     """One-stage analysis: fits, log_bf, interpretation, p_24, p_12, t_12_fitted, t_12_deviation, amplitudes and phases, p_lrt,
     classification, error.
 
     Series with a Bayes factor in doubt (its log within 3) are simulated; with version 2 a half period's p-value between 0.02 and
-    0.15 is replaced by a permutation's. With Savage and Dickey's ratio its sign is turned to the other's.
+    0.15 is replaced by a permutation's. With Savage and Dickey's ratio its sign is turned to the other's. With ``every`` all series are
+    simulated, once, and lrt, p_lrt and lrt_label are given for all; the classification heeds them only where the factor is in doubt.
     """
     three = [base, base / 2, base / 3]
 
@@ -244,14 +245,21 @@ def analytic(df: DataFrame, base: float = 24.0, version: int = 2, n_bootstrap: i
     m = m.withColumn("log_bf", evidence.log_bayes_factor())
     if use_savage_dickey:
         m = evidence.savage_dickey(m, base).withColumn("log_bf", F.coalesce(-F.col("sd_log_bf"), "log_bf"))
-    m = m.withColumn("_y", F.col("y")).withColumn("y", F.when(F.abs("log_bf") < 3, F.col("y"))).withColumnRenamed("error", "_error")
-    m = per_series.apply(m, lambda t, y, s: {"p_lrt": K.bootstrap_lrt(t, y, base, 3, three, n_bootstrap, s)[1]}, "p_lrt double")
-    m = m.withColumn("y", F.col("_y")).withColumn("error", F.col("_error")).drop("_y", "_error")
+    doubt = F.abs("log_bf") < 3
+    m = m.withColumnRenamed("error", "_error")
+    if every:
+        m = evidence.bootstrap_lrt(m, base, n_bootstrap).withColumn("_p", F.col("p_lrt")).withColumn("p_lrt", F.when(doubt, F.col("p_lrt")))
+    else:
+        m = m.withColumn("_y", F.col("y")).withColumn("y", F.when(doubt, F.col("y")))
+        m = per_series.apply(m, lambda t, y, s: {"p_lrt": K.bootstrap_lrt(t, y, base, 3, three, n_bootstrap, s)[1]}, "p_lrt double")
+        m = m.withColumn("y", F.col("_y")).drop("_y")
+    m = m.withColumn("error", F.col("_error")).drop("_error")
     m = m.withColumn("amp_ratio", evidence.amplitude_ratio()).withColumn("rel_dev", evidence.period_deviation(base))
     t12 = evidence.fitted_half_period(base)
     label = soft_gated(base) if version == 2 else hard_gated(base)
     m = m.withColumn("bayes_factor", F.exp("log_bf")).withColumn("interpretation", evidence.interpret(F.col("log_bf"))).withColumn("t_12_fitted", t12).withColumn("t_12_deviation", t12 - base / 2)
-    return m.withColumn("classification", F.when(F.col("error").isNotNull(), "error").otherwise(label))
+    m = m.withColumn("classification", F.when(F.col("error").isNotNull(), "error").otherwise(label))
+    return m.withColumn("p_lrt", F.col("_p")).drop("_p") if every else m
 
 
 def batch(df: DataFrame, base: float = 24.0, **kw) -> DataFrame:
@@ -277,10 +285,9 @@ def agree(analytic_label: Column, bootstrap_label: Column) -> tuple[Column, Colu
 
 def ensemble(df: DataFrame, base: float = 24.0, n_bootstrap: int = 499) -> DataFrame:
     """The analytic and the simulated answer of each series, and what both come to: classification, confidence."""
-    a = analytic(df, base, n_bootstrap=n_bootstrap)
-    b = evidence.bootstrap_lrt(a.withColumnRenamed("error", "_error").drop("p_lrt"), base, n_bootstrap)
+    a = analytic(df, base, n_bootstrap=n_bootstrap, every=True)
     label, conf = agree(F.col("classification"), F.col("lrt_label"))
-    return b.withColumn("analytic_label", F.col("classification")).withColumn("confidence", conf).withColumn("classification", F.when(F.col("_error").isNotNull(), "error").otherwise(label)).withColumn("error", F.col("_error")).drop("_error")
+    return a.withColumn("analytic_label", F.col("classification")).withColumn("confidence", conf).withColumn("classification", F.when(F.col("error").isNotNull(), "error").otherwise(label))
 
 
 def fuse(label: Column, p: Column, p12: Column, sd: Column | None = None) -> tuple[Column, Column, Column]:

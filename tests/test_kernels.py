@@ -567,3 +567,17 @@ def test_halves_of_a_regular_grid(n, step):
             K.nearest_periods(grid, y, [24.0, 12.0, 8.0])
             took[name] = min(took.get(name, 9.0), time.perf_counter() - begin)
     assert took["even"] < 0.8 * took["bent"], took
+
+
+def test_ensemble_simulates_each_series_once(spark):
+    """One pass of simulations for both answers, which are those of two passes."""
+    t = np.arange(0, 96.0, 2)
+    ys = [noisy(1, 3 * wave(24, 0.3, t), t=t), noisy(2, sd=1.0, t=t), noisy(4, 2 * wave(24, 0.5, t), 2 * wave(11.3, 2.1, t), t=t), noisy(5, wave(24, 0.5, t), 0.3 * wave(12, 1, t), sd=0.5, t=t)]
+    df = arrays(spark, ys, t)
+    passes = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    once, one = classify.ensemble(df, n_bootstrap=19), classify.analytic(df, n_bootstrap=19)
+    assert passes(once) == passes(one)
+    two = {r.series_id: r for r in evidence.bootstrap_lrt(one, n=19).collect()}
+    plain = {r.series_id: r.classification for r in one.collect()}
+    for r in once.collect():
+        assert (r.p_lrt, r.lrt_label, r.analytic_label) == (two[r.series_id].p_lrt, two[r.series_id].lrt_label, plain[r.series_id])
