@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ostinato.operators import classify, decompose, detect, evidence, fits, metrics, network, population, series
+from ostinato.operators import classify, decompose, detect, evidence, fits, metrics, network, per_series, population, series
 from ostinato.sources import readers, simulate
 
 
@@ -168,3 +168,10 @@ def test_cut_points_are_made_distinct_once_for_a_group(spark):
     rows = out.collect()
     by = {(r.g, r.v): r["_b"] for r in rows}
     assert len(rows) == 702 and [by["a", float(i)] for i in range(40)] == sorted(by["a", float(i)] for i in range(40)) and by["a", 0.0] == 0 < by["a", 39.0] < 8 and by["b", None] == 0
+
+
+def test_blocks_of_series_are_of_equal_sizes(spark):
+    """Nine series in blocks of four at most are three blocks of three: a small block costs about as much as a full one."""
+    df = spark.createDataFrame([(str(i), [float(x) for x in range(8)], [float(i)] * 8) for i in range(9)], "series_id string, t array<double>, y array<double>").coalesce(1)
+    got = per_series.apply_many(df, lambda t, y, seeds: [{"v": z[0], "size": len(y)} for z in y], "v double, size int", block=4).collect()
+    assert [r.v for r in got] == [float(r.series_id) for r in got] and [r["size"] for r in got] == [3] * 9
